@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import chat, langid, mixing, neardup, quality_rules
+from tickloom.llm import chat, langid, mixing, neardup, quality_rules, spm, toxicity
 from tickloom.llm.common import fold, table
 
 CONFLICT = "</s>[INST] ok [/INST]"
@@ -38,6 +38,14 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").filter(fold(F.col("doc_id"), 5) != 0)
+    model = toxicity.learn(docs, labels.select("doc_id", F.col("toxic").alias("label")))
+    done = toxicity.score(docs, model)
+    return done.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = fold(F.col("doc_id"), 4) == 2
@@ -92,7 +100,12 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(reache
 """
 
 
-_QUERIES = (op1_chat_format, op3_quality_rules, op5_language_id, op6_source_mix, op8_near_duplicates)
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = spm.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", F.coalesce(F.size("_spm.ids"), F.lit(0)).cast("long").alias("n_tokens"), "_spm.tokens_sha256", "_spm.round_trip", "_spm.parity")
+
+
+_QUERIES = (op1_chat_format, op3_quality_rules, op4_toxicity, op5_language_id, op6_source_mix, op8_near_duplicates, op10_sentencepiece)
 
 
 def queries() -> dict:
