@@ -73,7 +73,7 @@ def format_turns(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[str, str
     raise ValueError("the template can't represent this conversation")
 
 
-SCHEMA = "conv_id long, formatted string, n_turns long, turns_sha256 string, loss_spans array<struct<start: long, end: long>>, loss_chars long, loss_sha256 string"
+SCHEMA = "conv_id string, formatted string, n_turns long, turns_sha256 string, loss_spans array<struct<start: long, end: long>>, loss_chars long, loss_sha256 string"
 
 
 def _digest(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -86,7 +86,6 @@ def _digest(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             whole = "".join(f"{role}\n{text}\n" for role, text, _, _ in found)
             out.append((conv_id, rendered, len(found), hashlib.sha256(whole.encode()).hexdigest(), [{"start": a, "end": b} for _, _, a, b in learned], len(loss), hashlib.sha256(loss.encode()).hexdigest()))
         result = pd.DataFrame(out, columns=["conv_id", "formatted", "n_turns", "turns_sha256", "loss_spans", "loss_chars", "loss_sha256"])
-        result["conv_id"] = result["conv_id"].astype("Int64")
         yield result
 
 
@@ -98,6 +97,6 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     and cover the assistant texts. Only the four columns are read; an empty table gives no rows. A conversation is one
     row of output, so one conversation's turns meet in one task.
     """
-    rows = turns.select(F.col("conv_id").cast("long"), F.struct(F.col("turn").cast("long"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
+    rows = turns.select(F.col("conv_id").cast("long").cast("string"), F.struct(F.col("turn").cast("long"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
     grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    return grouped.mapInPandas(_digest, SCHEMA)
+    return grouped.mapInPandas(_digest, SCHEMA).withColumn("conv_id", F.col("conv_id").cast("long"))

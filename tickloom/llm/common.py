@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word is a maximal run of characters that are neither a blank nor one of TAB to CR.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -51,3 +53,32 @@ def n_words(text: Column) -> Column:
 def fold(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo; a null id counts as the empty string."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+def append_from_text(df: DataFrame, name: str, kind: str, start: Callable[[], Callable]) -> DataFrame:
+    """The columns of df and `name` (of the DDL type kind), computed from the column text, batch by batch, in Arrow.
+
+    start is called once in each task; what it returns makes the values (a pyarrow array) of a batch from a list of
+    texts, null ones as None. All other columns pass through as they are; a column that is called `name` is replaced."""
+    df = df.drop(name)
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T.StructType.fromDDL(f"x {kind}")["x"].dataType)])
+    place = df.columns.index("text")
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        make = start()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, make(batch.column(place).to_pylist())], [*batch.schema.names, name])
+
+    return df.mapInArrow(run, schema)
+
+
+def chunks(texts: list[str | None], size: int) -> Iterator[list[str | None]]:
+    """Runs of texts with about `size` characters each; a longer text is a run of its own or ends one."""
+    start = held = 0
+    for i, t in enumerate(texts):
+        held += len(t or "")
+        if held > size or i == len(texts) - 1:
+            yield texts[start : i + 1]
+            start, held = i + 1, 0

@@ -11,14 +11,14 @@ moves every segment by one character.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.llm.common import append_from_text, chunks
+
 #: Bounds of the labelled sample: rows and characters for each language, and languages.
 SAMPLE_ROWS, SAMPLE_CHARS, MAX_LANGUAGES = 64, 20_000, 200
 #: Phrases end at these many characters at the latest, so that long texts are walked in parallel.
@@ -188,27 +188,18 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     Null texts and texts without a letter are `und` with score 0; equal bits go to the smaller language name. Rows are
     handled one by one, so repeated rows and other columns, whatever their names, pass through (only _lang is replaced).
     """
-    docs = docs.drop("_lang")
     shared = docs.sparkSession.sparkContext.broadcast((model.alphabet, model.tables))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
-    def run(batches: Iterator) -> Iterator:
+    def start():
         import pyarrow as pa
 
         own = Model(*shared.value)
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            langs: list[str] = []
-            scores: list[np.ndarray] = []
-            start = held = 0
-            for i, t in enumerate([*texts, None]):
-                held += len(t or "")
-                if held > CHUNK or i == len(texts):
-                    pred, score = predict(texts[start : i + 1], own)
-                    langs, start, held = langs + pred, i + 1, 0
-                    scores.append(score)
-            n = batch.num_rows
-            made = pa.StructArray.from_arrays([pa.array(langs[:n], pa.string()), pa.array(np.concatenate(scores)[:n], pa.float64())], ["pred", "score"])
-            yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, "_lang"])
-
-    return docs.mapInArrow(run, f"{schema}{', ' if schema else ''}_lang struct<pred: string, score: double>")
+
+        def make(texts: list[str | None]) -> pa.Array:
+            found = [predict(part, own) for part in chunks(texts, CHUNK)]
+            pred, score = [x for p, _ in found for x in p], np.concatenate([s for _, s in found]) if found else np.zeros(0)
+            return pa.StructArray.from_arrays([pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["pred", "score"])
+
+        return make
+
+    return append_from_text(docs, "_lang", "struct<pred: string, score: double>", start)

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import broadcast_if_small, materialize
+from tickloom.llm.common import append_from_text, broadcast_if_small, materialize
 
 SHINGLE = 5
 #: A pair of similarity 0.8 escapes all bands with probability (1 - 0.8 ** 6) ** 40 = 5e-6, one of 0.85 with 6e-9.
@@ -95,24 +95,28 @@ def differing_bits(similarity: float) -> float:
     return BITS / 2 * (1 - (1 - 2 / BITS) ** (2 * BANDS * ROWS * (1 - similarity)))
 
 
-FEATURES = "doc_id long, n_shingles long, print binary, bands array<long>, sketch array<long>"
+FEATURES = "struct<n_shingles: long, print: binary, bands: array<long>, sketch: array<long>>"
 
 
-def _features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _features():
+    import pyarrow as pa
+
     known = WordHashes()
-    for frame in frames:
+    longs = pa.list_(pa.int64())
+    kind = pa.struct([("n_shingles", pa.int64()), ("print", pa.binary()), ("bands", longs), ("sketch", longs)])
+
+    def make(texts: list[str | None]) -> pa.Array:
         rows = []
-        for text in frame["text"]:
-            found = shingles(text, known)
-            if len(found):
+        for text in texts:
+            if len(found := shingles(text, known)):
                 samples = signature(found)
                 rows.append((len(found), xxhash.xxh3_128_digest(found.tobytes()), band_keys(samples), odd_sketch(samples)))
             else:
                 rows.append((0, None, None, None))
-        out = pd.DataFrame(rows, columns=["n_shingles", "print", "bands", "sketch"])
-        out.insert(0, "doc_id", frame["doc_id"].astype("Int64").to_numpy())
-        out["doc_id"] = out["doc_id"].astype("Int64")
-        yield out
+        columns = [list(c) for c in zip(*rows, strict=True)] or [[], [], [], []]
+        return pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind, strict=True)], fields=list(kind))
+
+    return make
 
 
 def _confirm(percent: int):
@@ -179,7 +183,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     document, and the text of any one of them confirms its links. An empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    features = materialize(docs.mapInPandas(_features, FEATURES), "dup-features")
+    features = materialize(append_from_text(docs, "_f", FEATURES, _features).select("doc_id", "_f.*"), "dup-features")
     usable = features.filter("n_shingles > 0 and doc_id is not null")
     classes = usable.groupBy("print").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     classes = materialize(classes, "dup-classes")

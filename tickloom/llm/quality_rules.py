@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import materialize
+from tickloom.llm.common import append_from_text, materialize
 
 SYMBOLS, BLANKS = "#*$%&|<>", " \t\n\v\f\r"
 #: Bytes to delete so that what stays are: capitals; one byte for each letter; words that have a letter.
@@ -60,16 +57,22 @@ def text_counts(text: str | None) -> tuple[int, ...]:
     )
 
 
-def _count(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in rows:
-        out = pd.DataFrame([text_counts(t) for t in frame["text"]], columns=COUNTS, dtype="int64")
-        out.insert(0, "doc_id", frame["doc_id"].astype("Int64"))
-        yield out
+def _counter():
+    import pyarrow as pa
+
+    kind = pa.struct([(c, pa.int64()) for c in COUNTS])
+
+    def make(texts: list[str | None]) -> pa.Array:
+        rows = np.array([text_counts(t) for t in texts], np.int64).reshape(-1, len(COUNTS))
+        return pa.StructArray.from_arrays([pa.array(rows[:, i]) for i in range(len(COUNTS))], fields=list(kind))
+
+    return make
 
 
-def document_counts(docs: DataFrame) -> DataFrame:
-    """doc_id and COUNTS (long) of every document, row by row."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(_count, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
+def document_counts(docs: DataFrame, *carried: str) -> DataFrame:
+    """doc_id, the carried columns and COUNTS (long) of every document, row by row."""
+    held = append_from_text(docs.select(F.col("doc_id").cast("long"), *carried, "text"), "_counts", f"struct<{', '.join(f'{c}: long' for c in COUNTS)}>", _counter)
+    return held.select("doc_id", *carried, "_counts.*")
 
 
 #: name -> (bad, good): what makes the rule vote against and for a document; else it abstains.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import chat, langid, mixing, neardup, quality_rules, spm, toxicity
+from tickloom.llm import ann, chat, langid, mixing, neardup, quality_rules, site_quality, spm, toxicity
 from tickloom.llm.common import fold, table
 
 CONFLICT = "</s>[INST] ok [/INST]"
@@ -78,6 +78,11 @@ SELECT doc_id, size, source_size, target, size * (floor(rate)::BIGINT + (coin <
 """
 
 
+def op7_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
@@ -100,12 +105,17 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(reache
 """
 
 
+def op9_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").filter(fold(F.col("doc_id"), 5) != 0)
+    return site_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"), labels.select("doc_id", F.col("quality").alias("label")))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = spm.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", F.coalesce(F.size("_spm.ids"), F.lit(0)).cast("long").alias("n_tokens"), "_spm.tokens_sha256", "_spm.round_trip", "_spm.parity")
 
 
-_QUERIES = (op1_chat_format, op3_quality_rules, op4_toxicity, op5_language_id, op6_source_mix, op8_near_duplicates, op10_sentencepiece)
+_QUERIES = (op1_chat_format, op3_quality_rules, op4_toxicity, op5_language_id, op6_source_mix, op7_nearest_vectors, op8_near_duplicates, op9_site_quality, op10_sentencepiece)
 
 
 def queries() -> dict:

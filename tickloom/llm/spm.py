@@ -16,6 +16,8 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import DataFrame
 
+from tickloom.llm.common import append_from_text, chunks
+
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Values of the model format: types of models and of pieces.
@@ -131,10 +133,8 @@ def encode_documents(docs: DataFrame, model_path: str = MODEL_PATH, verify: bool
     """
     with open(model_path, "rb") as f:
         model = docs.sparkSession.sparkContext.broadcast(f.read())
-    docs = docs.drop("_spm")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
-    def run(batches: Iterator) -> Iterator:
+    def start():
         import pyarrow as pa
         import sentencepiece
 
@@ -151,22 +151,18 @@ def encode_documents(docs: DataFrame, model_path: str = MODEL_PATH, verify: bool
                 a = np.array(i, "<i4")
                 yield a, hashlib.sha256(a.tobytes()).hexdigest(), b == (t if plain else peer.decode(i)), None if o is None else o == i
 
-        for batch in batches:
-            texts, rows, start, held = batch.column("text").to_pylist(), [], 0, 0
-            for k, t in enumerate(texts):
-                held += len(t or "")
-                if held > CHUNK or k == len(texts) - 1:
-                    rows += done([x or "" for x in texts[start : k + 1]])
-                    start, held = k + 1, 0
+        def make(texts: list[str | None]) -> pa.Array:
+            rows = [r for part in chunks(texts, CHUNK) for r in done([t or "" for t in part])]
             null = np.array([t is None for t in texts], bool)
             offsets = np.concatenate([[0], np.cumsum([len(r[0]) for r in rows])]).astype(np.int32)
             flat = pa.array(np.concatenate([r[0] for r in rows]) if rows else np.zeros(0, np.int32), pa.int32())
             ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat, mask=pa.array(null))
             parts = [ids, pa.array([None if n else r[1] for r, n in zip(rows, null, strict=True)], pa.string()), pa.array([r[2] for r in rows], pa.bool_()), pa.array([r[3] for r in rows], pa.bool_())]
-            made = pa.StructArray.from_arrays(parts, ["ids", "tokens_sha256", "round_trip", "parity"])
-            yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, "_spm"])
+            return pa.StructArray.from_arrays(parts, ["ids", "tokens_sha256", "round_trip", "parity"])
+
+        return make
 
-    return docs.mapInArrow(run, f"{schema}{', ' if schema else ''}_spm struct<ids: array<int>, tokens_sha256: string, round_trip: boolean, parity: boolean>")
+    return append_from_text(docs, "_spm", "struct<ids: array<int>, tokens_sha256: string, round_trip: boolean, parity: boolean>", start)
 
 
 def decode_documents(encoded: DataFrame, model_path: str = MODEL_PATH, threads: int = THREADS) -> DataFrame:

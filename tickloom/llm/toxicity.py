@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import broadcast_if_small, materialize
+from tickloom.llm.common import append_from_text, broadcast_if_small, materialize
 
 BUCKETS = 1 << 22
 #: Bound of the labelled sample: rows of each label.
@@ -135,12 +135,13 @@ def score(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray]) -> DataF
     an empty table gives no rows, and no column but text is an input."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
+        import pyarrow as pa
+
         bias, at, w = shared.value
         dense = np.zeros(BUCKETS, np.float32)
         dense[at] = w
         known = WordHashes()
-        for frame in frames:
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "score": score_texts(list(frame["text"]), (bias, dense), known)})
+        return lambda texts: pa.array(score_texts(texts, (bias, dense), known), pa.float64())
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, score double")
+    return append_from_text(docs.select(F.col("doc_id").cast("long"), "text"), "score", "double", start).select("doc_id", "score")
