@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import ann, chat, langid, mixing, neardup, quality_rules, site_quality, spm, toxicity
+from tickloom.llm import ann, chat, langid, mixing, neardup, pii, quality_rules, site_quality, spm, toxicity
 from tickloom.llm.common import fold, table
 
 CONFLICT = "</s>[INST] ok [/INST]"
@@ -33,6 +33,11 @@ FROM e GROUP BY conv_id
 """
 
 
+def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pii.replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "text", F.col("_pii").alias("n_entities"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = quality_rules.weak_supervision(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
@@ -115,7 +120,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.coalesce(F.size("_spm.ids"), F.lit(0)).cast("long").alias("n_tokens"), "_spm.tokens_sha256", "_spm.round_trip", "_spm.parity")
 
 
-_QUERIES = (op1_chat_format, op3_quality_rules, op4_toxicity, op5_language_id, op6_source_mix, op7_nearest_vectors, op8_near_duplicates, op9_site_quality, op10_sentencepiece)
+_QUERIES = (op1_chat_format, op2_surrogates, op3_quality_rules, op4_toxicity, op5_language_id, op6_source_mix, op7_nearest_vectors, op8_near_duplicates, op9_site_quality, op10_sentencepiece)
 
 
 def queries() -> dict:
