@@ -1 +1,16 @@
-"""See the modules of this package."""
+"""The registered queries, module by module."""
+
+from __future__ import annotations
+
+import importlib
+
+MODULES = ("bar_queries", "metric_queries")
+
+
+def all_queries() -> dict:
+    """name -> (Spark query, DuckDB statement or None)."""
+    from tickloom.plans.registry import REGISTERED
+
+    for m in MODULES:
+        importlib.import_module(f"tickloom.plans.{m}")
+    return REGISTERED

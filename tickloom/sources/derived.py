@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tickloom.functions.scalars import epoch_seconds, from_epoch
 from tickloom.operators.metrics import run_metrics
 
 INITIAL = 10_000.0
@@ -22,7 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _bars(ticks: DataFrame, timeframe: str) -> DataFrame:
     hours = {"1h": 1, "4h": 4}[timeframe]
-    time = F.timestamp_seconds(F.floor(F.unix_timestamp("ts") / (3600 * hours)) * (3600 * hours))
+    time = from_epoch(F.floor(epoch_seconds(F.col("ts").cast("timestamp_ntz")) / (3600 * hours)) * (3600 * hours))
     return ticks.groupBy("symbol", F.lit(timeframe).alias("timeframe"), time.alias("time")).agg(
         F.min_by("price", "ts").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "ts").alias("close"), F.round(F.sum("value"), 6).alias("volume")
     )
