@@ -23,15 +23,15 @@ from tickloom.llm.common import append_from_text, broadcast_if_small, materializ
 SHINGLE = 5
 #: A pair of similarity 0.8 escapes all bands with probability (1 - 0.8 ** 6) ** 40 = 5e-6, one of 0.85 with 6e-9.
 BANDS, ROWS = 40, 6
-BITS = 1024
-#: How far below the wanted similarity an estimate may lie before the pair is rejected: about ten standard errors.
-MARGIN = 0.25
+#: Samples, bits of the parity bitmap, and how far below the wanted similarity an estimate may lie before the pair is
+#: rejected (about five standard errors): for every set, and for the sets that a second pass looks at.
+COARSE, FINE = (BANDS * ROWS, 1024, 0.15), (1024, 4096, 0.07)
 
 _rng = np.random.default_rng(20240601)
-_A = (_rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1))[None, :]
-_B = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)[None, :]
+_A = (_rng.integers(0, 1 << 32, FINE[0], dtype=np.uint32) | np.uint32(1))[None, :]
+_B = _rng.integers(0, 1 << 32, FINE[0], dtype=np.uint32)[None, :]
 _MUL = np.uint64(0x9E3779B97F4A7C15)
-_PLACES = np.arange(BANDS * ROWS, dtype=np.uint64) << np.uint64(32)
+_PLACES = np.arange(FINE[0], dtype=np.uint64) << np.uint64(32)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -66,13 +66,13 @@ def shingles(text: str | None, known: WordHashes) -> np.ndarray:
     return np.unique(out)
 
 
-def signature(found: np.ndarray) -> np.ndarray:
+def signature(found: np.ndarray, samples: int) -> np.ndarray:
     """The MinHash samples of a set that isn't empty."""
     x = (found >> np.uint64(32)).astype(np.uint32)
-    low = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
+    low = np.full(samples, 0xFFFFFFFF, np.uint32)
     for k in range(0, len(x), 512):
-        permuted = x[k : k + 512, None] * _A
-        permuted ^= _B
+        permuted = x[k : k + 512, None] * _A[:, :samples]
+        permuted ^= _B[:, :samples]
         np.minimum(low, permuted.min(axis=0), out=low)
     return low
 
@@ -84,15 +84,15 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def odd_sketch(samples: np.ndarray) -> np.ndarray:
-    """BITS / 64 words: bit i is the parity of the number of samples that fall on it."""
-    at = mix(_PLACES | samples) % np.uint64(BITS)
-    return np.packbits(np.bincount(at.astype(np.int64), minlength=BITS).astype(np.uint8) & 1).view(np.int64)
+def odd_sketch(samples: np.ndarray, bits: int) -> np.ndarray:
+    """bits / 64 words: bit i is the parity of the number of samples that fall on it."""
+    at = mix(_PLACES[: len(samples)] | samples) % np.uint64(bits)
+    return np.packbits(np.bincount(at.astype(np.int64), minlength=bits).astype(np.uint8) & 1).view(np.int64)
 
 
-def differing_bits(similarity: float) -> float:
+def differing_bits(similarity: float, samples: int, bits: int) -> float:
     """The XOR population count to expect from two sketches at this similarity."""
-    return BITS / 2 * (1 - (1 - 2 / BITS) ** (2 * BANDS * ROWS * (1 - similarity)))
+    return bits / 2 * (1 - (1 - 2 / bits) ** (2 * samples * (1 - similarity)))
 
 
 FEATURES = "struct<n_shingles: long, print: binary, bands: array<long>, sketch: array<long>>"
@@ -109,8 +109,8 @@ def _features():
         rows = []
         for text in texts:
             if len(found := shingles(text, known)):
-                samples = signature(found)
-                rows.append((len(found), xxhash.xxh3_128_digest(found.tobytes()), band_keys(samples), odd_sketch(samples)))
+                samples = signature(found, COARSE[0])
+                rows.append((len(found), xxhash.xxh3_128_digest(found.tobytes()), band_keys(samples), odd_sketch(samples, COARSE[1])))
             else:
                 rows.append((0, None, None, None))
         columns = [list(c) for c in zip(*rows, strict=True)] or [[], [], [], []]
@@ -136,18 +136,31 @@ def _confirm(percent: int):
     return run
 
 
-def similar_sketches(x: Column, y: Column, percent: int) -> Column:
-    bits = F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q)).cast("int")), F.lit(0), lambda s, v: s + v)
-    return bits <= differing_bits(percent / 100 - MARGIN)
+def _fine_sketches():
+    import pyarrow as pa
+
+    known = WordHashes()
+
+    def make(texts: list[str | None]) -> pa.Array:
+        return pa.array([odd_sketch(signature(shingles(t, known), FINE[0]), FINE[1]) for t in texts], pa.list_(pa.int64()))
+
+    return make
+
+
+def similar_sketches(x: Column, y: Column, percent: int, kind: tuple[int, int, float]) -> Column:
+    samples, bits, margin = kind
+    differing = F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q)).cast("int")), F.lit(0), lambda s, v: s + v)
+    return differing <= differing_bits(percent / 100 - margin, samples, bits)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a < b, representatives) whose sketches are close and whose full sets have the similarity."""
-    side = lambda n: sketches.select(F.col("rep").alias(n), F.col("sketch").alias(f"sketch_{n}"))
-    near = pairs.join(side("a"), "a").join(side("b"), "b").filter(similar_sketches(F.col("sketch_a"), F.col("sketch_b"), percent)).select("a", "b")
-    near = materialize(near, "dup-near")
-    needed = broadcast_if_small(materialize(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "dup-needed"))
-    texts = materialize(docs.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "dup-texts")
+def texts_of(reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """reps (doc_id, distinct) -> their texts, one row each."""
+    needed = broadcast_if_small(materialize(reps, "dup-needed"))
+    return materialize(docs.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "dup-texts")
+
+
+def confirmed(near: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs near (a < b, representatives) whose full sets have the similarity."""
     text = lambda n: texts.select(F.col("doc_id").alias(n), F.col("text").alias(f"text_{n}"))
     both = near.join(text("b"), "b").join(text("a"), "a").select("a", "b", "text_a", "text_b")
     return materialize(both.mapInPandas(_confirm(percent), "a long, b long"), "dup-links")
@@ -188,23 +201,29 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     classes = usable.groupBy("print").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     classes = materialize(classes, "dup-classes")
     reps = materialize(usable.join(classes.select("print", F.col("rep").alias("doc_id")), ["print", "doc_id"]).select(F.col("doc_id").alias("rep"), "bands", "sketch").dropDuplicates(["rep"]), "dup-reps")
-    sketches = reps.select("rep", "sketch")
-
     members = reps.select("rep", F.explode("bands").alias("bucket"))
     buckets = members.groupBy("bucket").agg(F.min("rep").alias("centre"), F.count("*").alias("n")).filter("n > 1")
     buckets = materialize(buckets, "dup-buckets")
     grouped = materialize(members.join(buckets, "bucket").filter("rep <> centre"), "dup-members")
     star = grouped.select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
-    links = confirmed(star, docs, sketches, percent)
+    side = lambda n: reps.select(F.col("rep").alias(n), F.col("sketch").alias(f"sketch_{n}"))
+    near = star.join(side("a"), "a").join(side("b"), "b").filter(similar_sketches(F.col("sketch_a"), F.col("sketch_b"), percent, COARSE))
+    near = materialize(near.select("a", "b"), "dup-near")
+    links = confirmed(near, texts_of(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), docs), percent)
     found = components(links)
 
-    # Members other than the centre that are still apart. The centre has met all of them.
+    # Members other than the centre that are still apart; the centre has met all of them. Their sketches are made anew,
+    # finer, and compared within the join, which lets only close pairs out.
     placed = grouped.filter("n > 2").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
     apart = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
     still = materialize(placed.join(apart, "bucket"), "dup-apart")
-    other = still.select("bucket", F.col("rep").alias("b"), F.col("component").alias("component_b"))
-    rest = still.withColumnRenamed("rep", "a").join(other, "bucket").filter("component < component_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = confirmed(rest, docs, sketches, percent)
+    texts = texts_of(still.select(F.col("rep").alias("doc_id")).distinct(), docs)
+    fine = append_from_text(texts, "sketch", "array<long>", _fine_sketches).select(F.col("doc_id").alias("rep"), "sketch")
+    still = still.join(materialize(fine, "dup-fine"), "rep")
+    other = still.select("bucket", F.col("rep").alias("b"), F.col("component").alias("component_b"), F.col("sketch").alias("sketch_b"))
+    pairs = still.withColumnRenamed("rep", "a").join(other, (still["bucket"] == other["bucket"]) & (F.col("component") < F.col("component_b")) & similar_sketches(F.col("sketch"), F.col("sketch_b"), percent, FINE))
+    near = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "dup-near")
+    more = confirmed(near, texts, percent)
     found = components(links.unionByName(more))
 
     joined = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").filter("copies > 1 or component is not null").select("print", F.coalesce("component", "rep").alias("_component"))
