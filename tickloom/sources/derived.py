@@ -111,3 +111,64 @@ RUNS_SQL = """
 runs AS (
   SELECT *, 'S' || (run_id % 5) AS symbol, ['30m', '1h', '4h'][(run_id // 5) % 3 + 1] AS timeframe, (5 + run_id % 4)::INT AS fast, 20 AS slow FROM summary)"""
 ALL_RUNS_SQL = f"{TRADES_SQL}, {METRICS_SQL}, {RUNS_SQL}"
+
+
+def genomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A parameter set per part, by integer arithmetic on its key, partly outside the bounds."""
+    k = F.col("p_partkey")
+    n = lambda m, lo, step=1.0: (F.lit(lo) + (k * (m + 3) % m) * step)
+    i = lambda m, lo: (F.lit(lo) + k * 7 % m).cast("int")
+    return table(spark, sf_dir, "part").select(
+        k.cast("long").alias("genome_id"),
+        F.struct(i(22, 1).alias("st_atrPeriod"), n(13, 0.25, 0.5).alias("st_mult"), i(190, 20).alias("rf_period"), n(23, 0.5, 0.5).alias("rf_mult"), i(29, 4).alias("rsi_length"), i(17, 2).alias("rsi_ma_length")).alias("entry"),
+        F.struct(i(21, 1).alias("st_atrPeriod"), n(19, 1.0, 0.5).alias("st_mult"), i(180, 25).alias("rf_period"), n(29, 2.0, 0.5).alias("rf_mult")).alias("sl"),
+        F.struct(i(20, 1).alias("st_atrPeriod"), n(11, 0.25, 0.5).alias("st_mult"), n(12, 0.25, 0.5).alias("rr_mult")).alias("tp_dual"),
+        F.struct(i(20, 1).alias("st_atrPeriod"), n(11, 0.5, 0.5).alias("st_mult"), n(14, 0.25, 0.5).alias("rr_mult")).alias("tp_rsi"),
+        F.struct((k % 2 == 0).alias("showDualFlip"), (k % 3 == 0).alias("showRSI")).alias("mode"), (k * 37 % 101 - 30).cast("double").alias("score"),
+    )
+
+
+def _n(m: int, lo: float, step: float) -> str:
+    return f"({lo}::DOUBLE + (p_partkey * {m + 3} % {m}) * {step}::DOUBLE)"
+
+
+def _i(m: int, lo: int) -> str:
+    return f"({lo} + p_partkey * 7 % {m})::INT"
+
+
+GENOMES_SQL = f"""
+genomes AS (
+  SELECT p_partkey::BIGINT AS genome_id,
+    {{'st_atrPeriod': {_i(22, 1)}, 'st_mult': {_n(13, 0.25, 0.5)}, 'rf_period': {_i(190, 20)}, 'rf_mult': {_n(23, 0.5, 0.5)}, 'rsi_length': {_i(29, 4)}, 'rsi_ma_length': {_i(17, 2)}}} AS entry,
+    {{'st_atrPeriod': {_i(21, 1)}, 'st_mult': {_n(19, 1.0, 0.5)}, 'rf_period': {_i(180, 25)}, 'rf_mult': {_n(29, 2.0, 0.5)}}} AS sl,
+    {{'st_atrPeriod': {_i(20, 1)}, 'st_mult': {_n(11, 0.25, 0.5)}, 'rr_mult': {_n(12, 0.25, 0.5)}}} AS tp_dual,
+    {{'st_atrPeriod': {_i(20, 1)}, 'st_mult': {_n(11, 0.5, 0.5)}, 'rr_mult': {_n(14, 0.25, 0.5)}}} AS tp_rsi,
+    {{'showDualFlip': p_partkey % 2 = 0, 'showRSI': p_partkey % 3 = 0}} AS mode, (p_partkey * 37 % 101 - 30)::DOUBLE AS score
+  FROM part)"""
+
+
+def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of 32 numbers: the first half of each embedding."""
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.slice(F.col("embedding").cast("array<double>"), 1, 32).alias("vec"))
+
+
+PROFILES_SQL = "profiles AS (SELECT vec_id AS id, (embedding::DOUBLE[])[1:32] AS vec FROM embeddings)"
+
+
+def leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored records: a genome, where it ran, how stable it was, and the market's vector then."""
+    k = F.col("genome_id")
+    g = genomes(spark, sf_dir).select("genome_id", "score")
+    t = g.join(profiles(spark, sf_dir).withColumnRenamed("id", "genome_id"), "genome_id")
+    return t.select(
+        F.lit("s1").alias("strategy_hash"), F.concat(F.lit("S"), (k % 5).cast("string")).alias("symbol"), F.element_at(F.array(F.lit("30m"), F.lit("1h"), F.lit("4h")), (F.floor(k / 5) % 3 + 1).cast("int")).alias("timeframe"),
+        F.substring(F.sha2((k % 400).cast("string").cast("binary"), 256), 1, 12).alias("genome_hash"), "score", ((k * 13 % 100) / 100.0).alias("stability"), (k * 13 % 100 >= 60).alias("passed"),
+        F.concat_ws(".", (k % 7).cast("string"), F.when(k % 3 == 0, (k % 4).cast("string"))).alias("source"), (1 + k % 4).cast("int").alias("test_count"), (1_700_000_000 + k * 60).alias("ts"), "vec",
+    )
+
+
+LEADERBOARD_SQL = f"""{PROFILES_SQL}, {GENOMES_SQL}, board AS (
+  SELECT 's1' AS strategy_hash, 'S' || (genome_id % 5) AS symbol, ['30m', '1h', '4h'][(genome_id // 5) % 3 + 1] AS timeframe, substr(sha256((genome_id % 400)::VARCHAR), 1, 12) AS genome_hash, score,
+    (genome_id * 13 % 100) / 100.0::DOUBLE AS stability, genome_id * 13 % 100 >= 60 AS passed, concat_ws('.', (genome_id % 7)::VARCHAR, CASE WHEN genome_id % 3 = 0 THEN (genome_id % 4)::VARCHAR END) AS source,
+    (1 + genome_id % 4)::INT AS test_count, 1700000000 + genome_id * 60 AS ts, vec
+  FROM genomes JOIN profiles ON id = genome_id)"""
