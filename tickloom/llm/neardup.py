@@ -45,7 +45,7 @@ class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = out = xxhash.xxh3_64_intdigest(word)
         return out
@@ -213,15 +213,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     found = components(links)
 
     # Members other than the centre that are still apart; the centre has met all of them. Their sketches are made anew,
-    # finer, and compared within the join, which lets only close pairs out.
+    # finer, and compared within the join, which lets only close pairs out, each from the first bucket that both are in.
     placed = grouped.filter("n > 2").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
     apart = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
     still = materialize(placed.join(apart, "bucket"), "dup-apart")
     texts = texts_of(still.select(F.col("rep").alias("doc_id")).distinct(), docs)
     fine = append_from_text(texts, "sketch", "array<long>", _fine_sketches).select(F.col("doc_id").alias("rep"), "sketch")
-    still = still.join(materialize(fine, "dup-fine"), "rep")
-    other = still.select("bucket", F.col("rep").alias("b"), F.col("component").alias("component_b"), F.col("sketch").alias("sketch_b"))
-    pairs = still.withColumnRenamed("rep", "a").join(other, (still["bucket"] == other["bucket"]) & (F.col("component") < F.col("component_b")) & similar_sketches(F.col("sketch"), F.col("sketch_b"), percent, FINE))
+    still = still.join(materialize(fine, "dup-fine"), "rep").join(reps.select("rep", "bands"), "rep")
+    other = still.select(F.col("bucket").alias("bucket_b"), F.col("rep").alias("b"), F.col("component").alias("component_b"), F.col("sketch").alias("sketch_b"), F.col("bands").alias("bands_b"))
+    close = (F.col("component") < F.col("component_b")) & similar_sketches(F.col("sketch"), F.col("sketch_b"), percent, FINE)
+    first = F.col("bucket") == F.array_min(F.array_intersect("bands", "bands_b"))
+    pairs = still.withColumnRenamed("rep", "a").join(other, (F.col("bucket") == F.col("bucket_b")) & close & first)
     near = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "dup-near")
     more = confirmed(near, texts, percent)
     found = components(links.unionByName(more))
