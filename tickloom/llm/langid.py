@@ -51,8 +51,9 @@ def encode(text: str, lut: np.ndarray) -> np.ndarray:
 def suffix_automaton(codes: list[int], width: int) -> np.ndarray:
     """Transitions (state * width + code -> state * width) of all substrings of codes.
 
-    Where there is none, the entry is ~(the root's transition of the code): the phrase ends and the next one begins.
-    PAD leads to the root from anywhere.
+    Where there is none, the entry is ~(the root's transition of the code): the phrase ends and the next one begins. A
+    code that the sample lacks is a phrase of its own: the root leads to a last state from which every code ends the
+    phrase. PAD leads to the root from anywhere.
     """
     moves: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
@@ -79,11 +80,12 @@ def suffix_automaton(codes: list[int], width: int) -> np.ndarray:
                     at = link[at]
                 link[to] = link[new] = twin
         last = new
-    root = np.zeros(width, np.int32)
+    root = np.full(width, len(moves) * width, np.int32)
     for c, to in moves[0].items():
         root[c] = to * width
-    table = np.tile(~root, (len(moves), 1))
-    for state, out in enumerate(moves):
+    table = np.tile(~root, (len(moves) + 1, 1))
+    table[0] = root
+    for state, out in enumerate(moves[1:], 1):
         for c, to in out.items():
             table[state, c] = to * width
     table[:, PAD] = 0
