@@ -4,19 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
-SERIES = W.partitionBy("symbol", "timeframe")
-G = SERIES.orderBy("time")
+def series() -> WindowSpec:
+    return W.partitionBy("symbol", "timeframe")
 
 
-def last(n: int) -> W:
-    return G.rowsBetween(-(n - 1), 0)
+def by_time() -> WindowSpec:
+    return series().orderBy("time")
+
+
+def last(n: int) -> WindowSpec:
+    return by_time().rowsBetween(-(n - 1), 0)
 
 
 def full(c: Column, n: int) -> Column:
     """c where the window has n rows, else null."""
-    return F.when(F.row_number().over(G) >= n, c)
+    return F.when(F.row_number().over(by_time()) >= n, c)
 
 
 def sma(c: Column, n: int, strict: bool = True) -> Column:
@@ -35,17 +40,17 @@ def price_sources() -> list[Column]:
 
 
 def change() -> Column:
-    return F.col("close") - F.lag("close").over(G)
+    return F.col("close") - F.lag("close").over(by_time())
 
 
 def returns() -> Column:
-    before = F.lag("close").over(G)
+    before = F.lag("close").over(by_time())
     return F.when(before != 0, F.col("close") / before - 1)
 
 
 def true_range() -> Column:
     """The largest of three ranges; the first bar has its own only."""
-    before = F.lag("close").over(G)
+    before = F.lag("close").over(by_time())
     return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
 
 
@@ -69,7 +74,7 @@ def with_rsi(bars: DataFrame, n: int = 14, epsilon: float | None = None) -> Data
 
 def directional(bars: DataFrame) -> DataFrame:
     """Adds plus_dm and minus_dm; a fall counts against the already masked rise."""
-    up, down = F.col("high") - F.lag("high").over(G), F.lag("low").over(G) - F.col("low")
+    up, down = F.col("high") - F.lag("high").over(by_time()), F.lag("low").over(by_time()) - F.col("low")
     t = bars.withColumn("_down", down).withColumn("plus_dm", F.when((up > down) & (up > 0), up).otherwise(0.0))
     return t.withColumn("minus_dm", F.when((F.col("_down") > F.col("plus_dm")) & (F.col("_down") > 0), F.col("_down")).otherwise(0.0)).drop("_down")
 
@@ -86,12 +91,12 @@ def with_adx(bars: DataFrame, n: int = 14) -> DataFrame:
 def with_efficiency(bars: DataFrame, n: int = 20) -> DataFrame:
     t = bars.withColumn("_c", F.abs(change()))
     way = F.when(F.count("_c").over(last(n)) == n, F.sum("_c").over(last(n)))
-    return t.withColumn("efficiency", F.abs(F.col("close") - F.lag("close", n).over(G)) / (way + 1e-10)).drop("_c")
+    return t.withColumn("efficiency", F.abs(F.col("close") - F.lag("close", n).over(by_time())) / (way + 1e-10)).drop("_c")
 
 
 def with_obv(bars: DataFrame) -> DataFrame:
     t = bars.withColumn("_s", F.coalesce(F.signum(change()) * F.col("volume"), F.lit(0.0)))
-    return t.withColumn("obv", F.sum("_s").over(G.rowsBetween(W.unboundedPreceding, 0))).drop("_s")
+    return t.withColumn("obv", F.sum("_s").over(by_time().rowsBetween(W.unboundedPreceding, 0))).drop("_s")
 
 
 def with_bollinger(bars: DataFrame, n: int = 20, width: float = 2.0) -> DataFrame:
@@ -108,21 +113,21 @@ def with_rsi_cross(bars: DataFrame, n: int = 14, mean: int = 9) -> DataFrame:
     """Adds rsi, its mean over at most `mean` bars, and the bars where it crosses above or below that mean."""
     t = with_rsi(bars, n)
     t = t.withColumn("rsi_ma", F.when(F.col("rsi").isNotNull(), F.avg("rsi").over(last(mean))))
-    was, was_ma = F.lag("rsi").over(G), F.lag("rsi_ma").over(G)
+    was, was_ma = F.lag("rsi").over(by_time()), F.lag("rsi_ma").over(by_time())
     no = F.lit(False)
     return t.withColumn("cross_up", F.coalesce((was <= was_ma) & (F.col("rsi") > F.col("rsi_ma")), no)).withColumn("cross_down", F.coalesce((was >= was_ma) & (F.col("rsi") < F.col("rsi_ma")), no))
 
 
 def bars_since(flag: Column) -> Column:
     """Bars since the flag last held (0 on the bar itself), null before."""
-    n = F.row_number().over(G)
-    return n - F.last(F.when(flag, n), ignorenulls=True).over(G.rowsBetween(W.unboundedPreceding, 0))
+    n = F.row_number().over(by_time())
+    return n - F.last(F.when(flag, n), ignorenulls=True).over(by_time().rowsBetween(W.unboundedPreceding, 0))
 
 
 def dual_flip(bars: DataFrame, a: str, b: str, window: int = 8) -> DataFrame:
     """Adds dual_flip: one of two flags holds now and the other one held within the last `window` bars."""
-    t = bars.withColumn("_n", F.row_number().over(G))
-    so_far = G.rowsBetween(W.unboundedPreceding, 0)
+    t = bars.withColumn("_n", F.row_number().over(by_time()))
+    so_far = by_time().rowsBetween(W.unboundedPreceding, 0)
     for name, flag in (("_a", a), ("_b", b)):
         t = t.withColumn(name, F.col("_n") - F.last(F.when(F.col(flag), F.col("_n")), ignorenulls=True).over(so_far))
     return t.withColumn("dual_flip", F.coalesce((F.col(a) & (F.col("_b") <= window)) | (F.col(b) & (F.col("_a") <= window)), F.lit(False))).drop("_n", "_a", "_b")
@@ -134,7 +139,7 @@ def rsi_segments(bars: DataFrame) -> DataFrame:
     At the end of a segment its lowest rsi, and the low at that bar, are held against the segment before: a lower low with
     a higher rsi is regular, a higher low with a lower rsi hidden. Returns (symbol, timeframe, time of the cross, kind)."""
     t = with_rsi_cross(bars)
-    t = t.withColumn("_seg", F.sum(F.col("cross_down").cast("int")).over(G.rowsBetween(W.unboundedPreceding, 0)))
+    t = t.withColumn("_seg", F.sum(F.col("cross_down").cast("int")).over(by_time().rowsBetween(W.unboundedPreceding, 0)))
     closed = F.min(F.when(F.col("cross_up"), F.col("time"))).over(W.partitionBy("symbol", "timeframe", "_seg"))
     t = t.withColumn("_end", closed).filter("_seg > 0 and _end is not null and time < _end")
     s = t.groupBy("symbol", "timeframe", "_seg").agg(F.min("rsi").alias("rsi"), F.min_by("low", F.struct("rsi", "time")).alias("low"), F.first("_end").alias("time"))
@@ -146,16 +151,16 @@ def rsi_segments(bars: DataFrame) -> DataFrame:
 
 def in_range(bars: DataFrame, start: str, end: str, warm_up: int = 300) -> DataFrame:
     """Bars up to end, from warm_up bars before the first one at or after start; executing marks those in the range."""
-    t = bars.filter(F.col("time") <= F.lit(end).cast("timestamp_ntz")).withColumn("_n", F.row_number().over(G))
-    t = t.withColumn("_first", F.min(F.when(F.col("time") >= F.lit(start).cast("timestamp_ntz"), F.col("_n"))).over(SERIES))
+    t = bars.filter(F.col("time") <= F.lit(end).cast("timestamp_ntz")).withColumn("_n", F.row_number().over(by_time()))
+    t = t.withColumn("_first", F.min(F.when(F.col("time") >= F.lit(start).cast("timestamp_ntz"), F.col("_n"))).over(series()))
     return t.filter(F.col("_n") >= F.col("_first") - warm_up).withColumn("executing", F.col("_n") >= F.col("_first")).drop("_n", "_first")
 
 
 def positions(bars: DataFrame, last_n: int | None = None, span: tuple[int, int] | None = None) -> DataFrame:
     """The last n bars of each series, or those at positions a <= i < b."""
     if last_n is not None:
-        return bars.withColumn("_n", F.row_number().over(SERIES.orderBy(F.desc("time")))).filter(F.col("_n") <= last_n).drop("_n")
-    return bars.withColumn("_n", F.row_number().over(G) - 1).filter((F.col("_n") >= span[0]) & (F.col("_n") < span[1])).drop("_n")
+        return bars.withColumn("_n", F.row_number().over(series().orderBy(F.desc("time")))).filter(F.col("_n") <= last_n).drop("_n")
+    return bars.withColumn("_n", F.row_number().over(by_time()) - 1).filter((F.col("_n") >= span[0]) & (F.col("_n") < span[1])).drop("_n")
 
 
 def align(low: DataFrame, high: DataFrame, columns: list[str], prefix: str = "htf_") -> DataFrame:

@@ -7,10 +7,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
-BY_TRADE = W.partitionBy("run_id").orderBy("trade_no")
-BY_INDEX = W.partitionBy("run_id").orderBy("idx")
+def by_trade() -> WindowSpec:
+    return W.partitionBy("run_id").orderBy("trade_no")
+
+
+def by_index() -> WindowSpec:
+    return W.partitionBy("run_id").orderBy("idx")
 
 
 def r6(c: Column) -> Column:
@@ -31,7 +36,7 @@ def run_metrics(trades: DataFrame, initial: float) -> DataFrame:
 
     The peak starts at the initial equity; a run without losses has a profit factor of 1e6, its clamp."""
     pnl, n = F.col("pnl"), F.col("total_trades")
-    peak = F.greatest(F.lit(initial), F.max("equity").over(BY_TRADE))
+    peak = F.greatest(F.lit(initial), F.max("equity").over(by_trade()))
     m = trades.withColumn("_gap", F.col("equity") - peak).withColumn("_peak", peak).groupBy("run_id").agg(
         F.max_by("equity", "trade_no").alias("final_equity"), F.count("*").alias("total_trades"), F.count_if(pnl > 0).alias("win_trades"), F.count_if(pnl < 0).alias("loss_trades"),
         when_sum(pnl > 0, pnl).alias("gp"), (-when_sum(pnl < 0, pnl)).alias("gl"), F.sum("pnl").alias("total"), F.least(F.lit(0.0), F.min("_gap")).alias("dd"), F.greatest(F.lit(0.0), F.max(-F.col("_gap") / F.col("_peak") * 100)).alias("dd_pct"),
@@ -47,7 +52,7 @@ def run_metrics(trades: DataFrame, initial: float) -> DataFrame:
 def trade_summary(trades: DataFrame, initial: float) -> DataFrame:
     """Summary from trades alone: a trade of 0 counts as a loss, no loss gives a factor of 999, drawdown on summed pnl."""
     pnl = F.col("pnl")
-    curve = trades.withColumn("_eq", initial + F.sum("pnl").over(BY_TRADE)).withColumn("_peak", F.greatest(F.lit(initial), F.max("_eq").over(BY_TRADE)))
+    curve = trades.withColumn("_eq", initial + F.sum("pnl").over(by_trade())).withColumn("_peak", F.greatest(F.lit(initial), F.max("_eq").over(by_trade())))
     m = curve.groupBy("run_id").agg(F.count("*").alias("total_trades"), F.count_if(pnl > 0).alias("wins"), F.sum("pnl").alias("total"), when_sum(pnl > 0, pnl).alias("gp"), (-when_sum(pnl <= 0, pnl)).alias("gl"), F.max((F.col("_peak") - F.col("_eq")) / F.col("_peak") * 100).alias("dd"))
     return m.select("run_id", "total_trades", r6(F.col("total")).alias("net_profit"), r6(F.col("total") / initial * 100).alias("net_profit_pct"), r6(F.col("wins") / F.col("total_trades") * 100).alias("winrate"), r6(ratio(F.col("gp"), F.col("gl"), 999.0)).alias("profit_factor"), r6(F.greatest(F.lit(0.0), F.col("dd"))).alias("max_drawdown_pct"))
 
@@ -61,14 +66,14 @@ def compounded(trades: DataFrame, initial: float, order_pct: float, fee: float,
     entry, exit_ = F.col("entry_price"), F.col("exit_price")
     growth = F.when(entry > 0, order_pct * (sign * (exit_ - entry) - fee * (entry + exit_)) / entry).otherwise(0.0)
     t = trades.withColumn("growth", growth)
-    alive = F.min(F.when(F.col("growth") > -1, 1).otherwise(0)).over(BY_TRADE)
-    return t.withColumn("compound_equity", F.when(alive == 1, initial * F.exp(F.sum(F.when(F.col("growth") > -1, F.log1p("growth"))).over(BY_TRADE))).otherwise(0.0))
+    alive = F.min(F.when(F.col("growth") > -1, 1).otherwise(0)).over(by_trade())
+    return t.withColumn("compound_equity", F.when(alive == 1, initial * F.exp(F.sum(F.when(F.col("growth") > -1, F.log1p("growth"))).over(by_trade()))).otherwise(0.0))
 
 
 def early_stop(trades: DataFrame, initial: float, order_pct: float, fee: float, max_dd: float, side_aware: bool = False) -> DataFrame:
     """One row per run, compounded, ended by the first drawdown over max_dd percent: such a run gets the score -999."""
     t = compounded(trades, initial, order_pct, fee, side_aware)
-    peak = F.greatest(F.lit(initial), F.max("compound_equity").over(BY_TRADE))
+    peak = F.greatest(F.lit(initial), F.max("compound_equity").over(by_trade()))
     t = t.withColumn("_dd", (peak - F.col("compound_equity")) / peak * 100)
     t = t.withColumn("_stop", F.min(F.when(F.col("_dd") > max_dd, F.col("trade_no"))).over(W.partitionBy("run_id"))).filter("_stop is null or trade_no <= _stop")
     return t.groupBy("run_id").agg(F.count("*").alias("total_trades"), F.count_if(F.col("growth") > 0).alias("win_trades"), r6(F.max_by("compound_equity", "trade_no")).alias("final_equity"), r6(F.max("_dd")).alias("max_drawdown_pct"), F.max(F.col("_stop").isNotNull()).alias("early_stopped")).withColumn(
@@ -78,7 +83,7 @@ def early_stop(trades: DataFrame, initial: float, order_pct: float, fee: float,
 
 def smoothness(equity: DataFrame) -> DataFrame:
     """1 / (1 + population deviation of step returns); steps from an equity of 0 or less don't count, under 3 points 0."""
-    before = F.lag("equity").over(BY_INDEX)
+    before = F.lag("equity").over(by_index())
     steps = equity.select("run_id", F.when(before > 0, (F.col("equity") - before) / before).alias("ret"))
     return steps.groupBy("run_id").agg(r6(F.when((F.count("*") < 3) | (F.count("ret") == 0), 0.0).otherwise(1 / (1 + F.stddev_pop("ret")))).alias("smoothness"))
 
@@ -99,7 +104,7 @@ def streaks(trades: DataFrame) -> DataFrame:
 
 def drawdowns(equity: DataFrame) -> DataFrame:
     """Deepest drawdown in percent of the peak so far, longest time under water in points, ulcer index."""
-    peak = F.max("equity").over(BY_INDEX)
+    peak = F.max("equity").over(by_index())
     t = equity.withColumn("_dd", (peak - F.col("equity")) / peak * 100)
     under = longest_run(t, "idx", F.col("_dd") > 0).filter("_state").groupBy("run_id").agg(F.max("length").alias("drawdown_duration"))
     deep = t.groupBy("run_id").agg(r6(F.max("_dd")).alias("max_drawdown_pct"), r6(F.sqrt(F.avg(F.col("_dd") * F.col("_dd")))).alias("ulcer_index"))
@@ -113,8 +118,8 @@ def trend_fit(equity: DataFrame) -> DataFrame:
 
 def risk_ratios(equity: DataFrame, initial: float, risk_free: float = 0.02, periods: int = 252) -> DataFrame:
     """Sharpe, Sortino, Calmar and recovery of each run, with population deviations and a yearly rate."""
-    before = F.lag("equity").over(BY_INDEX)
-    peak = F.max("equity").over(BY_INDEX)
+    before = F.lag("equity").over(by_index())
+    peak = F.max("equity").over(by_index())
     t = equity.select("run_id", "idx", "equity", ((F.col("equity") - before) / before - risk_free / periods).alias("x"), ((peak - F.col("equity")) / peak * 100).alias("dd"))
     m = t.groupBy("run_id").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("dev"), F.stddev_pop(F.when(F.col("x") < 0, F.col("x"))).alias("down"), F.max("dd").alias("dd"), (F.max_by("equity", "idx") - initial).alias("net"))
     pct, year = F.col("net") / initial * 100, F.sqrt(F.lit(float(periods)))
@@ -149,9 +154,9 @@ def significance(trades: DataFrame) -> DataFrame:
 
 def trade_columns(trades: DataFrame, initial: float) -> DataFrame:
     """Running columns for a trade list: cumulative pnl and percent, equity, drawdown, number from the end."""
-    cum = F.sum("pnl").over(BY_TRADE)
+    cum = F.sum("pnl").over(by_trade())
     t = trades.withColumn("cum_pnl", cum).withColumn("equity", initial + F.col("cum_pnl"))
-    peak = F.greatest(F.lit(initial), F.max("equity").over(BY_TRADE))
+    peak = F.greatest(F.lit(initial), F.max("equity").over(by_trade()))
     return t.select("run_id", "trade_no", r6(F.col("cum_pnl")).alias("cum_pnl"), r6(F.col("equity")).alias("equity"), r6(F.col("cum_pnl") / initial * 100).alias("cum_pct"), r6((peak - F.col("equity")) / peak * 100).alias("drawdown_pct"), F.row_number().over(W.partitionBy("run_id").orderBy(F.desc("trade_no"))).alias("from_end"))
 
 

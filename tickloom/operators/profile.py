@@ -19,8 +19,8 @@ LOOKBACK = 100
 
 def tail(bars: DataFrame, n: int = LOOKBACK) -> DataFrame:
     """The last n bars of each series, numbered n_back from the end (1 is the last) and i from the first (1), with their count."""
-    t = bars.withColumn("n_back", F.row_number().over(ind.SERIES.orderBy(F.desc("time")))).filter(F.col("n_back") <= n)
-    return t.withColumn("n", F.count("*").over(ind.SERIES)).withColumn("i", F.col("n") - F.col("n_back") + 1)
+    t = bars.withColumn("n_back", F.row_number().over(ind.series().orderBy(F.desc("time")))).filter(F.col("n_back") <= n)
+    return t.withColumn("n", F.count("*").over(ind.series())).withColumn("i", F.col("n") - F.col("n_back") + 1)
 
 
 def latest(c: str) -> Column:
@@ -44,7 +44,7 @@ def default(c: Column, least: int, value: float, digits: int) -> Column:
 def volatility(t: DataFrame) -> DataFrame:
     t = ind.with_atr(t, 14).withColumn("ret", ind.returns())
     t = t.withColumn("vol", ind.deviation(F.col("ret"), 14))
-    t = t.withColumn("vol_now", F.last("vol").over(ind.SERIES.orderBy("i").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    t = t.withColumn("vol_now", F.last("vol").over(ind.series().orderBy("i").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
     a = t.groupBy(*SERIES).agg(F.first("n").alias("n"), (latest("atr") / latest("close") * 100).alias("atr_pct"), (F.count_if(F.col("vol") < F.col("vol_now")) / F.count("vol") * 100).alias("pct"), latest("vol").alias("vol"), F.stddev_samp("ret").alias("all_vol"), recent("vol", 5).alias("r"), recent("vol", 20, 5).alias("o"))
     pct = F.coalesce(F.col("pct"), F.lit(50.0))
     return a.select(*SERIES, default(F.col("atr_pct"), 20, 0, 4).alias("atr_pct"), F.when(F.col("n") < 20, 1).when(pct < 25, 0).when(pct > 75, 2).otherwise(1).alias("vol_regime"), default(F.col("pct"), 20, 50, 2).alias("vol_percentile"), F.when((F.col("n") >= 20) & (F.col("r") > F.col("o") * 1.1), 1).otherwise(0).alias("vol_expanding"), default(F.when(F.col("all_vol") > 0, F.col("vol") / F.col("all_vol")).otherwise(1.0), 20, 1, 4).alias("vol_ratio"))
@@ -81,7 +81,7 @@ def cycle(t: DataFrame) -> DataFrame:
 
 def correlation(t: DataFrame, benchmark: str | None = None) -> DataFrame:
     """Correlation of returns with those one bar earlier, and with the benchmark symbol's at the same times."""
-    t = t.withColumn("ret", ind.returns()).withColumn("before", F.lag("ret").over(ind.G))
+    t = t.withColumn("ret", ind.returns()).withColumn("before", F.lag("ret").over(ind.by_time()))
     if benchmark is not None:
         other = t.filter(F.col("symbol") == benchmark).select("timeframe", "time", F.col("ret").alias("bench"))
         t = t.join(other, ["timeframe", "time"], "left")

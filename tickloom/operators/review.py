@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.scalars import epoch_seconds, from_epoch
 
-BY_INDEX = W.partitionBy("run_id").orderBy("idx")
-
-
 def markers(trades: DataFrame) -> DataFrame:
     """Two rows per trade: its entry and its exit, with label, colour and position."""
     short = F.col("side") == "Short"
@@ -37,7 +34,7 @@ def trend_lines(states: DataFrame) -> DataFrame:
 
 def rebased(equity: DataFrame, capital: float = 10_000.0) -> DataFrame:
     """Percent from a curve's first point, and the curve scaled so that it begins at capital."""
-    first = F.first("equity").over(BY_INDEX)
+    first = F.first("equity").over(W.partitionBy("run_id").orderBy("idx"))
     return equity.select("run_id", "idx", F.round((F.col("equity") / first - 1) * 100, 6).alias("percent"), F.round(F.col("equity") / first * capital, 6).alias("scaled"))
 
 

@@ -6,9 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-RUN = W.partitionBy("run_id")
-
-
 def r(c: Column, digits: int) -> Column:
     return F.round(c, digits)
 

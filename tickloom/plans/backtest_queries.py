@@ -56,5 +56,5 @@ def strategy_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
     params = F.create_map(*[x for c in ("st_atr", "st_mult", "rf_period", "rf_mult", "rr") for x in (F.lit(c), F.col(c).cast("double"))])
     runs = bars.select("symbol", "timeframe").distinct().crossJoin(F.broadcast(sets)).select((F.col("id") * 1000 + F.abs(F.crc32(F.col("symbol").cast("binary"))) % 1000).alias("run_id"), "symbol", "timeframe", F.lit("rf_st").alias("strategy"), params.alias("params"))
     t = b.backtest(bars, runs)
-    t = t.withColumn("equity", 10_000.0 + F.sum("pnl").over(m.BY_TRADE))
+    t = t.withColumn("equity", 10_000.0 + F.sum("pnl").over(m.by_trade()))
     return m.run_metrics(t, 10_000.0)

@@ -17,7 +17,7 @@ IDX = "PARTITION BY run_id ORDER BY idx"
 
 @query("run_metrics", f"WITH {d.TRADES_SQL}, {d.METRICS_SQL} SELECT * FROM summary")
 def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return m.run_metrics(d.trades(spark, sf_dir).withColumn("equity", F.round(d.INITIAL + F.sum("pnl").over(d.R), 6)), d.INITIAL)
+    return m.run_metrics(d.trades(spark, sf_dir).withColumn("equity", F.round(d.INITIAL + F.sum("pnl").over(m.by_trade()), 6)), d.INITIAL)
 
 
 @query("trade_summary", f"""{T}, c AS (SELECT *, 10000.0::DOUBLE + sum(pnl) OVER ({RUN}) AS eq FROM trades), p AS (SELECT *, greatest(10000.0::DOUBLE, max(eq) OVER ({RUN})) AS peak FROM c)

@@ -10,11 +10,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickloom.functions.scalars import epoch_seconds, from_epoch
-from tickloom.operators.metrics import run_metrics
+from tickloom.operators.metrics import by_trade, run_metrics
 
 INITIAL = 10_000.0
-G = W.partitionBy("symbol", "timeframe").orderBy("time")
-R = W.partitionBy("run_id").orderBy("trade_no")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,7 +75,7 @@ trades AS (
 
 def equity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equity after each trade."""
-    return trades(spark, sf_dir).select("run_id", F.col("trade_no").alias("idx"), F.col("exit_time").alias("time"), F.round(INITIAL + F.sum("pnl").over(R), 6).alias("equity"))
+    return trades(spark, sf_dir).select("run_id", F.col("trade_no").alias("idx"), F.col("exit_time").alias("time"), F.round(INITIAL + F.sum("pnl").over(by_trade()), 6).alias("equity"))
 
 
 EQUITY_SQL = f"equity AS (SELECT run_id, trade_no AS idx, exit_time AS time, round({INITIAL}::DOUBLE + sum(pnl) OVER (PARTITION BY run_id ORDER BY trade_no), 6) AS equity FROM trades)"
@@ -85,7 +83,7 @@ EQUITY_SQL = f"equity AS (SELECT run_id, trade_no AS idx, exit_time AS time, rou
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per run: where it ran, with which parameters, and its metrics."""
-    m = run_metrics(trades(spark, sf_dir).withColumn("equity", F.round(INITIAL + F.sum("pnl").over(R), 6)), INITIAL)
+    m = run_metrics(trades(spark, sf_dir).withColumn("equity", F.round(INITIAL + F.sum("pnl").over(by_trade()), 6)), INITIAL)
     k = F.col("run_id")
     return m.select(
         "*", F.concat(F.lit("S"), (k % 5).cast("string")).alias("symbol"), F.element_at(F.array(F.lit("30m"), F.lit("1h"), F.lit("4h")), (F.floor(k / 5) % 3 + 1).cast("int")).alias("timeframe"),
