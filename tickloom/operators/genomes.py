@@ -137,3 +137,40 @@ def crowding(vectors: DataFrame) -> DataFrame:
     before, after = F.lag("x").over(by), F.lead("x").over(by)
     gap = F.when(before.isNull() | after.isNull(), float("inf")).otherwise((after - before) / F.greatest(F.max("x").over(whole) - F.min("x").over(whole), F.lit(1e-12)))
     return t.withColumn("_gap", gap).groupBy("genome_id").agg(F.round(F.sum("_gap"), 6).alias("crowding"))
+
+
+def uniform(*keys: Column) -> Column:
+    """A number in [0, 1) that depends on the keys alone."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *[k.cast("string") for k in keys]).cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
+
+
+def sampled(ranges: DataFrame, n: int, seed: str = "ranges-1") -> DataFrame:
+    """ranges (block, param, lo, hi; a row per parameter) -> n parameter sets drawn inside them, in long form."""
+    t = ranges.select("*", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("sample_id"))
+    u = uniform(F.lit(seed), F.col("sample_id"), F.col("block"), F.col("param"))
+    return t.select("sample_id", "block", "param", F.round(F.col("lo") + u * (F.col("hi") - F.col("lo")), 4).alias("value"))
+
+
+def widened(ranges: DataFrame, share: float = 0.2, least: float = 1.0, floor: float = 0.5) -> DataFrame:
+    """Ranges grown on both sides by a share of their width, `least` at least, no lower than floor."""
+    grow = F.greatest(F.lit(least), share * (F.col("hi") - F.col("lo")))
+    return ranges.select("block", "param", F.round(F.greatest(F.lit(floor), F.col("lo") - grow), 6).alias("lo"), F.round(F.col("hi") + grow, 6).alias("hi"))
+
+
+def diverse(vectors: DataFrame, keep: int, candidates: int = 500, apart: float = 0.15) -> DataFrame:
+    """Of the best `candidates` genomes, best first, those that are `apart` from all kept before, up to keep.
+
+    Each choice depends on those before it, so the bounded candidates meet in one group."""
+    import numpy as np
+    import pandas as pd
+
+    def choose(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["score", "genome_id"], ascending=[False, True])
+        x, kept = np.stack(frame["vec"]), []
+        for i in range(len(x)):
+            if len(kept) < keep and (not kept or np.sqrt(((x[kept] - x[i]) ** 2).mean(axis=1)).min() >= apart):
+                kept.append(i)
+        return frame.iloc[kept][["genome_id", "score"]]
+
+    best = vectors.orderBy(F.desc("score"), "genome_id").limit(candidates)
+    return best.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(choose, "genome_id long, score double")

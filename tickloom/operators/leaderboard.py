@@ -87,3 +87,20 @@ def latest_marked(board: DataFrame) -> DataFrame:
     t = board.withColumn("last_run", F.element_at(F.split("source", r"\."), -1).cast("int"))
     latest = t.agg(F.max("last_run").alias("_latest"))
     return t.crossJoin(F.broadcast(latest)).withColumn("is_new", (F.col("last_run") == F.col("_latest")) | F.col("source").contains(".")).drop("_latest")  # one row
+
+
+def upgraded(old: DataFrame) -> DataFrame:
+    """Records of five profile fields -> records with a nested profile, with defaults for what they lack."""
+    c = lambda name, value: F.coalesce(F.col(name), F.lit(value))
+    profile = F.struct(F.struct(c("atr_pct", 0.0).alias("atr_pct"), c("volatility", 0.3).alias("vol_ratio")).alias("volatility"), F.struct(c("adx", 20.0).alias("adx"), c("trend_ratio", 0.5).alias("trend_ratio")).alias("trend"), F.struct(c("rsi_mean", 50.0).alias("rsi_mean")).alias("momentum"))
+    return old.select(*KEY, "genome_hash", F.coalesce("score", F.lit(0.0)).alias("brain_score"), F.lit(0.0).alias("stability"), F.lit(False).alias("passed"), profile.alias("profile"))
+
+
+def best_for_conditions(board: DataFrame, profiles: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """For each profile (query_id, vec) the similar record with the best similarity * score * (1 + stability / 2); the
+    best of all records where none is similar."""
+    t = similar(board, profiles, 20, threshold).withColumn("value", F.round(F.col("similarity") * F.col("score") * (1 + 0.5 * F.col("stability")), 6))
+    best = t.groupBy("query_id").agg(F.max_by(F.struct("genome_hash", "ts", "value"), F.struct("value", "genome_hash", "ts")).alias("b")).select("query_id", "b.*")
+    top = board.orderBy(F.desc("score"), "genome_hash", "ts").limit(1).select(F.col("genome_hash").alias("_h"), F.col("ts").alias("_t"))
+    missing = profiles.select("query_id").join(best, "query_id", "left").crossJoin(F.broadcast(top))  # one row
+    return missing.select("query_id", F.coalesce("genome_hash", "_h").alias("genome_hash"), F.coalesce("ts", "_t").alias("ts"), "value")

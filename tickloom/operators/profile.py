@@ -94,10 +94,10 @@ def correlation(t: DataFrame, benchmark: str | None = None) -> DataFrame:
 
 
 def profile(bars: DataFrame, lookback: int = LOOKBACK, benchmark: str | None = None) -> DataFrame:
-    """One row per series with the native clusters; the sides are a row per series each."""
+    """One row per series with all clusters; the sides are a row per series each."""
     t = tail(bars, lookback)
     out = volatility(t)
-    for part in (trend(t), volume(t), cycle(t), correlation(t, benchmark)):
+    for part in (trend(t), momentum(t), volume(t), cycle(t), correlation(t, benchmark)):
         out = out.join(part, list(SERIES))
     return out
 
@@ -123,3 +123,25 @@ def consensus(regimes: DataFrame, share: float = 0.6) -> DataFrame:
 
 def similarity(a: Column, b: Column) -> Column:
     return F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), cosine(a, b))), 4)
+
+
+def momentum(t: DataFrame) -> DataFrame:
+    """RSI and MACD of a tail, by exponential means that begin in it: one small group per series."""
+    import numpy as np
+    import pandas as pd
+
+    from tickloom.operators import recurrence as rec
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("time")
+        close, out = f["close"].to_numpy(), {"symbol": f["symbol"].iloc[0], "timeframe": f["timeframe"].iloc[0], "rsi_current": 50.0, "rsi_mean": 50.0, "rsi_std": 10.0, "rsi_slope": 0.0, "overbought_pct": 0.0, "oversold_pct": 0.0, "macd_histogram": 0.0, "macd_trend": 0}
+        if len(close) >= 30:
+            d = np.diff(close, prepend=close[:1])
+            rsi = 100 - 100 / (1 + rec.ema(np.where(d > 0, d, 0.0), 14) / (rec.ema(np.where(d < 0, -d, 0.0), 14) + 1e-10))
+            line = rec.ema(close, 12) - rec.ema(close, 26)
+            hist = line - rec.ema(line, 9)
+            now, before = hist[-5:].mean(), hist[-15:-5].mean()
+            out |= {"rsi_current": round(rsi[-1], 2), "rsi_mean": round(rsi.mean(), 2), "rsi_std": round(rsi.std(ddof=1), 2), "rsi_slope": round(np.polyfit(np.arange(10), rsi[-10:], 1)[0], 4), "overbought_pct": round((rsi > 70).mean() * 100, 2), "oversold_pct": round((rsi < 30).mean() * 100, 2), "macd_histogram": round(hist[-1], 6), "macd_trend": 1 if now > before * 1.1 else -1 if now < before * 0.9 else 0}
+        return pd.DataFrame([out])
+
+    return t.groupBy(*SERIES).applyInPandas(run, "symbol string, timeframe string, rsi_current double, rsi_mean double, rsi_std double, rsi_slope double, overbought_pct double, oversold_pct double, macd_histogram double, macd_trend int")

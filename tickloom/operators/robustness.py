@@ -112,3 +112,26 @@ def comprehensive(runs: DataFrame, parts: dict[str, DataFrame], threshold: float
             t = t.join(parts[name].select("run_id", F.col("score").alias(f"_{name}")), "run_id", "left")
         total = total + weight * (F.coalesce(f"_{name}", F.lit(0.5)) if name in parts else F.lit(0.5))
     return t.withColumn("stability", r(total, 6)).withColumn("passed", F.col("stability") >= threshold).select("run_id", "stability", "passed")
+
+
+def noisy(runs: DataFrame, columns: list[str], levels: tuple[float, ...] = (0.05, 0.1, 0.2), copies: int = 10) -> DataFrame:
+    """runs with map params -> the base (level 0) and, for each level, copies whose parameters are times 1 + level * z, z
+    normal, drawn by a hash of run, level, copy and parameter."""
+    kinds = F.array(F.struct(F.lit(0.0).alias("level"), F.lit(0).alias("copy")), *[F.struct(F.lit(x).alias("level"), F.lit(k).alias("copy")) for x in levels for k in range(copies)])
+    t = runs.select("*", F.explode(kinds).alias("v")).select("*", "v.level", "v.copy").drop("v")
+
+    def unit(k: Column, tag: str) -> Column:
+        text = F.concat_ws("|", F.lit(tag), F.col("run_id").cast("string"), F.col("level").cast("string"), F.col("copy").cast("string"), k)
+        return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("double") + 1) / float((1 << 32) + 1)
+
+    normal = lambda k: F.sqrt(-2 * F.log(unit(k, "u"))) * F.cos(2 * F.pi() * unit(k, "v"))
+    moved = F.transform_values("params", lambda k, x: F.when(k.isin(*columns), x * (1 + F.col("level") * normal(k))).otherwise(x))
+    return t.withColumn("params", moved).withColumnRenamed("run_id", "base_id").withColumn("run_id", F.xxhash64("base_id", "level", "copy"))
+
+
+def noise_retention(scored: DataFrame) -> DataFrame:
+    """scored (base_id, level, score; level 0 is the base) -> share of the score kept and its deviation by level."""
+    base = scored.filter("level = 0").select("base_id", F.col("score").alias("base"))
+    t = scored.filter("level > 0").join(base, "base_id")
+    a = t.groupBy("base_id", "level").agg(F.first("base").alias("base"), F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"))
+    return a.select("base_id", "level", r(F.when(F.col("base") > 0, F.greatest(F.lit(0.0), F.col("mean") / F.col("base"))).otherwise(0.0), 4).alias("retention"), r(F.col("std"), 4).alias("std"))
