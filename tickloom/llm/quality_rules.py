@@ -80,32 +80,36 @@ RULES = {
     "length": ("n_words < 10", "n_words >= 30"),
     "word_length": ("n_words > 0 and (word_chars < 2 * n_words or word_chars > 12 * n_words)", "word_chars between 3 * n_words and 9 * n_words and n_words > 0"),
     "symbols": ("10 * n_symbols > n_words", "100 * n_symbols <= n_words and n_words > 0"),
-    "lines": ("10 * n_dup_lines > 3 * n_lines", "n_dup_lines = 0 and n_lines > 1"),
+    "lines": ("2 * n_dup_lines > n_lines", "n_dup_lines = 0 and n_lines > 1"),
     "windows": ("100 * n_repeat_words > 20 * n_words", "100 * n_repeat_words <= 5 * n_words and n_words >= 10"),
     "capitals": ("10 * n_upper > 3 * n_letters", "10 * n_upper <= n_letters and n_letters > 0"),
-    "letters": ("10 * n_alpha_words < 7 * n_words", "10 * n_alpha_words >= 9 * n_words and n_words > 0"),
+    "letters": ("n_words >= 20 and 10 * n_alpha_words < 7 * n_words", "10 * n_alpha_words >= 9 * n_words and n_words > 0"),
     "variety": ("n_words >= 20 and 10 * n_distinct_words < 2 * n_words", "10 * n_distinct_words >= 3 * n_words and n_words >= 20"),
 }
 BASE_FAILED = "n_words < 10 or 100 * n_repeat_words > 20 * n_words"
 
 
-def estimate(votes: np.ndarray, counts: np.ndarray, rounds: int = 100, prior: float = 0.8) -> tuple[float, np.ndarray, np.ndarray]:
+def estimate(votes: np.ndarray, counts: np.ndarray, rounds: int = 200, least_hit: float = 0.995) -> tuple[float, np.ndarray, np.ndarray]:
     """Expectation-maximisation over vote patterns (rows of -1, 0, 1) seen counts times.
 
-    Returns P(good) and, for each rule, P(votes 1 | good, votes) and P(votes -1 | bad, votes). Beta priors with mean
-    0.75 and the weight of twenty votes keep a rule that hardly votes near that mean and the classes from swapping;
-    without rows the priors are returned.
+    Returns P(good) and, for each rule, P(votes 1 | good, votes) and P(votes -1 | bad, votes). A bad text has one fault
+    or another, seldom all, so rules see few of the bad ones each: the first guess calls a text bad in proportion to the
+    votes against it, half a vote being enough for even odds. Beta priors with the weight of twenty votes (means 0.95
+    and 0.3) keep rules that hardly vote near them; without rows the priors are returned. The rules are written to spare
+    good texts, so P(votes 1 | good, votes) is held at least_hit or more: else a frequent fault that comes alone would
+    pass for a habit of good texts.
     """
-    good, hit, reject = prior, np.full(votes.shape[1], 0.75), np.full(votes.shape[1], 0.75)
-    for _ in range(rounds):
-        p = posterior(votes, good, hit, reject)
+    p = 1 / (1 + np.exp(8 * ((votes < 0).sum(axis=1) - 0.5)))
+    good, hit, reject = 0.8, np.full(votes.shape[1], 0.95), np.full(votes.shape[1], 0.3)
+    for _ in range(rounds if len(votes) else 0):
         g, b = p * counts, (1 - p) * counts
-        was, good = good, (g.sum() + 16) / (counts.sum() + 20)
-        hit = (g @ (votes > 0) + 15) / (g @ (votes != 0) + 20)
-        reject = (b @ (votes < 0) + 15) / (b @ (votes != 0) + 20)
+        was, good = good, float((g.sum() + 16) / (counts.sum() + 20))
+        hit = np.maximum(least_hit, (g @ (votes > 0) + 19) / (g @ (votes != 0) + 20))
+        reject = (b @ (votes < 0) + 6) / (b @ (votes != 0) + 20)
+        p = posterior(votes, good, hit, reject)
         if abs(was - good) < 1e-10:
             break
-    return float(good), hit, reject
+    return good, hit, reject
 
 
 def posterior(votes: np.ndarray, good: float, hit: np.ndarray, reject: np.ndarray) -> np.ndarray:
