@@ -104,3 +104,21 @@ def best_for_conditions(board: DataFrame, profiles: DataFrame, threshold: float
     top = board.orderBy(F.desc("score"), "genome_hash", "ts").limit(1).select(F.col("genome_hash").alias("_h"), F.col("ts").alias("_t"))
     missing = profiles.select("query_id").join(best, "query_id", "left").crossJoin(F.broadcast(top))  # one row
     return missing.select("query_id", F.coalesce("genome_hash", "_h").alias("genome_hash"), F.coalesce("ts", "_t").alias("ts"), "value")
+
+
+def with_new(results: DataFrame, n: int) -> DataFrame:
+    """results (genome_hash, score, is_new) -> the best n; where none of them is new, the last one gives way to the best
+    new one. Two top-k lists and one flag, no full sort."""
+    order = [F.desc("score"), F.asc("genome_hash")]
+    top = results.orderBy(*order).limit(n).withColumn("rank", F.row_number().over(W.orderBy(*order)))
+    first_new = results.filter("is_new").orderBy(*order).limit(1).withColumn("rank", F.lit(n))
+    flag = top.agg(F.coalesce(F.max("is_new"), F.lit(True)).alias("_has"), F.coalesce(F.max("rank"), F.lit(0)).alias("_n"))
+    room = first_new.crossJoin(F.broadcast(flag)).filter(~F.col("_has")).drop("_has", "_n")  # one row each
+    kept = top.join(F.broadcast(room.select(F.col("rank").alias("_gone"))), F.col("rank") == F.col("_gone"), "left_anti")
+    return kept.unionByName(room)
+
+
+def best_label(results: DataFrame, label: str, least: int = 3) -> DataFrame:
+    """The label with the best mean score among those with `least` results."""
+    a = results.groupBy(label).agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean_score")).filter(F.col("n") >= least)
+    return a.orderBy(F.desc("mean_score"), label).limit(1)

@@ -112,3 +112,15 @@ def backtest_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = b.backtest(bars, _base_runs(spark, bars))
     curve = t.select("run_id", F.col("trade_no").alias("idx"), (10_000.0 + F.sum("pnl").over(m.by_trade())).alias("equity"))
     return m.drawdowns(curve).join(m.smoothness(curve), "run_id").join(m.streaks(t), "run_id")
+
+
+@query("top_with_new", f"""WITH {d.LEADERBOARD_SQL}, r AS (SELECT genome_hash || ts AS genome_hash, score, score < 30 AS is_new FROM board), t AS (SELECT *, row_number() OVER (ORDER BY score DESC, genome_hash) AS rank FROM r), k AS (SELECT * FROM t WHERE rank <= 10), n AS (SELECT genome_hash, score, is_new, 10 AS rank FROM r WHERE is_new AND NOT (SELECT bool_or(is_new) FROM k) ORDER BY score DESC, genome_hash LIMIT 1)
+SELECT genome_hash, score, is_new, rank::INT AS rank FROM k WHERE rank NOT IN (SELECT rank FROM n) UNION ALL SELECT genome_hash, score, is_new, rank::INT FROM n""")
+def top_with_new(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = d.leaderboard(spark, sf_dir).select(F.concat("genome_hash", F.col("ts").cast("string")).alias("genome_hash"), "score", (F.col("score") < 30).alias("is_new"))
+    return lb.with_new(t, 10)
+
+
+@query("best_timeframe", f"WITH {d.LEADERBOARD_SQL} SELECT timeframe, count(*) AS n, round(avg(score), 6) AS mean_score FROM board GROUP BY 1 HAVING count(*) >= 3 ORDER BY mean_score DESC, timeframe LIMIT 1")
+def best_timeframe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lb.best_label(d.leaderboard(spark, sf_dir), "timeframe")
