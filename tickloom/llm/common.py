@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Bytes of text that a task works on at once.
+PIECE = 4_000_000
 #: A word is a maximal run of characters that are neither a blank nor one of TAB to CR.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -65,11 +67,18 @@ def append_from_text(df: DataFrame, name: str, kind: str, start: Callable[[], Ca
     place = df.columns.index("text")
 
     def run(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         make = start()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, make(batch.column(place).to_pylist())], [*batch.schema.names, name])
+            # Pieces of a few megabytes of text: what a batch is turned into takes many times its own memory.
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(place)), 0).to_numpy(zero_copy_only=False))
+            cuts = [0, *(np.flatnonzero(np.diff(sizes // PIECE)) + 1).tolist(), batch.num_rows] if batch.num_rows else [0, 0]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*part.columns, make(part.column(place).to_pylist())], [*part.schema.names, name])
 
     return df.mapInArrow(run, schema)
 
