@@ -87,6 +87,33 @@ def test_estimate_finds_accuracies():
     assert ((p >= 0.5) == truth).mean() > 0.88
 
 
+def test_estimate_overrules_a_rule_that_a_third_of_all_rows_trip():
+    """With the parameters of production: one rule alone blames a third of all rows, bad texts trip several rules."""
+    fine, odd, bad = np.ones(8), np.ones(8), np.ones(8)
+    odd[1] = bad[[4, 7]] = -1
+    worse = bad.copy()
+    worse[5] = -1
+    votes = np.stack([fine, odd, bad, worse])
+    good, hit, reject = quality_rules.estimate(votes, np.array([6000.0, 3333, 400, 267]))
+    p = quality_rules.posterior(votes, good, hit, reject)
+    assert abs(hit[1] - 6000 / 9333) < 0.02 and good > 0.8
+    assert p[0] > 0.5 and p[1] > 0.5 and p[2] < 0.5 and p[3] < 0.5
+
+
+def test_a_text_without_a_vote_against_it_is_kept(spark):
+    """Even where nearly all texts are bad, and where a third has words that are too long."""
+    good = " ".join(f"word{i} and more" for i in range(40)) + ".\nAnother line of text."
+    long = " ".join(f"averyverylongword{'abcdefghij'[i % 10]}{i}" for i in range(60)) + ".\nAlsoaverylonglineoftext."
+    junk = "### $$$ AAAA %% " * 30
+    for texts in ([good] * 5 + [junk] * 200, [good] * 100 + [long] * 60 + [junk] * 10):
+        df = spark.createDataFrame([(i, f"{t} x{i}") for i, t in enumerate(texts)], "doc_id long, text string")
+        rows = quality_rules.weak_supervision(df).collect()
+        free = [r for r in rows if not r["base_failed"] and min(r[f"vote_{x}"] for x in quality_rules.RULES) >= 0]
+        assert len(free) == texts.count(good) and all(r["kept"] for r in free)
+        assert not any(r["kept"] for r in rows if texts[r["doc_id"]] == junk)
+        assert all(r["kept"] and r["vote_word_length"] < 0 for r in rows if texts[r["doc_id"]] == long)
+
+
 # ---- 5 ---------------------------------------------------------------------------------------------------------------
 
 
