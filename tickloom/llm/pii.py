@@ -4,7 +4,8 @@ Entities are found by one pattern, brought to a canonical form and replaced by k
 digits by digits in the same layout, letters by letters of the same case, card numbers and IBANs with right check
 digits, addresses in reserved domains, names of the same gender and script. One entity has one surrogate everywhere in
 the corpus (coreference). All distinct entities are then checked: where a surrogate meets another one, or equals a real
-entity, it is drawn again (distinctness).
+entity, it is drawn again (distinctness). What still collides after MAX_DRAWS draws gets a number of its own, which is
+written into its surrogate, so that even full spaces (one-letter mailboxes, 192.168.x.y) have values for all.
 """
 
 from __future__ import annotations
@@ -15,7 +16,10 @@ from pyspark.sql import functions as F
 from tickloom.llm.common import materialize
 
 KEY = "surrogates-1"
+#: Draws from hashes; from there on, draw - MAX_DRAWS is a number that no other entity has.
 MAX_DRAWS = 12
+#: Between rounds of numbers, the next one grows by this factor, so that dense ranges of real entities are soon left.
+LEAP = 16
 #: More redrawn entities than these are joined to the documents instead of being broadcast.
 MAX_BROADCAST = 20_000
 
@@ -58,25 +62,34 @@ def pick(values: str | list[str], n: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), (n % len(values) + 1).cast("int"))
 
 
-def like(s: Column, h: Column) -> Column:
-    """Every digit and ASCII letter of s by another of its kind; hexadecimal strings stay hexadecimal."""
+def like(s: Column, h: Column, signs: bool = False) -> Column:
+    """Every digit and ASCII letter of s by another of its kind; hexadecimal strings stay hexadecimal. With signs, - and _
+    are replaced by one of the two as well, and so are + and /."""
     hexadecimal = s.rlike("^[0-9a-f]*[a-f][0-9a-f]*$")
 
     def one(i: Column) -> Column:
         c, b = F.substring(s, i, F.lit(1)), byte(h, i)
-        return F.when(hexadecimal, pick("0123456789abcdef", b)).when(c.rlike("[0-9]"), (b % 10).cast("string")).when(c.rlike("[A-Z]"), pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", b)).when(c.rlike(r"\p{L}"), pick("abcdefghijklmnopqrstuvwxyz", b)).otherwise(c)
+        out = F.when(hexadecimal, pick("0123456789abcdef", b)).when(c.rlike("[0-9]"), (b % 10).cast("string")).when(c.rlike("[A-Z]"), pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", b)).when(c.rlike(r"\p{L}"), pick("abcdefghijklmnopqrstuvwxyz", b))
+        return (out.when(c.rlike("[-_]"), pick("-_", b)).when(c.rlike("[+/]"), pick("+/", b)) if signs else out).otherwise(c)
 
     return F.array_join(F.transform(chars(s), one), "")
 
 
+def padded(n: Column, width: Column | int) -> Column:
+    """A number with zeros before it up to width; all of its digits where it has more."""
+    text = n.cast("string")
+    return F.lpad(text, F.greatest(F.length(text), F.lit(width) if isinstance(width, int) else width), F.lit("0"))
+
+
 def poured(digits: Column, layout: Column) -> Column:
-    """layout with its digits replaced, in order, by those of digits."""
+    """layout with its digits replaced, in order, by those of digits; digits that it has no place for follow."""
 
     def one(i: Column) -> Column:
         c = F.substring(layout, i, F.lit(1))
         return F.when(c.rlike("[0-9]"), F.substring(digits, F.length(F.regexp_replace(F.substring(layout, F.lit(1), i), "[^0-9]", "")), F.lit(1))).otherwise(c)
 
-    return F.array_join(F.transform(chars(layout), one), "")
+    places = F.length(F.regexp_replace(layout, "[^0-9]", ""))
+    return F.concat(F.array_join(F.transform(chars(layout), one), ""), F.substring(digits, places + 1, F.length(digits)))
 
 
 def luhn_sum(digits: Column, shift: int) -> Column:
@@ -130,30 +143,48 @@ def digest(*parts: Column) -> Column:
 
 
 def surrogate_core(kind: Column, c: Column, draw: Column) -> Column:
-    """The surrogate's canonical form: a function of type, canonical form and draw alone."""
+    """The surrogate's canonical form: a function of type, canonical form and draw alone. From MAX_DRAWS on it holds the
+    number draw - MAX_DRAWS: in place of digits where it fits, else in a longer form (addresses: a wider range)."""
     h = digest(kind, c, draw.cast("string"))
     digits = F.regexp_replace(c, "[^0-9]", "")
+    wide, n = draw >= MAX_DRAWS, draw.cast("long") - MAX_DRAWS
 
-    def numbers(keep: int) -> Column:
+    def added(x: Column) -> Column:
+        return F.when(wide, x).otherwise("")
+
+    def ending(s: Column, length: Column, width: Column | int) -> Column:
+        """s, of that length, its last characters replaced by the number."""
+        return F.concat(F.substring(s, F.lit(1), length - F.when(wide, width).otherwise(0)), added(padded(n, width)))
+
+    def drawn(keep: int) -> Column:
         return F.array_join(F.transform(chars(digits), lambda i: F.when(i <= keep, F.substring(digits, i, F.lit(1))).when(i == keep + 1, (2 + byte(h, i) % 8).cast("string")).otherwise((byte(h, i) % 10).cast("string"))), "")
 
+    def numbers(keep: int) -> Column:
+        return ending(drawn(keep), F.length(digits), F.length(digits) - 1)
+
     domain = digest(F.lit("domain"), F.substring_index(c, "@", -1))
-    email = F.concat(like(F.substring_index(c, "@", 1), h), F.lit("@"), *[pick("abcdefghijklmnopqrstuvwxyz", byte(domain, i)) for i in range(1, 8)], F.lit(".example.com"))
-    body = numbers(1)
-    body = F.substring(body, F.lit(1), F.length(body) - 1)
+    email = F.concat(like(F.substring_index(c, "@", 1), h), added(F.concat(F.lit("."), n.cast("string"))), F.lit("@"), *[pick("abcdefghijklmnopqrstuvwxyz", byte(domain, i)) for i in range(1, 8)], F.lit(".example.com"))
+    body = ending(drawn(1), F.length(digits) - 1, 10)
     card = F.concat(body, ((10 - luhn_sum(body, 1) % 10) % 10).cast("string"))
     inside = F.when(c.rlike(r"^10\."), "10").when(c.rlike(r"^127\."), "127").when(c.rlike(r"^192\.168\."), "192.168")
     ip = F.when(c.rlike(r"^192\.168\."), F.concat_ws(".", inside, byte(h, 2).cast("string"), byte(h, 3).cast("string"))).otherwise(F.concat_ws(".", F.coalesce(inside, (128 + byte(h, 1) % 40).cast("string")), *[byte(h, k).cast("string") for k in (2, 3, 4)]))
-    country, rest = F.substring(c, 1, 2), like(F.substring(c, F.lit(5), F.length(c)), h)
+    part = lambda k: (F.shiftright(n, k) % 256).cast("string")
+    reserved = F.when(c.rlike(r"^(10|192\.168)\.") & (n < 1 << 24), F.concat_ws(".", F.lit("10"), part(16), part(8), part(0))).when(n < 1 << 28, F.concat_ws(".", (240 + F.shiftright(n, 24)).cast("string"), part(16), part(8), part(0)))
+    ip = F.when(wide, F.coalesce(reserved, F.concat(F.lit("2001:db8::"), *[x for k in (48, 32, 16, 0) for x in (F.lower(F.hex(F.shiftright(n, k) % 65536)), F.lit(":" if k else ""))]))).otherwise(ip)
+    country, rest = F.substring(c, 1, 2), ending(like(F.substring(c, F.lit(5), F.length(c)), h), F.length(c) - 4, 10)
     iban = F.concat(country, F.lpad((98 - remainder97(F.concat(rest, country, F.lit("00")))).cast("string"), 2, "0"), rest)
     cyrillic, female = c.rlike(r"\p{IsCyrillic}"), kind == "name_f"
     family = digest(F.lit("family"), F.substring_index(c, " ", -1), draw.cast("string"))
-    last = {s: F.initcap(F.concat(*[pick(SYLLABLES[s], byte(family, i)) for i in range(1, 5)], F.lit("н" if s == "cyrillic" else "n"))) for s in SYLLABLES}
+    figure = lambda i: F.conv(F.substring(F.hex(n), i, F.lit(1)), 16, 10).cast("int")
+    spell = lambda s: lambda i: pick(SYLLABLES[s], figure(i))
+    spelled = {s: added(F.array_join(F.transform(chars(F.hex(n)), spell(s)), "")) for s in SYLLABLES}
+    last = {s: F.initcap(F.concat(*[pick(SYLLABLES[s], byte(family, i)) for i in range(1, 5)], spelled[s], F.lit("н" if s == "cyrillic" else "n"))) for s in SYLLABLES}
     last["cyrillic"] = F.concat(last["cyrillic"], F.when(female, "а").otherwise(""))
     first = F.when(female, F.when(cyrillic, pick(FIRST["f", "cyrillic"], byte(h, 1))).otherwise(pick(FIRST["f", "latin"], byte(h, 1)))).otherwise(F.when(cyrillic, pick(FIRST["m", "cyrillic"], byte(h, 1))).otherwise(pick(FIRST["m", "latin"], byte(h, 1))))
     name = F.concat(F.when(c.contains(" "), F.concat(first, F.lit(" "))).otherwise(""), F.when(cyrillic, last["cyrillic"]).otherwise(last["latin"]))
     return (
-        F.when(kind == "email", email).when(kind == "secret", like(c, h)).when(kind == "aws", F.concat(F.lit("AKIA"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(16)), lambda i: pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", byte(h, i))), "")))
+        F.when(kind == "email", email).when(kind == "secret", F.concat(added(F.concat(n.cast("string"), F.lit("-"))), like(c, h, signs=True)))
+        .when(kind == "aws", F.concat(F.lit("AKIA"), F.when(wide, F.translate(F.lpad(F.conv(n.cast("string"), 10, 32), 16, "0"), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")).otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(16)), lambda i: pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", byte(h, i))), ""))))
         .when(kind.startswith("name"), name).when(kind == "iban", iban).when(kind == "ssn", numbers(0)).when(kind == "card", card).when(kind == "ip", ip)
         .otherwise(F.when(c.startswith("+"), F.concat(F.lit("+"), numbers(1))).otherwise(numbers(0)))
     )
@@ -186,20 +217,30 @@ def draws(entities: DataFrame) -> DataFrame:
     """entities (kind, c, distinct) -> those (kind, c, draw) whose first surrogate is taken, with the draw that is free.
 
     Of the entities with one surrogate the smallest keeps it; the others, and those whose surrogate is itself an entity,
-    draw again until nothing collides. Only the colliding ones go into a further round."""
+    draw again until nothing collides. Only the colliding ones go into a further round. From MAX_DRAWS on they are counted
+    through, and each draw is a number that no entity had before: forms with it are without end."""
     real = entities.select("kind", F.col("c").alias("s"), F.lit(True).alias("real"))
-    given = materialize(entities.withColumn("s", surrogate_core(F.col("kind"), F.col("c"), F.lit(0))).withColumn("draw", F.lit(0)), "pii-given")
-    settled, tested = None, given
-    for draw in range(1, MAX_DRAWS + 1):
+    given = materialize(entities.withColumn("s", surrogate_core(F.col("kind"), F.col("c"), F.lit(0))).withColumn("draw", F.lit(0).cast("long")), "pii-given")
+    settled, tested, draw, start = None, given, 0, 0
+    while True:
         first = given.groupBy("kind", "s").agg(F.min(F.struct("draw", "c")).alias("first"))
         clash = tested.join(first, ["kind", "s"]).join(real, ["kind", "s"], "left").filter((F.col("first.c") != F.col("c")) | F.col("real")).select("kind", "c")
         clash = materialize(clash, "pii-clash")
         settled = tested.filter("draw > 0").join(clash, ["kind", "c"], "left_anti") if settled is None else settled.unionByName(tested.join(clash, ["kind", "c"], "left_anti"))
-        if clash.isEmpty():
+        if not (left := clash.count()):
             return settled.select("kind", "c", "draw")
-        tested = materialize(clash.withColumn("s", surrogate_core(F.col("kind"), F.col("c"), F.lit(draw))).withColumn("draw", F.lit(draw)), "pii-redrawn")
+        draw += 1
+        if draw < MAX_DRAWS:
+            numbered = clash.withColumn("draw", F.lit(draw).cast("long"))
+        else:
+            first_number = MAX_DRAWS + start
+            ranked = clash.orderBy("kind", "c").rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], first_number + x[1]))
+            numbered = materialize(clash.sparkSession.createDataFrame(ranked, "kind string, c string, draw long"), "pii-numbered")
+            start = (start + left) * LEAP
+        tested = materialize(numbered.withColumn("s", surrogate_core(F.col("kind"), F.col("c"), F.col("draw"))).select("kind", "c", "s", "draw"), "pii-redrawn")
         given = given.join(clash, ["kind", "c"], "left_anti").unionByName(tested)
-    raise ValueError(f"surrogates still collide after {MAX_DRAWS} draws")
+        if draw % 4 == 0:  # plans stay short
+            given, settled = materialize(given, "pii-given"), materialize(settled, "pii-settled")
 
 
 def replace_entities(docs: DataFrame) -> DataFrame:
