@@ -140,6 +140,41 @@ def test_phrases_match_plain(sample, text):
     assert langid.phrases([coded], table)[0] == plain_phrases(decode(coded), own)
 
 
+def test_languages_of_large_scripts():
+    """Three languages of 400 letters each beside one that has the most frequent ones."""
+    rng = np.random.default_rng(5)
+
+    scripts = {"a": (0x61, 26), "h": (0xB800, 130), "x": (0x4E00, 400), "y": (0x5A00, 400), "z": (0xAC00, 400)}
+    words = {k: ["".join(chr(first + i) for i in rng.integers(0, letters, 4)) for _ in range(200)] for k, (first, letters) in scripts.items()}
+    text = lambda k, n: "".join(rng.choice(words[k], n))
+    model = langid.learn({k: [text(k, 1500 if k in "ah" else 600)] for k in scripts})
+    want = [k for k in scripts for _ in range(5)]
+    pred, score = langid.predict([text(k, 20) for k in want], model)
+    assert pred == want and score.min() > 0.5
+    assert model.tables["a"][0].table is not None and model.tables["x"][0].table is None
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="abc ", min_size=1, max_size=60).filter(lambda t: t.strip()), st.text(alphabet="abcd ", max_size=80))
+def test_looked_up_transitions_match_dense(sample, text):
+    dense, held = langid.learn({"x": [sample]}, 200), langid.DENSE_WIDTH
+    langid.DENSE_WIDTH = 0
+    try:
+        sparse = langid.learn({"x": [sample]}, 200)
+    finally:
+        langid.DENSE_WIDTH = held
+    coded = [langid.encode(text, dense.lut)]
+    assert sparse.tables["x"][0].table is None
+    assert langid.phrases(coded, sparse.tables["x"][0]).tolist() == langid.phrases(coded, dense.tables["x"][0]).tolist()
+
+
+def test_sample_of_copies(spark):
+    """A language whose many rows are copies of few texts is sampled too."""
+    F = pii.F
+    df = spark.range(200_000).select(F.lit("c").alias("lang"), F.concat(F.lit("text "), F.substring(F.lit("abcdefghij"), (F.col("id") % 10 + 1).cast("int"), F.lit(1))).alias("text"))
+    assert len(langid.sample(df)["c"]) == 10
+
+
 def test_identify(spark):
     en, de = "the quick brown fox and the lazy dog went home ", "der schnelle braune fuchs und der faule hund ging nach hause "
     rows = [(i, (en if i % 2 else de) * 3 + str(i), "en" if i % 2 else "de", None, None) for i in range(40)]

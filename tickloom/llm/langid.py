@@ -25,13 +25,15 @@ SAMPLE_ROWS, SAMPLE_CHARS, MAX_LANGUAGES = 64, 20_000, 200
 SEGMENT = 1024
 #: Characters in hand at once in a task.
 CHUNK = 3_000_000
+#: Automata of more codes than these look their transitions up instead of holding one for each state and code.
+DENSE_WIDTH = 123
 UNKNOWN = "und"
 BLANK, OTHER, PAD = 0, 1, 2
 
 
 def letters_lut(alphabet: str) -> np.ndarray:
     """Code of every code point: its lower-case letter's place in alphabet, OTHER for further letters, BLANK for the rest."""
-    lut = np.zeros(0x110000, np.uint8)
+    lut = np.zeros(0x110000, np.uint16 if len(alphabet) < 65_000 else np.uint32)
     known = {c: i + 3 for i, c in enumerate(alphabet)}
     for x in range(0x110000):
         if (c := chr(x)).isalpha():
@@ -48,8 +50,36 @@ def encode(text: str, lut: np.ndarray) -> np.ndarray:
     return codes[:-1] if len(codes) and codes[-1] == BLANK else codes
 
 
-def suffix_automaton(codes: list[int], width: int) -> np.ndarray:
-    """Transitions (state * width + code -> state * width) of all substrings of codes.
+@dataclass
+class Automaton:
+    """own: an automaton's own code of every code of the model, OTHER for letters that its sample lacks; table: the
+    transitions, or with many codes keys (sorted; state * width + code), their values and the root's transitions."""
+
+    own: np.ndarray
+    table: np.ndarray | None
+    keys: np.ndarray | None = None
+    values: np.ndarray | None = None
+    root: np.ndarray | None = None
+
+    def step(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        at = state + code
+        if self.table is not None:
+            return self.table.take(at)
+        place = np.minimum(np.searchsorted(self.keys, at), len(self.keys) - 1)
+        return np.where(self.keys.take(place) == at, self.values.take(place), ~self.root.take(code))
+
+
+def automaton(codes: list[int], width: int) -> Automaton:
+    """The automaton of a sample in codes below width; its own codes are of the letters that the sample has."""
+    letters = sorted({c for c in codes if c > PAD})
+    own = np.full(width, OTHER, np.uint8 if len(letters) + 3 <= 256 else np.uint16)
+    own[letters] = np.arange(3, len(letters) + 3)
+    own[BLANK], own[PAD] = BLANK, PAD
+    return Automaton(own, *suffix_automaton(own[codes].tolist(), len(letters) + 3))
+
+
+def suffix_automaton(codes: list[int], width: int) -> tuple[np.ndarray | None, ...]:
+    """Transitions (state * width + code -> state * width) of all substrings of codes, as Automaton has them.
 
     Where there is none, the entry is ~(the root's transition of the code): the phrase ends and the next one begins. A
     code that the sample lacks is a phrase of its own: the root leads to a last state from which every code ends the
@@ -83,21 +113,25 @@ def suffix_automaton(codes: list[int], width: int) -> np.ndarray:
     root = np.full(width, len(moves) * width, np.int32)
     for c, to in moves[0].items():
         root[c] = to * width
+    if width > DENSE_WIDTH:
+        edges = [(state * width + c, to * width) for state, out in enumerate(moves[1:], 1) for c, to in sorted(out.items())]
+        found = np.array(edges, np.int32).reshape(-1, 2)
+        return None, np.concatenate([np.arange(width, dtype=np.int32), found[:, 0]]), np.concatenate([root, found[:, 1]]), root
     table = np.tile(~root, (len(moves) + 1, 1))
     table[0] = root
     for state, out in enumerate(moves[1:], 1):
         for c, to in out.items():
             table[state, c] = to * width
     table[:, PAD] = 0
-    return table.reshape(-1)
+    return (table.reshape(-1),)
 
 
 @dataclass
 class Model:
-    """alphabet: letters with codes of their own; tables: language -> (transitions, characters of its sample)."""
+    """alphabet: the samples' letters; tables: language -> (automaton, characters of its sample)."""
 
     alphabet: str
-    tables: dict[str, tuple[np.ndarray, int]]
+    tables: dict[str, tuple[Automaton, int]]
 
     def __post_init__(self) -> None:
         self.lut = letters_lut(self.alphabet)
@@ -105,31 +139,25 @@ class Model:
 
 def learn(samples: dict[str, list[str]], chars: int = SAMPLE_CHARS) -> Model:
     """A model of bounded samples of text per language; the texts' first letters up to chars are taken, in the given order."""
-    seen: dict[str, int] = {}
-    for texts in samples.values():
-        for t in texts:
-            for c in t.lower():
-                if c.isalpha():
-                    seen[c] = seen.get(c, 0) + 1
-    alphabet = "".join(sorted(sorted(seen, key=lambda c: (-seen[c], c))[:120]))
+    alphabet = "".join(sorted({c for texts in samples.values() for t in texts for c in t.lower() if c.isalpha()}))
     lut, tables = letters_lut(alphabet), {}
     for lang in sorted(samples):
         codes = [c for t in samples[lang] for c in [*encode(t, lut).tolist(), BLANK]][:chars]
         if any(codes):
-            tables[lang] = suffix_automaton(codes, len(alphabet) + 3), len(codes)
+            tables[lang] = automaton(codes, len(alphabet) + 3), len(codes)
     return Model(alphabet, tables)
 
 
-def phrases(encoded: list[np.ndarray], table: np.ndarray, segment: int = SEGMENT) -> np.ndarray:
+def phrases(encoded: list[np.ndarray], table: Automaton, segment: int = SEGMENT) -> np.ndarray:
     """Number of phrases that each encoded text needs with one automaton."""
     lengths = np.array([len(x) for x in encoded], np.int64)
     pieces = -(-lengths // segment)
     if not pieces.sum():
         return np.zeros(len(encoded), np.int64)
     owner = np.repeat(np.arange(len(encoded)), pieces)
-    lanes = np.full((len(owner), segment), PAD, np.uint8)
+    lanes = np.full((len(owner), segment), PAD, table.own.dtype)
     places = np.repeat((np.cumsum(pieces) - pieces) * segment, lengths) + np.concatenate([np.arange(n) for n in lengths])
-    lanes.reshape(-1)[places] = np.concatenate(encoded)
+    lanes.reshape(-1)[places] = table.own.take(np.concatenate(encoded))
     used = (lanes != PAD).sum(axis=1)
     order = np.argsort(-used, kind="stable")
     lanes, live = np.ascontiguousarray(lanes[order].T), np.searchsorted(-used[order], -np.arange(segment), "left")
@@ -138,7 +166,7 @@ def phrases(encoded: list[np.ndarray], table: np.ndarray, segment: int = SEGMENT
         n = live[k]  # segments with more than k characters come first
         if not n:
             break
-        to = table.take(state[:n] + lanes[k, :n])
+        to = table.step(state[:n], lanes[k, :n])
         ended = to >> 31  # -1 where the phrase ended
         count[:n] -= ended
         state[:n] = to ^ ended
@@ -163,16 +191,16 @@ def predict(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarra
 def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> dict[str, list[str]]:
     """About `rows` texts for each language, those with the smallest hashes; all where there are fewer.
 
-    Languages are counted first; then only rows whose hash is below a language's share travel, so what reaches the
+    Each language's distinct texts are counted first, by their hashes; then only rows whose hash is below a language's share travel, so what reaches the
     driver is bounded by rows x languages, and by chars of each text.
     """
     usable = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text")
-    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
+    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 40)) / float(1 << 40)
+    counts = {r["lang"]: r["count"] for r in usable.select("lang", draw.alias("draw")).distinct().groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"over {MAX_LANGUAGES} languages; raise langid.MAX_LANGUAGES and the driver's memory")
     if not counts:
         return {}
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 40)) / float(1 << 40)
     share = F.lit(0.0)
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, min(1.0, 1.5 * rows / n)).otherwise(share)
