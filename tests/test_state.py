@@ -142,3 +142,20 @@ def test_stream_equals_batch(spark, tmp_path, walk):
     assert len(got) == 120
     assert np.allclose(got["ema"], recurrence.ema(walk["close"][:120], 20)) and np.allclose(got["rsi"], recurrence.wilder_rsi(walk["close"][:120], 14))
     assert run(streams.deduplicated(read(), "200 hours"), "deduplicated").count() == 120
+
+
+def test_diverse_genomes_are_found_below_a_crowded_top(spark):
+    """Six hundred near clones at the top, then genomes that are apart; against the whole walk."""
+    import numpy as np
+
+    from tickloom.operators import genomes
+
+    rng = np.random.default_rng(3)
+    x = np.concatenate([0.5 + rng.random((600, 4)) * 0.01, rng.random((300, 4))])
+    rows = [(i, float(1000 - i), v.tolist()) for i, v in enumerate(x)]
+    got = genomes.diverse(spark.createDataFrame(rows, "genome_id long, score double, vec array<double>"), 20).collect()
+    kept = []
+    for i in range(len(x)):
+        if len(kept) < 20 and all(np.sqrt(((x[k] - x[i]) ** 2).mean()) >= 0.15 for k in kept):
+            kept.append(i)
+    assert len(kept) == 20 and sorted(r["genome_id"] for r in got) == kept

@@ -158,19 +158,26 @@ def widened(ranges: DataFrame, share: float = 0.2, least: float = 1.0, floor: fl
 
 
 def diverse(vectors: DataFrame, keep: int, candidates: int = 500, apart: float = 0.15) -> DataFrame:
-    """Of the best `candidates` genomes, best first, those that are `apart` from all kept before, up to keep.
+    """Best first, the genomes that are `apart` from all kept before, up to keep.
 
-    Each choice depends on those before it, so the bounded candidates meet in one group."""
+    Each choice depends on those before it: the next best `candidates` meet on the driver, those further down are held
+    against the at most `keep` chosen ones by Spark, and so on until keep is reached or none is left."""
     import numpy as np
-    import pandas as pd
-
-    def choose(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["score", "genome_id"], ascending=[False, True])
-        x, kept = np.stack(frame["vec"]), []
-        for i in range(len(x)):
-            if len(kept) < keep and (not kept or np.sqrt(((x[kept] - x[i]) ** 2).mean(axis=1)).min() >= apart):
-                kept.append(i)
-        return frame.iloc[kept][["genome_id", "score"]]
-
-    best = vectors.orderBy(F.desc("score"), "genome_id").limit(candidates)
-    return best.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(choose, "genome_id long, score double")
+
+    spark, chosen, found = vectors.sparkSession, [], []
+    t = vectors.withColumn("_rank", F.coalesce("score", F.lit(float("-inf"))))
+    rest = t
+    while True:
+        best = rest.orderBy(F.desc("_rank"), "genome_id").limit(candidates).collect()
+        for r in best:
+            x = np.array(r["vec"], dtype=float)
+            if len(chosen) < keep and (not chosen or np.sqrt(((np.stack(chosen) - x) ** 2).mean(axis=1)).min() >= apart):
+                chosen.append(x)
+                found.append((r["genome_id"], r["score"]))
+        if len(chosen) >= keep or len(best) < candidates:
+            return spark.createDataFrame(found, "genome_id long, score double")
+        last = best[-1]
+        held = spark.createDataFrame([([x.tolist() for x in chosen],)], "_chosen array<array<double>>")
+        below = t.filter((F.col("_rank") < last["_rank"]) | (F.col("_rank") == last["_rank"]) & (F.col("genome_id") > last["genome_id"]))
+        # One row; a hair less than apart, as sums may round otherwise there: the driver decides.
+        rest = below.crossJoin(F.broadcast(held)).filter(F.forall("_chosen", lambda c: distance(F.col("vec"), c) >= apart - 1e-9)).drop("_chosen")
