@@ -127,64 +127,89 @@ def plain_phrases(text, sample):
     return n
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.text(alphabet="abc ", min_size=1, max_size=60), st.text(alphabet="abcd ", max_size=80))
-def test_phrases_match_plain(sample, text):
-    model = langid.learn({"x": [sample]}, 200)
-    if not model.tables:
+def coded(text, model):
+    """Text and sample in the model's codes, as strings."""
+    return "".join({0: " ", 1: "?"}.get(c, model.alphabet[c - 2] if c > 1 else "?") for c in langid.encode(text, model.lut).tolist())
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="abc ", min_size=1, max_size=60), st.text(alphabet="abcd ", max_size=80), st.sampled_from([1, 3, 8, 1024]))
+def test_phrases_match_plain(sample, text, segment):
+    """Also where the text is walked in many short segments."""
+    if not sample.strip():
         return
-    table, _ = model.tables["x"]
-    decode = lambda codes: "".join({0: " ", 1: "?"}.get(c, model.alphabet[c - 3] if c > 2 else "?") for c in codes.tolist())
-    own = decode(langid.encode(sample, model.lut)) + " "
-    coded = langid.encode(text, model.lut)
-    assert langid.phrases([coded], table)[0] == plain_phrases(decode(coded), own)
+    model = langid.Model({"x": langid.automaton([sample])})
+    got = langid.phrases([langid.encode(text, model.lut)], model.tables["x"], model.own["x"], segment)
+    assert got[0] == plain_phrases(coded(text, model), coded(sample, model) + " ")
+
+
+@pytest.mark.parametrize("text", ["a" * 5000, "ab " * 3000, "d" * 3000, "abcab" * 900 + "dd" + "cab " * 700])
+def test_long_texts_are_parsed_whole(text):
+    """Periodic texts too, whose segments' walks may never meet."""
+    for sample in ("aaaaaaa", "abcabcabc ab ab", "ab ab ab abcab"):
+        model = langid.Model({"x": langid.automaton([sample])})
+        got = langid.phrases([langid.encode(text, model.lut)], model.tables["x"], model.own["x"])
+        assert got[0] == plain_phrases(coded(text, model), coded(sample, model) + " ")
 
 
 def test_languages_of_large_scripts():
     """Three languages of 400 letters each beside one that has the most frequent ones."""
     rng = np.random.default_rng(5)
-
     scripts = {"a": (0x61, 26), "h": (0xB800, 130), "x": (0x4E00, 400), "y": (0x5A00, 400), "z": (0xAC00, 400)}
     words = {k: ["".join(chr(first + i) for i in rng.integers(0, letters, 4)) for _ in range(200)] for k, (first, letters) in scripts.items()}
     text = lambda k, n: "".join(rng.choice(words[k], n))
-    model = langid.learn({k: [text(k, 1500 if k in "ah" else 600)] for k in scripts})
+    model = langid.Model({k: langid.automaton([text(k, 1500 if k in "ah" else 600)]) for k in scripts})
     want = [k for k in scripts for _ in range(5)]
-    pred, score = langid.predict([text(k, 20) for k in want], model)
-    assert pred == want and score.min() > 0.5
-    assert model.tables["a"][0].table is not None and model.tables["x"][0].table is None
+    got = langid.predict([text(k, 20) for k in want], model)
+    assert [x[0] for x in got] == want and all(x[1] < x[2] for x in got)
+    assert not len(model.tables["a"].keys) and len(model.tables["x"].keys)
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.text(alphabet="abc ", min_size=1, max_size=60).filter(lambda t: t.strip()), st.text(alphabet="abcd ", max_size=80))
-def test_looked_up_transitions_match_dense(sample, text):
-    dense, held = langid.learn({"x": [sample]}, 200), langid.DENSE_WIDTH
-    langid.DENSE_WIDTH = 0
+@given(st.text(alphabet="abc ", min_size=1, max_size=60).filter(lambda t: t.strip()), st.text(alphabet="abcd ", max_size=80), st.sampled_from([2, 1024]))
+def test_looked_up_transitions_match_bits(sample, text, segment):
+    bits, held = langid.Model({"x": langid.automaton([sample])}), langid.BITS_WIDTH
+    langid.BITS_WIDTH = 0
     try:
-        sparse = langid.learn({"x": [sample]}, 200)
+        keyed = langid.Model({"x": langid.automaton([sample])})
     finally:
-        langid.DENSE_WIDTH = held
-    coded = [langid.encode(text, dense.lut)]
-    assert sparse.tables["x"][0].table is None
-    assert langid.phrases(coded, sparse.tables["x"][0]).tolist() == langid.phrases(coded, dense.tables["x"][0]).tolist()
+        langid.BITS_WIDTH = held
+    codes = [langid.encode(text, bits.lut)]
+    assert len(keyed.tables["x"].keys) and not len(bits.tables["x"].keys)
+    assert langid.phrases(codes, keyed.tables["x"], keyed.own["x"], segment).tolist() == langid.phrases(codes, bits.tables["x"], bits.own["x"], segment).tolist()
 
 
-def test_sample_of_copies(spark):
-    """A language whose many rows are copies of few texts is sampled too."""
+def test_sample(spark):
+    """A language whose many rows are copies of few texts is sampled too; texts are whole and within the bounds."""
     F = pii.F
     df = spark.range(200_000).select(F.lit("c").alias("lang"), F.concat(F.lit("text "), F.substring(F.lit("abcdefghij"), (F.col("id") % 10 + 1).cast("int"), F.lit(1))).alias("text"))
-    assert len(langid.sample(df)["c"]) == 10
+    long = [("l", "x" * 700), ("l", "y" * 400), ("l", "z" * 300), ("h", "h" * 5000), ("h", "i" * 4000), (None, "text"), ("n", "123"), ("n", None)]
+    got = langid.sample(df.unionByName(spark.createDataFrame(long, "lang string, text string")), rows=64, chars=800).collect()
+    own = lambda k: sorted(len(r["text"]) for r in got if r["lang"] == k)
+    assert len(own("c")) == 10 and own("h") == [4000] and sum(own("l")) <= 800 and {r["lang"] for r in got} == {"c", "l", "h"}
 
 
 def test_identify(spark):
     en, de = "the quick brown fox and the lazy dog went home ", "der schnelle braune fuchs und der faule hund ging nach hause "
     rows = [(i, (en if i % 2 else de) * 3 + str(i), "en" if i % 2 else "de", None, None) for i in range(40)]
-    model = langid.learn(langid.sample(spark.createDataFrame(rows, DOCS)))
+    models = langid.learn(spark.createDataFrame(rows, DOCS))
     tests = [(1, "The brown dog", None, None, None), (2, "DER FUCHS GING", None, None, None), (3, None, None, None, None), (4, "", None, None, None), (5, "123 %%", None, None, None), (6, de * 2000, "en", "s", 1), (6, de * 2000, "en", "s", 1)]
-    got = langid.identify(spark.createDataFrame(tests, DOCS).withColumn("_lang", chat.F.lit(0)), model).collect()
-    assert [r["_lang"]["pred"] for r in got] == ["en", "de", "und", "und", "und", "de", "de"]
-    assert got[2]["_lang"]["score"] == 0 and got[0]["_lang"]["score"] > 0.5
+    docs = spark.createDataFrame(tests, DOCS).withColumn("_lang", chat.F.lit(0)).withColumn("_lang_next", chat.F.lit(7))
+    for most in (langid.MODEL_BYTES, 1):  # all languages at once, and one by one
+        got = sorted(langid.identify(docs, models, most).collect(), key=lambda r: r["doc_id"])
+        assert [r["_lang"]["pred"] for r in got] == ["en", "de", "und", "und", "und", "de", "de"] and all(r["_lang_next"] == 7 for r in got)
+        assert got[2]["_lang"]["score"] == 0 and 1 > got[0]["_lang"]["score"] > 0.5
     empty = spark.createDataFrame([], DOCS)
-    assert langid.identify(empty, langid.learn(langid.sample(empty))).count() == 0
+    assert langid.identify(empty, langid.learn(empty)).count() == 0 and langid.identify(docs, langid.learn(empty)).filter("_lang.pred = 'und'").count() == 7
+
+
+def test_hundreds_of_languages(spark):
+    rng = np.random.default_rng(8)
+    texts = {f"l{i:03}": " ".join("".join(rng.choice(list("abcdefghij"), 5)) for _ in range(60)) for i in range(230)}
+    docs = spark.createDataFrame([(i, t, k, None, None) for i, (k, t) in enumerate(texts.items())], DOCS)
+    models = langid.learn(docs)
+    got = langid.identify(docs, models, most=2_000_000).collect()
+    assert all(r["_lang"]["pred"] == r["lang"] for r in got) and len(got) == 230
 
 
 # ---- 6 ---------------------------------------------------------------------------------------------------------------
@@ -320,6 +345,70 @@ def test_tokens(spark):
     assert spm.encode_documents(df.limit(0)).count() == 0
 
 
+@pytest.fixture(scope="module")
+def encoder():
+    with open(spm.MODEL_PATH, "rb") as f:
+        return spm.worker_encoder(f.read(), 2)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet="ab  \n▁\x1c\x00é漢😀<unk>0x", max_size=30), min_size=1, max_size=6))
+def test_words_encode_as_whole_texts(encoder, texts):
+    """Ids by distinct words are those of whole texts; where words are called right, the library decodes the text."""
+    own, _ = encoder
+    flat, counts, good = own.encode_words(texts)
+    whole = own.encode(texts)
+    assert counts.tolist() == [len(x) for x in whole] and flat.tolist() == [i for x in whole for i in x]
+    for t, ids, g in zip(texts, whole, good, strict=True):
+        assert not g or own.tok.decode(ids, skip_special_tokens=False) == t
+
+
+def test_blocks_that_do_not_decode_are_taken_apart():
+    """Without byte fallback, unknown characters decode to something else: their words are encoded one by one."""
+    pieces = [("<unk>", 0.0, 2), *((c, -float(i), 1) for i, c in enumerate("▁abc", 3)), ("▁a", -1.0, 1), ("bc", -2.0, 1)]
+    own = spm.Encoder(spm.Spec(pieces, spm.BPE, False, b"", True, False, True))
+    texts = ["abc é a", "bc  a ", "é", "abc a bc"]
+    flat, counts, good = own.encode_words(texts)
+    assert flat.tolist() == [i for x in own.encode(texts) for i in x] and good.tolist() == [False, True, False, True]
+    assert counts.tolist() == [len(x) for x in own.encode(texts)]
+
+
+def test_large_unigram_model_matches_the_library():
+    """A unigram model with byte fallback made of 8,000 pieces, against the sentencepiece library."""
+    import struct
+
+    import sentencepiece
+
+    def message(*fields):
+        out = b""
+        for number, value in fields:
+            if isinstance(value, int):
+                out += bytes([number << 3]) if number < 16 else bytes([(number << 3) & 127 | 128, number >> 4])
+                out += bytes([value])
+            elif isinstance(value, float):
+                out += bytes([number << 3 | 5]) + struct.pack("<f", value)
+            else:
+                key = number << 3 | 2
+                out += bytes([key]) if key < 128 else bytes([key & 127 | 128, key >> 7])
+                n, size = len(value), b""
+                while n > 127:
+                    size, n = size + bytes([n & 127 | 128]), n >> 7
+                out += size + bytes([n]) + value
+        return out
+
+    rng = np.random.default_rng(9)
+    names = dict.fromkeys(["▁", *"abcdefghij", *("".join(rng.choice(list("▁abcdefghij"), 1)) + "".join(rng.choice(list("abcdefghij"), n)) for n in rng.integers(1, 7, 9000))])
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *((f"<0x{i:02X}>", 0.0, 6) for i in range(256)), *((x, float(np.float32(-rng.uniform(2, 14))), 1) for x in names)]
+    model = b"".join(message((1, message((1, p.encode()), (2, s), (3, k)))) for p, s, k in pieces)
+    model += message((2, message((3, 1), (35, 1)))) + message((3, message((3, 1), (4, 0), (5, 1))))
+    own, peer = spm.Encoder(spm.Spec.parse(model)), sentencepiece.SentencePieceProcessor(model_proto=model)
+    assert own.spec.kind == spm.UNIGRAM and own.spec.byte_fallback and len(pieces) > 8000
+    texts = [" ".join("".join(rng.choice(list("abcdefghij"), n)) for n in rng.integers(1, 12, 40)) for _ in range(200)] + ["aé 漢b", "", "  a  b ", "x" * 50]
+    flat, counts, good = own.encode_words(texts)
+    want = peer.encode(texts)
+    assert [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])] == want and good.all()
+
+
 def test_unigram_model_is_rebuilt():
     pieces = [("<unk>", 0.0, 2), ("▁", -3.0, 1), ("▁ab", -1.0, 1), ("a", -4.0, 1), ("b", -4.0, 1), ("c", -4.0, 1), ("bc", -1.5, 1)]
     encoder = spm.Encoder(spm.Spec(pieces, spm.UNIGRAM, False, b"", True, True, True))

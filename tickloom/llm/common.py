@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+import warnings
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +14,7 @@ from pyspark.sql import types as T
 
 #: Bytes of text that a task works on at once.
 PIECE = 4_000_000
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: A word is a maximal run of characters that are neither a blank nor one of TAB to CR.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -21,10 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it.
+
+    Where the session names none, a temporary one is set in it: right on one machine only, so a cluster is warned."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="tickloom-")
+        if not spark.sparkContext.master.startswith("local["):
+            warnings.warn(f"spark.checkpoint.dir isn't set; {found} must be a folder that all executors share", stacklevel=2)
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
@@ -57,12 +64,34 @@ def fold(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with lines after it until no column of df has that name (whatever the case of its letters)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def tidy_worker() -> None:
+    """Give freed memory back: workers live on from task to task and would keep the most that any of them took."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU C library
+        pass
+
+
 def append_from_text(df: DataFrame, name: str, kind: str, start: Callable[[], Callable]) -> DataFrame:
     """The columns of df and `name` (of the DDL type kind), computed from the column text, batch by batch, in Arrow.
 
     start is called once in each task; what it returns makes the values (a pyarrow array) of a batch from a list of
-    texts, null ones as None. All other columns pass through as they are; a column that is called `name` is replaced."""
+    texts, null ones as None. All other columns pass through as they are; a column that is called `name` is replaced.
+    Where the session has no bound on the bytes of an Arrow batch, it gets PIECE."""
     df = df.drop(name)
+    if df.sparkSession.conf.get(BATCH_BYTES, None) is None:
+        df.sparkSession.conf.set(BATCH_BYTES, str(PIECE))
     schema = T.StructType([*df.schema.fields, T.StructField(name, T.StructType.fromDDL(f"x {kind}")["x"].dataType)])
     place = df.columns.index("text")
 
@@ -75,10 +104,12 @@ def append_from_text(df: DataFrame, name: str, kind: str, start: Callable[[], Ca
         for batch in batches:
             # Pieces of a few megabytes of text: what a batch is turned into takes many times its own memory.
             sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(place)), 0).to_numpy(zero_copy_only=False))
-            cuts = [0, *(np.flatnonzero(np.diff(sizes // PIECE)) + 1).tolist(), batch.num_rows] if batch.num_rows else [0, 0]
-            for a, b in zip(cuts, cuts[1:], strict=False):
+            cuts = np.flatnonzero(np.diff(sizes // PIECE)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*part.columns, make(part.column(place).to_pylist())], [*part.schema.names, name])
+        del make
+        tidy_worker()
 
     return df.mapInArrow(run, schema)
 

@@ -4,41 +4,54 @@ For each language a suffix automaton of labelled text is built: its paths from t
 that text. A document is parsed greedily into longest matches (phrases); the language that needs the fewest phrases,
 normalised as bits per character (phrases x log2 of the sample's length / characters), wins.
 
-The walk needs the automaton's transitions only. It runs over many segments of many documents at once: one NumPy step
-moves every segment by one character.
+Spark samples whole labelled texts and builds one automaton in each language's group. The walk needs the transitions
+only. It runs over many segments of many documents at once: one NumPy step moves every segment by one character. The
+parse of a long document is then joined from its segments': a walk goes on over a segment's end until it begins a phrase
+where the next segment's walk began one too; from there both are the same.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import append_from_text, chunks
+from tickloom.llm.common import append_from_text, broadcast_if_small, chunks, materialize
 
-#: Bounds of the labelled sample: rows and characters for each language, and languages.
-SAMPLE_ROWS, SAMPLE_CHARS, MAX_LANGUAGES = 64, 20_000, 200
-#: Phrases end at these many characters at the latest, so that long texts are walked in parallel.
-SEGMENT = 1024
-#: Characters in hand at once in a task.
-CHUNK = 3_000_000
-#: Automata of more codes than these look their transitions up instead of holding one for each state and code.
-DENSE_WIDTH = 123
+#: Bounds of the labelled sample of each language: whole texts, and their characters in all.
+SAMPLE_ROWS, SAMPLE_CHARS = 64, 300_000
+#: Characters of a segment, and characters in hand at once in a task.
+SEGMENT, CHUNK = 1024, 1_000_000
+#: Bytes of automata that workers hold at once; more languages than fit are tried in groups.
+MODEL_BYTES = 64_000_000
+#: Automata of at most this many codes hold a state's transitions as the bits of one word; larger ones look them up.
+BITS_WIDTH = 64
 UNKNOWN = "und"
-BLANK, OTHER, PAD = 0, 1, 2
+BLANK, OTHER = 0, 1
 
 
-def letters_lut(alphabet: str) -> np.ndarray:
-    """Code of every code point: its lower-case letter's place in alphabet, OTHER for further letters, BLANK for the rest."""
-    lut = np.zeros(0x110000, np.uint16 if len(alphabet) < 65_000 else np.uint32)
-    known = {c: i + 3 for i, c in enumerate(alphabet)}
+@functools.cache
+def small_letters() -> np.ndarray:
+    """The lower-case letter of every code point that is a letter, else 0."""
+    out = np.zeros(0x110000, np.int32)
     for x in range(0x110000):
         if (c := chr(x)).isalpha():
-            lut[x] = known.get(c.lower()[0], OTHER)
-    return lut
+            out[x] = ord(c.lower()[0])
+    return out
+
+
+def letters_lut(alphabet: str) -> np.ndarray:
+    """Code of every code point: 2 + its lower-case letter's place in alphabet, OTHER for further letters, else BLANK."""
+    codes = np.full(0x110000, OTHER, np.uint16 if len(alphabet) < 65_000 else np.uint32)
+    codes[[ord(c) for c in alphabet]] = np.arange(2, len(alphabet) + 2)
+    codes[0] = BLANK
+    return codes.take(small_letters())
 
 
 def encode(text: str, lut: np.ndarray) -> np.ndarray:
@@ -52,42 +65,74 @@ def encode(text: str, lut: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Automaton:
-    """own: an automaton's own code of every code of the model, OTHER for letters that its sample lacks; table: the
-    transitions, or with many codes keys (sorted; state * width + code), their values and the root's transitions."""
-
-    own: np.ndarray
-    table: np.ndarray | None
-    keys: np.ndarray | None = None
-    values: np.ndarray | None = None
-    root: np.ndarray | None = None
-
-    def step(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
-        at = state + code
-        if self.table is not None:
-            return self.table.take(at)
-        place = np.minimum(np.searchsorted(self.keys, at), len(self.keys) - 1)
-        return np.where(self.keys.take(place) == at, self.values.take(place), ~self.root.take(code))
-
-
-def automaton(codes: list[int], width: int) -> Automaton:
-    """The automaton of a sample in codes below width; its own codes are of the letters that the sample has."""
-    letters = sorted({c for c in codes if c > PAD})
-    own = np.full(width, OTHER, np.uint8 if len(letters) + 3 <= 256 else np.uint16)
-    own[letters] = np.arange(3, len(letters) + 3)
-    own[BLANK], own[PAD] = BLANK, PAD
-    return Automaton(own, *suffix_automaton(own[codes].tolist(), len(letters) + 3))
-
-
-def suffix_automaton(codes: list[int], width: int) -> tuple[np.ndarray | None, ...]:
-    """Transitions (state * width + code -> state * width) of all substrings of codes, as Automaton has them.
-
-    Where there is none, the entry is ~(the root's transition of the code): the phrase ends and the next one begins. A
-    code that the sample lacks is a phrase of its own: the root leads to a last state from which every code ends the
-    phrase. PAD leads to the root from anywhere.
-    """
+    """The transitions of a suffix automaton. Its codes: BLANK, OTHER (no state has it), then the letters.
+
+    Up to BITS_WIDTH codes, `present` has a bit for each code that a state can be left with and target[first[state]],
+    target[first[state] + 1], .. are where its codes, in order, lead. Else `keys` has state * width + code, sorted, of
+    every transition and `target` where each leads. root: where each code leads from the root; a code that no text
+    starts a substring with leads to a last state, from which nothing leads on."""
+
+    letters: str
+    chars: int
+    root: np.ndarray
+    target: np.ndarray
+    present: np.ndarray
+    first: np.ndarray
+    keys: np.ndarray
+
+    @property
+    def width(self) -> int:
+        return len(self.letters) + 2
+
+    @property
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (self.root, self.target, self.present, self.first, self.keys))
+
+    def step(self, state: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after a code, and whether a phrase ended before it and the next one began."""
+        if len(self.keys):
+            at = state * np.int64(self.width) + code
+            place = np.minimum(np.searchsorted(self.keys, at), len(self.keys) - 1)
+            ended = self.keys.take(place) != at
+        else:
+            bits, bit = self.present.take(state), np.uint64(1) << code.astype(np.uint64)
+            ended = (bits & bit) == 0
+            place = self.first.take(state) + np.bitwise_count(bits & (bit - np.uint64(1)))
+        return np.where(ended, self.root.take(code), self.target.take(place, mode="clip")), ended
+
+    def walker(self):
+        """The same for one state and code, as plain integers."""
+        target, root = memoryview(self.target), memoryview(self.root)
+        if len(self.keys):
+            known, width = dict(zip(self.keys.tolist(), self.target.tolist(), strict=True)), self.width
+
+            def step(state: int, code: int) -> tuple[int, bool]:
+                to = known.get(state * width + code)
+                return (root[code], True) if to is None else (to, False)
+
+        else:
+            present, first = memoryview(self.present), memoryview(self.first)
+
+            def step(state: int, code: int) -> tuple[int, bool]:
+                bits = present[state]
+                return (target[first[state] + (bits & ((1 << code) - 1)).bit_count()], False) if bits >> code & 1 else (root[code], True)
+
+        return step
+
+    def codes(self, alphabet: str) -> np.ndarray:
+        """Own code of every code of a larger alphabet."""
+        own = {c: i + 2 for i, c in enumerate(self.letters)}
+        return np.array([BLANK, OTHER, *[own.get(c, OTHER) for c in alphabet]], np.uint8 if self.width <= 256 else np.uint16)
+
+
+def automaton(texts: list[str]) -> Automaton:
+    """The suffix automaton of texts, one after the other with a blank between them."""
+    letters = "".join(sorted({c for t in texts for x in t.lower() if (c := x[0]).isalpha()}))
+    lut = letters_lut(letters)
+    sample = [c for t in texts for c in [*encode(t, lut).tolist(), BLANK]]
     moves: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
-    for c in codes:
+    for c in sample:
         new = len(moves)
         moves.append({})
         length.append(length[last] + 1)
@@ -110,126 +155,199 @@ def suffix_automaton(codes: list[int], width: int) -> tuple[np.ndarray | None, .
                     at = link[at]
                 link[to] = link[new] = twin
         last = new
-    root = np.full(width, len(moves) * width, np.int32)
-    for c, to in moves[0].items():
-        root[c] = to * width
-    if width > DENSE_WIDTH:
-        edges = [(state * width + c, to * width) for state, out in enumerate(moves[1:], 1) for c, to in sorted(out.items())]
-        found = np.array(edges, np.int32).reshape(-1, 2)
-        return None, np.concatenate([np.arange(width, dtype=np.int32), found[:, 0]]), np.concatenate([root, found[:, 1]]), root
-    table = np.tile(~root, (len(moves) + 1, 1))
-    table[0] = root
-    for state, out in enumerate(moves[1:], 1):
-        for c, to in out.items():
-            table[state, c] = to * width
-    table[:, PAD] = 0
-    return (table.reshape(-1),)
+    width, none = len(letters) + 2, len(moves)
+    moves.append({})
+    root = np.array([moves[0].get(c, none) for c in range(width)], np.int32)
+    target = np.fromiter((out[c] for out in moves for c in sorted(out)), np.int32)
+    empty = np.zeros(0, np.int64)
+    if width <= BITS_WIDTH:
+        present = np.fromiter((sum(1 << c for c in out) for out in moves), np.uint64, len(moves))
+        sizes = np.fromiter(map(len, moves), np.int32, len(moves))
+        return Automaton(letters, len(sample), root, target, present, (np.cumsum(sizes) - sizes).astype(np.int32), empty)
+    keys = np.fromiter((state * width + c for state, out in enumerate(moves) for c in sorted(out)), np.int64, len(target))
+    return Automaton(letters, len(sample), root, target, empty.astype(np.uint64), empty.astype(np.int32), keys)
 
 
 @dataclass
 class Model:
-    """alphabet: the samples' letters; tables: language -> (automaton, characters of its sample)."""
+    """tables: language -> automaton, in the order of the languages' names."""
 
-    alphabet: str
-    tables: dict[str, tuple[Automaton, int]]
+    tables: dict[str, Automaton]
 
     def __post_init__(self) -> None:
+        self.alphabet = "".join(sorted({c for t in self.tables.values() for c in t.letters}))
         self.lut = letters_lut(self.alphabet)
+        self.own = {lang: t.codes(self.alphabet) for lang, t in self.tables.items()}
 
 
-def learn(samples: dict[str, list[str]], chars: int = SAMPLE_CHARS) -> Model:
-    """A model of bounded samples of text per language; the texts' first letters up to chars are taken, in the given order."""
-    alphabet = "".join(sorted({c for texts in samples.values() for t in texts for c in t.lower() if c.isalpha()}))
-    lut, tables = letters_lut(alphabet), {}
-    for lang in sorted(samples):
-        codes = [c for t in samples[lang] for c in [*encode(t, lut).tolist(), BLANK]][:chars]
-        if any(codes):
-            tables[lang] = automaton(codes, len(alphabet) + 3), len(codes)
-    return Model(alphabet, tables)
-
-
-def phrases(encoded: list[np.ndarray], table: Automaton, segment: int = SEGMENT) -> np.ndarray:
-    """Number of phrases that each encoded text needs with one automaton."""
+def phrases(encoded: list[np.ndarray], table: Automaton, own: np.ndarray, segment: int = SEGMENT) -> np.ndarray:
+    """Number of phrases that each encoded text needs with one automaton, whose codes of the model's are own."""
     lengths = np.array([len(x) for x in encoded], np.int64)
     pieces = -(-lengths // segment)
     if not pieces.sum():
         return np.zeros(len(encoded), np.int64)
-    owner = np.repeat(np.arange(len(encoded)), pieces)
-    lanes = np.full((len(owner), segment), PAD, table.own.dtype)
-    places = np.repeat((np.cumsum(pieces) - pieces) * segment, lengths) + np.concatenate([np.arange(n) for n in lengths])
-    lanes.reshape(-1)[places] = table.own.take(np.concatenate(encoded))
-    used = (lanes != PAD).sum(axis=1)
+    first = np.cumsum(pieces) - pieces  # a text's first lane
+    lanes = np.zeros((int(pieces.sum()), segment), own.dtype)
+    for i, x in enumerate(encoded):
+        lanes.reshape(-1)[first[i] * segment : first[i] * segment + len(x)] = own.take(x)
+    used = np.full(len(lanes), segment)
+    used[(first + pieces - 1)[pieces > 0]] = (lengths - (pieces - 1) * segment)[pieces > 0]
     order = np.argsort(-used, kind="stable")
-    lanes, live = np.ascontiguousarray(lanes[order].T), np.searchsorted(-used[order], -np.arange(segment), "left")
-    state, count = np.zeros(len(owner), np.int32), np.ones(len(owner), np.int32)
+    columns, live = np.ascontiguousarray(lanes[order].T), np.searchsorted(-used[order], -np.arange(segment), "left")
+    state, starts = np.zeros(len(lanes), np.int32), np.zeros((segment, len(lanes)), bool)
     for k in range(segment):
-        n = live[k]  # segments with more than k characters come first
-        if not n:
+        if not (n := live[k]):  # segments with more than k characters come first
             break
-        to = table.step(state[:n], lanes[k, :n])
-        ended = to >> 31  # -1 where the phrase ended
-        count[:n] -= ended
-        state[:n] = to ^ ended
-    return np.bincount(owner[order], weights=count, minlength=len(encoded)).astype(np.int64)
+        state[:n], starts[k, :n] = table.step(state[:n], columns[k, :n])
+    starts[0] = True  # a phrase begins with the segment
+    place = np.argsort(order)
+    count = starts.sum(axis=0)[place]
+    out = np.where(pieces > 0, count[np.minimum(first, len(lanes) - 1)], 0)
+    if (long := np.flatnonzero(pieces > 1)).size:
+        step, begun, ends = table.walker(), np.ascontiguousarray(starts.T), state[place].tolist()
+        for i in long:
+            codes = memoryview(lanes[first[i] : first[i] + pieces[i]].reshape(-1))
+            out[i] += joined(codes, int(lengths[i]), int(first[i]), segment, step, begun, place, count, ends)
+    return out
 
 
-def predict(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray]:
-    """Language and score of each text: the score is the losers' best bits against the winner's, from 0.5 up; und has 0."""
+def joined(codes, length: int, first: int, segment: int, step, begun: np.ndarray, place: np.ndarray, count: np.ndarray, ends: list[int]) -> int:
+    """Phrases of a text of several segments, without those of its first one."""
+    total, at = 0, segment
+    state = ends[first]
+    while at < length:
+        state, ended = step(state, codes[at])
+        if ended:
+            total += 1
+            lane, k = divmod(at, segment)
+            row = begun[place[first + lane]]
+            if row[k]:  # from here on the lane's own walk
+                total += int(count[first + lane] if k == 0 else row[k:].sum()) - 1
+                at, state = (lane + 1) * segment, ends[first + lane]
+                continue
+        at += 1
+    return total
+
+
+def parse_bits(texts: list[str | None], model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Bits per character of each language (rows) and text (columns), and which texts have no letter."""
     encoded = [encode(t or "", model.lut) for t in texts]
     lengths = np.array([max(1, len(x)) for x in encoded])
-    none = np.array([not len(x) for x in encoded])
-    langs = list(model.tables)
-    if not langs:
-        return [UNKNOWN] * len(texts), np.zeros(len(texts))
-    bits = np.stack([phrases(encoded, table) * math.log2(n + 1) / lengths for table, n in model.tables.values()])
-    best = bits.argmin(axis=0)
-    ranked = np.sort(bits, axis=0)
-    score = ranked[1] / (ranked[0] + ranked[1]).clip(1e-12) if len(langs) > 1 else np.ones(len(texts))
-    return [UNKNOWN if x else langs[i] for x, i in zip(none, best, strict=True)], np.where(none, 0.0, score)
-
-
-def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> dict[str, list[str]]:
-    """About `rows` texts for each language, those with the smallest hashes; all where there are fewer.
-
-    Each language's distinct texts are counted first, by their hashes; then only rows whose hash is below a language's share travel, so what reaches the
-    driver is bounded by rows x languages, and by chars of each text.
+    none = np.array([not len(x) for x in encoded], bool)
+    bits = [phrases(encoded, t, model.own[lang]) * math.log2(t.chars + 1) / lengths for lang, t in model.tables.items()]
+    return np.array(bits).reshape(len(bits), len(texts)), none
+
+
+def predict(texts: list[str | None], model: Model) -> list[tuple[str, float, float]]:
+    """Language, its bits and the best other language's bits of each text; infinite where there is none."""
+    bits, none = parse_bits(texts, model)
+    langs = [*model.tables, UNKNOWN, UNKNOWN]
+    ranked = np.concatenate([bits, np.full((2, len(texts)), np.inf)])
+    best, ranked = ranked.argmin(axis=0), np.sort(ranked, axis=0)
+    return [(UNKNOWN, math.inf, math.inf) if x else (langs[i], a, b) for x, i, a, b in zip(none, best, ranked[0].tolist(), ranked[1].tolist(), strict=True)]
+
+
+def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> DataFrame:
+    """lang, draw, text: at most `rows` distinct whole texts for each language, those with the smallest hashes.
+
+    A text that would take a language's characters over `chars` is left out; a language whose texts are all longer has
+    its shortest sampled one. Each language's distinct texts are estimated first, by their hashes; then only rows whose
+    hash is below the language's share travel, so no group is larger than the bounds, whatever the language's size.
     """
     usable = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text")
     draw = F.pmod(F.xxhash64("text"), F.lit(1 << 40)) / float(1 << 40)
-    counts = {r["lang"]: r["count"] for r in usable.select("lang", draw.alias("draw")).distinct().groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"over {MAX_LANGUAGES} languages; raise langid.MAX_LANGUAGES and the driver's memory")
-    if not counts:
-        return {}
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, min(1.0, 1.5 * rows / n)).otherwise(share)
-    found = usable.filter(draw < share).select("lang", draw.alias("draw"), F.substring("text", 1, chars).alias("text")).distinct().collect()
-    out: dict[str, list[str]] = {}
-    for r in sorted(found, key=lambda r: (r["lang"], r["draw"], r["text"])):
-        if len(texts := out.setdefault(r["lang"], [])) < rows:
-            texts.append(r["text"])
+    counts = usable.groupBy("lang").agg(F.approx_count_distinct(draw, 0.03).alias("n"))
+    shares = broadcast_if_small(materialize(counts.select("lang", (2.0 * rows / F.col("n")).alias("share")), "lang-shares"))
+    found = usable.withColumn("draw", draw).join(shares, "lang").filter("draw < share").select("lang", "draw", "text").distinct()
+    by_draw = W.partitionBy("lang").orderBy("draw", "text")
+    ranked = found.withColumn("place", F.row_number().over(by_draw)).filter(F.col("place") <= rows)
+    size = F.length("text")
+    ranked = ranked.withColumn("total", F.sum(F.when(size <= chars, size)).over(by_draw.rowsBetween(W.unboundedPreceding, 0)))
+    shortest = F.row_number().over(W.partitionBy("lang").orderBy(size, "place")) == 1
+    ranked = ranked.withColumn("taken", (size <= chars) & (F.col("total") <= chars)).withColumn("shortest", shortest)
+    ranked = ranked.withColumn("some", F.max("taken").over(W.partitionBy("lang")))
+    return ranked.filter("taken or (shortest and not some)").select("lang", "draw", "text")
+
+
+ARRAYS = {"root": np.int32, "target": np.int32, "present": np.uint64, "first": np.int32, "keys": np.int64}
+
+
+def learn(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> DataFrame:
+    """lang, letters, chars, bytes and the arrays of each language's automaton, in the shared folder.
+
+    docs (lang, text): rows without a language or a letter are no use; without any the result is empty. Built from a
+    bounded sample (see sample), each language in a group of its own."""
+
+    def build(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["draw", "text"])
+        made = automaton(frame["text"].tolist())
+        row = {"lang": frame["lang"].iloc[0], "letters": made.letters, "chars": made.chars, "bytes": made.nbytes}
+        return pd.DataFrame([row | {k: getattr(made, k).tobytes() for k in ARRAYS}])
+
+    schema = f"lang string, letters string, chars long, bytes long, {', '.join(f'{k} binary' for k in ARRAYS)}"
+    return materialize(sample(docs, rows, chars).groupBy("lang").applyInPandas(build, schema), "lang-automata")
+
+
+def groups(models: DataFrame, most: int) -> list[list[str]]:
+    """The languages in order, in groups whose automata have `most` bytes or are one alone."""
+    out: list[list[str]] = []
+    held = most
+    for r in models.select("lang", "bytes").orderBy("lang").collect():
+        if held + r["bytes"] > most:
+            out.append([])
+            held = 0
+        out[-1].append(r["lang"])
+        held += r["bytes"]
     return out
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """The columns of docs, and _lang struct<pred, score>: the language of every whole text.
+def loaded(models: DataFrame, langs: list[str]) -> Model:
+    rows = models.filter(F.col("lang").isin(langs)).orderBy("lang").collect()
+    return Model({r["lang"]: Automaton(r["letters"], r["chars"], **{k: np.frombuffer(r[k], t) for k, t in ARRAYS.items()}) for r in rows})
 
-    Null texts and texts without a letter are `und` with score 0; equal bits go to the smaller language name. Rows are
-    handled one by one, so repeated rows and other columns, whatever their names, pass through (only _lang is replaced).
-    """
-    shared = docs.sparkSession.sparkContext.broadcast((model.alphabet, model.tables))
+
+def with_predictions(docs: DataFrame, model: Model, name: str) -> DataFrame:
+    """docs and the struct `name` (pred, best, next) of predict."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def start():
         import pyarrow as pa
 
-        own = Model(*shared.value)
-
         def make(texts: list[str | None]) -> pa.Array:
-            found = [predict(part, own) for part in chunks(texts, CHUNK)]
-            pred, score = [x for p, _ in found for x in p], np.concatenate([s for _, s in found]) if found else np.zeros(0)
-            return pa.StructArray.from_arrays([pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["pred", "score"])
+            found = [x for part in chunks(texts, CHUNK) for x in predict(part, shared.value)]
+            columns = [pa.array([x[i] for x in found], t) for i, t in enumerate((pa.string(), pa.float64(), pa.float64()))]
+            return pa.StructArray.from_arrays(columns, ["pred", "best", "next"])
 
         return make
 
-    return append_from_text(docs, "_lang", "struct<pred: string, score: double>", start)
+    return append_from_text(docs, name, "struct<pred: string, best: double, next: double>", start)
+
+
+def identify(docs: DataFrame, models: DataFrame, most: int = MODEL_BYTES) -> DataFrame:
+    """The columns of docs, and _lang struct<pred, score>: the language of every whole text, by the models of learn.
+
+    score: the losers' best bits against the winner's, from 0.5 up; 1 where only one language is known. Null texts,
+    texts without a letter and, without models, all texts are `und` with score 0; equal bits go to the smaller language
+    name. Rows are handled one by one, so repeated rows, an empty table and other columns, whatever their names, pass
+    through (only _lang is replaced). Long texts are parsed whole. Languages whose automata have over `most` bytes
+    together are tried in groups, one pass of all documents each.
+    """
+    name, other = "_lang", "_lang_next"
+    while other in docs.columns:
+        other += "_"
+    out, known = docs.drop(name), groups(models, most)
+    if not known:
+        return out.withColumn(name, F.struct(F.lit(UNKNOWN).alias("pred"), F.lit(0.0).alias("score")))
+    for i, langs in enumerate(known):
+        if i:
+            out = with_predictions(materialize(out, "lang-group"), loaded(models, langs), other)
+            was, now = F.col(name), F.col(other)
+            best = F.when(now["best"] < was["best"], now["pred"]).otherwise(was["pred"]).alias("pred"), F.least(was["best"], now["best"]).alias("best")
+            second = F.least(F.greatest(was["best"], now["best"]), was["next"], now["next"]).alias("next")
+            out = out.withColumn(name, F.struct(*best, second)).drop(other)
+        else:
+            out = with_predictions(out, loaded(models, langs), name)
+    x = F.col(name)
+    one = F.when(x["next"] == float("inf"), 1.0).when(x["best"] + x["next"] > 0, x["next"] / (x["best"] + x["next"])).otherwise(0.5)
+    score = F.when(x["pred"] == UNKNOWN, 0.0).otherwise(one)
+    return out.withColumn(name, F.struct(x["pred"].alias("pred"), score.alias("score")))

@@ -54,8 +54,9 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = fold(F.col("doc_id"), 4) == 2
-    model = langid.learn(langid.sample(docs.filter(~held_out)))
-    return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), F.col("_lang.pred").alias("lang_pred"), F.col("_lang.score").alias("score"))
+    models = langid.learn(docs.filter(~held_out))
+    done = langid.identify(docs.select("doc_id", "text"), models)
+    return done.select("doc_id", held_out.alias("held_out"), F.col("_lang.pred").alias("lang_pred"), F.col("_lang.score").alias("score"))
 
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
