@@ -20,8 +20,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents whose language can't be told (null text, no letter) go; lang becomes the language found.
 
     Where no document says its language, none can be learned and all go."""
-    model = langid.learn(langid.sample(docs.filter(fold(F.col("doc_id"), 4) != 2)))
-    found = langid.identify(docs, model).filter(F.col("_lang.pred") != langid.UNKNOWN)
+    models = langid.learn(docs.filter(fold(F.col("doc_id"), 4) != 2))
+    found = langid.identify(docs, models).filter(F.col("_lang.pred") != langid.UNKNOWN)
     return found.select(*[F.col("_lang.pred").alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
 
 
