@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import append_from_text, broadcast_if_small, chunks, materialize
+from tickloom.llm.common import append_from_text, broadcast_if_small, chunks, materialize, tidy_worker
 
 #: Bounds of the labelled sample of each language: whole texts, and their characters in all.
 SAMPLE_ROWS, SAMPLE_CHARS = 64, 300_000
@@ -282,6 +282,7 @@ def learn(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -
         frame = frame.sort_values(["draw", "text"])
         made = automaton(frame["text"].tolist())
         row = {"lang": frame["lang"].iloc[0], "letters": made.letters, "chars": made.chars, "bytes": made.nbytes}
+        tidy_worker()
         return pd.DataFrame([row | {k: getattr(made, k).tobytes() for k in ARRAYS}])
 
     schema = f"lang string, letters string, chars long, bytes long, {', '.join(f'{k} binary' for k in ARRAYS)}"

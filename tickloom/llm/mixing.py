@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import broadcast_if_small, materialize, n_words
+from tickloom.llm.common import broadcast_if_small, fresh, materialize, n_words
 
 MAX_REPEAT = 3
 SEED = "mix-1"
@@ -47,22 +47,29 @@ def mix_plan(docs: DataFrame, max_repeat: int = MAX_REPEAT, seed: str = SEED) ->
 
     docs needs doc_id, text, source; other columns pass through whatever their names (only _mix is replaced).
     Null or wordless texts have size 0 and follow their source's rate; a source without words has rate 0. Rows that
-    are equal in every column take the same draw. An empty table gives an empty table.
+    are equal in every column take the same draw. Whole texts are counted, however long. An empty table gives an empty
+    table.
     """
     docs = docs.drop("_mix")
     size = n_words(F.col("text"))
     sizes = docs.groupBy("source").agg(F.sum(size).alias("source_size"))
     targets = materialize(source_targets(sizes, max_repeat=max_repeat), "mix-targets")
-    t = broadcast_if_small(targets.select(F.struct("source", "source_size", "target", "rate").alias("_t")))
-    out = docs.withColumn("_size", size).join(t, F.col("source").eqNullSafe(F.col("_t.source")), "left")
-    whole = F.floor("_t.rate").cast("long")
-    extra = (coin(F.col("doc_id"), F.col("source"), F.col("_size"), seed) < F.col("_t.rate") - whole).cast("long")
-    mix = F.struct(F.col("_size").alias("size"), F.col("_t.source_size").alias("source_size"), F.col("_t.target").alias("target"), F.col("_t.rate").alias("rate"), (whole + extra).alias("copies"))
-    return out.withColumn("_mix", mix).select(*[F.col(f"`{c}`") for c in docs.columns], "_mix")
+    t = fresh(docs, "_t")
+    found = broadcast_if_small(targets.select(F.struct("source", "source_size", "target", "rate").alias(t)))
+    plan, rate = F.col(t), F.col(t)["rate"]
+    whole = F.floor(rate).cast("long")
+    own = fresh(docs, "_own_size")
+    extra = (coin(F.col("doc_id"), F.col("source"), F.col(own), seed) < rate - whole).cast("long")
+    out = docs.withColumn(own, size).join(found, F.col("source").eqNullSafe(plan["source"]), "left")
+    mix = F.struct(F.col(own).alias("size"), plan["source_size"].alias("source_size"), plan["target"].alias("target"), rate.alias("rate"), (whole + extra).alias("copies"))
+    return out.withColumn("_mix", mix).drop(own, t)
 
 
 def mix_sources(docs: DataFrame, max_repeat: int = MAX_REPEAT, seed: str = SEED) -> DataFrame:
-    """The mix itself: the columns of docs, each document as many times as its plan says."""
+    """The mix itself: the columns of docs, each document as many times as its plan says.
+
+    What mix_plan says of nulls, long and repeated texts, empty tables and other columns holds here too."""
     planned = mix_plan(docs, max_repeat, seed)
+    copy = fresh(docs, "_copy")
     copies = F.explode(F.array_repeat(F.lit(1), F.col("_mix.copies").cast("int")))
-    return planned.filter("_mix.copies > 0").select(*[F.col(f"`{c}`") for c in docs.columns if c != "_mix"], copies.alias("_copy")).drop("_copy")
+    return planned.filter("_mix.copies > 0").withColumn(copy, copies).drop(copy, "_mix")

@@ -1,27 +1,35 @@
 """Surrogates for personal data, with DataFrame functions only.
 
-Entities are found by one pattern, brought to a canonical form and replaced by keyed surrogates of the same type:
-digits by digits in the same layout, letters by letters of the same case, card numbers and IBANs with right check
-digits, addresses in reserved domains, names of the same gender and script. One entity has one surrogate everywhere in
-the corpus (coreference). All distinct entities are then checked: where a surrogate meets another one, or equals a real
-entity, it is drawn again (distinctness). What still collides after MAX_DRAWS draws gets a number of its own, which is
-written into its surrogate, so that even full spaces (one-letter mailboxes, 192.168.x.y) have values for all.
+Entities are found by one pattern, brought to a canonical form and replaced by surrogates of the same type, drawn from a
+keyed hash (HMAC-SHA256 of the caller's key): digits by digits in the same layout, letters by letters of the same case,
+card numbers and IBANs with right check digits, addresses in reserved domains, names of the same gender and script. One
+entity has one surrogate everywhere in the corpus (coreference). All distinct entities are then checked: where a
+surrogate meets another one, or equals a real entity, it is drawn again (distinctness). What still collides after
+MAX_DRAWS draws gets a number of its own, which is written into its surrogate, so that even full spaces (one-letter
+mailboxes, 192.168.x.y) have values for all.
+
+A name is found by its title (Latin and Cyrillic script). It is two entities: the family name, and the given names
+within that family; so the Smiths of a corpus keep one family name. In a text with a titled name, its mentions without
+title are replaced too.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import materialize
+from tickloom.llm.common import broadcast_if_small, materialize
 
-KEY = "surrogates-1"
 #: Draws from hashes; from there on, draw - MAX_DRAWS is a number that no other entity has.
 MAX_DRAWS = 12
 #: Between rounds of numbers, the next one grows by this factor, so that dense ranges of real entities are soon left.
 LEAP = 16
-#: More redrawn entities than these are joined to the documents instead of being broadcast.
-MAX_BROADCAST = 20_000
+#: Up to so many redrawn entities are held in one map; more are joined to the texts that mention them.
+MAX_MAP = 1000
 
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9-])"
@@ -32,20 +40,30 @@ CARD = r"(?<![\d-])(?:[3-6]\d{3}([ -]?)\d{4}\1\d{4}\1\d{4}|3[47]\d{2}[ -]?\d{6}[
 SSN = r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d-])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{3,4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\d.-])\d{3}-\d{3}-\d{4}(?![\d-])"
-#: Titles by gender; a name has one or two capitalised words after its title.
-HE, SHE = r"Mr|Herr|Señor|Sr|Monsieur|господин|г-н", r"Mrs|Ms|Miss|Frau|Señora|Sra|Madame|Mme|госпожа|г-жа"
-NAME = rf"(?<![\p{{L}}])(?:{HE}|{SHE})\.? \p{{Lu}}\p{{Ll}}{{1,30}}(?: \p{{Lu}}\p{{Ll}}{{1,30}})?(?!\p{{L}})"
+#: Titles by gender; a name has one to three capitalised words after its title, hyphens and apostrophes included.
+HE = "Mr|Mister|Herr|Señor|Sr|Monsieur|Signor|господин|г-н"
+SHE = "Mrs|Ms|Miss|Frau|Señora|Señorita|Sra|Srta|Madame|Mademoiselle|Mme|Mlle|Signora|госпожа|г-жа"
+BOTH = "Dr|Prof|Professor|Doctor|доктор|профессор"
+PART = r"\p{Lu}(?:['’]\p{Lu})?\p{Ll}\p{L}{0,29}(?:[-'’]\p{Lu}\p{L}{1,29}){0,2}"
+NAME = rf"(?<![\p{{L}}])(?:{HE}|{SHE}|{BOTH})\.? {PART}(?: {PART}){{0,2}}(?!\p{{L}})"
 #: Each alternative after a look at its first characters, so that most positions fail at once.
-ANY = "|".join((f"(?=[^\\s@]){EMAIL}", f"(?=[pPsStTaA]){SECRET}", f"(?=AKIA){AWS}", f"(?=[HMFSг]){NAME}", rf"(?=[A-Z]{{2}}\d){IBAN}", rf"(?=\d){SSN}", f"(?=[3-6]){CARD}", rf"(?=\d){IP}", rf"(?=[+(\d])(?:{PHONE})"))
+ANY = "|".join((f"(?=[^\\s@]){EMAIL}", f"(?=[pPsStTaA]){SECRET}", f"(?=AKIA){AWS}", f"(?=[DFHMPSгдп]){NAME}", rf"(?=[A-Z]{{2}}\d){IBAN}", rf"(?=\d){SSN}", f"(?=[3-6]){CARD}", rf"(?=\d){IP}", rf"(?=[+(\d])(?:{PHONE})"))
 
-#: First names by gender and script, and syllables of which family names are made.
+#: First names by gender (u: either) and script, and syllables of which family names are made.
 FIRST = {
-    ("m", "latin"): "Adam Bruno Carl David Erik Felix Georg Hugo Ivan Jonas Karl Leon Marco Nils Oscar Paul".split(),
-    ("f", "latin"): "Anna Berta Clara Diana Elena Flora Greta Helen Irene Julia Karin Laura Maria Nora Olga Paula".split(),
-    ("m", "cyrillic"): "Антон Борис Виктор Глеб Денис Егор Игорь Олег".split(),
-    ("f", "cyrillic"): "Анна Вера Дарья Елена Ирина Ольга Софья Юлия".split(),
+    ("m", "latin"): "adam bruno carl david erik felix georg hugo ivan jonas karl leon marco nils oscar paul".split(),
+    ("f", "latin"): "anna berta clara diana elena flora greta helen irene julia karin laura maria nora olga paula".split(),
+    ("u", "latin"): "alex robin kim sascha noel toni charlie dominique jean jo luca marian nikita quinn sam val".split(),
+    ("m", "cyrillic"): "антон борис виктор глеб денис егор игорь олег".split(),
+    ("f", "cyrillic"): "анна вера дарья елена ирина ольга софья юлия".split(),
+    ("u", "cyrillic"): "саша женя валя слава".split(),
 }
 SYLLABLES = {"latin": "ba do fe gi ka lo mi na pe ro sa ti ve wi za lu".split(), "cyrillic": "ба до ве ги ка ло ми на пе ро са ти бу зе ра лу".split()}
+#: First names that tell the gender where the title doesn't, beside those of FIRST.
+KNOWN = {
+    "m": "john james robert michael william thomas george peter hans klaus wolfgang pierre michel luis carlos josé juan antonio сергей иван алексей".split(),
+    "f": "mary linda susan sarah emma jennifer elizabeth ursula sabine monika marie sophie claire carmen ana lucía maría isabel мария наталья татьяна".split(),
+}
 
 
 def chars(s: Column) -> Column:
@@ -58,6 +76,11 @@ def byte(h: Column, i: Column | int) -> Column:
     return F.conv(F.substring(h, (F.pmod(at, F.lit(32)) * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def pick(values: str | list[str], n: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), (n % len(values) + 1).cast("int"))
 
@@ -120,7 +143,7 @@ def kind_of(m: Column) -> Column:
     iban = remainder97(F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.substring(plain, 1, 4))) == 1
     return (
         F.when(m.contains("@"), "email").when(m.rlike(f"^{AWS}$"), "aws").when(m.rlike("^(?i:password|passwd|pwd|secret|token|api)"), "secret")
-        .when(m.rlike(rf"^(?:{HE})\.? "), "name_m").when(m.rlike(rf"^(?:{SHE})\.? "), "name_f").when(m.rlike("^[A-Z]{2}"), F.when(iban, "iban"))
+        .when(m.rlike(rf"^(?:{HE})\.? "), "name_m").when(m.rlike(rf"^(?:{SHE})\.? "), "name_f").when(m.rlike(rf"^(?:{BOTH})\.? "), "name_u").when(m.rlike("^[A-Z]{2}"), F.when(iban, "iban"))
         .when(m.rlike(f"^{SSN}$"), "ssn").when(m.rlike(f"^(?:{CARD})$"), F.when(luhn_sum(digits, 0) % 10 == 0, "card")).when(m.rlike(f"^{IP}$"), "ip").otherwise("phone")
     )
 
@@ -138,16 +161,59 @@ def canonical(m: Column, kind: Column) -> Column:
     )
 
 
-def digest(*parts: Column) -> Column:
-    return F.sha2(F.concat_ws("|", F.lit(KEY), *parts).cast("binary"), 256)
+def keyed(key: bytes) -> Callable[..., Column]:
+    """HMAC-SHA256 with key, as a function of columns to a hex digest."""
+    block = (key if len(key) <= 64 else hashlib.sha256(key).digest()).ljust(64, b"\0")
+    inner, outer = (F.lit(bytearray(x ^ pad for x in block)) for pad in (0x36, 0x5C))
+
+    def digest(*parts: Column) -> Column:
+        return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.concat_ws("|", *parts).cast("binary")), 256))), 256)
+
+    return digest
+
+
+def family_of(kind: Column, c: Column) -> Column:
+    """The family name of a name's canonical form; a Russian woman's without its ending."""
+    last = F.regexp_extract(c, r"(\S+)$", 1)
+    return F.when((kind == "name_f") & last.rlike(r"\p{IsCyrillic}{2}а$"), F.regexp_replace(last, "а$", "")).otherwise(last)
 
 
-def surrogate_core(kind: Column, c: Column, draw: Column) -> Column:
-    """The surrogate's canonical form: a function of type, canonical form and draw alone. From MAX_DRAWS on it holds the
-    number draw - MAX_DRAWS: in place of digits where it fits, else in a longer form (addresses: a wider range)."""
-    h = digest(kind, c, draw.cast("string"))
-    digits = F.regexp_replace(c, "[^0-9]", "")
-    wide, n = draw >= MAX_DRAWS, draw.cast("long") - MAX_DRAWS
+def given_kind(kind: Column, c: Column) -> Column:
+    """given_m, given_f or given_u: by the first name where it is known, else by the title."""
+    first = F.substring_index(c, " ", 1)
+    known = {g: [*KNOWN[g], *FIRST[g, "latin"], *FIRST[g, "cyrillic"]] for g in "mf"}
+    return F.when(first.isin(known["m"]), "given_m").when(first.isin(known["f"]), "given_f").otherwise(F.concat(F.lit("given_"), F.substring(kind, -1, 1)))
+
+
+def given_of(kind: Column, c: Column) -> Column:
+    """The given names within their family."""
+    return F.concat(F.regexp_replace(c, r"\s*\S+$", ""), F.lit("|"), family_of(kind, c))
+
+
+def entities_of(x: Column) -> Column:
+    """array<struct<kind, c>>: what a mention stands for."""
+    one = lambda kind, c: F.array(F.struct(kind.alias("kind"), c.alias("c")))
+    kind, c = x["kind"], x["c"]
+    family = one(F.lit("family"), family_of(kind, c))
+    name = F.when(c.contains(" "), F.concat(family, one(given_kind(kind, c), given_of(kind, c)))).otherwise(family)
+    return F.when(kind.startswith("name"), name).when(kind.isNotNull(), one(kind, c))
+
+
+def surrogate_core(kind: Column, c: Column, draw: Column, key: bytes) -> Column:
+    """The surrogate's canonical form: a function of type, canonical form, draw and key alone. From MAX_DRAWS on it holds
+    the number draw - MAX_DRAWS: in place of digits where it fits, else in a longer form (addresses: a wider range)."""
+    digest = keyed(key)
+    at = F.substring_index(c, "@", -1)
+    given = F.struct(
+        kind.alias("kind"), c.alias("c"), draw.cast("long").alias("draw"), digest(kind, c, draw.cast("string")).alias("h"),
+        F.regexp_replace(c, "[^0-9]", "").alias("digits"), F.when(kind == "email", digest(F.lit("domain"), at)).alias("domain"),
+    )
+    return let(given, _by_kind)
+
+
+def _by_kind(x: Column) -> Column:
+    kind, c, h, digits, domain = (x[k] for k in ("kind", "c", "h", "digits", "domain"))
+    wide, n = x["draw"] >= MAX_DRAWS, x["draw"] - MAX_DRAWS
 
     def added(x: Column) -> Column:
         return F.when(wide, x).otherwise("")
@@ -162,34 +228,51 @@ def surrogate_core(kind: Column, c: Column, draw: Column) -> Column:
     def numbers(keep: int) -> Column:
         return ending(drawn(keep), F.length(digits), F.length(digits) - 1)
 
-    domain = digest(F.lit("domain"), F.substring_index(c, "@", -1))
     email = F.concat(like(F.substring_index(c, "@", 1), h), added(F.concat(F.lit("."), n.cast("string"))), F.lit("@"), *[pick("abcdefghijklmnopqrstuvwxyz", byte(domain, i)) for i in range(1, 8)], F.lit(".example.com"))
-    body = ending(drawn(1), F.length(digits) - 1, 10)
-    card = F.concat(body, ((10 - luhn_sum(body, 1) % 10) % 10).cast("string"))
+    card = let(ending(drawn(1), F.length(digits) - 1, 10), lambda body: F.concat(body, ((10 - luhn_sum(body, 1) % 10) % 10).cast("string")))
     inside = F.when(c.rlike(r"^10\."), "10").when(c.rlike(r"^127\."), "127").when(c.rlike(r"^192\.168\."), "192.168")
     ip = F.when(c.rlike(r"^192\.168\."), F.concat_ws(".", inside, byte(h, 2).cast("string"), byte(h, 3).cast("string"))).otherwise(F.concat_ws(".", F.coalesce(inside, (128 + byte(h, 1) % 40).cast("string")), *[byte(h, k).cast("string") for k in (2, 3, 4)]))
     part = lambda k: (F.shiftright(n, k) % 256).cast("string")
     reserved = F.when(c.rlike(r"^(10|192\.168)\.") & (n < 1 << 24), F.concat_ws(".", F.lit("10"), part(16), part(8), part(0))).when(n < 1 << 28, F.concat_ws(".", (240 + F.shiftright(n, 24)).cast("string"), part(16), part(8), part(0)))
     ip = F.when(wide, F.coalesce(reserved, F.concat(F.lit("2001:db8::"), *[x for k in (48, 32, 16, 0) for x in (F.lower(F.hex(F.shiftright(n, k) % 65536)), F.lit(":" if k else ""))]))).otherwise(ip)
-    country, rest = F.substring(c, 1, 2), ending(like(F.substring(c, F.lit(5), F.length(c)), h), F.length(c) - 4, 10)
-    iban = F.concat(country, F.lpad((98 - remainder97(F.concat(rest, country, F.lit("00")))).cast("string"), 2, "0"), rest)
-    cyrillic, female = c.rlike(r"\p{IsCyrillic}"), kind == "name_f"
-    family = digest(F.lit("family"), F.substring_index(c, " ", -1), draw.cast("string"))
+    country = F.substring(c, 1, 2)
+    checked = lambda rest: F.concat(country, F.lpad((98 - remainder97(F.concat(rest, country, F.lit("00")))).cast("string"), 2, "0"), rest)
+    iban = let(ending(like(F.substring(c, F.lit(5), F.length(c)), h), F.length(c) - 4, 10), checked)
+    cyrillic = c.rlike(r"\p{IsCyrillic}")
     figure = lambda i: F.conv(F.substring(F.hex(n), i, F.lit(1)), 16, 10).cast("int")
     spell = lambda s: lambda i: pick(SYLLABLES[s], figure(i))
     spelled = {s: added(F.array_join(F.transform(chars(F.hex(n)), spell(s)), "")) for s in SYLLABLES}
-    last = {s: F.initcap(F.concat(*[pick(SYLLABLES[s], byte(family, i)) for i in range(1, 5)], spelled[s], F.lit("н" if s == "cyrillic" else "n"))) for s in SYLLABLES}
-    last["cyrillic"] = F.concat(last["cyrillic"], F.when(female, "а").otherwise(""))
-    first = F.when(female, F.when(cyrillic, pick(FIRST["f", "cyrillic"], byte(h, 1))).otherwise(pick(FIRST["f", "latin"], byte(h, 1)))).otherwise(F.when(cyrillic, pick(FIRST["m", "cyrillic"], byte(h, 1))).otherwise(pick(FIRST["m", "latin"], byte(h, 1))))
-    name = F.concat(F.when(c.contains(" "), F.concat(first, F.lit(" "))).otherwise(""), F.when(cyrillic, last["cyrillic"]).otherwise(last["latin"]))
+    last = {s: F.concat(*[pick(SYLLABLES[s], byte(h, i)) for i in range(1, 5)], spelled[s], F.lit("н" if s == "cyrillic" else "n")) for s in SYLLABLES}
+    family = F.when(cyrillic, last["cyrillic"]).otherwise(last["latin"])
+
+    def first(i: int) -> Column:
+        by_kind = F.lit(None).cast("string")
+        for (g, script), names in FIRST.items():
+            by_kind = F.when((kind == f"given_{g}") & (cyrillic == (script == "cyrillic")), pick(names, byte(h, i))).otherwise(by_kind)
+        return by_kind
+
+    given = F.concat(first(1), F.when(cyrillic, spelled["cyrillic"]).otherwise(spelled["latin"]), F.when(F.substring_index(c, "|", 1).contains(" "), F.concat(F.lit(" "), first(2))).otherwise(""), F.lit("|"), F.substring_index(c, "|", -1))
     return (
         F.when(kind == "email", email).when(kind == "secret", F.concat(added(F.concat(n.cast("string"), F.lit("-"))), like(c, h, signs=True)))
         .when(kind == "aws", F.concat(F.lit("AKIA"), F.when(wide, F.translate(F.lpad(F.conv(n.cast("string"), 10, 32), 16, "0"), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")).otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(16)), lambda i: pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", byte(h, i))), ""))))
-        .when(kind.startswith("name"), name).when(kind == "iban", iban).when(kind == "ssn", numbers(0)).when(kind == "card", card).when(kind == "ip", ip)
+        .when(kind == "family", family).when(kind.startswith("given"), given).when(kind == "iban", iban).when(kind == "ssn", numbers(0)).when(kind == "card", card).when(kind == "ip", ip)
         .otherwise(F.when(c.startswith("+"), F.concat(F.lit("+"), numbers(1))).otherwise(numbers(0)))
     )
 
 
+def core_of(x: Column, draw: Callable[[Column, Column], Column], key: bytes) -> Column:
+    """The surrogate of a mention; draw(kind, c) is an entity's draw. Names: the given names, a blank, the family name."""
+    kind, c = x["kind"], x["c"]
+    made = F.transform(entities_of(x), lambda e: surrogate_core(e["kind"], e["c"], draw(e["kind"], e["c"]), key))
+    ending = F.when((kind == "name_f") & c.rlike(r"\p{IsCyrillic}{2}а$"), "а").otherwise("")
+
+    def put_together(s: Column) -> Column:
+        given = F.when(F.size(s) > 1, F.concat(F.substring_index(s[1], "|", 1), F.lit(" "))).otherwise("")
+        return F.when(kind.startswith("name"), F.initcap(F.concat(given, s[0], ending))).otherwise(s[0])
+
+    return let(made, put_together)
+
+
 def in_layout(m: Column, kind: Column, core: Column) -> Column:
     """The surrogate in the layout of the mention."""
     return (
@@ -201,7 +284,7 @@ def in_layout(m: Column, kind: Column, core: Column) -> Column:
 def may_have(text: Column) -> Column:
     """Whether a text has a character or a title without which none of the patterns matches."""
     out = text.rlike("[0-9@=:]") | text.contains("AKIA")
-    for title in f"{HE}|{SHE}".split("|"):
+    for title in f"{HE}|{SHE}|{BOTH}".split("|"):
         out = out | text.contains(title)
     return out
 
@@ -213,14 +296,26 @@ def mentions(text: Column) -> Column:
     return F.transform(with_kind, lambda x: F.struct(x["m"].alias("m"), x["kind"].alias("kind"), canonical(x["m"], x["kind"]).alias("c")))
 
 
-def draws(entities: DataFrame) -> DataFrame:
+def counted_through(rows: DataFrame, start: int, parts: int = 1024) -> DataFrame:
+    """rows (kind, c) with draw: numbers from start on, each once, by parts of the rows' hash and by place in their part."""
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("kind", "c"), F.lit(parts)))
+    before = F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+    offsets = dealt.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(before, F.lit(0)).alias("before"))  # a row for each part
+    place = F.row_number().over(W.partitionBy("part").orderBy("kind", "c"))
+    return dealt.withColumn("place", place).join(F.broadcast(offsets), "part").select("kind", "c", (F.col("before") + F.col("place") - 1 + start).cast("long").alias("draw"))
+
+
+def draws(entities: DataFrame, key: bytes) -> DataFrame:
     """entities (kind, c, distinct) -> those (kind, c, draw) whose first surrogate is taken, with the draw that is free.
 
     Of the entities with one surrogate the smallest keeps it; the others, and those whose surrogate is itself an entity,
     draw again until nothing collides. Only the colliding ones go into a further round. From MAX_DRAWS on they are counted
     through, and each draw is a number that no entity had before: forms with it are without end."""
     real = entities.select("kind", F.col("c").alias("s"), F.lit(True).alias("real"))
-    given = materialize(entities.withColumn("s", surrogate_core(F.col("kind"), F.col("c"), F.lit(0))).withColumn("draw", F.lit(0).cast("long")), "pii-given")
+    own = lambda df: df.withColumn("s", surrogate_core(F.col("kind"), F.col("c"), F.col("draw"), key)).select("kind", "c", "s", "draw")
+    tasks = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = entities.repartition(tasks, "kind", "c").withColumn("draw", F.lit(0).cast("long"))  # small rows, long work
+    given = materialize(own(dealt), "pii-given")
     settled, tested, draw, start = None, given, 0, 0
     while True:
         first = given.groupBy("kind", "s").agg(F.min(F.struct("draw", "c")).alias("first"))
@@ -233,43 +328,76 @@ def draws(entities: DataFrame) -> DataFrame:
         if draw < MAX_DRAWS:
             numbered = clash.withColumn("draw", F.lit(draw).cast("long"))
         else:
-            first_number = MAX_DRAWS + start
-            ranked = clash.orderBy("kind", "c").rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], first_number + x[1]))
-            numbered = materialize(clash.sparkSession.createDataFrame(ranked, "kind string, c string, draw long"), "pii-numbered")
+            numbered = materialize(counted_through(clash, MAX_DRAWS + start), "pii-numbered")
             start = (start + left) * LEAP
-        tested = materialize(numbered.withColumn("s", surrogate_core(F.col("kind"), F.col("c"), F.col("draw"))).select("kind", "c", "s", "draw"), "pii-redrawn")
+        tested = materialize(own(numbered), "pii-redrawn")
         given = given.join(clash, ["kind", "c"], "left_anti").unionByName(tested)
         if draw % 4 == 0:  # plans stay short
             given, settled = materialize(given, "pii-given"), materialize(settled, "pii-settled")
 
 
-def replace_entities(docs: DataFrame) -> DataFrame:
-    """The columns of docs with text replaced, and _pii (long): the number of entities replaced in it.
+def name_map(found: Column) -> Column:
+    """map<string, string> of a text's titled names and their family names, as they stand without title, to surrogates;
+    found: array of its mentions (m, kind, core)."""
+    bare = lambda x: F.regexp_replace(x["m"], TITLE, "")
+    last = lambda s: F.regexp_extract(s, r"(\S+)$", 1)
+    pair = lambda k, v: F.struct(k.alias("key"), v.alias("value"))
+    names = F.filter(found, lambda x: F.coalesce(x["kind"].startswith("name"), F.lit(False)))
+    pairs = F.flatten(F.transform(names, lambda x: F.array(pair(bare(x), x["core"]), pair(last(bare(x)), last(x["core"])))))
+    return F.aggregate(pairs, F.expr("cast(map() as map<string, string>)"), lambda acc, p: F.when(F.map_contains_key(acc, p["key"]), acc).otherwise(F.map_concat(acc, F.create_map(p["key"], p["value"]))))
+
+
+def with_names(gap: Column, names: Column, pattern: Column) -> Column:
+    """struct<text, n>: the text between mentions with untitled names replaced, and their number."""
+    hits = F.regexp_extract_all(gap, pattern, F.lit(0))
+    new = F.transform(hits, lambda h: F.element_at(names, h))
+    text = F.array_join(F.zip_with(F.split(gap, pattern, -1), F.concat(new, F.array(F.lit(""))), lambda g, s: F.concat(g, s)), "")
+    return F.struct(F.when(F.size(hits) > 0, text).otherwise(gap).alias("text"), F.size(hits).alias("n"))
+
+
+def replace_entities(docs: DataFrame, key: bytes) -> DataFrame:
+    """The columns of docs with text replaced, and _pii (long): the number of mentions replaced in it.
 
-    Null texts stay null and empty ones empty, with 0 entities; a text without entities stays as it is. Rows are handled
-    by their text alone, so repeated rows get equal results and other columns, whatever their names, pass through (only
-    _pii is replaced). An empty table gives an empty table.
+    key: the secret of which the surrogates are drawn; the same key gives the same surrogates for the same corpus. (It is
+    part of the query plan: keep event logs as secret as the key.) Null texts stay null and empty ones empty, with 0
+    mentions; a text without entities stays as it is; long texts are searched whole. Rows are handled by their text
+    alone, so repeated rows get equal results and other columns, whatever their names, pass through (only _pii is
+    replaced). An empty table gives an empty table. No input makes it fail: surrogates that run out get longer.
     """
     docs = docs.drop("_pii")
-    others = [c for c in docs.columns if c != "text"]
-    found = docs.select(F.explode(mentions(F.col("text"))).alias("x")).select("x.kind", "x.c").filter("kind is not null").distinct()
-    again = materialize(draws(materialize(found, "pii-entities")), "pii-draws")
-    name = F.concat_ws("|", "kind", "c")
-    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("_row") if others else F.struct(F.lit(0)).alias("_row"), F.col("text").alias("_text"), mentions(F.col("text")).alias("_found"))
-    if again.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
-        table = again.agg(F.map_from_entries(F.collect_list(F.struct(name.alias("k"), F.col("draw").alias("v")))).alias("_draws"))
-        marked = marked.crossJoin(F.broadcast(table))  # one row
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    marked = docs.select(row.alias("_row"), F.col("text").alias("_text"), mentions(F.col("text")).alias("_found"))
+    all_entities = F.flatten(F.transform(F.filter("_found", lambda x: x["kind"].isNotNull()), entities_of))
+    found = marked.select(F.explode(all_entities).alias("x")).select("x.kind", "x.c").distinct()
+    again = materialize(draws(materialize(found, "pii-entities"), key), "pii-draws")
+    name = lambda kind, c: F.concat_ws("|", kind, c)
+    entry = F.struct(name(F.col("kind"), F.col("c")).alias("key"), F.col("draw").alias("value"))
+    redrawn = again.limit(MAX_MAP + 1).count()
+    if redrawn == 0:
+        marked = marked.withColumn("_draws", F.expr("cast(null as map<string, bigint>)"))
+    elif redrawn <= MAX_MAP:
+        marked = marked.crossJoin(F.broadcast(again.agg(F.map_from_entries(F.collect_list(entry)).alias("_draws"))))  # one row
     else:
-        key = F.sha2(F.col("_text").cast("binary"), 256)
-        pairs = marked.filter(F.size("_found") > 0).select(key.alias("_key"), F.explode("_found").alias("x")).select("_key", "x.kind", "x.c").join(again, ["kind", "c"]).distinct()
-        table = pairs.groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct(name.alias("k"), F.col("draw").alias("v")))).alias("_draws"))
-        marked = marked.join(table, key == F.col("_key"), "left")
-    draw = lambda x: F.coalesce(F.element_at("_draws", F.concat_ws("|", x["kind"], x["c"])), F.lit(0))
-    cores = F.transform("_found", lambda x: F.struct(x["m"].alias("m"), x["kind"].alias("kind"), surrogate_core(x["kind"], x["c"], draw(x)).alias("core")))
-    new = F.transform(cores, lambda x: F.when(x["kind"].isNull(), x["m"]).otherwise(in_layout(x["m"], x["kind"], x["core"])))
+        text_key = F.when(F.size("_found") > 0, F.sha2(F.col("_text").cast("binary"), 256))
+        pairs = marked.select(text_key.alias("_key"), F.explode(all_entities).alias("x")).select("_key", "x.kind", "x.c").distinct().join(again, ["kind", "c"])
+        by_text = pairs.groupBy("_key").agg(F.map_from_entries(F.collect_list(entry)).alias("_draws"))
+        marked = marked.withColumn("_own", text_key).join(broadcast_if_small(materialize(by_text, "pii-by-text")), F.col("_own") == F.col("_key"), "left")
+    draw = lambda kind, c: F.coalesce(F.element_at("_draws", name(kind, c)), F.lit(0).cast("long"))
+    cores = F.transform("_found", lambda x: F.struct(x["m"].alias("m"), x["kind"].alias("kind"), core_of(x, draw, key).alias("core")))
+    named = F.exists("_found", lambda x: F.coalesce(x["kind"].startswith("name"), F.lit(False)))
+    made = marked.select("_row", "_text", cores.alias("_cores"), named.alias("_named"))
+    made = made.withColumn("_names", F.when(F.col("_named"), name_map(F.col("_cores"))))
+    longest = F.array_sort(F.map_keys("_names"), lambda a, b: F.length(b) - F.length(a))
+    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join(longest, "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    made = made.withColumn("_pattern", F.when(F.col("_named"), pattern))
     gaps = F.split("_text", ANY, -1)
-    rebuilt = F.array_join(F.zip_with(gaps, F.concat(new, F.array(F.lit(""))), lambda g, s: F.concat(g, s)), "")
-    text = F.when(F.size("_found") > 0, rebuilt).otherwise(F.col("_text"))
-    count = F.when(F.size("_found") > 0, F.size(F.filter("_found", lambda x: x["kind"].isNotNull()))).otherwise(0).cast("long")
-    columns = [text.alias("text") if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns]
-    return marked.select(*columns, count.alias("_pii"))
+    plain = F.transform(gaps, lambda g: F.struct(g.alias("text"), F.lit(0).alias("n")))
+    between = F.when(F.col("_named"), F.transform(gaps, lambda g: with_names(g, F.col("_names"), F.col("_pattern")))).otherwise(plain)
+    made = made.withColumn("_gaps", F.when(F.size("_cores") > 0, between))
+    new = F.transform("_cores", lambda x: F.when(x["kind"].isNull(), x["m"]).otherwise(in_layout(x["m"], x["kind"], x["core"])))
+    rebuilt = F.array_join(F.zip_with("_gaps", F.concat(new, F.array(F.lit(""))), lambda g, s: F.concat(g["text"], s)), "")
+    text = F.when(F.size("_cores") > 0, rebuilt).otherwise(F.col("_text"))
+    untitled = F.aggregate("_gaps", F.lit(0), lambda n, g: n + g["n"])
+    count = F.when(F.size("_cores") > 0, F.size(F.filter("_cores", lambda x: x["kind"].isNotNull())) + untitled).otherwise(0).cast("long")
+    columns = [text.alias("text") if c == "text" else F.col(f"_row.c{i}").alias(c) for i, c in enumerate(docs.columns)]
+    return made.select(*columns, count.alias("_pii"))

@@ -33,8 +33,13 @@ FROM e GROUP BY conv_id
 """
 
 
+def surrogate_key(spark: SparkSession) -> bytes:
+    """The key of the surrogates: the session's spark.tickloom.surrogateKey, or one for demonstrations, which is no secret."""
+    return spark.conf.get("spark.tickloom.surrogateKey", "demonstration").encode()
+
+
 def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = pii.replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    done = pii.replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"), surrogate_key(spark))
     return done.select("doc_id", "text", F.col("_pii").alias("n_entities"))
 
 
