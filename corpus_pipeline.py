@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm import langid, mixing, neardup, pii, spm
 from tickloom.llm.common import broadcast_if_small, fold, materialize, table
+from tickloom.llm.queries import surrogate_key
 
 #: Pairs of this similarity (in percent) are near-duplicates here.
 SIMILAR = 80
@@ -33,7 +34,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def replace_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in text becomes surrogates; n_chars follows."""
-    done = pii.replace_entities(docs)
+    done = pii.replace_entities(docs, surrogate_key(spark))
     length = F.when(F.col("n_chars").isNotNull(), F.length("text")).cast(docs.schema["n_chars"].dataType)
     return done.select(*[length.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
