@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.operators import backtest, genomes, metrics, recurrence, runs
+from tickloom.operators import backtest, genomes, metrics, recurrence, runs, strategies
 from tickloom.sources import bars as sources
 from tickloom.streaming import bars as streams
 
@@ -56,17 +56,17 @@ def test_range_filter_stays_within_its_range(walk):
 
 
 def test_fold_accounts_for_every_trade(walk):
-    s = backtest.STRATEGIES["ema_cross"](walk, {"fast": 5, "slow": 20})
-    done = backtest.fold(walk, s, 10_000.0, 10.0, 0.0004, 0.0, 1)
+    rules = strategies.STRATEGIES["ema_cross"](strategies.Series(walk), {"fast": 5, "slow": 20})
+    done = backtest.fold(walk, rules, backtest.Orders())
     assert len(done) > 3
     equity = 10_000.0
-    for no, a, b, entry, leave, size, pnl, fee_in, fee_out, why in done:
-        assert a <= b and entry == walk["open"][a] and leave == walk["close"][b] and (s["exit"][b] or why == "end")
+    for no, side, kind, a, b, entry, leave, size, pnl, fee_in, fee_out, why in done:
+        assert a <= b and entry == round(walk["open"][a], 6) and leave == walk["close"][b] and (rules.exit[b] or why == "EOD") and side == "Long"
         assert np.isclose(size * entry, equity * 0.1)
         equity -= fee_in
         assert np.isclose(pnl, (leave - entry) * size - fee_out)
         equity += pnl
-    assert all(x[2] <= y[1] for x, y in zip(done, done[1:], strict=False))
+    assert all(x[3] <= y[4] for x, y in zip(done, done[1:], strict=False))
 
 
 def test_backtest_is_deterministic_and_rejects_unknown(spark, walk):

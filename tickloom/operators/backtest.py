@@ -6,7 +6,7 @@ something happens go on.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickloom.operators import recurrence as rec
+from tickloom.operators import strategies as st
 
 EVENTS = "symbol string, timeframe string, fast int, slow int, bar int, time timestamp_ntz, kind int, price double"
 
@@ -64,95 +65,93 @@ def cross_trades(events: DataFrame, fee: float = 0.0004, notional: float = 1000.
 
 # ---- strategies with state -------------------------------------------------------------------------------------------
 
-#: name -> function of (bars' arrays, parameters) to per-bar arrays: entry, exit, stop, target.
-STRATEGIES: dict[str, Callable[[dict, dict], dict]] = {}
 
+@dataclass
+class Orders:
+    """How signals become positions. order: percent (of the equity that no open position holds), cash (an amount) or
+    units; compound: percent of the running equity, not of the initial one; slip: added to what is bought and taken from
+    what is sold (ticks x tick size); pyramiding: open positions of one side at most; start: bar from which on signals
+    count (bars before it only warm indicators up)."""
 
-def strategy(name: str) -> Callable:
-    def keep(f: Callable) -> Callable:
-        STRATEGIES[name] = f
-        return f
+    initial: float = 10_000.0
+    value: float = 10.0
+    order: str = "percent"
+    compound: bool = True
+    fee: float = 0.0004
+    slip: float = 0.0
+    pyramiding: int = 1
+    start: int = 0
 
-    return keep
+    def size(self, price: float, equity: float, exposed: float) -> float:
+        base = equity - exposed if self.compound else max(self.initial - exposed, 0.0)
+        return {"percent": max(self.value / 100 * base / price, 0.0), "cash": max(self.value / price, 0.0), "units": self.value}[self.order]
 
 
-@strategy("ema_cross")
-def ema_cross(a: dict, p: dict) -> dict:
-    fast, slow = rec.ema(a["close"], int(p["fast"])), rec.ema(a["close"], int(p["slow"]))
-    was_below, was_above = np.r_[False, (fast <= slow)[:-1]], np.r_[False, (fast >= slow)[:-1]]
-    none = np.full(len(fast), np.nan)
-    return {"entry": was_below & (fast > slow), "exit": was_above & (fast < slow), "stop": none, "target": none}
-
-
-@strategy("rf_st")
-def range_and_trend(a: dict, p: dict) -> dict:
-    """Enters when range filter and supertrend turn up within 8 bars of each other; the stop is the supertrend's lower
-    band, the target a multiple of its distance."""
-    tr = rec.true_range(a["high"], a["low"], a["close"])
-    st = rec.supertrend((a["high"] + a["low"]) / 2, a["close"], rec.rma(tr, int(p.get("st_atr", 10)), compat=True), p.get("st_mult", 2.0))
-    rf = rec.range_filter(a["close"], rec.smooth_range(a["close"], int(p.get("rf_period", 20)), p.get("rf_mult", 2.0)))
-    n = np.arange(len(tr))
-
-    def since(flag: np.ndarray) -> np.ndarray:
-        at = np.maximum.accumulate(np.where(flag, n, -(10**9)))
-        return n - at
-
-    entry = (st["buy"] & (since(rf["flip_buy"]) <= 8)) | (rf["flip_buy"] & (since(st["buy"]) <= 8))
-    return {"entry": entry, "exit": st["sell"], "stop": st["up"], "target": a["close"] + p.get("rr", 1.5) * (a["close"] - st["up"])}
+def fold(a: dict, rules: st.Rules, o: Orders) -> list[tuple]:
+    """Trades of one run: a signal fills at the next bar's open, a position closes at its bar's close.
 
+    An exit closes the first position that its kind of entry opened, else the side's first one; one position a bar. What
+    is open at the last close ends there."""
+    equity, opened, done, pending = o.initial, {1: [], -1: []}, [], None
+    n = len(a["close"])
 
-def fold(a: dict, s: dict, initial: float, percent: float, fee: float, slip: float, pyramiding: int) -> list[tuple]:
-    """Trades of one run: a signal fills at the next bar's open, positions close first in, first out at a bar's close.
+    def close(i: int, side: int, at: int, price: float, size: float, kind: str, why: str) -> float:
+        out = a["close"][i] - side * o.slip
+        fee = out * o.fee * size
+        pnl = side * (out - price) * size - fee
+        done.append((len(done) + 1, "Long" if side > 0 else "Short", kind, at, i, price, out, size, pnl, price * o.fee * size, fee, why))
+        return pnl
 
-    A position is sized by a percentage of the equity that no open position holds, and compounds. Stop and target come
-    from the bar of the signal. The last bar closes what is open."""
-    equity, opened, done, pending = initial, [], [], -1
-    n = len(a["close"])
     for i in range(n):
-        if pending >= 0 and len(opened) < pyramiding:
-            price = a["open"][i] + slip
-            size = max(percent / 100 * (equity - sum(x[1] * x[2] for x in opened)) / price, 0.0)
-            equity -= price * fee * size
-            opened.append((i, price, size, s["stop"][pending], s["target"][pending]))
-        pending = -1
-        close = a["close"][i]
-        while opened and (i == n - 1 or s["exit"][i] or close < opened[0][3] or close > opened[0][4]):
-            at, price, size, stop, target = opened.pop(0)
-            why = "signal" if s["exit"][i] else "stop" if close < stop else "target" if close > target else "end"
-            pnl = (close - slip - price) * size - (close - slip) * fee * size
-            equity += pnl
-            done.append((len(done) + 1, at, i, price, close - slip, size, pnl, price * fee * size, (close - slip) * fee * size, why))
-            if i < n - 1:
-                break
-        if s["entry"][i] and len(opened) < pyramiding:
-            pending = i
+        if pending and i > o.start and len(opened[pending[0]]) < o.pyramiding:
+            side, kind = pending
+            price = round(a["open"][i] + side * o.slip, 6)
+            size = o.size(price, equity, sum(x[1] * x[2] for held in opened.values() for x in held))
+            equity -= price * o.fee * size
+            opened[side].append((i, price, size, kind))
+        pending = None
+        if (not rules.needs_position or any(opened.values())) and (exit_ := rules.leave(i)):
+            side, kind, why = exit_
+            if held := opened[side]:
+                at = next((k for k, x in enumerate(held) if x[3] == kind), 0)
+                equity += close(i, side, *held.pop(at), why)
+        if i >= o.start:
+            pending = rules.enter(i)
+    for side, held in opened.items():
+        for x in held:
+            close(n - 1, side, *x, "EOD")
     return done
 
 
-TRADES = "run_id long, trade_no int, entry_bar int, exit_bar int, entry_price double, exit_price double, size double, pnl double, entry_fee double, exit_fee double, exit_reason string"
+TRADES = (
+    "run_id long, trade_no int, side string, entry_type string, entry_bar int, exit_bar int, entry_price double, exit_price double, "
+    "size double, pnl double, entry_fee double, exit_fee double, exit_reason string"
+)
 
 
-def backtest(bars: DataFrame, runs: DataFrame, initial: float = 10_000.0, percent: float = 10.0, fee: float = 0.0004, slip: float = 0.0, pyramiding: int = 1) -> DataFrame:
+def backtest(bars: DataFrame, runs: DataFrame, orders: Orders | None = None, runs_per_block: int = 64) -> DataFrame:
     """bars and runs (run_id, symbol, timeframe, strategy, params map<string, double>) -> trades.
 
-    Runs of a series are dealt into blocks; each block meets its series once, in one group of the cogroup, so a task
-    holds one series and a block of parameter sets, and a sweep on a single symbol still spreads over the cluster."""
-    blocks = 16
-    unknown = [r["strategy"] for r in runs.select("strategy").distinct().collect() if r["strategy"] not in STRATEGIES]
+    Runs of a series are dealt into blocks of about runs_per_block; each block meets its series once, in one group of the
+    cogroup. So a task holds one series and a bounded number of parameter sets, a sweep on a single symbol spreads over
+    the cluster, and runs of a block share what they compute from equal parameters."""
+    unknown = [r["strategy"] for r in runs.select("strategy").distinct().collect() if r["strategy"] not in st.STRATEGIES]
     if unknown:
         raise ValueError(f"unknown strategies: {unknown}")
+    orders = orders or Orders()
     keys = ("symbol", "timeframe", "block")
     fresh = lambda df: df.select(*[F.col(c).alias(c) for c in df.columns])  # noqa: E731  both sides may stem from one table
-    dealt = fresh(runs.withColumn("block", F.pmod(F.xxhash64("run_id"), F.lit(blocks)).cast("int")))
+    blocks = runs.groupBy("symbol", "timeframe").agg(F.ceil(F.count("*") / runs_per_block).cast("int").alias("blocks"))
+    dealt = fresh(runs.join(blocks, ["symbol", "timeframe"]).withColumn("block", F.pmod(F.xxhash64("run_id"), F.col("blocks")).cast("int")).drop("blocks"))
     series = fresh(bars.join(dealt.select(*keys).distinct(), ["symbol", "timeframe"]))
 
     def run(frame: pd.DataFrame, sweep: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("time", kind="stable")
         a = {c: frame[c].to_numpy(float) for c in ("open", "high", "low", "close")}
-        out = []
+        known, out = st.Series(a), []
         for run_id, name, params in zip(sweep["run_id"], sweep["strategy"], sweep["params"], strict=True):
             if len(frame):
-                out += [(run_id, *t) for t in fold(a, STRATEGIES[name](a, dict(params)), initial, percent, fee, slip, pyramiding)]
+                out += [(run_id, *t) for t in fold(a, st.STRATEGIES[name](known, dict(params)), orders)]
         return pd.DataFrame(out, columns=[c.split()[0] for c in TRADES.split(", ")])
 
     return series.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInPandas(run, TRADES)

@@ -54,6 +54,16 @@ def seeded(x: np.ndarray, n: int, alpha: float, compat: bool = False) -> np.ndar
     return out
 
 
+def warmed(x: np.ndarray, n: int, alpha: float) -> np.ndarray:
+    """The mean of all values so far up to the n-th; then n + 1 values by n, once; then an exponential mean."""
+    total = np.cumsum(x)
+    out = total / np.arange(1, len(x) + 1)
+    if len(x) > n:
+        out[n] = total[n] / n
+        out[n + 1 :] = linear(alpha * x[n + 1 :], 1 - alpha, out[n])
+    return out
+
+
 def rma(x: np.ndarray, n: int, compat: bool = False) -> np.ndarray:
     return seeded(x, n, 1 / n, compat)
 

@@ -47,14 +47,38 @@ def optimize_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.filter("total_trades >= 5").withColumn("k", best).filter("k <= 5").select("symbol", "fast", "slow", "total_trades", "net_profit", "winrate")
 
 
+def _sweep(bars: DataFrame, strategy: str, sets: DataFrame) -> DataFrame:
+    """Every parameter set (id and its parameters) on every series; sets is as long as the sweep, not the data."""
+    names = [c for c in sets.columns if c != "id"]
+    params = F.create_map(*[x for c in names for x in (F.lit(c), F.col(c).cast("double"))])
+    series = bars.select("symbol", "timeframe").distinct().crossJoin(F.broadcast(sets))
+    run_id = (F.col("id") * 1000 + F.crc32(F.col("symbol").cast("binary")) % 1000).alias("run_id")
+    return series.select(run_id, "symbol", "timeframe", F.lit(strategy).alias("strategy"), params.alias("params"))
+
+
 @query("strategy_backtest")
 def strategy_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """500 runs (100 parameter sets on 5 symbols) folded, one row of summary each."""
+    """500 runs (100 parameter sets on 5 symbols) of the long strategy folded, one row of summary each."""
     bars = d.bars_walk(spark, sf_dir)
     k = F.col("id")
-    sets = spark.range(100).select((2 + k % 5).alias("st_atr"), (0.5 + (k % 10) * 0.25).alias("st_mult"), (10 + k % 20).alias("rf_period"), (0.5 + (k % 7) * 0.5).alias("rf_mult"), (1 + (k % 4) * 0.5).alias("rr"), "id")
-    params = F.create_map(*[x for c in ("st_atr", "st_mult", "rf_period", "rf_mult", "rr") for x in (F.lit(c), F.col(c).cast("double"))])
-    runs = bars.select("symbol", "timeframe").distinct().crossJoin(F.broadcast(sets)).select((F.col("id") * 1000 + F.abs(F.crc32(F.col("symbol").cast("binary"))) % 1000).alias("run_id"), "symbol", "timeframe", F.lit("rf_st").alias("strategy"), params.alias("params"))
-    t = b.backtest(bars, runs)
+    sets = spark.range(100).select(
+        (2 + k % 5).alias("st_atrPeriod"), (0.5 + (k % 10) * 0.25).alias("st_mult"), (10 + k % 20).alias("rf_period"), (0.5 + (k % 7) * 0.5).alias("rf_mult"),
+        (10 + k % 3 * 10).alias("sl_rf_period"), (1 + k % 4).alias("sl_rf_mult"), (1 + (k % 4) * 0.5).alias("tp_dual_rr_mult"), "id",
+    )
+    t = b.backtest(bars, _sweep(bars, "rf_st_rsi", sets))
     t = t.withColumn("equity", 10_000.0 + F.sum("pnl").over(m.by_trade()))
     return m.run_metrics(t, 10_000.0)
+
+
+@query("combined_backtest")
+def combined_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trades of the long and short strategy with orders of fixed cash, slippage and two positions a side."""
+    bars = d.bars_walk(spark, sf_dir)
+    k = F.col("id")
+    sets = spark.range(20).select(
+        (3 + k % 5).alias("st_atrPeriod"), (0.5 + (k % 4) * 0.5).alias("st_mult"), (10 + k % 10).alias("rf_period"), (0.5 + (k % 3) * 0.5).alias("rf_mult"),
+        (10 + k % 4).alias("rf_sl_period_L"), (2 + k % 3).alias("rf_sl_mult_L"), (0.5 + k % 2).alias("rr_mult_dual_L"), "id",
+    )
+    t = b.backtest(bars, _sweep(bars, "rf_st_rsi_combined", sets), b.Orders(order="cash", value=500.0, slip=0.01, pyramiding=2))
+    digits = [m.r6(F.col(c)).alias(c) for c in ("entry_price", "exit_price", "size", "pnl")]
+    return t.select("run_id", "trade_no", "side", "entry_type", "entry_bar", "exit_bar", *digits, "exit_reason")
