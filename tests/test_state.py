@@ -153,9 +153,46 @@ def test_diverse_genomes_are_found_below_a_crowded_top(spark):
     rng = np.random.default_rng(3)
     x = np.concatenate([0.5 + rng.random((600, 4)) * 0.01, rng.random((300, 4))])
     rows = [(i, float(1000 - i), v.tolist()) for i, v in enumerate(x)]
-    got = genomes.diverse(spark.createDataFrame(rows, "genome_id long, score double, vec array<double>"), 20).collect()
+    got = genomes.diverse(spark.createDataFrame(rows, "genome_id long, score double, vec array<double>"), 20, by="euclidean").collect()
     kept = []
     for i in range(len(x)):
         if len(kept) < 20 and all(np.sqrt(((x[k] - x[i]) ** 2).mean()) >= 0.15 for k in kept):
             kept.append(i)
     assert len(kept) == 20 and sorted(r["genome_id"] for r in got) == kept
+
+
+def test_all_apart_genomes_are_kept(spark):
+    """No limit; both distances; against the whole walk, over several rounds."""
+    rng = np.random.default_rng(5)
+    x = rng.random((700, 3))
+    rows = [(i, float(i % 97), v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "genome_id long, score double, vec array<double>")
+    for by, far in (("mean", lambda a, b: np.abs(a - b).mean()), ("euclidean", lambda a, b: np.sqrt(((a - b) ** 2).mean()))):
+        kept = []
+        for i in sorted(range(700), key=lambda i: (-(i % 97), i)):
+            if all(far(x[k], x[i]) >= 0.15 for k in kept):
+                kept.append(i)
+        got = [r["genome_id"] for r in genomes.diverse(df, candidates=60, by=by).collect()]
+        assert sorted(got) == sorted(kept) and len(kept) > 10
+
+
+def test_directional_matches_pandas(walk):
+    s = {k: pd.Series(v) for k, v in walk.items()}
+    up, down = s["high"].diff(), -s["low"].diff()
+    up = up.where((up > down) & (up > 0), 0)
+    down = down.where((down > up) & (down > 0), 0)
+    tr = pd.concat([s["high"] - s["low"], (s["high"] - s["close"].shift()).abs(), (s["low"] - s["close"].shift()).abs()], axis=1).max(axis=1)
+    mean = lambda x: x.ewm(span=14, adjust=False).mean()
+    ranges = mean(tr.rolling(14).mean())
+    p, m = 100 * mean(up) / ranges, 100 * mean(down) / ranges
+    adx = mean(100 * (p - m).abs() / (p + m + 1e-10))
+    for got, want in zip(recurrence.directional(walk["high"], walk["low"], walk["close"]), (adx, p, m), strict=True):
+        assert np.allclose(got, want, equal_nan=True)
+
+
+def test_queries_in_blocks_meet_all_rows(spark):
+    from tickloom.operators import leaderboard
+
+    rows, asked = spark.range(50), spark.range(23).select(F.col("id").alias("query_id"), F.array(F.lit(1.0)).alias("query_vec"))
+    got = leaderboard.against_all(rows, asked, per_block=5)
+    assert got.count() == 50 * 23 == got.select("id", "query_id").distinct().count()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -28,6 +28,17 @@ def scaled(v: Column, in_min: float, in_max: float, out_min: float = 0.0, out_ma
     return out_min + share * (out_max - out_min)
 
 
+#: Weights of the brain score's components.
+BRAIN_WEIGHTS = {"profitability": 0.4, "risk": 0.3, "consistency": 0.2, "significance": 0.1}
+
+
+def brain_score(runs: DataFrame, terms: dict[str, list[tuple[float, str, float, float]]], weights: dict[str, float] | None = None) -> DataFrame:
+    """Adds each component (a sum of weighted, scaled columns: weight, column, worst, best) and brain_score."""
+    parts = {name: sum((w * scaled(F.col(c), a, b) for w, c, a, b in own), F.lit(0.0)) for name, own in terms.items()}
+    total = sum((w * parts[name] for name, w in (weights or BRAIN_WEIGHTS).items()), F.lit(0.0))
+    return runs.select("*", *[F.round(x, 4).alias(name) for name, x in parts.items()], F.round(total, 4).alias("brain_score"))
+
+
 def short_hash(text: Column, digits: int = 12) -> Column:
     return F.substring(F.sha2(text.cast("binary"), 256), 1, digits)
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickloom.functions.scalars import clamp, sharing
+from tickloom.sources.shared import written
 
 #: Bounds of every number in a genome, by block and parameter.
 BOUNDS = {
@@ -17,7 +19,7 @@ BOUNDS = {
 }
 NUMBERS = [(block, p) for block, ps in BOUNDS.items() for p in ps]
 
-#: name -> SQL over the blocks' columns.
+#: Coherence rules, name -> SQL over the blocks' columns.
 RULES = {
     "rf_period_vs_st_atr": "entry.rf_period >= entry.st_atrPeriod * 5",
     "rsi_ma_vs_rsi_length": "entry.rsi_ma_length <= entry.rsi_length",
@@ -32,18 +34,18 @@ RULES = {
 }
 
 
-def violations() -> Column:
+def violations(rules: dict[str, str], blocks: list[str]) -> Column:
     """Names of the violated rules; a missing block is the only violation of its genome."""
-    broken = F.filter(F.array(*[F.when(~F.coalesce(F.expr(rule), F.lit(False)), F.lit(name)) for name, rule in RULES.items()]), lambda x: x.isNotNull())
+    broken = F.filter(F.array(*[F.when(~F.coalesce(F.expr(rule), F.lit(False)), F.lit(name)) for name, rule in rules.items()]), lambda x: x.isNotNull())
     out = broken
-    for block in reversed([*BOUNDS, "mode"]):
+    for block in reversed([*blocks, "mode"]):
         out = F.when(F.col(block).isNull(), F.array(F.lit(f"missing {block}"))).otherwise(out)
     return out
 
 
-def validated(genomes: DataFrame) -> DataFrame:
+def validated(genomes: DataFrame, rules: dict[str, str] = RULES, bounds: dict[str, dict] = BOUNDS) -> DataFrame:
     """Adds violations, n_violations and valid."""
-    return genomes.withColumn("violations", violations()).withColumn("n_violations", F.size("violations")).withColumn("valid", F.col("n_violations") == 0)
+    return genomes.withColumn("violations", violations(rules, list(bounds))).withColumn("n_violations", F.size("violations")).withColumn("valid", F.col("n_violations") == 0)
 
 
 def repaired(genomes: DataFrame) -> DataFrame:
@@ -59,9 +61,9 @@ def repaired(genomes: DataFrame) -> DataFrame:
     return t.withColumn("entry", F.col("entry").withField("st_mult", clamp(F.col("entry.st_mult"), 0.5, 5.0)).withField("rf_mult", clamp(F.col("entry.rf_mult"), 1.0, 10.0)))
 
 
-def clamped(genomes: DataFrame) -> DataFrame:
-    """Genomes with every number inside BOUNDS."""
-    for block, ps in BOUNDS.items():
+def clamped(genomes: DataFrame, bounds: dict[str, dict] = BOUNDS) -> DataFrame:
+    """Genomes with every number inside the bounds (block -> parameter -> lowest, highest), the caller's or BOUNDS."""
+    for block, ps in bounds.items():
         value = F.col(block)
         for p, (lo, hi) in ps.items():
             value = value.withField(p, clamp(F.col(f"{block}.{p}"), lo, hi))
@@ -69,15 +71,19 @@ def clamped(genomes: DataFrame) -> DataFrame:
     return genomes
 
 
-def flat(genomes: DataFrame) -> DataFrame:
+MODES, COMBINED_MODES = ("showDualFlip", "showRSI"), ("showDualFlip", "showRSI", "enableLong", "enableShort")
+
+
+def flat(genomes: DataFrame, bounds: dict[str, dict] = BOUNDS, modes: tuple[str, ...] = MODES) -> DataFrame:
     """Nested -> flat columns block_param."""
-    return genomes.select("genome_id", *[F.col(f"{b}.{p}").alias(f"{b}_{p}") for b, p in NUMBERS], F.col("mode.showDualFlip").alias("mode_showDualFlip"), F.col("mode.showRSI").alias("mode_showRSI"))
+    numbers = [F.col(f"{b}.{p}").alias(f"{b}_{p}") for b, ps in bounds.items() for p in ps]
+    return genomes.select("genome_id", *numbers, *[F.col(f"mode.{m}").alias(f"mode_{m}") for m in modes])
 
 
-def nested(params: DataFrame) -> DataFrame:
+def nested(params: DataFrame, bounds: dict[str, dict] = BOUNDS, modes: tuple[str, ...] = MODES) -> DataFrame:
     """Flat columns block_param -> nested blocks; null parameters get the middle of their bounds."""
-    blocks = [F.struct(*[F.coalesce(F.col(f"{b}_{p}"), F.lit((lo + hi) / 2).cast(params.schema[f"{b}_{p}"].dataType)).alias(p) for p, (lo, hi) in ps.items()]).alias(b) for b, ps in BOUNDS.items()]
-    mode = F.struct(*[F.coalesce(f"mode_{m}", F.lit(True)).alias(m) for m in ("showDualFlip", "showRSI")]).alias("mode")
+    blocks = [F.struct(*[F.coalesce(F.col(f"{b}_{p}"), F.lit((lo + hi) / 2).cast(params.schema[f"{b}_{p}"].dataType)).alias(p) for p, (lo, hi) in ps.items()]).alias(b) for b, ps in bounds.items()]
+    mode = F.struct(*[F.coalesce(f"mode_{m}", F.lit(True)).alias(m) for m in modes]).alias("mode")
     return params.select("genome_id", *blocks, mode)
 
 
@@ -157,27 +163,105 @@ def widened(ranges: DataFrame, share: float = 0.2, least: float = 1.0, floor: fl
     return ranges.select("block", "param", F.round(F.greatest(F.lit(floor), F.col("lo") - grow), 6).alias("lo"), F.round(F.col("hi") + grow, 6).alias("hi"))
 
 
-def diverse(vectors: DataFrame, keep: int, candidates: int = 500, apart: float = 0.15) -> DataFrame:
-    """Best first, the genomes that are `apart` from all kept before, up to keep.
+def mean_gap(a: Column, b: Column) -> Column:
+    """Mean absolute difference of the coordinates, 1 at most."""
+    gaps = F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x)
+    return F.least(F.lit(1.0), gaps / F.size(a))
+
+
+#: How two vectors are held apart: as Spark columns and, for the few that meet on the driver, in NumPy (chosen, new).
+DISTANCES = {"mean": (mean_gap, lambda x, y: np.minimum(1, np.abs(x - y).mean(axis=1))), "euclidean": (distance, lambda x, y: np.minimum(1, np.sqrt(((x - y) ** 2).mean(axis=1))))}
+
 
-    Each choice depends on those before it: the next best `candidates` meet on the driver, those further down are held
-    against the at most `keep` chosen ones by Spark, and so on until keep is reached or none is left."""
-    import numpy as np
+def diverse(vectors: DataFrame, keep: int | None = None, candidates: int = 500, apart: float = 0.15, by: str = "mean") -> DataFrame:
+    """Best first, the genomes that are `apart` from all kept before, up to keep (None: all of them).
 
-    spark, chosen, found = vectors.sparkSession, [], []
-    t = vectors.withColumn("_rank", F.coalesce("score", F.lit(float("-inf"))))
-    rest = t
-    while True:
+    Each choice depends on those before it. The next best `candidates` meet on the driver, which is where the choice is
+    made; the rest are held against the newly chosen ones by Spark, so a genome is compared with each chosen one once,
+    and so on until keep is reached or none is left. Every round writes what is left."""
+    column, plain = DISTANCES[by]
+    spark, found = vectors.sparkSession, []
+    rest = vectors.withColumn("_rank", F.coalesce("score", F.lit(float("-inf"))))
+    while keep is None or len(found) < keep:
         best = rest.orderBy(F.desc("_rank"), "genome_id").limit(candidates).collect()
+        if not best:
+            break
+        chosen: list[np.ndarray] = []
         for r in best:
             x = np.array(r["vec"], dtype=float)
-            if len(chosen) < keep and (not chosen or np.sqrt(((np.stack(chosen) - x) ** 2).mean(axis=1)).min() >= apart):
+            if (keep is None or len(found) < keep) and (not chosen or plain(np.stack(chosen), x).min() >= apart):
                 chosen.append(x)
                 found.append((r["genome_id"], r["score"]))
-        if len(chosen) >= keep or len(best) < candidates:
-            return spark.createDataFrame(found, "genome_id long, score double")
         last = best[-1]
         held = spark.createDataFrame([([x.tolist() for x in chosen],)], "_chosen array<array<double>>")
-        below = t.filter((F.col("_rank") < last["_rank"]) | (F.col("_rank") == last["_rank"]) & (F.col("genome_id") > last["genome_id"]))
-        # One row; a hair less than apart, as sums may round otherwise there: the driver decides.
-        rest = below.crossJoin(F.broadcast(held)).filter(F.forall("_chosen", lambda c: distance(F.col("vec"), c) >= apart - 1e-9)).drop("_chosen")
+        below = rest.filter((F.col("_rank") < last["_rank"]) | (F.col("_rank") == last["_rank"]) & (F.col("genome_id") > last["genome_id"]))
+        rest = below.crossJoin(F.broadcast(held)).filter(F.forall("_chosen", lambda c: column(F.col("vec"), c) >= apart)).drop("_chosen")  # one row
+        if len(best) < candidates:
+            break
+        rest = written(rest, "diverse-rest")
+    return spark.createDataFrame(found, "genome_id long, score double")
+
+
+def elites(crowded: DataFrame, n: int) -> DataFrame:
+    """crowded (genome_id, score, crowding) -> the n best by 0.8 of the score and 0.2 of the crowding (10 at most, in
+    tenths; infinite is 1) times the best score. All where there are no more than n."""
+    top = crowded.agg(F.max("score").alias("_top"))
+    share = F.least(F.lit(1.0), F.col("crowding") / 10)
+    value = F.round(F.col("score") * 0.8 + share * 0.2 * F.col("_top"), 6)
+    t = crowded.filter("score is not null").crossJoin(F.broadcast(top)).withColumn("value", value)  # one row
+    return t.orderBy(F.desc("value"), "genome_id").limit(n).drop("_top")
+
+
+# ---- the long and short strategy's parameter sets --------------------------------------------------------------------
+
+#: Bounds of every number, by block and parameter.
+_STOP = {"st_atrPeriod": (1, 30), "st_mult": (1.0, 30.0), "rf_period": (1, 200), "rf_mult": (1.0, 30.0)}
+_GOAL = {"st_atrPeriod": (1, 30), "st_mult": (1.0, 30.0), "rr_mult": (0.1, 5.0)}
+COMBINED_BOUNDS = {
+    "entry": {"st_atrPeriod": (1, 50), "st_mult": (0.5, 30.0), "rf_period": (1, 200), "rf_mult": (1.0, 30.0), "rsi_length": (5, 30), "rsi_ma_length": (2, 20), "dualFlipBarsLong": (1, 30), "dualFlipBarsShort": (1, 30)},
+    "sl_long": _STOP, "sl_short": _STOP, "tp_dual_long": _GOAL, "tp_dual_short": _GOAL, "tp_rsi_long": _GOAL, "tp_rsi_short": _GOAL,
+}
+#: Coherence rules.
+COMBINED_RULES = {
+    "rsi_ma_vs_rsi_length": "entry.rsi_ma_length <= entry.rsi_length",
+    "st_mult_range": "entry.st_mult between 0.5 and 30.0",
+    "rf_mult_range": "entry.rf_mult between 1.0 and 30.0",
+    **{f"{b}_rr_range": f"{b}.rr_mult between 0.1 and 5.0" for b in ("tp_dual_long", "tp_rsi_long", "tp_dual_short", "tp_rsi_short")},
+    "at_least_one_mode": "mode.showDualFlip or mode.showRSI",
+    "at_least_one_position_type": "mode.enableLong or mode.enableShort",
+}
+
+
+def combined_repaired(genomes: DataFrame) -> DataFrame:
+    """Signal length, one mode and one side on, then every number inside its bounds."""
+    entry, mode = F.col("entry"), F.col("mode")
+    shorter = F.when(entry["rsi_ma_length"] > entry["rsi_length"], entry["rsi_length"] - 2).otherwise(entry["rsi_ma_length"])
+    t = genomes.withColumn("entry", entry.withField("rsi_ma_length", shorter))
+    neither = ~mode["enableLong"] & ~mode["enableShort"]
+    on = mode.withField("showDualFlip", mode["showDualFlip"] | ~mode["showRSI"]).withField("enableLong", mode["enableLong"] | neither)
+    return clamped(t.withColumn("mode", on.withField("enableShort", mode["enableShort"] | neither)), COMBINED_BOUNDS)
+
+
+#: Ratios that a set has to keep; the last one is a difference.
+RATIOS = {"sl_period": (0.1, 10.0), "sl_mult": (0.2, 15.0), "rr_min": 0.02, "tp_period": 8.0, "sides": 25.0}
+
+
+def ratio_violations(sides: tuple[str, ...] = ("",)) -> Column:
+    """Names of the violated ratios: sides are the suffixes of the blocks ('' for the long strategy, '_long', '_short')."""
+    c = F.col
+    period, mult = c("entry.st_atrPeriod"), c("entry.st_mult")
+    checks = {"rsi_ma": c("entry.rsi_ma_length") >= c("entry.rsi_length")}
+    for s in sides:
+        stop, dual, rsi = f"sl{s}", f"tp_dual{s}", f"tp_rsi{s}"
+        low, high = (c(f"{stop}.st_atrPeriod") < period * RATIOS["sl_period"][0]), (c(f"{stop}.st_atrPeriod") > period * RATIOS["sl_period"][1])
+        least = c(f"{stop}.st_mult") * RATIOS["rr_min"]
+        if s:
+            checks |= {f"sl_period_fast{s}": low, f"sl_period_slow{s}": high, f"sl_mult_tight{s}": c(f"{stop}.st_mult") < mult * RATIOS["sl_mult"][0], f"sl_mult_wide{s}": c(f"{stop}.st_mult") > mult * RATIOS["sl_mult"][1]}
+            checks |= {f"rr_dual{s}": c(f"{dual}.rr_mult") < least, f"rr_rsi{s}": c(f"{rsi}.rr_mult") < least}
+            checks |= {f"tp_{k}{s}": c(f"{b}.st_atrPeriod") > period * RATIOS["tp_period"] for k, b in (("dual", dual), ("rsi", rsi))}
+        else:
+            checks |= {"sl_period": low | high, "rr": (c(f"{dual}.rr_mult") < least) | (c(f"{rsi}.rr_mult") < least)}
+    if len(sides) == 2:
+        a, b = (c(f"sl{s}.st_mult") for s in sides)
+        checks["sides"] = F.abs(a - b) > RATIOS["sides"]
+    return F.filter(F.array(*[F.when(bad, F.lit(name)) for name, bad in checks.items()]), lambda x: x.isNotNull())

@@ -133,19 +133,24 @@ def dual_flip(bars: DataFrame, a: str, b: str, window: int = 8) -> DataFrame:
     return t.withColumn("dual_flip", F.coalesce((F.col(a) & (F.col("_b") <= window)) | (F.col(b) & (F.col("_a") <= window)), F.lit(False))).drop("_n", "_a", "_b")
 
 
-def rsi_segments(bars: DataFrame) -> DataFrame:
-    """Bull divergences: segments from a cross below the mean to the next cross above it.
-
-    At the end of a segment its lowest rsi, and the low at that bar, are held against the segment before: a lower low with
-    a higher rsi is regular, a higher low with a lower rsi hidden. Returns (symbol, timeframe, time of the cross, kind)."""
+def rsi_segments(bars: DataFrame, bull: bool = True) -> DataFrame:
+    """RSI divergences: bull ones over segments from a cross below the mean to the next cross above it, bear ones from a
+    cross above to the next one below.
+
+    At the end of a segment its lowest (highest) rsi, and the low (high) at that bar, are held against the segment
+    before: a lower low with a higher rsi (a higher high with a lower rsi) is regular, the reverse hidden. Returns
+    (symbol, timeframe, time of the cross, kind)."""
+    starts, ends, price = ("cross_down", "cross_up", "low") if bull else ("cross_up", "cross_down", "high")
+    sign = 1 if bull else -1
     t = with_rsi_cross(bars)
-    t = t.withColumn("_seg", F.sum(F.col("cross_down").cast("int")).over(by_time().rowsBetween(W.unboundedPreceding, 0)))
-    closed = F.min(F.when(F.col("cross_up"), F.col("time"))).over(W.partitionBy("symbol", "timeframe", "_seg"))
+    t = t.withColumn("_seg", F.sum(F.col(starts).cast("int")).over(by_time().rowsBetween(W.unboundedPreceding, 0)))
+    closed = F.min(F.when(F.col(ends), F.col("time"))).over(W.partitionBy("symbol", "timeframe", "_seg"))
     t = t.withColumn("_end", closed).filter("_seg > 0 and _end is not null and time < _end")
-    s = t.groupBy("symbol", "timeframe", "_seg").agg(F.min("rsi").alias("rsi"), F.min_by("low", F.struct("rsi", "time")).alias("low"), F.first("_end").alias("time"))
+    t = t.withColumn("_x", sign * F.col("rsi")).withColumn("_p", sign * F.col(price))
+    s = t.groupBy("symbol", "timeframe", "_seg").agg(F.min("_x").alias("x"), F.min_by("_p", F.struct("_x", "time")).alias("p"), F.first("_end").alias("time"))
     before = W.partitionBy("symbol", "timeframe").orderBy("_seg")
-    rsi, low = F.lag("rsi").over(before), F.lag("low").over(before)
-    kind = F.when((F.col("low") < low) & (F.col("rsi") > rsi), "regular").when((F.col("low") > low) & (F.col("rsi") < rsi), "hidden")
+    x, p = F.lag("x").over(before), F.lag("p").over(before)
+    kind = F.when((F.col("p") < p) & (F.col("x") > x), "regular").when((F.col("p") > p) & (F.col("x") < x), "hidden")
     return s.withColumn("kind", kind).filter("kind is not null").select("symbol", "timeframe", "time", "kind")
 
 

@@ -46,15 +46,31 @@ def top_overall(board: DataFrame, per_key: int, limit: int) -> DataFrame:
     return once.orderBy(F.desc("value"), "genome_hash").limit(limit)
 
 
+#: Queries that meet all records at once: a block of vectors of 32 numbers has 5 MB.
+QUERY_BLOCK = 20_000
+
+
+def against_all(rows: DataFrame, queries: DataFrame, per_block: int = QUERY_BLOCK) -> DataFrame:
+    """Every query (query_id, query_vec) beside every row: a stated set of queries, in blocks of a bounded size.
+
+    Each block is broadcast for one pass over rows; what is made of the pairs must be cut per query by the caller."""
+    blocks = max(1, -(-queries.count() // per_block))
+    parts = [queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k) for k in range(blocks)] if blocks > 1 else [queries]
+    out = rows.crossJoin(F.broadcast(parts[0]))
+    for part in parts[1:]:
+        out = out.unionByName(rows.crossJoin(F.broadcast(part)))
+    return out
+
+
 def similar(board: DataFrame, profiles: DataFrame, limit: int = 20, threshold: float = 0.7, min_stability: float = 0.0) -> DataFrame:
-    """profiles (query_id, vec; a bounded set of queries) -> each one's most similar records, by cosine (0 to 1).
+    """profiles (query_id, vec: the stated queries) -> each one's most similar records, by cosine (0 to 1).
 
     The robustness filter applies to the first 2 * limit, then limit remain."""
-    t = board.crossJoin(F.broadcast(profiles.select("query_id", F.col("vec").alias("query_vec"))))  # stated queries against all records
-    t = t.withColumn("similarity", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine(F.col("vec"), F.col("query_vec")))), 6)).filter(F.col("similarity") >= threshold)
+    t = against_all(board, profiles.select("query_id", F.col("vec").alias("query_vec")))
+    t = t.withColumn("similarity", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine(F.col("vec"), F.col("query_vec")))), 6)).drop("vec", "query_vec").filter(F.col("similarity") >= threshold)
     by = W.partitionBy("query_id").orderBy(F.desc("similarity"), "genome_hash", "ts")
     t = t.withColumn("_n", F.row_number().over(by)).filter((F.col("_n") <= 2 * limit) & (F.col("stability") >= min_stability))
-    return t.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= limit).drop("_n", "query_vec")
+    return t.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= limit).drop("_n")
 
 
 def seeds_marked(results: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -122,3 +138,31 @@ def best_label(results: DataFrame, label: str, least: int = 3) -> DataFrame:
     """The label with the best mean score among those with `least` results."""
     a = results.groupBy(label).agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean_score")).filter(F.col("n") >= least)
     return a.orderBy(F.desc("mean_score"), label).limit(1)
+
+
+#: A range has to be as long as this many months (of 30.44 days) for its results to be stored.
+MIN_MONTHS = 11
+
+
+def worth_storing(results: DataFrame, keep: int = 5, months: float = MIN_MONTHS) -> DataFrame:
+    """results (genome_hash, profit_factor, range_from, range_to) -> the `keep` best genomes by profit factor, each once,
+    of results with a factor over 0 whose range is long enough."""
+    long = F.datediff("range_to", "range_from") / 30.44 >= months
+    once = results.filter(long & (F.col("profit_factor") > 0)).groupBy("genome_hash").agg(F.max("profit_factor").alias("profit_factor"))
+    return once.orderBy(F.desc("profit_factor"), "genome_hash").limit(keep)
+
+
+def to_record(rows: DataFrame, *columns: str) -> DataFrame:
+    """Adds record: the columns as JSON, numbers that JSON doesn't have as null."""
+    kinds = dict(rows.dtypes)
+
+    def clean(c: str) -> Column:
+        bad = F.isnan(c) | (F.abs(F.col(c)) == float("inf"))
+        return F.when(~bad, F.col(c)).alias(c) if kinds[c] in ("double", "float") else F.col(c)
+
+    return rows.withColumn("record", F.to_json(F.struct(*map(clean, columns)), {"ignoreNullFields": "false"}))
+
+
+def from_record(rows: DataFrame, schema: str) -> DataFrame:
+    """Adds the fields of record; null where it isn't JSON of that schema."""
+    return rows.withColumn("_r", F.from_json("record", schema)).select("*", "_r.*").drop("_r")

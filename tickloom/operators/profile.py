@@ -6,12 +6,15 @@ history.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickloom.functions.scalars import cosine
 from tickloom.operators import indicators as ind
+from tickloom.operators import recurrence as rec
 
 SERIES = ("symbol", "timeframe")
 LOOKBACK = 100
@@ -97,7 +100,7 @@ def profile(bars: DataFrame, lookback: int = LOOKBACK, benchmark: str | None = N
     """One row per series with all clusters; the sides are a row per series each."""
     t = tail(bars, lookback)
     out = volatility(t)
-    for part in (trend(t), momentum(t), volume(t), cycle(t), correlation(t, benchmark)):
+    for part in (trend(t), exponentials(t), volume(t), cycle(t), correlation(t, benchmark)):
         out = out.join(part, list(SERIES))
     return out
 
@@ -125,23 +128,84 @@ def similarity(a: Column, b: Column) -> Column:
     return F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), cosine(a, b))), 4)
 
 
-def momentum(t: DataFrame) -> DataFrame:
-    """RSI and MACD of a tail, by exponential means that begin in it: one small group per series."""
-    import numpy as np
-    import pandas as pd
+EXPONENTIALS = (
+    "rsi_current double, rsi_mean double, rsi_std double, rsi_slope double, overbought_pct double, oversold_pct double, macd_histogram double, macd_trend int, "
+    "adx double, plus_di double, minus_di double, trend_strength_pct double"
+)
+
+
+def _exponentials(f: pd.DataFrame) -> dict:
+    """RSI, MACD and directional index of one tail in time order, with the defaults of a short one."""
+    out = {"rsi_current": 50.0, "rsi_mean": 50.0, "rsi_std": 10.0, "rsi_slope": 0.0, "overbought_pct": 0.0, "oversold_pct": 0.0, "macd_histogram": 0.0, "macd_trend": 0, "adx": 20.0, "plus_di": 25.0, "minus_di": 25.0, "trend_strength_pct": 0.0}
+    high, low, close = (f[c].to_numpy() for c in ("high", "low", "close"))
+    if len(close) < 30:
+        return out
+    d = np.diff(close, prepend=close[:1])
+    rsi = 100 - 100 / (1 + rec.ema(np.where(d > 0, d, 0.0), 14) / (rec.ema(np.where(d < 0, -d, 0.0), 14) + 1e-10))
+    line = rec.ema(close, 12) - rec.ema(close, 26)
+    hist = line - rec.ema(line, 9)
+    now, before = hist[-5:].mean(), hist[-15:-5].mean()
+    out |= {"rsi_current": round(rsi[-1], 2), "rsi_mean": round(rsi.mean(), 2), "rsi_std": round(rsi.std(ddof=1), 2), "rsi_slope": round(np.polyfit(np.arange(10), rsi[-10:], 1)[0], 4)}
+    out |= {"overbought_pct": round((rsi > 70).mean() * 100, 2), "oversold_pct": round((rsi < 30).mean() * 100, 2), "macd_histogram": round(hist[-1], 6), "macd_trend": 1 if now > before * 1.1 else -1 if now < before * 0.9 else 0}
+    adx, plus, minus = rec.directional(high, low, close, 14)
+    strength = abs(plus[-1] - minus[-1]) / (plus[-1] + minus[-1]) * 100 if plus[-1] + minus[-1] > 0 else 0.0
+    return out | {"adx": round(adx[-1], 2), "plus_di": round(plus[-1], 2), "minus_di": round(minus[-1], 2), "trend_strength_pct": round(strength, 2)}
 
-    from tickloom.operators import recurrence as rec
+
+def exponentials(t: DataFrame) -> DataFrame:
+    """What exponential means that begin in the tail say: one small group per series."""
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("time")
-        close, out = f["close"].to_numpy(), {"symbol": f["symbol"].iloc[0], "timeframe": f["timeframe"].iloc[0], "rsi_current": 50.0, "rsi_mean": 50.0, "rsi_std": 10.0, "rsi_slope": 0.0, "overbought_pct": 0.0, "oversold_pct": 0.0, "macd_histogram": 0.0, "macd_trend": 0}
-        if len(close) >= 30:
-            d = np.diff(close, prepend=close[:1])
-            rsi = 100 - 100 / (1 + rec.ema(np.where(d > 0, d, 0.0), 14) / (rec.ema(np.where(d < 0, -d, 0.0), 14) + 1e-10))
-            line = rec.ema(close, 12) - rec.ema(close, 26)
-            hist = line - rec.ema(line, 9)
-            now, before = hist[-5:].mean(), hist[-15:-5].mean()
-            out |= {"rsi_current": round(rsi[-1], 2), "rsi_mean": round(rsi.mean(), 2), "rsi_std": round(rsi.std(ddof=1), 2), "rsi_slope": round(np.polyfit(np.arange(10), rsi[-10:], 1)[0], 4), "overbought_pct": round((rsi > 70).mean() * 100, 2), "oversold_pct": round((rsi < 30).mean() * 100, 2), "macd_histogram": round(hist[-1], 6), "macd_trend": 1 if now > before * 1.1 else -1 if now < before * 0.9 else 0}
-        return pd.DataFrame([out])
-
-    return t.groupBy(*SERIES).applyInPandas(run, "symbol string, timeframe string, rsi_current double, rsi_mean double, rsi_std double, rsi_slope double, overbought_pct double, oversold_pct double, macd_histogram double, macd_trend int")
+        return pd.DataFrame([{"symbol": f["symbol"].iloc[0], "timeframe": f["timeframe"].iloc[0]} | _exponentials(f)])
+
+    return t.select(*SERIES, "time", "high", "low", "close").groupBy(*SERIES).applyInPandas(run, f"symbol string, timeframe string, {EXPONENTIALS}")
+
+
+DIRECTIONAL = ("adx", "plus_di", "minus_di", "trend_strength_pct")
+
+
+def momentum(t: DataFrame) -> DataFrame:
+    return exponentials(t).drop(*DIRECTIONAL)
+
+
+def directional(t: DataFrame) -> DataFrame:
+    return exponentials(t).select(*SERIES, *DIRECTIONAL)
+
+
+def summarised(profiles: DataFrame) -> DataFrame:
+    """Adds regime, the scores of trend, volatility and momentum, and a condition in words, from all clusters."""
+    c = F.col
+    between = lambda lo, x, hi: F.round(F.least(F.lit(float(hi)), F.greatest(F.lit(float(lo)), x)), 2)
+    trending = F.when(c("adx") > 25, F.when(c("trend_direction") > 0, "trending_up").when(c("trend_direction") < 0, "trending_down"))
+    regime = F.when(c("vol_regime") == 2, "volatile").when(c("vol_regime") == 0, "low_volatility").otherwise(F.coalesce(trending, F.lit("ranging")))
+    trend_score = c("adx") * 0.4 + c("efficiency_ratio") * 50 * 0.3 + c("trend_strength_pct") * 0.2 + (c("macd_trend") + 1) * 25 * 0.1
+    vol_score = c("vol_percentile") * 0.6 + F.least(c("vol_ratio") * 30, F.lit(30.0)) * 0.3 + c("vol_expanding") * 10 * 0.1
+    slope_part = F.least(F.lit(20.0), F.greatest(F.lit(-20.0), c("rsi_slope") * 50))
+    momentum_score = (c("rsi_current") - 50) * 2 * 0.5 + c("macd_trend") * 20 * 0.3 + slope_part * 0.2
+    named = lambda names, i: F.element_at(F.array(*map(F.lit, names)), (i + 1).cast("int"))
+    side = F.when(c("trend_direction") > 0, "bullish").when(c("trend_direction") < 0, "bearish").otherwise("neutral")
+    words = F.concat_ws("_", named(("accumulation", "markup", "distribution", "markdown"), c("cycle_phase")), named(("quiet", "normal", "volatile"), c("vol_regime")), F.when(c("squeeze") == 1, "squeeze"), side)
+    return profiles.select("*", regime.alias("regime"), between(0, trend_score, 100).alias("trend_score"), between(0, vol_score, 100).alias("volatility_score"), between(-100, momentum_score, 100).alias("momentum_score"), words.alias("market_condition"))
+
+
+def simplified(profiles: DataFrame) -> DataFrame:
+    """The five-field form of older records."""
+    return profiles.select(*SERIES, "atr_pct", "adx", (F.col("vol_percentile") / 100).alias("volatility"), (0.5 + F.col("trend_direction") * 0.25).alias("trend_ratio"), "rsi_mean")
+
+
+#: The 32 coordinates of a profile's vector: column, what is added, divisor, and whether it stops at 1.
+COORDINATES = (
+    ("atr_pct", 0, 5, True), ("vol_regime", 0, 2, False), ("vol_percentile", 0, 100, False), ("vol_expanding", 0, 1, False), ("vol_ratio", 0, 3, True),
+    ("adx", 0, 100, True), ("plus_di", 0, 100, True), ("minus_di", 0, 100, True), ("efficiency_ratio", 0, 1, False), ("trend_direction", 1, 2, False), ("trend_strength_pct", 0, 100, False), ("trend_angle", 90, 180, False),
+    ("rsi_current", 0, 100, False), ("rsi_mean", 0, 100, False), ("rsi_std", 0, 30, True), ("rsi_slope", 5, 10, False), ("overbought_pct", 0, 100, False), ("oversold_pct", 0, 100, False), ("macd_histogram", 0.01, 0.02, False), ("macd_trend", 1, 2, False),
+    ("volume_ratio", 0, 3, True), ("volume_trend", 1, 2, False), ("vp_correlation", 1, 2, False), ("volume_climax", 0, 1, False), ("obv_trend", 1, 2, False),
+    ("cycle_phase", 0, 3, False), ("bb_position", 0, 1, False), ("bb_width", 0, 10, True), ("squeeze", 0, 1, False), ("squeeze_momentum", 5, 10, False),
+    ("auto_correlation", 1, 2, False), ("benchmark_correlation", 1, 2, False),
+)
+
+
+def vector() -> Column:
+    """The profile as 32 numbers, most of them between 0 and 1."""
+    place = lambda c, add, by: (F.col(c).cast("double") + add) / by
+    return F.array(*[F.least(F.lit(1.0), place(c, add, by)) if stops else place(c, add, by) for c, add, by, stops in COORDINATES])

@@ -82,6 +82,22 @@ def true_range(high: np.ndarray, low: np.ndarray, close: np.ndarray) -> np.ndarr
     return np.fmax(high - low, np.fmax(np.abs(high - before), np.abs(low - before)))
 
 
+def directional(high: np.ndarray, low: np.ndarray, close: np.ndarray, n: int = 14) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ADX, +DI and -DI by exponential means over the exponential mean of the n-bar mean true range; null before that is.
+
+    A fall counts against the already masked rise."""
+    up, down = np.diff(high, prepend=high[:1]), -np.diff(low, prepend=low[:1])
+    plus = np.where((up > down) & (up > 0), up, 0.0)
+    minus = np.where((down > plus) & (down > 0), down, 0.0)
+    tr = true_range(high, low, close)
+    total = np.cumsum(tr)
+    ranges = np.full(len(tr), np.nan)
+    ranges[n - 1 :] = (total[n - 1 :] - np.concatenate([[0.0], total[:-n]])) / n
+    ranges = ema(ranges, n)
+    plus, minus = 100 * (ema(plus, n) / ranges), 100 * (ema(minus, n) / ranges)
+    return ema(100 * np.abs(plus - minus) / (plus + minus + 1e-10), n), plus, minus
+
+
 def supertrend(src: np.ndarray, close: np.ndarray, atr: np.ndarray, mult: float) -> dict[str, np.ndarray]:
     """Bands that only tighten while close stays inside, the trend (1 or -1) and where it turns."""
     n = len(close)
@@ -169,3 +185,16 @@ def trend_states(bars: DataFrame, atr: int = 10, mult: float = 3.0, period: int
 
     kinds = {"up": "double", "dn": "double", "trend": "int", "buy": "boolean", "sell": "boolean", "filter": "double", "state": "int", "flip_buy": "boolean", "flip_sell": "boolean"}
     return over_series(bars, kinds, make)
+
+
+def filter_bands(bars: DataFrame, period: int = 20, rng: float = 2.5, counters: bool = False) -> DataFrame:
+    """Adds the range filter of close with its bands: filter, high_band, low_band, state, flips."""
+
+    def make(f: pd.DataFrame) -> dict[str, np.ndarray]:
+        close = f["close"].to_numpy()
+        reach = smooth_range(close, period, rng)
+        out = range_filter(close, reach, counters)
+        return out | {"high_band": out["filter"] + reach, "low_band": out["filter"] - reach}
+
+    kinds = {"filter": "double", "high_band": "double", "low_band": "double", "state": "int", "flip_buy": "boolean", "flip_sell": "boolean"}
+    return over_series(bars, kinds, make)

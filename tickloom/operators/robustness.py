@@ -135,3 +135,27 @@ def noise_retention(scored: DataFrame) -> DataFrame:
     t = scored.filter("level > 0").join(base, "base_id")
     a = t.groupBy("base_id", "level").agg(F.first("base").alias("base"), F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"))
     return a.select("base_id", "level", r(F.when(F.col("base") > 0, F.greatest(F.lit(0.0), F.col("mean") / F.col("base"))).otherwise(0.0), 4).alias("retention"), r(F.col("std"), 4).alias("std"))
+
+
+def quick(scored: DataFrame, least: float = 0.7) -> DataFrame:
+    """scored (base_id, param, score; param '' is the base) -> the mean share of the score that raised parameters keep,
+    of those that keep any, and whether it is enough. A base without a profit keeps nothing."""
+    base = scored.filter("param = ''").select("base_id", F.col("score").alias("base"))
+    t = base.join(scored.filter("param <> ''").select("base_id", "score"), "base_id", "left")
+    a = t.groupBy("base_id", "base").agg(F.avg(F.when((F.col("score") > 0) & (F.col("base") > 0), F.col("score") / F.col("base"))).alias("kept"))
+    return a.select("base_id", r(F.coalesce("kept", F.lit(0.0)), 4).alias("score"), F.coalesce(F.col("kept") >= least, F.lit(False)).alias("passed"))
+
+
+def split(checked: DataFrame, threshold: float) -> DataFrame:
+    """checked (score, passed) with kind: robust, or fragile."""
+    return checked.withColumn("kind", F.when(F.col("passed") & (F.col("score") >= threshold), "robust").otherwise("fragile"))
+
+
+def score_sharpe(scores: DataFrame) -> DataFrame:
+    """scores (run_id, score) -> mean, population deviation and their ratio: 0 for one score, infinite without spread."""
+    a = scores.groupBy("run_id").agg(F.count("*").alias("n"), F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"), F.min("score").alias("lo"), F.max("score").alias("hi"))
+    std = F.when(F.col("lo") == F.col("hi"), 0.0).otherwise(F.col("std"))
+    a = a.withColumn("std", std)
+    flat = F.when(F.col("mean") > 0, float("inf")).otherwise(float("-inf"))
+    sharpe = F.when(F.col("n") < 2, 0.0).when(F.col("std") == 0, flat).otherwise(r(F.col("mean") / F.col("std"), 6))
+    return a.select("run_id", r(F.col("mean"), 6).alias("mean"), r(F.col("std"), 6).alias("std"), sharpe.alias("sharpe"))

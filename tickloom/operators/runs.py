@@ -82,7 +82,8 @@ def mode_ranking(runs: DataFrame, mode: Column) -> DataFrame:
     """Adds ranked_by (fast, brain or net profit by mode) and keeps robust runs, or all of a mode that has none."""
     value = F.when(mode == "ULTRA", s.fast_score(F.col("net_profit"), F.col("max_drawdown_pct"))).when(mode == "BRAIN", F.col("brain_score")).otherwise(F.col("net_profit"))
     t = runs.withColumn("mode", mode).withColumn("ranked_by", F.round(value, 6))
-    return t.withColumn("_any", F.max(F.col("robust").cast("int")).over(W.partitionBy("mode"))).filter(F.col("robust") | (F.col("_any") == 0)).drop("_any")
+    some = t.groupBy("mode").agg(F.max("robust").alias("_any"))  # a row per mode
+    return t.join(F.broadcast(some), "mode").filter(F.col("robust") | ~F.col("_any")).drop("_any")
 
 
 def one_each(runs: DataFrame, key: list[Column], by: str = "score") -> DataFrame:
@@ -99,7 +100,8 @@ def stratified_sample(runs: DataFrame, n: int, seed: str = "sample-1") -> DataFr
     quota = quota.withColumn("_left", F.greatest(F.lit(0), n - F.sum("_q").over(all_rows))).withColumn("_q", F.col("_q") + F.when(F.row_number().over(first) == 1, F.col("_left")).otherwise(0))
     quota = quota.withColumn("_q", F.when(F.col("_total") <= n, F.col("_c")).otherwise(F.col("_q")))
     draw = F.md5(F.concat_ws("|", F.lit(seed), F.col("run_id").cast("string")).cast("binary"))
-    t = runs.withColumn("_n", F.row_number().over(W.partitionBy("timeframe").orderBy(draw, "run_id"))).join(F.broadcast(quota), "timeframe")  # a row per timeframe
+    t = runs.withColumn("_n", F.row_number().over(W.partitionBy("timeframe").orderBy(draw, "run_id"))).filter(F.col("_n") <= n)  # cut before the shuffle
+    t = t.join(F.broadcast(quota), "timeframe")  # a row per timeframe
     return t.filter(F.col("_n") <= F.col("_q")).drop("_n", "_q", "_c", "_total", "_left")
 
 
@@ -133,3 +135,41 @@ def pareto_front(runs: DataFrame, objectives: dict[str, int] | None = None, cell
 
     dealt = runs.withColumn("_cell", F.pmod(F.xxhash64("run_id"), F.lit(cells)))
     return undominated(undominated(dealt, ["_cell"]).drop("_cell"), [])
+
+
+def pruned_trades(trades: DataFrame, keep: int = 1200) -> DataFrame:
+    """The last `keep` trades of each run; Spark cuts each run before the shuffle."""
+    t = trades.withColumn("_n", F.row_number().over(W.partitionBy("run_id").orderBy(F.desc("trade_no"))))
+    return t.filter(F.col("_n") <= keep).drop("_n")
+
+
+def even_points(curve: DataFrame, points: int = 200) -> DataFrame:
+    """As many evenly spaced points of each curve, first and last included; shorter curves whole."""
+    whole = W.partitionBy("run_id")
+    t = curve.withColumn("_i", F.row_number().over(whole.orderBy("idx")) - 1).withColumn("_n", F.count("*").over(whole))
+    step = (F.col("_n") - 1).cast("double") / (points - 1)
+    place = F.ceil(F.col("_i") / step)  # the first grid place at or after the point
+    taken = F.exists(F.array(place - 1, place, place + 1), lambda j: (j >= 0) & (j < points) & (F.floor(j * step) == F.col("_i")))
+    return t.filter((F.col("_n") <= points) | taken).drop("_i", "_n")
+
+
+def best_runs(runs: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (symbol, timeframe, params) with the best scored run (run_id, score) of the same place and parameters."""
+    key = F.to_json("params")
+    best = runs.groupBy("symbol", "timeframe", key.alias("_key")).agg(F.max_by(F.struct("run_id", "score"), F.struct("score", -F.col("run_id"))).alias("_b"))
+    return asked.withColumn("_key", key).join(best, ["symbol", "timeframe", "_key"]).select("*", "_b.run_id", "_b.score").drop("_key", "_b")
+
+
+def loss_streaks(trades: DataFrame) -> DataFrame:
+    """run_id and streak: the longest run of trades without a profit."""
+    by = W.partitionBy("run_id").orderBy("trade_no")
+    won = F.sum((F.col("pnl") > 0).cast("int")).over(by)
+    t = trades.select("run_id", "pnl", won.alias("_won")).groupBy("run_id", "_won").agg(F.count_if(F.col("pnl") <= 0).alias("n"))
+    return t.groupBy("run_id").agg(F.max("n").alias("streak"))
+
+
+def ulcer(trades: DataFrame, initial: float) -> DataFrame:
+    """run_id and ulcer: the root of the mean squared percentage drawdown after each trade."""
+    by = W.partitionBy("run_id").orderBy("trade_no")
+    t = trades.withColumn("_e", F.round(initial + F.sum("pnl").over(by), 6)).withColumn("_p", F.greatest(F.lit(initial), F.max("_e").over(by)))
+    return t.groupBy("run_id").agg(F.sqrt(F.avg(F.pow((F.col("_p") - F.col("_e")) / F.col("_p") * 100, 2))).alias("ulcer"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tickloom.functions import scalars as s
 from tickloom.operators import indicators as ind
 from tickloom.operators import recurrence as rec
+from tickloom.plans import state_sql
 from tickloom.plans.registry import query
 from tickloom.sources import derived as d
 
@@ -75,6 +76,14 @@ def rsi_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ind.rsi_segments(d.bars_walk(spark, sf_dir))
 
 
+@query("rsi_bear_divergence", f"""{WALK}, {CROSS}, sg AS (SELECT *, sum(cross_up::INT) OVER ({G}) AS seg FROM cr), en AS (SELECT *, min(CASE WHEN cross_down THEN time END) OVER (PARTITION BY symbol, timeframe, seg) AS done FROM sg),
+sm AS (SELECT symbol, timeframe, seg, max(rsi) AS rsi, arg_min(high, (-rsi, time)) AS high, any_value(done) AS time FROM en WHERE seg > 0 AND done IS NOT NULL AND time < done GROUP BY 1, 2, 3),
+pv AS (SELECT *, lag(rsi) OVER (PARTITION BY symbol, timeframe ORDER BY seg) AS r0, lag(high) OVER (PARTITION BY symbol, timeframe ORDER BY seg) AS h0 FROM sm)
+SELECT symbol, timeframe, time, CASE WHEN high > h0 THEN 'regular' ELSE 'hidden' END AS kind FROM pv WHERE (high > h0 AND rsi < r0) OR (high < h0 AND rsi > r0)""")
+def rsi_bear_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ind.rsi_segments(d.bars_walk(spark, sf_dir), bull=False)
+
+
 @query("adx", f"""{B}, {ATR}, mv AS (SELECT *, high - lag(high) OVER ({G}) AS up, lag(low) OVER ({G}) - low AS dn FROM atr), p AS (SELECT *, CASE WHEN up > dn AND up > 0 THEN up ELSE 0 END AS pdm FROM mv),
 q AS (SELECT *, CASE WHEN dn > pdm AND dn > 0 THEN dn ELSE 0 END AS mdm, CASE WHEN count(atr) {rows(14)} = 14 THEN sum(atr) {rows(14)} END AS ra FROM p),
 di AS (SELECT *, 100 * sum(pdm) {rows(14)} / ra AS pdi, 100 * sum(mdm) {rows(14)} / ra AS mdi FROM q), dx AS (SELECT *, 100 * abs(pdi - mdi) / (pdi + mdi + 1e-10) AS dx FROM di)
@@ -156,12 +165,13 @@ def macd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(rec.macd(d.bars(spark, sf_dir)), "macd", "macd_signal", "macd_hist")
 
 
-@query("wilder")
+@query("wilder", state_sql.WILDER)
 def wilder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return out(rec.wilder(d.bars(spark, sf_dir)), "wilder_rsi", "wilder_atr")
+    t = out(rec.wilder(d.bars(spark, sf_dir)), "wilder_rsi", "wilder_atr")
+    return t.withColumn("wilder_atr", F.when(~F.isnan("wilder_atr"), F.col("wilder_atr")))
 
 
-@query("trend_states")
+@query("trend_states", state_sql.TREND_STATES)
 def trend_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(rec.trend_states(d.bars_walk(spark, sf_dir)), "up", "dn", "trend", "buy", "sell", "filter", "state", "flip_buy", "flip_sell")
 

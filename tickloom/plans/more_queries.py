@@ -13,6 +13,8 @@ from tickloom.operators import profile as pf
 from tickloom.operators import recurrence as rec
 from tickloom.operators import review as rv
 from tickloom.operators import robustness as rb
+from tickloom.plans import state_sql
+from tickloom.plans.profile_queries import TAIL
 from tickloom.plans.registry import query
 from tickloom.plans.run_queries import GEN, LONG
 from tickloom.sources import derived as d
@@ -32,7 +34,7 @@ def widen_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("diverse_genomes")
 def diverse_genomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return g.diverse(g.vector(d.genomes(spark, sf_dir)), 50)
+    return g.diverse(g.vector(d.genomes(spark, sf_dir)))
 
 
 @query("upgrade_records", f"WITH {d.LEADERBOARD_SQL} SELECT ts, genome_hash, score AS brain_score, 0::DOUBLE AS stability, CASE WHEN ts % 2 = 0 THEN stability ELSE 20 END AS adx, 50::DOUBLE AS rsi_mean FROM board")
@@ -44,18 +46,18 @@ def upgrade_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select(hash_[1].cast("long").alias("ts"), hash_[0].alias("genome_hash"), "brain_score", "stability", "profile.trend.adx", "profile.momentum.rsi_mean")
 
 
-@query("best_for_conditions", f"""WITH {d.LEADERBOARD_SQL}, q AS (SELECT id AS query_id, vec AS qv FROM profiles WHERE id < 5), c AS (SELECT b.*, query_id, round(greatest(0, least(1, list_cosine_similarity(b.vec, qv))), 6) AS similarity FROM board b, q), f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, genome_hash, ts) AS n FROM c WHERE similarity >= 0.2 AND stability >= 0),
+@query("best_for_conditions", f"""WITH {d.LEADERBOARD_SQL}, q AS (SELECT id AS query_id, vec AS qv FROM profiles WHERE id % 50 = 0), c AS (SELECT b.*, query_id, round(greatest(0, least(1, list_cosine_similarity(b.vec, qv))), 6) AS similarity FROM board b, q), f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, genome_hash, ts) AS n FROM c WHERE similarity >= 0.2 AND stability >= 0),
 v AS (SELECT *, round(similarity * score * (1 + 0.5::DOUBLE * stability), 6) AS value FROM f WHERE n <= 20), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY value DESC, genome_hash DESC, ts DESC) AS k FROM v) SELECT query_id, genome_hash, ts, value FROM k WHERE k = 1""")
 def best_for_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lb.best_for_conditions(d.leaderboard(spark, sf_dir), d.profiles(spark, sf_dir).filter("id < 5").withColumnRenamed("id", "query_id"), 0.2)
+    return lb.best_for_conditions(d.leaderboard(spark, sf_dir), d.profiles(spark, sf_dir).filter("id % 50 = 0").withColumnRenamed("id", "query_id"), 0.2)
 
 
-@query("momentum_cluster")
+@query("momentum_cluster", f"{TAIL}, {state_sql.MOMENTUM} SELECT * FROM momentum")
 def momentum_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pf.momentum(pf.tail(d.bars_walk(spark, sf_dir)))
 
 
-@query("flip_events")
+@query("flip_events", state_sql.FLIP_EVENTS)
 def flip_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alternating BUY and SELL markers of supertrend and range filter."""
     t = rec.trend_states(d.bars_walk(spark, sf_dir))

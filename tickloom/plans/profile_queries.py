@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.operators import leaderboard as lb
 from tickloom.operators import profile as pf
-from tickloom.plans.registry import query
+from tickloom.plans import state_sql
+from tickloom.plans.registry import REGISTERED, query
 from tickloom.sources import derived as d
 
 G = "PARTITION BY symbol, timeframe ORDER BY time"
@@ -59,7 +61,49 @@ def correlation_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pf.correlation(pf.tail(d.bars_walk(spark, sf_dir)), benchmark="view")
 
 
-@query("market_profile")
+def _whole() -> str:
+    """All clusters' statements side by side."""
+    names = ("volatility_cluster", "trend_cluster", "momentum", "directional", "volume_cluster", "cycle_cluster", "correlation_cluster")
+    own = {n: REGISTERED[n][1] for n in names if n.endswith("_cluster")} | {n: f"{TAIL}, {state_sql.MOMENTUM}, {state_sql.DIRECTIONAL} SELECT * FROM {n}" for n in ("momentum", "directional")}
+    joined = " ".join(f"JOIN {n} USING (symbol, timeframe)" for n in names[1:])
+    return f"WITH {', '.join(f'{n} AS ({own[n]})' for n in names)}, whole AS (SELECT * FROM {names[0]} {joined})"
+
+
+@query("directional_cluster", f"{TAIL}, {state_sql.MOMENTUM}, {state_sql.DIRECTIONAL} SELECT * FROM directional")
+def directional_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ADX with both directional indices, by exponential means that begin in the tail."""
+    return pf.directional(pf.tail(d.bars_walk(spark, sf_dir)))
+
+
+SUMMARY = """SELECT symbol, timeframe, CASE WHEN vol_regime = 2 THEN 'volatile' WHEN vol_regime = 0 THEN 'low_volatility' WHEN adx > 25 AND trend_direction > 0 THEN 'trending_up' WHEN adx > 25 AND trend_direction < 0 THEN 'trending_down' ELSE 'ranging' END AS regime,
+  round(least(100, greatest(0, adx * 0.4::DOUBLE + efficiency_ratio * 50 * 0.3::DOUBLE + trend_strength_pct * 0.2::DOUBLE + (macd_trend + 1) * 25 * 0.1::DOUBLE)), 2) AS trend_score,
+  round(least(100, greatest(0, vol_percentile * 0.6::DOUBLE + least(vol_ratio * 30, 30) * 0.3::DOUBLE + vol_expanding * 10 * 0.1::DOUBLE)), 2) AS volatility_score,
+  round(least(100, greatest(-100, (rsi_current - 50) * 2 * 0.5::DOUBLE + macd_trend * 20 * 0.3::DOUBLE + least(20, greatest(-20, rsi_slope * 50)) * 0.2::DOUBLE)), 2) AS momentum_score,
+  concat_ws('_', ['accumulation', 'markup', 'distribution', 'markdown'][cycle_phase + 1], ['quiet', 'normal', 'volatile'][vol_regime + 1], CASE WHEN squeeze = 1 THEN 'squeeze' END, CASE WHEN trend_direction > 0 THEN 'bullish' WHEN trend_direction < 0 THEN 'bearish' ELSE 'neutral' END) AS market_condition FROM whole"""
+
+
+@query("profile_summary", f"{_whole()} {SUMMARY}")
+def profile_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = pf.summarised(pf.profile(d.bars_walk(spark, sf_dir), benchmark="view"))
+    return whole.select(*pf.SERIES, "regime", "trend_score", "volatility_score", "momentum_score", "market_condition")
+
+
+@query("simple_profile", f"{_whole()} SELECT symbol, timeframe, atr_pct, adx, vol_percentile / 100 AS volatility, 0.5::DOUBLE + trend_direction * 0.25::DOUBLE AS trend_ratio, rsi_mean FROM whole")
+def simple_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pf.simplified(pf.profile(d.bars_walk(spark, sf_dir), benchmark="view"))
+
+
+PLACES = ", ".join(f"least(1, ({c} + {a}::DOUBLE) / {b}::DOUBLE)" if stops else f"({c} + {a}::DOUBLE) / {b}::DOUBLE" for c, a, b, stops in pf.COORDINATES)
+
+
+@query("profile_vector", f"{_whole()} SELECT symbol, timeframe, generate_subscripts(v, 1)::INT AS place, round(unnest(v), 6) AS value FROM (SELECT symbol, timeframe, [{PLACES}] AS v FROM whole)")
+def profile_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = pf.profile(d.bars_walk(spark, sf_dir), benchmark="view")
+    places = t.select(*pf.SERIES, F.posexplode(pf.vector()).alias("place", "value"))
+    return places.select(*pf.SERIES, (F.col("place") + 1).alias("place"), F.round("value", 6).alias("value"))
+
+
+@query("market_profile", f"{_whole()} SELECT * FROM whole")
 def market_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pf.profile(d.bars_walk(spark, sf_dir), benchmark="view")
 
@@ -77,14 +121,16 @@ def market_regime(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pf.regime(d.bars_walk(spark, sf_dir))
 
 
-@query("regime_consensus", f"{REGIME}, m AS (SELECT symbol, regime, count(*) AS c FROM (SELECT symbol, regime FROM rg UNION ALL SELECT symbol, regime FROM rg) GROUP BY 1, 2), k AS (SELECT *, sum(c) OVER (PARTITION BY symbol) AS total, row_number() OVER (PARTITION BY symbol ORDER BY c DESC, regime) AS n FROM m) SELECT symbol, regime AS dominant, c >= 0.6 * total AS consensus FROM k WHERE n = 1")
+TWO = REGIME.replace("FROM walk)", "FROM (SELECT * FROM walk UNION ALL SELECT * FROM walk4))").replace(d.WALK_SQL, f"{d.WALK_SQL}, {d.WALK4_SQL}")
+
+
+@query("regime_consensus", f"{TWO}, m AS (SELECT symbol, regime, count(*) AS c FROM rg GROUP BY 1, 2), k AS (SELECT *, sum(c) OVER (PARTITION BY symbol) AS total, row_number() OVER (PARTITION BY symbol ORDER BY c DESC, regime) AS n FROM m) SELECT symbol, regime AS dominant, c >= 0.6 * total AS consensus FROM k WHERE n = 1")
 def regime_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = pf.regime(d.bars_walk(spark, sf_dir))
-    return pf.consensus(t.unionByName(t.withColumn("timeframe", F.lit("again"))))
+    return pf.consensus(pf.regime(d.bars_walk(spark, sf_dir)).unionByName(pf.regime(d.bars_walk(spark, sf_dir, "4h"))))
 
 
-@query("profile_similarity", f"WITH {d.PROFILES_SQL} SELECT a.id AS query_id, b.id, round(least(1, greatest(0, list_cosine_similarity(a.vec, b.vec))), 4) AS similarity FROM profiles a, profiles b WHERE a.id < 3")
+@query("profile_similarity", f"WITH {d.PROFILES_SQL} SELECT a.id AS query_id, b.id, round(least(1, greatest(0, list_cosine_similarity(a.vec, b.vec))), 4) AS similarity FROM profiles a, profiles b WHERE a.id % 50 = 0")
 def profile_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = d.profiles(spark, sf_dir)
-    asked = p.filter("id < 3").select(F.col("id").alias("query_id"), F.col("vec").alias("q"))
-    return p.crossJoin(F.broadcast(asked)).select("query_id", "id", pf.similarity(F.col("q"), F.col("vec")).alias("similarity"))  # three stated queries
+    asked = p.filter("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("vec").alias("query_vec"))
+    return lb.against_all(p, asked).select("query_id", "id", pf.similarity(F.col("query_vec"), F.col("vec")).alias("similarity"))

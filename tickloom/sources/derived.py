@@ -13,6 +13,8 @@ from tickloom.functions.scalars import epoch_seconds, from_epoch
 from tickloom.operators.metrics import by_trade, run_metrics
 
 INITIAL = 10_000.0
+#: What walking prices are added to; the last digit keeps means that lie half way between two roundings off the middle.
+BASE = 100.000000001
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,7 +37,7 @@ def bars(spark: SparkSession, sf_dir: str, timeframe: str = "1h") -> DataFrame:
 def bars_walk(spark: SparkSession, sf_dir: str, timeframe: str = "1h") -> DataFrame:
     """Smooth bars: a tick's price is 100 plus the mean of the symbol's last 50 values."""
     last = W.partitionBy("event_type").orderBy("ts").rowsBetween(-49, 0)
-    ticks = table(spark, sf_dir, "events").select("ts", F.col("event_type").alias("symbol"), F.round(100 + F.avg("value").over(last), 4).alias("price"), "value")
+    ticks = table(spark, sf_dir, "events").select("ts", F.col("event_type").alias("symbol"), F.round(BASE + F.avg("value").over(last), 4).alias("price"), "value")
     return _bars(ticks, timeframe)
 
 
@@ -47,10 +49,11 @@ def _bars_sql(source: str, timeframe: str) -> str:
 
 
 TICKS_SQL = "ticks AS (SELECT ts::TIMESTAMP AS ts, event_type AS symbol, value AS price, value FROM events)"
-WALK_TICKS_SQL = "walk_ticks AS (SELECT ts::TIMESTAMP AS ts, event_type AS symbol, round(100 + avg(value) OVER (PARTITION BY event_type ORDER BY ts ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 4) AS price, value FROM events)"
+WALK_TICKS_SQL = f"walk_ticks AS (SELECT ts::TIMESTAMP AS ts, event_type AS symbol, round({BASE}::DOUBLE + avg(value) OVER (PARTITION BY event_type ORDER BY ts ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 4) AS price, value FROM events)"
 BARS_SQL = f"{TICKS_SQL}, bars AS ({_bars_sql('ticks', '1h')})"
 BARS4_SQL = f"bars4 AS ({_bars_sql('ticks', '4h')})"
 WALK_SQL = f"{WALK_TICKS_SQL}, walk AS ({_bars_sql('walk_ticks', '1h')})"
+WALK4_SQL = f"walk4 AS ({_bars_sql('walk_ticks', '4h')})"
 
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,6 +148,38 @@ genomes AS (
   FROM part)"""
 
 
+def combined_genomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A parameter set of the long and short strategy per part, partly outside the bounds."""
+    k = F.col("p_partkey")
+    n = lambda m, lo, step: F.lit(lo) + (k * (m + 3) % m) * step
+    i = lambda m, lo: (F.lit(lo) + k * 7 % m).cast("int")
+    stop = lambda a, b, c, e: F.struct(i(a, 1).alias("st_atrPeriod"), n(b, 0.5, 0.5).alias("st_mult"), i(c, 1).alias("rf_period"), n(e, 0.5, 0.5).alias("rf_mult"))
+    goal = lambda a, b, c: F.struct(i(a, 1).alias("st_atrPeriod"), n(b, 0.5, 0.5).alias("st_mult"), n(c, 0.05, 0.25).alias("rr_mult"))
+    entry = F.struct(i(55, 1).alias("st_atrPeriod"), n(65, 0.25, 0.5).alias("st_mult"), i(220, 1).alias("rf_period"), n(64, 0.5, 0.5).alias("rf_mult"), i(29, 4).alias("rsi_length"), i(23, 2).alias("rsi_ma_length"), i(33, 1).alias("dualFlipBarsLong"), i(31, 1).alias("dualFlipBarsShort"))
+    mode = F.struct((k % 2 == 0).alias("showDualFlip"), (k % 3 == 0).alias("showRSI"), (k % 5 < 2).alias("enableLong"), (k % 7 < 4).alias("enableShort"))
+    return table(spark, sf_dir, "part").select(
+        k.cast("long").alias("genome_id"), entry.alias("entry"), stop(31, 62, 210, 63).alias("sl_long"), stop(32, 67, 203, 61).alias("sl_short"), goal(31, 33, 22).alias("tp_dual_long"), goal(33, 34, 23).alias("tp_dual_short"),
+        goal(34, 36, 24).alias("tp_rsi_long"), goal(35, 37, 25).alias("tp_rsi_short"), mode.alias("mode"),
+    )
+
+
+def _stop(a: int, b: int, c: int, e: int) -> str:
+    return f"{{'st_atrPeriod': {_i(a, 1)}, 'st_mult': {_n(b, 0.5, 0.5)}, 'rf_period': {_i(c, 1)}, 'rf_mult': {_n(e, 0.5, 0.5)}}}"
+
+
+def _goal(a: int, b: int, c: int) -> str:
+    return f"{{'st_atrPeriod': {_i(a, 1)}, 'st_mult': {_n(b, 0.5, 0.5)}, 'rr_mult': {_n(c, 0.05, 0.25)}}}"
+
+
+COMBINED_SQL = f"""
+combined AS (
+  SELECT p_partkey::BIGINT AS genome_id,
+    {{'st_atrPeriod': {_i(55, 1)}, 'st_mult': {_n(65, 0.25, 0.5)}, 'rf_period': {_i(220, 1)}, 'rf_mult': {_n(64, 0.5, 0.5)}, 'rsi_length': {_i(29, 4)}, 'rsi_ma_length': {_i(23, 2)}, 'dualFlipBarsLong': {_i(33, 1)}, 'dualFlipBarsShort': {_i(31, 1)}}} AS entry,
+    {_stop(31, 62, 210, 63)} AS sl_long, {_stop(32, 67, 203, 61)} AS sl_short, {_goal(31, 33, 22)} AS tp_dual_long, {_goal(33, 34, 23)} AS tp_dual_short, {_goal(34, 36, 24)} AS tp_rsi_long, {_goal(35, 37, 25)} AS tp_rsi_short,
+    {{'showDualFlip': p_partkey % 2 = 0, 'showRSI': p_partkey % 3 = 0, 'enableLong': p_partkey % 5 < 2, 'enableShort': p_partkey % 7 < 4}} AS mode
+  FROM part)"""
+
+
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of 32 numbers: the first half of each embedding."""
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.slice(F.col("embedding").cast("array<double>"), 1, 32).alias("vec"))
