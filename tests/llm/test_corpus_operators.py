@@ -56,6 +56,24 @@ def test_near_duplicates(spark):
     assert neardup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_large_bucket_of_alike_but_unlinked_texts(spark, monkeypatch):
+    """Texts that share a part of three quarters, in pairs that are linked: the second pass meets them in small blocks."""
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    rng = np.random.default_rng(7)
+    shared = [f"s{x}" for x in range(240)]
+    texts = {}
+    for i in range(60):
+        own = [f"o{i}x{x}" for x in range(40)]
+        texts[2 * i] = " ".join(shared + own)
+        other = list(own)
+        other[rng.integers(0, 40)] = "changed"
+        texts[2 * i + 1] = " ".join(shared + other)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want, _ = plain_components(texts, 85)
+    assert len(set(want.values())) == 60
+    assert {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df, 85).collect()} == want
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(5)
     for share in (0.95, 0.85, 0.5):
@@ -161,3 +179,23 @@ def test_pipeline_and_queries(spark):
     assert set(queries()) == {"op1_chat_format", "op2_surrogates", "op3_quality_rules", "op4_toxicity", "op5_language_id", "op6_source_mix", "op7_nearest_vectors", "op8_near_duplicates", "op9_site_quality", "op10_sentencepiece"}
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), DATA).count() == 0
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    """Of rows that are equal in id and text one stays, with or without an id; columns of any name keep their values."""
+    import corpus_pipeline
+
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(1, text), (1, text), (None, text), (2, "other words that are quite unlike the first ones here"), (None, "a b c d e f g"), (None, "a b c d e f g"), (3, None), (4, ""), (1, "the same id with another text that is long enough to stay")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    names = ["_key", "_text_key", "count", "_size", "_pii", "_mix", "_spm", "_lang", "rep", "Text_key"]
+    for k, name in enumerate(names):
+        docs = docs.withColumn(name, F.lit(k))
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()) == sorted({(1, text), (2, rows[3][1]), (0, "a b c d e f g"), (3, ""), (4, ""), (1, rows[8][1])})
+    for stage in (corpus_pipeline.drop_near_duplicates, corpus_pipeline.identify_language, corpus_pipeline.mix, corpus_pipeline.replace_private_data):
+        out = stage(spark, docs, "")
+        own = [n for n in names if n in out.columns]
+        assert set(out.columns) >= set(docs.columns) - {"_pii", "_mix", "_lang"} and all(r[n] == names.index(n) for r in out.collect() for n in own if n not in ("_pii", "_mix", "_lang"))
+    assert corpus_pipeline.replace_private_data(spark, docs.drop("n_chars"), "").count() == len(rows)
+    assert corpus_pipeline.tokenize(spark, docs, "").filter("parity and round_trip").count() == len(rows)

@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
-import warnings
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tickloom.sources.shared import written
+
 #: Bytes of text that a task works on at once.
 PIECE = 4_000_000
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -23,30 +22,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as spark.checkpoint.dir names it.
-
-    Where the session names none, a temporary one is set in it: right on one machine only, so a cluster is warned."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tickloom-")
-        if not spark.sparkContext.master.startswith("local["):
-            warnings.warn(f"spark.checkpoint.dir isn't set; {found} must be a folder that all executors share", stacklevel=2)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: lineage is cut and lost executors lose nothing.
-
-    The files go when the driver's JVM ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tickloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark._jvm
-    jpath = jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return spark.read.schema(df.schema).parquet(path)
+#: Write a table to the shared folder and read it again.
+materialize = written
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:

@@ -13,7 +13,9 @@ where the next segment's walk began one too; from there both are the same.
 from __future__ import annotations
 
 import functools
+import json
 import math
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from tickloom.llm.common import append_from_text, broadcast_if_small, chunks, materialize, tidy_worker
 
 #: Bounds of the labelled sample of each language: whole texts, and their characters in all.
-SAMPLE_ROWS, SAMPLE_CHARS = 64, 300_000
+SAMPLE_ROWS, SAMPLE_CHARS = 32, 300_000
 #: Characters of a segment, and characters in hand at once in a task.
 SEGMENT, CHUNK = 1024, 1_000_000
 #: Bytes of automata that workers hold at once; more languages than fit are tried in groups.
@@ -63,6 +65,9 @@ def encode(text: str, lut: np.ndarray) -> np.ndarray:
     return codes[:-1] if len(codes) and codes[-1] == BLANK else codes
 
 
+ARRAYS = {"root": np.int32, "target": np.int32, "present": np.uint64, "first": np.int32, "keys": np.int64}
+
+
 @dataclass
 class Automaton:
     """The transitions of a suffix automaton. Its codes: BLANK, OTHER (no state has it), then the letters.
@@ -86,7 +91,24 @@ class Automaton:
 
     @property
     def nbytes(self) -> int:
-        return sum(x.nbytes for x in (self.root, self.target, self.present, self.first, self.keys))
+        return sum(getattr(self, k).nbytes for k in ARRAYS)
+
+    def packed(self) -> bytes:
+        """All of it, compressed."""
+        arrays = [getattr(self, k) for k in ARRAYS]
+        head = json.dumps([self.letters, self.chars, [x.nbytes for x in arrays]]).encode()
+        return zlib.compress(len(head).to_bytes(4, "little") + head + b"".join(x.tobytes() for x in arrays), 1)
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> Automaton:
+        raw = zlib.decompress(data)
+        at = 4 + int.from_bytes(raw[:4], "little")
+        letters, chars, sizes = json.loads(raw[4:at])
+        parts = {}
+        for (name, kind), size in zip(ARRAYS.items(), sizes, strict=True):
+            parts[name] = np.frombuffer(raw, kind, size // np.dtype(kind).itemsize, at).copy()  # aligned
+            at += size
+        return cls(letters, chars, **parts)
 
     def step(self, state: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The states after a code, and whether a phrase ended before it and the next one began."""
@@ -269,11 +291,8 @@ def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS)
     return ranked.filter("taken or (shortest and not some)").select("lang", "draw", "text")
 
 
-ARRAYS = {"root": np.int32, "target": np.int32, "present": np.uint64, "first": np.int32, "keys": np.int64}
-
-
 def learn(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> DataFrame:
-    """lang, letters, chars, bytes and the arrays of each language's automaton, in the shared folder.
+    """lang, bytes (of the automaton in memory) and packed: each language's automaton, in the shared folder.
 
     docs (lang, text): rows without a language or a letter are no use; without any the result is empty. Built from a
     bounded sample (see sample), each language in a group of its own."""
@@ -281,12 +300,11 @@ def learn(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -
     def build(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["draw", "text"])
         made = automaton(frame["text"].tolist())
-        row = {"lang": frame["lang"].iloc[0], "letters": made.letters, "chars": made.chars, "bytes": made.nbytes}
+        row = {"lang": frame["lang"].iloc[0], "bytes": made.nbytes, "packed": made.packed()}
         tidy_worker()
-        return pd.DataFrame([row | {k: getattr(made, k).tobytes() for k in ARRAYS}])
+        return pd.DataFrame([row])
 
-    schema = f"lang string, letters string, chars long, bytes long, {', '.join(f'{k} binary' for k in ARRAYS)}"
-    return materialize(sample(docs, rows, chars).groupBy("lang").applyInPandas(build, schema), "lang-automata")
+    return materialize(sample(docs, rows, chars).groupBy("lang").applyInPandas(build, "lang string, bytes long, packed binary"), "lang-automata")
 
 
 def groups(models: DataFrame, most: int) -> list[list[str]]:
@@ -302,20 +320,22 @@ def groups(models: DataFrame, most: int) -> list[list[str]]:
     return out
 
 
-def loaded(models: DataFrame, langs: list[str]) -> Model:
-    rows = models.filter(F.col("lang").isin(langs)).orderBy("lang").collect()
-    return Model({r["lang"]: Automaton(r["letters"], r["chars"], **{k: np.frombuffer(r[k], t) for k, t in ARRAYS.items()}) for r in rows})
+def loaded(models: DataFrame, langs: list[str]) -> list[tuple[str, bytes]]:
+    """The packed automata of some languages, in their order: what a group's pass broadcasts."""
+    return [(r["lang"], bytes(r["packed"])) for r in models.filter(F.col("lang").isin(langs)).orderBy("lang").collect()]
 
 
-def with_predictions(docs: DataFrame, model: Model, name: str) -> DataFrame:
+def with_predictions(docs: DataFrame, packed: list[tuple[str, bytes]], name: str) -> DataFrame:
     """docs and the struct `name` (pred, best, next) of predict."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(packed)
 
     def start():
         import pyarrow as pa
 
+        model = Model({lang: Automaton.unpacked(x) for lang, x in shared.value})
+
         def make(texts: list[str | None]) -> pa.Array:
-            found = [x for part in chunks(texts, CHUNK) for x in predict(part, shared.value)]
+            found = [x for part in chunks(texts, CHUNK) for x in predict(part, model)]
             columns = [pa.array([x[i] for x in found], t) for i, t in enumerate((pa.string(), pa.float64(), pa.float64()))]
             return pa.StructArray.from_arrays(columns, ["pred", "best", "next"])
 

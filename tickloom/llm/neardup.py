@@ -27,6 +27,9 @@ BANDS, ROWS = 40, 6
 #: rejected (about five standard errors): for every set, and for the sets that a second pass looks at.
 COARSE, FINE = (BANDS * ROWS, 1024, 0.15), (1024, 4096, 0.07)
 
+#: Members of a bucket that meet at once in the second pass.
+BLOCK = 256
+
 _rng = np.random.default_rng(20240601)
 _A = (_rng.integers(0, 1 << 32, FINE[0], dtype=np.uint32) | np.uint32(1))[None, :]
 _B = _rng.integers(0, 1 << 32, FINE[0], dtype=np.uint32)[None, :]
@@ -214,19 +217,25 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     # Members other than the centre that are still apart; the centre has met all of them. Their sketches are made anew,
     # finer, and compared within the join, which lets only close pairs out, each from the first bucket that both are in.
+    # A bucket's members are dealt into blocks and every two blocks meet by themselves, so no bucket is one task's.
     placed = grouped.filter("n > 2").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
-    apart = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
+    apart = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo <> hi").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     still = materialize(placed.join(apart, "bucket"), "dup-apart")
     texts = texts_of(still.select(F.col("rep").alias("doc_id")).distinct(), docs)
     fine = append_from_text(texts, "sketch", "array<long>", _fine_sketches).select(F.col("doc_id").alias("rep"), "sketch")
     still = still.join(materialize(fine, "dup-fine"), "rep").join(reps.select("rep", "bands"), "rep")
-    other = still.select(F.col("bucket").alias("bucket_b"), F.col("rep").alias("b"), F.col("component").alias("component_b"), F.col("sketch").alias("sketch_b"), F.col("bands").alias("bands_b"))
-    close = (F.col("component") < F.col("component_b")) & similar_sketches(F.col("sketch"), F.col("sketch_b"), percent, FINE)
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    dealt = still.select("*", own.alias("block"), every)
+    a = dealt.filter("block <= other").select("bucket", F.col("block").alias("low"), F.col("other").alias("high"), F.col("rep").alias("a"), "component", "sketch", "bands")
+    b = dealt.filter("block >= other").select(F.col("bucket").alias("bucket_b"), F.col("other").alias("low_b"), F.col("block").alias("high_b"), F.col("rep").alias("b"), F.col("component").alias("component_b"), F.col("sketch").alias("sketch_b"), F.col("bands").alias("bands_b"))
+    same = (F.col("bucket") == F.col("bucket_b")) & (F.col("low") == F.col("low_b")) & (F.col("high") == F.col("high_b"))
+    close = (F.col("component") != F.col("component_b")) & similar_sketches(F.col("sketch"), F.col("sketch_b"), percent, FINE)
     first = F.col("bucket") == F.array_min(F.array_intersect("bands", "bands_b"))
-    pairs = still.withColumnRenamed("rep", "a").join(other, (F.col("bucket") == F.col("bucket_b")) & close & first)
-    near = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "dup-near")
-    more = confirmed(near, texts, percent)
-    found = components(links.unionByName(more))
+    near = a.join(b, same & close & first).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    more = confirmed(materialize(near, "dup-near"), texts, percent)
+    if not more.isEmpty():
+        found = components(found.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more))
 
     joined = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").filter("copies > 1 or component is not null").select("print", F.coalesce("component", "rep").alias("_component"))
     out = features.select("doc_id", "n_shingles", "print").join(joined, "print", "left")
