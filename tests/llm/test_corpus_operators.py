@@ -88,7 +88,11 @@ def test_sketches_estimate_similarity():
                 assert share > 0.5 or differing > neardup.differing_bits(0.8 - margin, samples, bits)
 
 
-def test_search(spark):
+@pytest.mark.parametrize("block", [4096, 500])
+def test_search(spark, monkeypatch, block):
+    """Also where the table has several blocks, so that most are searched within a bound."""
+    monkeypatch.setattr(ann, "BLOCK", block)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", block // 20)
     rng = np.random.default_rng(4)
     x = rng.standard_normal((3000, 24))
     x[10] = x[20] = x[30]
@@ -111,6 +115,25 @@ def test_search(spark):
     assert ann.nearest(few.limit(0), few.limit(0)).count() == 0
 
 
+@needs_data
+def test_recall_on_embeddings(spark):
+    """Recall at 5 against brute force, and the share of vectors that a query verifies."""
+    df = spark.read.parquet(f"{DATA.replace('0.001', '0.1')}/embeddings.parquet")
+    rows = [(r["vec_id"], r["embedding"]) for r in df.collect()]
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    got = {}
+    for r in ann.nearest(df, df.filter("vec_id % 50 = 0")).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = n = 0
+    for q in np.flatnonzero(ids % 50 == 0):
+        s = u @ u[q]
+        s[q] = -9
+        hits += len(got[ids[q]] & set(ids[np.argsort(-s)[:5]].tolist()))
+        n += 5
+    assert n and hits / n >= 0.9
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(6)
     docs, labels = [], []
