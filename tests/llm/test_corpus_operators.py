@@ -154,6 +154,112 @@ def test_toxicity(spark):
     assert toxicity.score(d.limit(0), toxicity.learn(d.limit(0), lab.limit(0))).count() == 0
 
 
+def test_toxicity_matches_plain_ftrl(spark):
+    """Features, training and scores against dictionaries and one coordinate at a time."""
+    import math
+
+    import xxhash
+
+    mask, mul = (1 << 64) - 1, 0x9E3779B97F4A7C15
+    rng = np.random.default_rng(9)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 40, 12)) + (" Nasty!" if i % 3 == 0 else "") for i in range(90)]
+
+    def plain_features(text):
+        h = [xxhash.xxh3_64_intdigest(w.strip(toxicity.PUNCTUATION)) for w in text.lower().encode().split()]
+        codes = list(h)
+        for gap in (1, 2, 3):
+            codes += [((h[i] * mul + gap) & mask) * mul & mask ^ h[i + gap] for i in range(len(h) - gap)]
+        return sorted({(c * mul & mask) >> 42 for c in codes})
+
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(0, 90, 2)], "doc_id long, label int")
+    bias, at, w = toxicity.learn(d, labels)
+    order = sorted(range(0, 90, 2), key=lambda i: (xxhash.xxh3_64_intdigest(texts[i].encode()) >> 1, i % 3 == 0))
+    z, n, b, bn = {}, {}, 0.0, 0.0
+    f = toxicity.Ftrl()
+
+    def weight(k):
+        x = z.get(k, 0.0)
+        return 0.0 if abs(x) <= f.l1 else (math.copysign(f.l1, x) - x) / ((f.beta + math.sqrt(n.get(k, 0.0))) / f.alpha + f.l2)
+
+    for _ in range(4):
+        for i in order:
+            own = plain_features(texts[i])
+            ws = {k: weight(k) for k in own}
+            g = 1 / (1 + math.exp(-(b + sum(ws.values())))) - (i % 3 == 0)
+            for k in own:
+                sigma = (math.sqrt(n.get(k, 0.0) + g * g) - math.sqrt(n.get(k, 0.0))) / f.alpha
+                z[k], n[k] = z.get(k, 0.0) + g - sigma * ws[k], n.get(k, 0.0) + g * g
+            bn += g * g
+            b -= 0.1 * g / (1 + math.sqrt(bn))
+    want = {k: weight(k) for k in z if abs(z[k]) > f.l1}
+    assert abs(bias - b) < 1e-6 and set(at.tolist()) == set(want) and len(want) > 3
+    assert all(abs(x - want[k]) < 1e-5 for k, x in zip(at.tolist(), w.tolist(), strict=True))
+    for r in toxicity.score(d, (bias, at, w)).collect():
+        s = b + sum(want.get(k, 0.0) for k in plain_features(texts[r["doc_id"]]))
+        assert abs(r["score"] - 1 / (1 + math.exp(-s))) < 1e-5
+
+
+def test_site_quality_matches_plain(spark):
+    """Evidence, both shrunk rates and posteriors, recomputed one by one; and sites decide where texts say nothing."""
+    import math
+    import re
+
+    from tickloom.llm.quality_rules import text_counts
+
+    rng = np.random.default_rng(2)
+    docs, urls, label = [], [], {}
+    for i in range(240):
+        host, path = i % 6, (i // 6) % 2
+        good = rng.random() < (0.9 if host < 3 else 0.1)
+        words = [f"w{x}" for x in rng.integers(0, 200, 40)] + (["##"] * 6 if rng.random() < (0.1 if good else 0.5) else [])
+        docs.append((i, " ".join(words), "s"))
+        urls.append((f"http://H{host}.org/p{path}/{i}.html",))
+        if i % 2:
+            label[i] = int(good)
+    d, pages = spark.createDataFrame(docs, "doc_id long, text string, source string"), spark.createDataFrame(urls, "url string")
+    got = {r["doc_id"]: r for r in site_quality.classify(d, pages, spark.createDataFrame(list(label.items()), "doc_id long, label int")).collect()}
+
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_alpha_words", "n_distinct_words")
+    bins = {}
+    for i, text, _ in docs:
+        env = dict(zip(names, text_counts(text), strict=True))
+        value = lambda e: (lambda a, b: eval(a, {}, env) / eval(b, {}, env) if eval(b, {}, env) else 0)(*e.split("/")) if "/" in e else eval(e, {}, env)
+        bins[i] = {n: 0 if (v := value(e)) <= 0 else 1 + math.floor(math.log2(1 + v)) for n, e in site_quality.FEATURES.items()}
+    ratio = {}
+    for n in site_quality.FEATURES:
+        kinds = {bins[i][n] for i in label}
+        for k in kinds:
+            p, q = ((sum(bins[i][n] == k and y == v for i, y in label.items()) + 2) / (sum(y == v for y in label.values()) + 2 * len(kinds)) for v in (1, 0))
+            ratio[n, k] = math.log(p / q)
+    evidence = {i: sum(ratio.get((n, b), 0.0) for n, b in bins[i].items()) for i in bins}
+    odds = math.log((sum(label.values()) + 1) / (len(label) - sum(label.values()) + 1))
+    p = {i: 1 / (1 + math.exp(-(e + odds))) for i, e in evidence.items()}
+    host = {i: f"h{i % 6}.org" for i in p}
+    path = {i: (host[i], f"p{i // 6 % 2}") for i in p}
+    sums = lambda by: {k: (len(v), sum(v), sum(x * x for x in v)) for k in set(by.values()) for v in [[p[i] for i in p if by[i] == k]]}
+    hosts, paths = sums(host), sums(path)
+    rate = (sum(p.values()) + 1) / (len(p) + 2)
+
+    def strength(groups, mean):
+        own = [(g / n - mean(k), max(0.0, (s - g * g / n) / (n - 1)), n) for k, (n, g, s) in groups.items() if n > 1]
+        between = sum(gap * gap - w / n for gap, w, n in own) / len(own)
+        return 1000.0 if between <= 0 else min(1000.0, max(1.0, sum(w for _, w, _ in own) / len(own) / between))
+
+    kh = strength(hosts, lambda k: rate)
+    kp = strength(paths, lambda k: (hosts[k[0]][1] + kh * rate) / (hosts[k[0]][0] + kh))
+    for i in p:
+        (n, g, _), (m, q, _) = hosts[host[i]], paths[path[i]]
+        hr = min(1 - 1e-6, max(1e-6, (max(0.0, g - p[i]) + kh * rate) / (n - 1 + kh)))
+        pr = min(1 - 1e-6, max(1e-6, (max(0.0, q - p[i]) + kp * hr) / (m - 1 + kp)))
+        want = 1 / (1 + math.exp(-(evidence[i] + math.log(pr / (1 - pr)))))
+        r = got[i]
+        assert abs(r["evidence"] - evidence[i]) < 1e-9 and abs(r["host_rate"] - hr) < 1e-9 and abs(r["path_rate"] - pr) < 1e-9 and abs(r["quality"] - want) < 1e-9
+    plain = [i for i in p if not re.search("##", docs[i][1])]
+    good, bad = ([got[i]["quality"] for i in plain if (i % 6 < 3) == v] for v in (True, False))
+    assert 2 * (1 - np.mean(good)) < 1 - np.mean(bad)  # the same kind of text, on better and on worse hosts
+
+
 @needs_data
 def test_held_out_figures(spark):
     """Site quality on labels that it hasn't seen."""

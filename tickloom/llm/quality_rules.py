@@ -89,21 +89,20 @@ RULES = {
 BASE_FAILED = "n_words < 10 or 100 * n_repeat_words > 20 * n_words"
 
 
-def estimate(votes: np.ndarray, counts: np.ndarray, rounds: int = 200, least_hit: float = 0.0) -> tuple[float, np.ndarray, np.ndarray]:
+def estimate(votes: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[float, np.ndarray, np.ndarray]:
     """Expectation-maximisation over vote patterns (rows of -1, 0, 1) seen counts times.
 
     Returns P(good) and, for each rule, P(votes 1 | good, votes) and P(votes -1 | bad, votes). A bad text has one fault
     or another, seldom all, so rules see few of the bad ones each: the first guess calls a text bad in proportion to the
     votes against it, half a vote being enough for even odds. Beta priors with the weight of twenty votes (means 0.95
     and 0.3) keep rules that hardly vote near them and are overruled by the votes; without rows the priors are returned.
-    least_hit > 0 would bound P(votes 1 | good, votes) from below, so that no rule could be found unreliable.
     """
     p = 1 / (1 + np.exp(8 * ((votes < 0).sum(axis=1) - 0.5)))
     good, hit, reject = 0.8, np.full(votes.shape[1], 0.95), np.full(votes.shape[1], 0.3)
     for _ in range(rounds if len(votes) else 0):
         g, b = p * counts, (1 - p) * counts
         was, good = good, float((g.sum() + 16) / (counts.sum() + 20))
-        hit = np.maximum(least_hit, (g @ (votes > 0) + 19) / (g @ (votes != 0) + 20))
+        hit = (g @ (votes > 0) + 19) / (g @ (votes != 0) + 20)
         reject = (b @ (votes < 0) + 6) / (b @ (votes != 0) + 20)
         p = posterior(votes, good, hit, reject)
         if abs(was - good) < 1e-10:
@@ -121,8 +120,9 @@ def weak_supervision(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
     Two passes: counts are written once to the shared folder; the vote patterns (3 to the power of the number of
     rules at most, however many documents) are summed by Spark and EM runs over them. Null and empty texts have zero
-    counts and fail the base; repeated rows stay; an empty table gives no rows. Other columns of docs are not read.
-    What passes the base and has no vote against it is kept, however small the share of good texts.
+    counts and fail the base; very long texts are counted whole; a posterior equal to the threshold keeps; repeated rows
+    stay and count as often as they are there; an empty table gives no rows. Other columns of docs are not read. What
+    passes the base and has no vote against it is kept, however small the share of good texts.
     """
     counted = materialize(document_counts(docs), "quality-counts")
     votes = [F.when(F.expr(bad), -1).when(F.expr(ok), 1).otherwise(0).alias(f"vote_{name}") for name, (bad, ok) in RULES.items()]

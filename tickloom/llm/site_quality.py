@@ -83,8 +83,8 @@ def classify(docs: DataFrame, pages: DataFrame, labels: DataFrame, threshold: fl
     """doc_id, host, path, evidence, host_rate, path_rate, quality (posterior) and kept of every document.
 
     docs (doc_id, text, source), pages (url), labels (doc_id, label). A document without a page belongs to the host
-    `source:` and its source (null: empty). Null and empty texts have the evidence of empty counts. Rows that share a
-    doc_id are judged one by one; an empty table gives no rows; without labels every ratio is 0 and the odds are even.
+    `source:` and its source (null: empty). Null and empty texts have the evidence of empty counts; very long ones are
+    counted whole; a posterior equal to the threshold keeps. Rows that share a doc_id are judged one by one; an empty table gives no rows; without labels every ratio is 0 and the odds are even.
     Sites are small sums, made in map-side parts, so a host with a third of all documents is one row like any other.
     """
     counted = materialize(document_counts(docs, "source").select("doc_id", "source", *bins()), "site-bins")

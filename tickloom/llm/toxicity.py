@@ -131,8 +131,9 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[
 def score(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray]) -> DataFrame:
     """doc_id and score (0 to 1, higher: label 1 likelier) of every whole text.
 
-    Null and wordless texts get the score of the bias alone. Rows are scored one by one: repeated rows get equal scores,
-    an empty table gives no rows, and no column but text is an input."""
+    Null and wordless texts get the score of the bias alone; very long texts are scored whole. Rows are scored one by
+    one: repeated rows get equal scores, an empty table gives no rows, and no column but text is an input. A caller who
+    cuts at a threshold decides on which side equal scores fall."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def start():
