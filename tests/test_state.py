@@ -126,8 +126,9 @@ def test_csv_layouts(spark, tmp_path):
 
 
 def test_stream_equals_batch(spark, tmp_path, walk):
-    frame = pd.DataFrame({"symbol": "A", "timeframe": "1h", "time": pd.date_range("2024-01-01", periods=120, freq="h"), "close": walk["close"][:120]})
-    schema = "symbol string, timeframe string, time timestamp, close double"
+    prices = {k: walk[k][:120] for k in ("high", "low", "close")}
+    frame = pd.DataFrame({"symbol": "A", "timeframe": "1h", "time": pd.date_range("2024-01-01", periods=120, freq="h"), **prices})
+    schema = "symbol string, timeframe string, time timestamp, high double, low double, close double"
     for i in range(3):
         part = pd.concat([frame[i * 40 : (i + 1) * 40], frame[i * 40 : i * 40 + 2]])  # with repeats
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
@@ -142,6 +143,12 @@ def test_stream_equals_batch(spark, tmp_path, walk):
     assert len(got) == 120
     assert np.allclose(got["ema"], recurrence.ema(walk["close"][:120], 20)) and np.allclose(got["rsi"], recurrence.wilder_rsi(walk["close"][:120], 14))
     assert run(streams.deduplicated(read(), "200 hours"), "deduplicated").count() == 120
+    high, low, close = prices.values()
+    st = recurrence.supertrend((high + low) / 2, close, recurrence.rma(recurrence.true_range(high, low, close), 10), 3.0)
+    rf = recurrence.range_filter(close, recurrence.smooth_range(close, 20, 2.5))
+    got = run(streams.incremental_trends(read()), "trends").orderBy("time").toPandas()
+    assert len(got) == 120 and (got["trend"] == st["trend"]).all() and (got["state"] == rf["state"]).all() and len(set(got["state"])) > 1
+    assert all(np.allclose(got[c], x) for c, x in (("up", st["up"]), ("dn", st["dn"]), ("filter", rf["filter"])))
 
 
 def test_diverse_genomes_are_found_below_a_crowded_top(spark):
@@ -196,3 +203,25 @@ def test_queries_in_blocks_meet_all_rows(spark):
     rows, asked = spark.range(50), spark.range(23).select(F.col("id").alias("query_id"), F.array(F.lit(1.0)).alias("query_vec"))
     got = leaderboard.against_all(rows, asked, per_block=5)
     assert got.count() == 50 * 23 == got.select("id", "query_id").distinct().count()
+
+
+def test_crowding_and_fronts_in_small_parts(spark):
+    """Many buckets and cells give what one gives; values that many genomes share too."""
+    rng = np.random.default_rng(6)
+    x = np.round(rng.random((300, 3)), 2)
+    x[:120, 0] = 0.5
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "genome_id long, vec array<double>")
+    want = np.zeros(300)
+    for k in range(3):
+        order = np.lexsort((np.arange(300), x[:, k]))
+        v = x[order, k]
+        gaps = np.r_[np.inf, (v[2:] - v[:-2]) / (v[-1] - v[0]), np.inf]
+        want[order] += gaps
+    for size in (50_000, 7):
+        got = {r["genome_id"]: r["crowding"] for r in genomes.crowding(df, size).collect()}
+        assert all(got[i] == want[i] or abs(got[i] - want[i]) < 1e-5 for i in range(300))
+    rows = [(i, *map(float, v)) for i, v in enumerate(np.round(rng.random((400, 4)), 1))]
+    t = spark.createDataFrame(rows, "run_id long, net_profit_pct double, sharpe double, winrate double, max_drawdown_pct double")
+    front = {i for i, *a in rows if not any(all(y >= z for y, z in zip((*b[:3], -b[3]), (*a[:3], -a[3]), strict=True)) and b != a for _, *b in rows)}
+    for size in (2000, 15):
+        assert {r["run_id"] for r in runs.pareto_front(t, per_cell=size, fan=3).collect()} == front

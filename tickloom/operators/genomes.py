@@ -135,14 +135,30 @@ def niche_fitness(vectors: DataFrame, sigma: float = 0.15) -> DataFrame:
     return t.join(near, "_strip").groupBy("genome_id").agg(F.first("score").alias("score"), F.sum(weight).alias("niche")).select("genome_id", F.round("niche", 6).alias("niche"), F.round(F.col("score") / F.col("niche"), 6).alias("shared"))
 
 
-def crowding(vectors: DataFrame) -> DataFrame:
-    """Per genome the sum over dimensions of the gap between its neighbours, by the dimension's range; infinite at an end."""
+def crowding(vectors: DataFrame, per_bucket: int = 50_000) -> DataFrame:
+    """Per genome the sum over dimensions of the gap between its neighbours, by the dimension's range; infinite at an end.
+
+    Equal coordinates are one row with their first and last genome: those between have no gap. The distinct values of a
+    dimension are cut at their quantiles into buckets, each sorted by itself, and the buckets' edges see each other; so
+    neither a dimension nor a value that many genomes share is one task's."""
     t = vectors.select("genome_id", F.posexplode("vec").alias("dim", "x"))
-    by = W.partitionBy("dim").orderBy("x", "genome_id")
-    whole = W.partitionBy("dim")
-    before, after = F.lag("x").over(by), F.lead("x").over(by)
-    gap = F.when(before.isNull() | after.isNull(), float("inf")).otherwise((after - before) / F.greatest(F.max("x").over(whole) - F.min("x").over(whole), F.lit(1e-12)))
-    return t.withColumn("_gap", gap).groupBy("genome_id").agg(F.round(F.sum("_gap"), 6).alias("crowding"))
+    values = t.groupBy("dim", "x").agg(F.min("genome_id").alias("low"), F.max("genome_id").alias("high"), F.count("*").alias("n"))
+    values = written(values, "crowding-values")
+    buckets = max(1, -(-values.count() // (per_bucket * max(1, values.select("dim").distinct().count()))))
+    spans = F.percentile_approx("x", [i / buckets for i in range(1, buckets)] or [0.5], 10_000)
+    cuts = values.groupBy("dim").agg(spans.alias("_cuts"), F.min("x").alias("_lo"), F.max("x").alias("_hi"))  # a row per dimension
+    dealt = values.join(F.broadcast(cuts), "dim").withColumn("bucket", F.size(F.filter("_cuts", lambda c: c < F.col("x"))) if buckets > 1 else F.lit(0))
+    edges = dealt.groupBy("dim", "bucket").agg(F.min("x").alias("_first"), F.max("x").alias("_last"))
+    by_bucket = W.partitionBy("dim").orderBy("bucket")  # a row per bucket
+    edges = edges.select("dim", "bucket", F.lag("_last").over(by_bucket).alias("_left"), F.lead("_first").over(by_bucket).alias("_right"))
+    by = W.partitionBy("dim", "bucket").orderBy("x")
+    near = dealt.join(F.broadcast(edges), ["dim", "bucket"])
+    near = near.withColumn("before", F.coalesce(F.lag("x").over(by), F.col("_left"))).withColumn("after", F.coalesce(F.lead("x").over(by), F.col("_right")))
+    infinite = F.lit(float("inf"))
+    left, right = F.coalesce(F.col("x") - F.col("before"), infinite), F.coalesce(F.col("after") - F.col("x"), infinite)
+    ends = F.array(F.struct(F.col("low").alias("genome_id"), left.alias("gap")), F.struct(F.col("high").alias("genome_id"), right.alias("gap")))
+    gaps = near.select(F.explode(ends).alias("e"), F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-12)).alias("range")).groupBy("e.genome_id").agg(F.sum(F.col("e.gap") / F.col("range")).alias("_gap"))
+    return vectors.select("genome_id").join(gaps, "genome_id", "left").select("genome_id", F.round(F.coalesce("_gap", F.lit(0.0)), 6).alias("crowding"))
 
 
 def uniform(*keys: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickloom.functions import scalars as s
+from tickloom.sources.shared import written
 
 
 def with_score(runs: DataFrame) -> DataFrame:
@@ -117,24 +118,29 @@ def downsampled(curve: DataFrame, max_points: int) -> DataFrame:
 OBJECTIVES = {"net_profit_pct": 1, "sharpe": 1, "winrate": 1, "max_drawdown_pct": -1}
 
 
-def pareto_front(runs: DataFrame, objectives: dict[str, int] | None = None, cells: int = 32) -> DataFrame:
+def pareto_front(runs: DataFrame, objectives: dict[str, int] | None = None, per_cell: int = 2000, fan: int = 8) -> DataFrame:
     """Runs that no other run dominates (as good in all objectives, better in one).
 
-    A first pass keeps the undominated of each of many cells, dealt by hash; those few meet in a second pass."""
+    Runs are dealt into cells of a bounded size, and only a cell's undominated runs go on; `fan` cells are merged at a
+    time until one is left, so what meets there are the fronts of the last few cells. Each round is written."""
     goals = objectives or OBJECTIVES
     value = lambda side, c: F.col(f"{side}.{c}") * goals[c]
 
-    def undominated(df: DataFrame, on: list[str]) -> DataFrame:
+    def undominated(df: DataFrame) -> DataFrame:
         a, b = df.alias("a"), df.alias("b")
-        none_worse, one_better = F.lit(True), F.lit(False)
+        none_worse, one_better = F.col("a._cell") == F.col("b._cell"), F.lit(False)
         for c in goals:
             none_worse, one_better = none_worse & (value("b", c) >= value("a", c)), one_better | (value("b", c) > value("a", c))
-        for c in on:
-            none_worse = none_worse & (F.col(f"a.{c}") == F.col(f"b.{c}"))
         return a.join(b, none_worse & one_better, "left_anti").select("a.*")
 
-    dealt = runs.withColumn("_cell", F.pmod(F.xxhash64("run_id"), F.lit(cells)))
-    return undominated(undominated(dealt, ["_cell"]).drop("_cell"), [])
+    cells = max(1, -(-runs.count() // per_cell))
+    left = runs.withColumn("_cell", F.pmod(F.xxhash64("run_id"), F.lit(cells)).cast("int"))
+    while True:
+        left = undominated(left)
+        if cells == 1:
+            return left.drop("_cell")
+        cells = -(-cells // fan)
+        left = written(left.withColumn("_cell", F.floor(F.col("_cell") / fan).cast("int")), "pareto-fronts")
 
 
 def pruned_trades(trades: DataFrame, keep: int = 1200) -> DataFrame:

@@ -61,3 +61,52 @@ def incremental_indicators(bars: DataFrame, span: int = 20, rsi: int = 14, late:
 
     keyed = bars.withWatermark("time", late).groupBy("symbol", "timeframe")
     return keyed.applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+TREND_OUT = "symbol string, timeframe string, time timestamp, up double, dn double, trend int, filter double, state int"
+TREND_STATE = "n long, close double, ranges double, atr double, up double, dn double, trend int, e1 double, e2 double, filter double, state int, last_time timestamp"
+
+
+def trend_step(s: dict, high: float, low: float, close: float, atr: int, mult: float, period: int, rng: float) -> None:
+    """One bar for supertrend and range filter: s holds what the bar before left behind (n 0 before the first)."""
+    first, last, a1, a2 = s["n"] == 0, s["close"], 2 / (period + 1), 2 / (2 * period)
+    tr = high - low if first else max(high - low, abs(high - last), abs(low - last))
+    s["ranges"] += tr if s["n"] < atr else 0.0
+    s["atr"] = 0.0 if s["n"] < atr - 1 else s["ranges"] / atr if s["n"] == atr - 1 else tr / atr + (1 - 1 / atr) * s["atr"]
+    up, dn, was = (high + low) / 2 - mult * s["atr"], (high + low) / 2 + mult * s["atr"], s["trend"]
+    if not first:
+        up = max(up, s["up"]) if last > s["up"] else up
+        dn = min(dn, s["dn"]) if last < s["dn"] else dn
+        s["trend"] = 1 if was < 0 and close > s["dn"] else -1 if was > 0 and close < s["up"] else was
+    move = 0.0 if first else abs(close - last)
+    s["e1"] = move if first else a1 * move + (1 - a1) * s["e1"]
+    s["e2"] = s["e1"] if first else a2 * s["e1"] + (1 - a2) * s["e2"]
+    before, reach = close if first else s["filter"], s["e2"] * rng
+    s["filter"] = max(close - reach, before) if close > before else min(close + reach, before)
+    if close > s["filter"] > before:
+        s["state"] = 1
+    elif close < s["filter"] < before:
+        s["state"] = -1
+    s["n"], s["close"], s["up"], s["dn"] = s["n"] + 1, close, up, dn
+
+
+def incremental_trends(bars: DataFrame, atr: int = 10, mult: float = 3.0, period: int = 20, rng: float = 2.5, late: str = "1 hour") -> DataFrame:
+    """A stream of bars -> supertrend and range filter, as the batch kernels give them for the whole series.
+
+    A bar that is not newer than the last one of its series is dropped, whatever batch it comes in."""
+    names = tuple(x.split()[0] for x in TREND_STATE.split(", "))
+    empty = dict.fromkeys(names, 0.0) | {"n": 0, "trend": 1, "state": 0, "last_time": pd.Timestamp(0)}
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
+        s = dict(zip(names, group.get, strict=True)) if group.exists else dict(empty)
+        frame, rows = pd.concat(list(frames)).sort_values("time", kind="stable"), []
+        for time, high, low, close in zip(frame["time"], frame["high"], frame["low"], frame["close"], strict=True):
+            if time > s["last_time"]:
+                trend_step(s, high, low, close, atr, mult, period, rng)
+                s["last_time"] = time
+                rows.append((*key, time, s["up"], s["dn"], s["trend"], s["filter"], s["state"]))
+        group.update(tuple(s[x] for x in names))
+        yield pd.DataFrame(rows, columns=["symbol", "timeframe", "time", "up", "dn", "trend", "filter", "state"])
+
+    keyed = bars.withWatermark("time", late).groupBy("symbol", "timeframe")
+    return keyed.applyInPandasWithState(run, TREND_OUT, TREND_STATE, "append", GroupStateTimeout.NoTimeout)
