@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from tickloom.sources.shared import written
 
 #: Bytes of text that a task works on at once.
-PIECE = 4_000_000
+PIECE = 2_000_000
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: A word is a maximal run of characters that are neither a blank nor one of TAB to CR.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -29,7 +29,7 @@ from tickloom.llm.common import append_from_text, broadcast_if_small, chunks, ma
 #: Bounds of the labelled sample of each language: whole texts, and their characters in all.
 SAMPLE_ROWS, SAMPLE_CHARS = 32, 300_000
 #: Characters of a segment, and characters in hand at once in a task.
-SEGMENT, CHUNK = 1024, 1_000_000
+SEGMENT, CHUNK = 1024, 500_000
 #: Bytes of automata that workers hold at once; more languages than fit are tried in groups.
 MODEL_BYTES = 64_000_000
 #: Automata of at most this many codes hold a state's transitions as the bits of one word; larger ones look them up.

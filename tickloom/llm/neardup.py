@@ -28,7 +28,7 @@ BANDS, ROWS = 40, 6
 COARSE, FINE = (BANDS * ROWS, 1024, 0.15), (1024, 4096, 0.07)
 
 #: Members of a bucket that meet at once in the second pass.
-BLOCK = 256
+BLOCK = 512
 
 _rng = np.random.default_rng(20240601)
 _A = (_rng.integers(0, 1 << 32, FINE[0], dtype=np.uint32) | np.uint32(1))[None, :]
@@ -156,6 +156,10 @@ def similar_sketches(x: Column, y: Column, percent: int, kind: tuple[int, int, f
     return differing <= differing_bits(percent / 100 - margin, samples, bits)
 
 
+def blocks_of(n: Column) -> Column:
+    return F.ceil(n / BLOCK).cast("int")
+
+
 def texts_of(reps: DataFrame, docs: DataFrame) -> DataFrame:
     """reps (doc_id, distinct) -> their texts, one row each."""
     needed = broadcast_if_small(materialize(reps, "dup-needed"))
@@ -217,19 +221,25 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     # Members other than the centre that are still apart; the centre has met all of them. Their sketches are made anew,
     # finer, and compared within the join, which lets only close pairs out, each from the first bucket that both are in.
-    # A bucket's members are dealt into blocks and every two blocks meet by themselves, so no bucket is one task's.
+    # A bucket's largest component is apart from the others only; those and the others are dealt into blocks, and every
+    # two blocks meet by themselves, so no bucket is one task's and one large component stays in proportion.
     placed = grouped.filter("n > 2").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
-    apart = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo <> hi").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    still = materialize(placed.join(apart, "bucket"), "dup-apart")
+    sizes = placed.groupBy("bucket", "component").count().groupBy("bucket").agg(F.sum("count").alias("n"), F.max(F.struct("count", "component")).alias("main"))
+    apart = sizes.filter(F.col("n") > F.col("main.count")).select("bucket", F.col("main.component").alias("main"), blocks_of(F.col("main.count")).alias("mains"), blocks_of(F.col("n") - F.col("main.count")).alias("others"))
+    still = materialize(placed.join(broadcast_if_small(materialize(apart, "dup-mixed")), "bucket"), "dup-apart")
     texts = texts_of(still.select(F.col("rep").alias("doc_id")).distinct(), docs)
     fine = append_from_text(texts, "sketch", "array<long>", _fine_sketches).select(F.col("doc_id").alias("rep"), "sketch")
     still = still.join(materialize(fine, "dup-fine"), "rep").join(reps.select("rep", "bands"), "rep")
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = still.select("*", own.alias("block"), every)
-    a = dealt.filter("block <= other").select("bucket", F.col("block").alias("low"), F.col("other").alias("high"), F.col("rep").alias("a"), "component", "sketch", "bands")
-    b = dealt.filter("block >= other").select(F.col("bucket").alias("bucket_b"), F.col("other").alias("low_b"), F.col("block").alias("high_b"), F.col("rep").alias("b"), F.col("component").alias("component_b"), F.col("sketch").alias("sketch_b"), F.col("bands").alias("bands_b"))
-    same = (F.col("bucket") == F.col("bucket_b")) & (F.col("low") == F.col("low_b")) & (F.col("high") == F.col("high_b"))
+    is_main = F.col("component") == F.col("main")
+    own = F.pmod(F.xxhash64("rep"), F.when(is_main, F.col("mains")).otherwise(F.col("others"))).cast("int")
+    key = lambda kind, low, high: F.struct(F.lit(kind).alias("kind"), low.alias("low"), high.alias("high"))
+    up_to = lambda n: F.sequence(F.lit(0), n)
+    with_others = F.transform(up_to(F.col("others") - 1), lambda h: key(1, own, h))
+    one = F.when(is_main, with_others).otherwise(F.transform(F.sequence(own, F.col("others") - 1), lambda h: key(0, own, h)))
+    two = F.concat(F.transform(up_to(own), lambda x: key(0, x, own)), F.transform(up_to(F.col("mains") - 1), lambda x: key(1, x, own)))
+    a = still.select("bucket", F.explode(one).alias("key"), F.col("rep").alias("a"), "component", "sketch", "bands")
+    b = still.filter(~is_main).select(F.col("bucket").alias("bucket_b"), F.explode(two).alias("key_b"), F.col("rep").alias("b"), F.col("component").alias("component_b"), F.col("sketch").alias("sketch_b"), F.col("bands").alias("bands_b"))
+    same = (F.col("bucket") == F.col("bucket_b")) & (F.col("key") == F.col("key_b"))
     close = (F.col("component") != F.col("component_b")) & similar_sketches(F.col("sketch"), F.col("sketch_b"), percent, FINE)
     first = F.col("bucket") == F.array_min(F.array_intersect("bands", "bands_b"))
     near = a.join(b, same & close & first).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

@@ -26,8 +26,8 @@ MARK = "▁"
 #: Values of the model format: types of models and of pieces.
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, USER_DEFINED, BYTE = 1, 2, 4, 6
-#: Characters that are encoded at once in a task.
-CHUNK = 1_000_000
+#: Characters that the sentencepiece library encodes at once in a task.
+CHUNK = 500_000
 THREADS = 2
 
 
