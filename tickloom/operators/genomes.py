@@ -281,3 +281,48 @@ def ratio_violations(sides: tuple[str, ...] = ("",)) -> Column:
         a, b = (c(f"sl{s}.st_mult") for s in sides)
         checks["sides"] = F.abs(a - b) > RATIOS["sides"]
     return F.filter(F.array(*[F.when(bad, F.lit(name)) for name, bad in checks.items()]), lambda x: x.isNotNull())
+
+
+# ---- ranges from outside: a configuration's, a regime's --------------------------------------------------------------
+
+
+def configured_bounds(ranges: DataFrame, bounds: dict[str, dict] = BOUNDS, floor: float = 0.5) -> DataFrame:
+    """ranges (block, param, start, end; in either order) -> block, param, lo, hi of every parameter: grown on both sides
+    where a range is given, the default bounds where none is."""
+    given = ranges.filter("start is not null and end is not null").select("block", "param", F.least("start", "end").alias("lo"), F.greatest("start", "end").alias("hi"))
+    return _over_defaults(widened(given, floor=floor), bounds)
+
+
+def merged_bounds(values: DataFrame, bounds: dict[str, dict] = BOUNDS) -> DataFrame:
+    """values (block, param, given: array of numbers) -> bounds: the smallest and largest number given, else the default."""
+    return _over_defaults(values.filter("size(given) > 0").select("block", "param", F.array_min("given").alias("lo"), F.array_max("given").alias("hi")), bounds)
+
+
+def _over_defaults(given: DataFrame, bounds: dict[str, dict]) -> DataFrame:
+    rows = [(b, p, float(lo), float(hi)) for b, ps in bounds.items() for p, (lo, hi) in ps.items()]
+    base = given.sparkSession.createDataFrame(rows, "block string, param string, lo double, hi double")
+    own = given.select("block", "param", F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
+    return base.join(own, ["block", "param"], "left").select("block", "param", F.coalesce("_lo", "lo").alias("lo"), F.coalesce("_hi", "hi").alias("hi"))
+
+
+#: What each market regime suggests, and what holds in all of them.
+REGIME_RANGES = {
+    "trending_up": {"entry": {"rf_period": (100, 150), "st_mult": (1.5, 2.5), "rf_mult": (2.5, 4.0)}, "sl": {"st_mult": (3.0, 5.0), "rf_mult": (5.0, 8.0)}, "tp_dual": {"rr_mult": (1.5, 2.5)}, "tp_rsi": {"rr_mult": (1.5, 2.5)}},
+    "trending_down": {"entry": {"rf_period": (100, 150), "st_mult": (1.5, 2.5), "rf_mult": (2.5, 4.0)}, "sl": {"st_mult": (3.0, 5.0), "rf_mult": (5.0, 8.0)}, "tp_dual": {"rr_mult": (1.0, 1.5)}, "tp_rsi": {"rr_mult": (1.0, 1.5)}},
+    "ranging": {"entry": {"rf_period": (60, 100), "st_mult": (2.5, 3.5), "rf_mult": (3.0, 5.0)}, "sl": {"st_mult": (4.0, 6.0), "rf_mult": (6.0, 10.0)}, "tp_dual": {"rr_mult": (1.0, 1.3)}, "tp_rsi": {"rr_mult": (1.0, 1.3)}},
+    "volatile": {"entry": {"rf_period": (80, 120), "st_mult": (3.0, 4.0), "rf_mult": (4.0, 6.0)}, "sl": {"st_mult": (5.0, 8.0), "rf_mult": (8.0, 12.0)}, "tp_dual": {"rr_mult": (2.0, 3.0)}, "tp_rsi": {"rr_mult": (2.0, 3.0)}},
+    "low_volatility": {"entry": {"rf_period": (50, 80), "st_mult": (1.0, 2.0), "rf_mult": (2.0, 3.5)}, "sl": {"st_mult": (2.5, 4.0), "rf_mult": (4.0, 6.0)}, "tp_dual": {"rr_mult": (0.8, 1.2)}, "tp_rsi": {"rr_mult": (0.8, 1.2)}},
+}
+COMMON_RANGES = {"entry": {"st_atrPeriod": (8, 16), "rsi_length": (10, 18), "rsi_ma_length": (4, 8)}}
+WHOLE = ("rf_period", "st_atrPeriod", "rsi_length", "rsi_ma_length")
+
+
+def regime_samples(regimes: DataFrame, n: int, seed: str = "regimes-1") -> DataFrame:
+    """regimes (symbol, timeframe, regime) -> n parameter sets for each, inside its regime's ranges, in long form; periods
+    are whole numbers. The table of ranges has some dozens of rows."""
+    rows = [(r, b, p, float(lo), float(hi)) for r, blocks in REGIME_RANGES.items() for part in (blocks, COMMON_RANGES) for b, ps in part.items() for p, (lo, hi) in ps.items()]
+    table = regimes.sparkSession.createDataFrame(rows, "regime string, block string, param string, lo double, hi double")
+    t = regimes.join(F.broadcast(table), "regime").select("*", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("sample_id"))
+    u = uniform(F.lit(seed), F.col("symbol"), F.col("timeframe"), F.col("sample_id"), F.col("block"), F.col("param"))
+    value = F.col("lo") + u * (F.col("hi") - F.col("lo"))
+    return t.select("symbol", "timeframe", "regime", "sample_id", "block", "param", F.when(F.col("param").isin(*WHOLE), F.floor(value).cast("double")).otherwise(F.round(value, 2)).alias("value"))
