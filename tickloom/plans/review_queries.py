@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tickloom.operators import recurrence as rec
 from tickloom.operators import review as rv
+from tickloom.plans import state_sql
 from tickloom.plans.registry import query
 from tickloom.sources import bars as sb
 from tickloom.sources import derived as d
@@ -59,9 +60,10 @@ def flip_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rv.flip_markers(t.select("symbol", "timeframe", "time", F.lit("body").alias("source"), F.when(F.col("close") > F.col("open"), "BUY").otherwise("SELL").alias("kind")))
 
 
-@query("trend_lines")
+@query("trend_lines", state_sql.TREND_LINES)
 def trend_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rv.trend_lines(rec.trend_states(d.bars_walk(spark, sf_dir)))
+    t = rv.trend_lines(rec.trend_states(d.bars_walk(spark, sf_dir)))
+    return t.withColumns({c: F.round(c, 6) for c in ("up_line", "down_line")})
 
 
 @query("benchmark_by_place", f"""WITH {d.BARS_SQL}, p AS (SELECT *, row_number() OVER (PARTITION BY symbol, timeframe ORDER BY time DESC) AS place FROM bars)

@@ -41,6 +41,7 @@ ts AS (SELECT num.symbol, num.timeframe, num.time, num.close, up, dn, trend, tre
   FROM num JOIN st USING (symbol, n))"""
 TREND_STATES = f"""WITH RECURSIVE {d.WALK_SQL}, {STATES}
 SELECT symbol, timeframe, time, round(up, 6) AS up, round(dn, 6) AS dn, trend, buy, sell, round(f, 6) AS filter, state, flip_buy, flip_sell FROM ts"""
+TREND_LINES = f"""WITH RECURSIVE {d.WALK_SQL}, {STATES} SELECT symbol, timeframe, time, CASE WHEN trend = 1 THEN round(up, 6) END AS up_line, CASE WHEN trend = -1 THEN round(dn, 6) END AS down_line FROM ts"""
 BANDS = f"""WITH RECURSIVE {d.WALK_SQL}, {STATES} SELECT symbol, timeframe, time, round(f, 6) AS filter, round(f + rng, 6) AS high_band, round(f - rng, 6) AS low_band FROM ts"""
 FLIP_EVENTS = f"""WITH RECURSIVE {d.WALK_SQL}, {STATES},
 ev AS (SELECT symbol, timeframe, time, 'ST' AS source, 'BUY' AS kind, close AS price FROM ts WHERE buy UNION ALL SELECT symbol, timeframe, time, 'ST', 'SELL', close FROM ts WHERE sell
