@@ -60,35 +60,57 @@ def tidy_worker() -> None:
         pass
 
 
+def pieces(batches: Iterator, place: int, size: int = PIECE) -> Iterator:
+    """Arrow batches cut into runs of rows with about `size` bytes of text (column number place); a longer text is one run.
+
+    What a batch is turned into takes many times its own memory, so tasks work on a few megabytes at once."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(place)), 0).to_numpy(zero_copy_only=False))
+        cuts = (np.flatnonzero(np.diff(sizes // size)) + 1).tolist()
+        for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+            yield batch.slice(a, b - a)
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """df with its columns named c0, c1, .. and what gives them (and leaves further ones) their names back: Python
+    workers can then be handed columns of any name, dots included."""
+    names = df.columns
+    return df.toDF(*[f"c{i}" for i in range(len(names))]), lambda out: out.toDF(*names, *out.columns[len(names) :])
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, whose session bounds the bytes of an Arrow batch from now on: by PIECE where it had no bound. Every operator
+    that hands texts to Python workers asks for it, so none depends on what ran before."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_BYTES, None) is None:
+        conf.set(BATCH_BYTES, str(PIECE))
+    return df
+
+
 def append_from_text(df: DataFrame, name: str, kind: str, start: Callable[[], Callable]) -> DataFrame:
     """The columns of df and `name` (of the DDL type kind), computed from the column text, batch by batch, in Arrow.
 
     start is called once in each task; what it returns makes the values (a pyarrow array) of a batch from a list of
-    texts, null ones as None. All other columns pass through as they are; a column that is called `name` is replaced.
-    Where the session has no bound on the bytes of an Arrow batch, it gets PIECE."""
-    df = df.drop(name)
-    if df.sparkSession.conf.get(BATCH_BYTES, None) is None:
-        df.sparkSession.conf.set(BATCH_BYTES, str(PIECE))
-    schema = T.StructType([*df.schema.fields, T.StructField(name, T.StructType.fromDDL(f"x {kind}")["x"].dataType)])
+    texts, null ones as None. All other columns pass through as they are, whatever their names; a column that is called
+    `name` is replaced."""
+    df = bounded_batches(df.drop(name))
     place = df.columns.index("text")
+    held, restored = numbered(df)
+    schema = T.StructType([*held.schema.fields, T.StructField(name, T.StructType.fromDDL(f"x {kind}")["x"].dataType)])
 
     def run(batches: Iterator) -> Iterator:
-        import numpy as np
         import pyarrow as pa
-        import pyarrow.compute as pc
 
         make = start()
-        for batch in batches:
-            # Pieces of a few megabytes of text: what a batch is turned into takes many times its own memory.
-            sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(place)), 0).to_numpy(zero_copy_only=False))
-            cuts = np.flatnonzero(np.diff(sizes // PIECE)) + 1
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
-                part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns, make(part.column(place).to_pylist())], [*part.schema.names, name])
+        for part in pieces(batches, place):
+            yield pa.RecordBatch.from_arrays([*part.columns, make(part.column(place).to_pylist())], [*part.schema.names, name])
         del make
         tidy_worker()
 
-    return df.mapInArrow(run, schema)
+    return restored(held.mapInArrow(run, schema))
 
 
 def chunks(texts: list[str | None], size: int) -> Iterator[list[str | None]]:

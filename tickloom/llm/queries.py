@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import ann, chat, langid, mixing, neardup, pii, quality_rules, site_quality, spm, toxicity
+from tickloom.llm import ann, chat, langid, lines, mixing, neardup, pii, quality_rules, site_quality, spm, toxicity
 from tickloom.llm.common import fold, table
 
 CONFLICT = "</s>[INST] ok [/INST]"
@@ -126,7 +126,25 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.coalesce(F.size("_spm.ids"), F.lit(0)).cast("long").alias("n_tokens"), "_spm.tokens_sha256", "_spm.round_trip", "_spm.parity")
 
 
-_QUERIES = (op1_chat_format, op2_surrogates, op3_quality_rules, op4_toxicity, op5_language_id, op6_source_mix, op7_nearest_vectors, op8_near_duplicates, op9_site_quality, op10_sentencepiece)
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = lines.kept_text(lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return done.select("doc_id", "_lines.n_lines", "_lines.n_dropped", F.sha2(F.col("_kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS row, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, row, unnest(lines) AS line, generate_subscripts(lines, 1) AS place FROM d),
+k AS (
+  SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+g AS (SELECT key, max(doc_id) AS first FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+v AS (SELECT k.*, g.key IS NOT NULL AND k.doc_id <> g.first AS gone FROM k LEFT JOIN g ON k.key = g.key)
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
+FROM v GROUP BY row, doc_id
+"""
+
+
+_QUERIES = (op1_chat_format, op2_surrogates, op3_quality_rules, op4_toxicity, op5_language_id, op6_source_mix, op7_nearest_vectors, op8_near_duplicates, op9_site_quality, op10_sentencepiece, op13_line_dedup)
 
 
 def queries() -> dict:
@@ -134,4 +152,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1_SQL, "op6_source_mix": OP6_SQL, "op8_near_duplicates": OP8_SQL}
+    return {"op1_chat_format": OP1_SQL, "op6_source_mix": OP6_SQL, "op8_near_duplicates": OP8_SQL, "op13_line_dedup": OP13_SQL}
