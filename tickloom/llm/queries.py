@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import ann, chat, langid, lines, mixing, neardup, pii, quality_rules, site_quality, spm, toxicity
+from tickloom.llm import ann, chat, crosstok, langid, lines, mixing, neardup, pii, quality_rules, site_quality, spm, toxicity
 from tickloom.llm.common import fold, table
 
 CONFLICT = "</s>[INST] ok [/INST]"
@@ -126,6 +126,11 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.coalesce(F.size("_spm.ids"), F.lit(0)).cast("long").alias("n_tokens"), "_spm.tokens_sha256", "_spm.round_trip", "_spm.parity")
 
 
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done, _ = crosstok.align_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "_align.*")
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = lines.kept_text(lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return done.select("doc_id", "_lines.n_lines", "_lines.n_dropped", F.sha2(F.col("_kept").cast("binary"), 256).alias("kept_sha256"))
@@ -144,7 +149,7 @@ FROM v GROUP BY row, doc_id
 """
 
 
-_QUERIES = (op1_chat_format, op2_surrogates, op3_quality_rules, op4_toxicity, op5_language_id, op6_source_mix, op7_nearest_vectors, op8_near_duplicates, op9_site_quality, op10_sentencepiece, op13_line_dedup)
+_QUERIES = (op1_chat_format, op2_surrogates, op3_quality_rules, op4_toxicity, op5_language_id, op6_source_mix, op7_nearest_vectors, op8_near_duplicates, op9_site_quality, op10_sentencepiece, op12_tokenizer_alignment, op13_line_dedup)
 
 
 def queries() -> dict:
