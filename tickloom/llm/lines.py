@@ -209,6 +209,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     docs = docs.drop("_lines")
     found = dropped_lines(docs, min_chars, min_docs)
     found = found.select("doc", "text_key", F.size("lines").cast("long").alias("_n"), _packed("n_lines", "lines").alias("_keep"))
+    found = materialize(found, "line-bitmaps")
     held, restored = numbered(docs)
     at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     text = F.coalesce(F.col(at["text"]), F.lit(""))
