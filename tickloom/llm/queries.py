@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import ann, chat, crosstok, langid, lines, mixing, neardup, pii, quality_rules, site_quality, spm, toxicity
+from tickloom.llm import ann, chat, crosstok, langid, lines, mixing, neardup, pii, quality_rules, site_quality, spm, toxicity, whitening
 from tickloom.llm.common import fold, table
 
 CONFLICT = "</s>[INST] ok [/INST]"
@@ -126,6 +126,13 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.coalesce(F.size("_spm.ids"), F.lit(0)).cast("long").alias("n_tokens"), "_spm.tokens_sha256", "_spm.round_trip", "_spm.parity")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white, parts = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    rows = white.select("vec_id", F.col("_white.deviation").try_cast("long").alias("deviation"), F.posexplode("_white.whitened").alias("_k", "whitened"))
+    told = F.broadcast(parts.select((F.col("component") - 1).alias("_k"), "component", "n", "explained", "identity_error"))  # eight rows
+    return rows.join(told, "_k").select("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
 def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     done, _ = crosstok.align_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "_align.*")
@@ -149,7 +156,7 @@ FROM v GROUP BY row, doc_id
 """
 
 
-_QUERIES = (op1_chat_format, op2_surrogates, op3_quality_rules, op4_toxicity, op5_language_id, op6_source_mix, op7_nearest_vectors, op8_near_duplicates, op9_site_quality, op10_sentencepiece, op12_tokenizer_alignment, op13_line_dedup)
+_QUERIES = (op1_chat_format, op2_surrogates, op3_quality_rules, op4_toxicity, op5_language_id, op6_source_mix, op7_nearest_vectors, op8_near_duplicates, op9_site_quality, op10_sentencepiece, op11_embedding_whitening, op12_tokenizer_alignment, op13_line_dedup)
 
 
 def queries() -> dict:
