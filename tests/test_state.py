@@ -179,7 +179,7 @@ def test_all_apart_genomes_are_kept(spark):
         for i in sorted(range(700), key=lambda i: (-(i % 97), i)):
             if all(far(x[k], x[i]) >= 0.15 for k in kept):
                 kept.append(i)
-        got = [r["genome_id"] for r in genomes.diverse(df, candidates=60, by=by).collect()]
+        got = [r["genome_id"] for r in genomes.diverse(df, per_block=60, by=by).collect()]
         assert sorted(got) == sorted(kept) and len(kept) > 10
 
 
@@ -224,4 +224,4 @@ def test_crowding_and_fronts_in_small_parts(spark):
     t = spark.createDataFrame(rows, "run_id long, net_profit_pct double, sharpe double, winrate double, max_drawdown_pct double")
     front = {i for i, *a in rows if not any(all(y >= z for y, z in zip((*b[:3], -b[3]), (*a[:3], -a[3]), strict=True)) and b != a for _, *b in rows)}
     for size in (2000, 15):
-        assert {r["run_id"] for r in runs.pareto_front(t, per_cell=size, fan=3).collect()} == front
+        assert {r["run_id"] for r in runs.pareto_front(t, per_block=size).collect()} == front

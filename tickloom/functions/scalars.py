@@ -83,10 +83,6 @@ def clamp(v: Column, lo: Column | float, hi: Column | float) -> Column:
     return F.greatest(lo if isinstance(lo, Column) else F.lit(lo), F.least(hi if isinstance(hi, Column) else F.lit(hi), v))
 
 
-def sharing(distance: Column, sigma: float = 0.15) -> Column:
-    return F.when(distance < sigma, 1 - (distance / sigma) * (distance / sigma)).otherwise(0.0)
-
-
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays of doubles, 0 where one has no length."""
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tickloom.functions.scalars import clamp, sharing
+from tickloom.functions.scalars import clamp
+from tickloom.operators import blocks
 from tickloom.sources.shared import written
 
 #: Bounds of every number in a genome, by block and parameter.
@@ -123,16 +126,40 @@ def distance(a: Column, b: Column) -> Column:
     return F.least(F.lit(1.0), F.sqrt(squares / F.size(a)))
 
 
-def niche_fitness(vectors: DataFrame, sigma: float = 0.15) -> DataFrame:
+def sharing(distance: np.ndarray, sigma: float = 0.15) -> np.ndarray:
+    """How much two genomes count as one."""
+    return np.where(distance < sigma, 1 - (distance / sigma) ** 2, 0.0)
+
+
+def niche_fitness(vectors: DataFrame, sigma: float = 0.15, per_block: int = blocks.PER_BLOCK) -> DataFrame:
     """score / niche count: the shared weights of all genomes within sigma, itself included.
 
-    Only genomes that can be within sigma meet: sorted by their mean coordinate, which differs by no more than the
-    distance, they are dealt into strips of sigma and compared with their own and the next strips."""
-    mean = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x) / F.size("vec")
-    t = vectors.withColumn("_strip", F.floor(mean / sigma))
-    near = t.select(F.col("genome_id").alias("other"), F.col("vec").alias("other_vec"), F.explode(F.array(F.col("_strip") - 1, F.col("_strip"), F.col("_strip") + 1)).alias("_strip"))
-    weight = sharing(distance(F.col("vec"), F.col("other_vec")), sigma)
-    return t.join(near, "_strip").groupBy("genome_id").agg(F.first("score").alias("score"), F.sum(weight).alias("niche")).select("genome_id", F.round("niche", 6).alias("niche"), F.round(F.col("score") / F.col("niche"), 6).alias("shared"))
+    Equal vectors are one row with their number. The rows are dealt into blocks, and blocks meet where their boxes are
+    within sigma; what leaves a task is a sum for each row and block, not pairs."""
+    key = F.xxhash64(F.col("vec").cast("string"))
+    same = vectors.groupBy("vec").agg(F.count("*").cast("double").alias("_w"))
+    axes = blocks.EUCLIDEAN.directions(blocks.principal_axes(same, "vec", blocks.BOUNDED))
+    dealt = blocks.in_blocks(blocks.with_places(same, "vec", axes), per_block)
+    boxes = written(blocks.boxes(dealt), "niche-boxes")
+    pairs = blocks.within_reach(boxes, boxes, sigma, blocks.EUCLIDEAN, min(blocks.BOUNDED, len(axes)))
+    pairs = pairs.unionByName(boxes.select(F.col("_block").alias("_a"), F.col("_block").alias("_b")))
+
+    def shared(left, right):
+        import pyarrow as pa
+
+        x, y, w, v = blocks.matrix(left["vec"]), blocks.matrix(right["vec"]), left["_w"].to_numpy(), right["_w"].to_numpy()
+        i, j, d = blocks.EUCLIDEAN.near(x, y, sigma)
+        weight = sharing(d, sigma)
+        parts = [(left["vec"], np.bincount(i, weight * v[j], len(x)).astype(float))]
+        if left["_block"][0] != right["_block"][0]:
+            parts.append((right["vec"], np.bincount(j, weight * w[i], len(y)).astype(float)))
+        some = [(c.combine_chunks().filter(pa.array(n > 0)), n[n > 0]) for c, n in parts]
+        return pa.concat_tables([pa.table({"vec": c, "_part": pa.array(n)}) for c, n in some])
+
+    found = blocks.meet(dealt, dealt, pairs, shared, "vec array<double>, _part double").groupBy("vec").agg(F.sum("_part").alias("niche"))
+    keyed = found.select(key.alias("_key"), F.col("vec").alias("_vec"), "niche")
+    out = vectors.withColumn("_key", key).join(keyed, "_key").filter(F.col("vec") == F.col("_vec"))
+    return out.select("genome_id", F.round("niche", 6).alias("niche"), F.round(F.col("score") / F.col("niche"), 6).alias("fitness"))
 
 
 def crowding(vectors: DataFrame, per_bucket: int = 50_000) -> DataFrame:
@@ -185,37 +212,93 @@ def mean_gap(a: Column, b: Column) -> Column:
     return F.least(F.lit(1.0), gaps / F.size(a))
 
 
-#: How two vectors are held apart: as Spark columns and, for the few that meet on the driver, in NumPy (chosen, new).
-DISTANCES = {"mean": (mean_gap, lambda x, y: np.minimum(1, np.abs(x - y).mean(axis=1))), "euclidean": (distance, lambda x, y: np.minimum(1, np.sqrt(((x - y) ** 2).mean(axis=1))))}
+METRICS = {"mean": blocks.MEAN, "euclidean": blocks.EUCLIDEAN}
+#: A row of the greedy choice: its rank is the falling score, then the id.
+CHOICE = "genome_id long, score double, _rank double, vec array<double>, _p array<double>, _slice int, _block long"
+
+
+def _walked(apart: float, metric: blocks.Metric):
+    """Settles what a block can settle by itself: (rows, rows that others hold back) -> rows with _state."""
 
+    def walk(rows, held):
+        import pyarrow as pa
 
-def diverse(vectors: DataFrame, keep: int | None = None, candidates: int = 500, apart: float = 0.15, by: str = "mean") -> DataFrame:
+        rank, ids, x = rows["_rank"].to_numpy(), rows["genome_id"].to_numpy(), blocks.matrix(rows["vec"])
+        order = np.lexsort((ids, -rank))
+        x, n = x[order], len(order)
+        open_ = np.isin(ids[order], held["genome_id"].to_numpy())  # a better row of another block may still reject it
+        gone, kept = np.zeros(n, bool), np.zeros(n, bool)
+        for i in range(n):
+            if gone[i]:
+                continue
+            near = np.flatnonzero(metric.rows(x[i + 1 :], x[i]) < apart) + i + 1
+            kept[i] = not open_[i]
+            (open_ if open_[i] else gone)[near] = True
+        stay = np.flatnonzero(~gone)
+        out = rows.take(pa.array(order[stay]))
+        return out.append_column("_kept", pa.array(kept[stay]))
+
+    return walk
+
+
+def diverse(vectors: DataFrame, keep: int | None = None, apart: float = 0.15, by: str = "mean", per_block: int = blocks.PER_BLOCK) -> DataFrame:
     """Best first, the genomes that are `apart` from all kept before, up to keep (None: all of them).
 
-    Each choice depends on those before it. The next best `candidates` meet on the driver, which is where the choice is
-    made; the rest are held against the newly chosen ones by Spark, so a genome is compared with each chosen one once,
-    and so on until keep is reached or none is left. Every round writes what is left."""
-    column, plain = DISTANCES[by]
-    spark, found = vectors.sparkSession, []
-    rest = vectors.withColumn("_rank", F.coalesce("score", F.lit(float("-inf"))))
-    while keep is None or len(found) < keep:
-        best = rest.orderBy(F.desc("_rank"), "genome_id").limit(candidates).collect()
-        if not best:
-            break
-        chosen: list[np.ndarray] = []
-        for r in best:
-            x = np.array(r["vec"], dtype=float)
-            if (keep is None or len(found) < keep) and (not chosen or plain(np.stack(chosen), x).min() >= apart):
-                chosen.append(x)
-                found.append((r["genome_id"], r["score"]))
-        last = best[-1]
-        held = spark.createDataFrame([([x.tolist() for x in chosen],)], "_chosen array<array<double>>")
-        below = rest.filter((F.col("_rank") < last["_rank"]) | (F.col("_rank") == last["_rank"]) & (F.col("genome_id") > last["genome_id"]))
-        rest = below.crossJoin(F.broadcast(held)).filter(F.forall("_chosen", lambda c: column(F.col("vec"), c) >= apart)).drop("_chosen")  # one row
-        if len(best) < candidates:
+    The greedy walk in parallel rounds: a row is kept once no undecided row within reach is better, and rejects those
+    within reach of it. Blocks tell each other which rows have a better undecided neighbour elsewhere; each block walks
+    the rest by itself; rows that the newly kept reject go, and what is left begins again, written. A chain of rows that
+    hold each other back is as long as the logarithm of the rows where ranks don't follow places. Only numbers of rows
+    reach the driver. genome_id is unique; a null score ranks last."""
+    metric = METRICS[by]
+    ranked = vectors.select("genome_id", "score", F.coalesce("score", F.lit(float("-inf"))).alias("_rank"), F.col("vec").cast("array<double>").alias("vec"))
+    axes = metric.directions(blocks.principal_axes(ranked, "vec", blocks.BOUNDED))
+    n_axes = min(blocks.BOUNDED, len(axes))
+    left = blocks.in_blocks(blocks.with_places(ranked, "vec", axes), per_block)
+    chosen: list[DataFrame] = []
+    while True:
+        boxes = written(blocks.boxes(left), "diverse-boxes")
+        pairs = written(blocks.within_reach(boxes, boxes, apart, metric, n_axes), "diverse-pairs")
+        held = blocks.meet(left, left, pairs, _held_back(apart, metric), "_block long, genome_id long").distinct()
+        states = left.groupBy("_block").cogroup(held.groupBy("_block")).applyInArrow(_walked(apart, metric), f"{CHOICE}, _kept boolean")
+        states = written(states, "diverse-states")
+        new, rest = states.filter("_kept").drop("_kept"), states.filter("not _kept").drop("_kept")
+        chosen.append(new.select("genome_id", "score", "_rank"))
+        if rest.isEmpty():
             break
-        rest = written(rest, "diverse-rest")
-    return spark.createDataFrame(found, "genome_id long, score double")
+        near = blocks.within_reach(blocks.boxes(new), blocks.boxes(rest), apart, metric, n_axes, once=False)
+        out = blocks.meet(new, rest, near, _rejected(apart, metric), "_block long, genome_id long").distinct()
+        left = written(rest.join(out, ["_block", "genome_id"], "left_anti").select(*left.columns), "diverse-rest")
+        if left.count() <= per_block:  # what is left fits one block, which walks it to the end
+            left = left.withColumn("_block", F.lit(0).cast("long")).withColumn("_slice", F.lit(0))
+    found = functools.reduce(DataFrame.unionByName, chosen)
+    if keep is not None:
+        found = found.orderBy(F.desc("_rank"), "genome_id").limit(keep)
+    return found.select("genome_id", "score")
+
+
+def _held_back(apart: float, metric: blocks.Metric):
+    """Rows of either block that have a better row of the other within reach."""
+
+    def work(left, right):
+        import pyarrow as pa
+
+        i, j, _ = metric.near(blocks.matrix(left["vec"]), blocks.matrix(right["vec"]), apart)
+        s, t, a, b = left["_rank"].to_numpy()[i], right["_rank"].to_numpy()[j], left["genome_id"].to_numpy()[i], right["genome_id"].to_numpy()[j]
+        worse = (s < t) | ((s == t) & (a > b))
+        parts = [side.select(["_block", "genome_id"]).take(pa.array(np.unique(k))) for side, k in ((left, i[worse]), (right, j[~worse]))]
+        return pa.concat_tables(parts)
+
+    return work
+
+
+def _rejected(apart: float, metric: blocks.Metric):
+    def work(new, rest):
+        import pyarrow as pa
+
+        _, j, _ = metric.near(blocks.matrix(new["vec"]), blocks.matrix(rest["vec"]), apart)
+        return rest.select(["_block", "genome_id"]).take(pa.array(np.unique(j)))
+
+    return work
 
 
 def elites(crowded: DataFrame, n: int) -> DataFrame:

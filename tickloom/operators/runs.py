@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickloom.functions import scalars as s
+from tickloom.operators import blocks
 from tickloom.sources.shared import written
 
 
@@ -93,6 +97,61 @@ def one_each(runs: DataFrame, key: list[Column], by: str = "score") -> DataFrame
     return t.filter("_n = 1").drop("_n")
 
 
+#: A key with more runs than this is dealt over SALT tasks where it meets its best run.
+HOT, SALT = 100_000, 32
+
+
+def one_of_both(runs: DataFrame, first: list[Column], second: list[Column], by: str = "score", tail: int = 10_000) -> DataFrame:
+    """Runs that a walk from the best on keeps, if a run is kept where neither of its two keys was kept before.
+
+    The walk in parallel rounds: a run is kept once it is the best undecided one of both its keys; its rivals of either
+    key then go. Runs that share both keys with a better one never count, so only the best of each pair of keys goes in. A
+    rejected run leaves its other key free, as in the walk. The last `tail` undecided runs are walked in one task, so a
+    chain of runs that hold each other back ends. Each round writes what is left. A null score ranks last; keys that are
+    null are equal. run_id is unique."""
+    rank = F.struct(F.coalesce(F.col(by).cast("double"), F.lit(float("-inf"))).alias("s"), (-F.col("run_id")).alias("r"))
+    keyed = runs.select(rank.alias("_rank"), F.to_json(F.struct(*first)).alias("_k1"), F.to_json(F.struct(*second)).alias("_k2"))
+    left = written(keyed.groupBy("_k1", "_k2").agg(F.max("_rank").alias("_rank")), "both-keys")
+    chosen: list[DataFrame] = []
+    while (n := left.count()) > tail:
+        best = left
+        for k in ("_k1", "_k2"):
+            best = _with_best(best, k)
+        new = written(best.filter((F.col("_rank") == F.col("_best_k1")) & (F.col("_rank") == F.col("_best_k2"))).select("_k1", "_k2", "_rank"), "both-kept")
+        chosen.append(new)
+        left = written(left.join(new.select("_k1"), "_k1", "left_anti").join(new.select("_k2"), "_k2", "left_anti"), "both-left")
+    if n:
+        chosen.append(left.withColumn("_one", F.lit(0)).groupBy("_one").applyInArrow(_walk_both, left.schema))
+    if not chosen:
+        return runs.limit(0)
+    kept = functools.reduce(DataFrame.unionByName, [c.select((-F.col("_rank.r")).alias("run_id")) for c in chosen])
+    return runs.join(kept, "run_id", "left_semi")
+
+
+def _with_best(left: DataFrame, key: str) -> DataFrame:
+    """left and the best rank of each row's key. A key that many rows share is spread over tasks by a salt."""
+    best = left.groupBy(key).agg(F.max("_rank").alias(f"_best{key}"), F.count("*").alias("_n"))
+    best = written(best, "both-best")
+    hot = best.filter(F.col("_n") > HOT).select(key, F.lit(SALT).alias("_salts"))  # one key for every HOT rows at most
+    salted = left.join(F.broadcast(hot), key, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64("_rank"), F.col("_salts")), F.lit(0)).cast("int"))
+    told = best.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col("_n") > HOT, SALT - 1).otherwise(0)))).drop("_n")
+    return salted.join(told, [key, "_salt"]).drop("_salt", "_salts")
+
+
+def _walk_both(rows):
+    import pyarrow as pa
+
+    rank = rows["_rank"].combine_chunks()
+    order = np.lexsort((-rank.field("r").to_numpy(zero_copy_only=False), -rank.field("s").to_numpy(zero_copy_only=False)))
+    one, two, seen, kept = rows["_k1"].to_pylist(), rows["_k2"].to_pylist(), (set(), set()), []
+    for i in order.tolist():
+        if one[i] not in seen[0] and two[i] not in seen[1]:
+            seen[0].add(one[i])
+            seen[1].add(two[i])
+            kept.append(i)
+    return rows.drop_columns(["_one"]).take(pa.array(kept, pa.int64()))
+
+
 def stratified_sample(runs: DataFrame, n: int, seed: str = "sample-1") -> DataFrame:
     """n runs, dealt to timeframes by their share (one at least; the remainder to the largest), chosen by a seeded hash."""
     counts = runs.groupBy("timeframe").agg(F.count("*").alias("_c"))
@@ -118,29 +177,64 @@ def downsampled(curve: DataFrame, max_points: int) -> DataFrame:
 OBJECTIVES = {"net_profit_pct": 1, "sharpe": 1, "winrate": 1, "max_drawdown_pct": -1}
 
 
-def pareto_front(runs: DataFrame, objectives: dict[str, int] | None = None, per_cell: int = 2000, fan: int = 8) -> DataFrame:
+#: Points that blocks are held against as a whole before their rows are.
+CHAMPIONS = 1000
+
+
+def pareto_front(runs: DataFrame, objectives: dict[str, int] | None = None, per_block: int = 2000) -> DataFrame:
     """Runs that no other run dominates (as good in all objectives, better in one).
 
-    Runs are dealt into cells of a bounded size, and only a cell's undominated runs go on; `fan` cells are merged at a
-    time until one is left, so what meets there are the fronts of the last few cells. Each round is written."""
+    Equal points are one. Points are sliced by all objectives into blocks of a bounded size; a block keeps its own front;
+    blocks whose best corner a champion (the best point of a block by its mean share of the ranges, CHAMPIONS of them)
+    dominates go as a whole; of the others, a block meets only those whose best corner is no worse than its worst one. So
+    no task sees more than two blocks, and a front that is most of the table is spread like the table itself. A run with
+    a null objective neither dominates nor is dominated; NaN is like infinite."""
     goals = objectives or OBJECTIVES
-    value = lambda side, c: F.col(f"{side}.{c}") * goals[c]
-
-    def undominated(df: DataFrame) -> DataFrame:
-        a, b = df.alias("a"), df.alias("b")
-        none_worse, one_better = F.col("a._cell") == F.col("b._cell"), F.lit(False)
-        for c in goals:
-            none_worse, one_better = none_worse & (value("b", c) >= value("a", c)), one_better | (value("b", c) > value("a", c))
-        return a.join(b, none_worse & one_better, "left_anti").select("a.*")
-
-    cells = max(1, -(-runs.count() // per_cell))
-    left = runs.withColumn("_cell", F.pmod(F.xxhash64("run_id"), F.lit(cells)).cast("int"))
-    while True:
-        left = undominated(left)
-        if cells == 1:
-            return left.drop("_cell")
-        cells = -(-cells // fan)
-        left = written(left.withColumn("_cell", F.floor(F.col("_cell") / fan).cast("int")), "pareto-fronts")
+    clean = [F.when(F.isnan(x), float("inf")).otherwise(x) * sign + 0.0 for c, sign in goals.items() for x in [F.col(f"`{c}`").cast("double")]]
+    whole = functools.reduce(Column.__and__, [F.col(f"`{c}`").isNotNull() for c in goals])
+    points = runs.filter(whole).select(F.array(*clean).alias("_p")).distinct()
+    dealt = blocks.in_blocks(points, per_block, len(goals))
+    own = written(dealt.groupBy("_block").applyInArrow(_own_front, "_p array<double>, _slice int, _block long"), "pareto-own")
+    bounds = written(blocks.boxes(own), "pareto-boxes")
+
+    ends = bounds.select(*[f(F.col(c)[j]).alias(f"{c}{j}") for j in range(len(goals)) for f, c in ((F.min, "low"), (F.max, "high"))])
+    mean = sum((F.col("_p")[j] - F.col(f"low{j}")) / F.greatest(F.col(f"high{j}") - F.col(f"low{j}"), F.lit(1e-300)) for j in range(len(goals)))
+    best = own.crossJoin(F.broadcast(ends)).groupBy("_block").agg(F.max_by("_p", mean).alias("best"), F.max(mean).alias("m"))  # ends is one row
+    champions = best.orderBy(F.desc("m")).limit(CHAMPIONS).select("best")
+    beaten = functools.reduce(Column.__and__, [F.col("best")[j] >= F.col("high")[j] for j in range(len(goals))]) & (F.col("best") != F.col("high"))
+    bounds = written(bounds.join(F.broadcast(champions), beaten, "left_anti"), "pareto-left")
+
+    a, b = bounds.select(F.col("_block").alias("_a"), F.col("high").alias("_high")), bounds.select(F.col("_block").alias("_b"), F.col("low").alias("_low"))
+    may = functools.reduce(Column.__and__, [F.col("_high")[j] >= F.col("_low")[j] for j in range(len(goals))]) & (F.col("_a") != F.col("_b"))
+    gone = blocks.meet(own, own, a.join(b, may), _beaten, "_p array<double>").distinct()
+    left = own.join(bounds.select("_block"), "_block", "left_semi").join(gone, "_p", "left_anti").select(F.col("_p").alias("_front"))
+    return runs.filter(~whole).unionByName(runs.filter(whole).join(left, F.array(*clean) == F.col("_front"), "left_semi"))
+
+
+def _dominated(x: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """Which rows of x some row of `by` is no worse than in all columns and better in one."""
+    out = np.zeros(len(x), bool)
+    by = by[np.argsort(-by.sum(axis=1), kind="stable")]  # the best first: most rows fall to the first few
+    left = np.arange(len(x))
+    for at in range(0, len(by), 64):
+        part = by[at : at + 64]
+        hit = ((part[None] >= x[left][:, None]).all(axis=2) & (part[None] > x[left][:, None]).any(axis=2)).any(axis=1)
+        out[left[hit]] = True
+        left = left[~hit]
+    return out
+
+
+def _own_front(rows):
+    import pyarrow as pa
+
+    x = blocks.matrix(rows["_p"])
+    return rows.select(["_p", "_slice", "_block"]).filter(pa.array(~_dominated(x, x)))
+
+
+def _beaten(left, right):
+    import pyarrow as pa
+
+    return right.select(["_p"]).filter(pa.array(_dominated(blocks.matrix(right["_p"]), blocks.matrix(left["_p"]))))
 
 
 def pruned_trades(trades: DataFrame, keep: int = 1200) -> DataFrame:

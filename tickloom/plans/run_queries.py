@@ -81,11 +81,18 @@ def mode_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.mode_ranking(t, F.expr(MODE)).select("run_id", "mode", "ranked_by")
 
 
-@query("unique_runs", f"""{RUNS}, a AS (SELECT *, {SCORE} AS score, row_number() OVER (PARTITION BY fast, slow, symbol ORDER BY {SCORE} DESC, run_id) AS n FROM runs), b AS (SELECT *, row_number() OVER (PARTITION BY round(net_profit, 0), total_trades ORDER BY score DESC, run_id) AS k FROM a WHERE n = 1)
-SELECT run_id, score FROM b WHERE k = 1""")
+@query("unique_runs", f"""{RUNS}, a AS (
+  SELECT run_id, {SCORE} AS score, (fast, slow, symbol)::VARCHAR AS k1, (round(net_profit, 0), total_trades)::VARCHAR AS k2 FROM runs),
+kept AS (
+  SELECT (0)::BIGINT AS run_id, 0::DOUBLE AS score, []::VARCHAR[] AS seen1, []::VARCHAR[] AS seen2
+  UNION ALL
+  SELECT arg_max(a.run_id, (a.score, -a.run_id)), arg_max(a.score, (a.score, -a.run_id)), list_append(any_value(seen1), arg_max(k1, (a.score, -a.run_id))), list_append(any_value(seen2), arg_max(k2, (a.score, -a.run_id)))
+  FROM kept, a WHERE NOT list_contains(seen1, k1) AND NOT list_contains(seen2, k2) HAVING count(*) > 0)
+SELECT run_id, score FROM kept WHERE len(seen1) > 0""".replace("WITH ", "WITH RECURSIVE ", 1))
 def unique_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    once = r.one_each(r.with_score(d.runs(spark, sf_dir)), [F.col("fast"), F.col("slow"), F.col("symbol")])
-    return r.one_each(once, [F.round("net_profit", 0), F.col("total_trades")]).select("run_id", "score")
+    """The walk from the best on: the statement takes the best run whose keys are both new, again and again."""
+    keys = [F.col("fast"), F.col("slow"), F.col("symbol")], [F.round("net_profit", 0), F.col("total_trades")]
+    return r.one_of_both(r.with_score(d.runs(spark, sf_dir)), *keys).select("run_id", "score")
 
 
 @query("stratified_sample", f"""{RUNS}, c AS (SELECT timeframe, count(*) AS c FROM runs GROUP BY 1), q AS (SELECT timeframe, c, greatest(1, floor(60 * (c / sum(c) OVER ()))) AS q FROM c),
