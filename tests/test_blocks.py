@@ -63,7 +63,7 @@ def test_niche_counts_equal_all_pairs(spark, per_block):
     d = np.stack([FAR["euclidean"](x, v) for v in x])
     niche = np.where(d < 0.15, 1 - (d / 0.15) ** 2, 0).sum(axis=1)
     got = {r["genome_id"]: r for r in genomes.niche_fitness(frame(spark, x, scores), per_block=per_block).collect()}
-    assert len(got) == len(x) and all(abs(got[i]["niche"] - niche[i]) < 2e-6 and abs(got[i]["fitness"] - scores[i] / niche[i]) < 1e-5 for i in range(len(x)))
+    assert len(got) == len(x) and all(abs(got[i]["niche"] - niche[i]) < 2e-6 and abs(got[i]["shared"] - scores[i] / niche[i]) < 1e-5 for i in range(len(x)))
     assert genomes.niche_fitness(frame(spark, x[:0], [])).count() == 0
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.scalars import clamp
 from tickloom.operators import blocks
+from tickloom.operators.ranks import best_share
 from tickloom.sources.shared import written
 
 #: Bounds of every number in a genome, by block and parameter.
@@ -100,19 +101,29 @@ def bounds_table(genomes: DataFrame) -> DataFrame:
     return genomes.sparkSession.createDataFrame([(b, p, float(lo), float(hi)) for b, ps in BOUNDS.items() for p, (lo, hi) in ps.items()], "block string, param string, lo double, hi double")
 
 
-def expanded_bounds(genomes: DataFrame, margin: float = 0.1) -> DataFrame:
-    """Bounds widened to what good genomes (score > 0) use, plus margin of the original range on the side that grows."""
-    used = long_form(genomes).filter("score > 0").groupBy("block", "param").agg(F.min("value").alias("used_lo"), F.max("value").alias("used_hi"))
+def expanded_bounds(genomes: DataFrame, margin: float = 0.1, share: float | None = None, floor: float = 0.5) -> DataFrame:
+    """Bounds widened to what good genomes use, plus margin of the original range on the side that grows.
+
+    Good ones have a score over 0; with `share` they are the best share of all genomes, and a widened lower bound stays at
+    the floor."""
+    good = genomes.filter("score > 0") if share is None else best_share(genomes, "score", share)
+    used = long_form(good).groupBy("block", "param").agg(F.min("value").alias("used_lo"), F.max("value").alias("used_hi"))
     t = F.broadcast(bounds_table(genomes)).join(used, ["block", "param"], "left")
     pad = margin * (F.col("hi") - F.col("lo"))
-    return t.select("block", "param", F.round(F.when(F.col("used_lo") < F.col("lo"), F.col("used_lo") - pad).otherwise(F.col("lo")), 6).alias("lo"), F.round(F.when(F.col("used_hi") > F.col("hi"), F.col("used_hi") + pad).otherwise(F.col("hi")), 6).alias("hi"))
+    low = F.col("used_lo") - pad if share is None else F.greatest(F.lit(floor), F.col("used_lo") - pad)
+    return t.select(
+        "block", "param",
+        F.round(F.when(F.col("used_lo") < F.col("lo"), low).otherwise(F.col("lo")), 6).alias("lo"),
+        F.round(F.when(F.col("used_hi") > F.col("hi"), F.col("used_hi") + pad).otherwise(F.col("hi")), 6).alias("hi"),
+    )
 
 
 def promising_ranges(genomes: DataFrame, share: float = 0.2, least: int = 10, values: int = 3) -> DataFrame:
-    """Range of each parameter among the best share of genomes, for `least` genomes and `values` values or more."""
-    scores = genomes.agg(F.count("*").alias("n"), F.percentile("score", 1 - share).alias("cut")).filter(F.col("n") >= least)
-    good = genomes.crossJoin(F.broadcast(scores)).filter(F.col("score") >= F.col("cut"))  # one row
-    return long_form(good).groupBy("block", "param").agg(F.round(F.min("value"), 6).alias("lo"), F.round(F.max("value"), 6).alias("hi"), F.count("*").alias("n")).filter(F.col("n") >= values)
+    """Range of each parameter among the best share of genomes, for `least` genomes and `values` values or more. The best
+    share reaches to the score at rank int(n * share), ties included."""
+    good = best_share(genomes, "score", share, least)
+    ranges = F.round(F.min("value"), 6).alias("lo"), F.round(F.max("value"), 6).alias("hi"), F.count("*").alias("n")
+    return long_form(good).groupBy("block", "param").agg(*ranges).filter(F.col("n") >= values)
 
 
 def vector(genomes: DataFrame) -> DataFrame:
@@ -159,7 +170,7 @@ def niche_fitness(vectors: DataFrame, sigma: float = 0.15, per_block: int = bloc
     found = blocks.meet(dealt, dealt, pairs, shared, "vec array<double>, _part double").groupBy("vec").agg(F.sum("_part").alias("niche"))
     keyed = found.select(key.alias("_key"), F.col("vec").alias("_vec"), "niche")
     out = vectors.withColumn("_key", key).join(keyed, "_key").filter(F.col("vec") == F.col("_vec"))
-    return out.select("genome_id", F.round("niche", 6).alias("niche"), F.round(F.col("score") / F.col("niche"), 6).alias("fitness"))
+    return out.select("genome_id", F.round("niche", 6).alias("niche"), F.round(F.col("score") / F.col("niche"), 6).alias("shared"))
 
 
 def crowding(vectors: DataFrame, per_bucket: int = 50_000) -> DataFrame:

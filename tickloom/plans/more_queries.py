@@ -19,7 +19,7 @@ from tickloom.plans.registry import query
 from tickloom.plans.run_queries import GEN, LONG
 from tickloom.sources import derived as d
 
-PROMISING = f"{GEN}, {LONG}, c AS (SELECT quantile_cont(score, 0.8) AS cut FROM genomes), pr AS (SELECT block, param, round(min(value), 6) AS lo, round(max(value), 6) AS hi FROM long, c WHERE score >= cut GROUP BY 1, 2)"
+PROMISING = f"{GEN}, {LONG}, c AS (SELECT list(score ORDER BY score DESC)[1 + (count(*) // 5)] AS cut FROM genomes), pr AS (SELECT block, param, round(min(value), 6) AS lo, round(max(value), 6) AS hi FROM long, c WHERE score >= cut GROUP BY 1, 2)"
 
 
 @query("sample_promising", f"{PROMISING}, s AS (SELECT *, unnest(range(1, 51)) AS sample_id FROM pr) SELECT sample_id::INT AS sample_id, block, param, round(lo + ('0x' || substr(md5('ranges-1|' || sample_id || '|' || block || '|' || param), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE * (hi - lo), 4) AS value FROM s")

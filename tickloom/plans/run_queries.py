@@ -183,7 +183,7 @@ def expand_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.expanded_bounds(d.genomes(spark, sf_dir))
 
 
-@query("promising_ranges", f"{GEN}, {LONG}, c AS (SELECT quantile_cont(score, 0.8) AS cut FROM genomes) SELECT block, param, round(min(value), 6) AS lo, round(max(value), 6) AS hi, count(*) AS n FROM long, c WHERE score >= cut GROUP BY 1, 2")
+@query("promising_ranges", f"{GEN}, {LONG}, c AS (SELECT list(score ORDER BY score DESC)[1 + (count(*) // 5)] AS cut FROM genomes) SELECT block, param, round(min(value), 6) AS lo, round(max(value), 6) AS hi, count(*) AS n FROM long, c WHERE score >= cut GROUP BY 1, 2")
 def promising_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.promising_ranges(d.genomes(spark, sf_dir))
 
