@@ -590,3 +590,40 @@ def test_unigram_model_is_rebuilt():
     encoder = spm.Encoder(spm.Spec(pieces, spm.UNIGRAM, False, b"", True, True, True))
     assert [encoder.tok.id_to_token(i) for i in encoder.encode([" abc  ab "])[0]] == ["▁ab", "c", "▁ab"]
     assert encoder.encode(["é", ""]) == [[1, 0], []]
+
+
+# ---- 2, what used to stay in clear text ------------------------------------------------------------------------------
+
+
+def test_nothing_of_long_or_unusual_entities_stays(spark):
+    """(text, what mustn't stay, what must)."""
+    secret = "aB3+x" * 120
+    cases = [
+        (f"password={secret} end", [secret[-80:]], ["password=", " end"]), ("Mr Juan Carlos Garcia Lopez called", ["Juan", "Carlos", "Garcia", "Lopez"], ["Mr ", " called"]),
+        ("Mr A" + "b" * 50 + " went", ["bbbb"], ["Mr ", " went"]), ("bob@a.b.c.d.e.f.g.h.i.j.com ok", ["bob", ".j.com"], [" ok"]), ("Herr Dr. Müller kam", ["Müller"], ["Herr Dr. ", " kam"]),
+        ("Ms van der Berg and Mr de la Cruz met", ["Berg", "Cruz"], ["Ms van der ", " and Mr de la ", " met"]),
+        ("Mr. J. Smith wrote. SMITH and mr smith agree with Mr Smith; Smith left", ["Smith", "SMITH", "smith", "J."], ["Mr. ", " wrote.", " agree with Mr ", " left"]),
+        ("at 2001:0db8:85a3:0000:0000:8a2e:0370:7334 and fe80::1, 10:30:45 a::b", ["85a3", "fe80"], ["10:30:45", "a::b"]),
+        ("tel 030 1234567, 06 12 34 56 78, 0171/1234567 on 01/02/2024", ["1234567", "34 56 78"], ["tel 0", "01/02/2024"]), ("mail jörg@müller-straße.de now", ["jörg", "straße"], ["mail ", " now"]),
+        ("key sk-abcdEFGH1234567890xyz ghp_abcdefghijklmnop1234 eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSMeKKF end", ["1234567890", "abcdefghijkl", "SflK"], ["key sk-", " ghp_", " eyJ", " end"]),
+        ("call +49 30 1234567 or +351 21 123 4567", ["1234567", "123 4567"], ["+49 ", "+351 "]),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(cases)], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.replace_entities(df, KEY).collect()}
+    for i, (_, gone, stay) in enumerate(cases):
+        assert not [x for x in gone if x in got[i]] and all(x in got[i] for x in stay), got[i]
+
+
+def test_surrogates_of_public_numbers_are_reserved_ones(spark):
+    df = spark.createDataFrame([(i, f"8.8.{i}.8 and 123-45-67{i:02d}") for i in range(40)], "doc_id long, text string")
+    for r in pii.replace_entities(df, KEY).collect():
+        ip, ssn = r["text"].split(" and ")
+        assert 240 <= int(ip.split(".")[0]) < 255 and ssn.startswith("9") and r["_pii"] == 2
+
+
+@pytest.mark.parametrize("name", ["a.b", "`x", "TEXT2"])
+def test_columns_of_any_name_pass_python_workers(spark, name):
+    df = spark.createDataFrame([(1, "some words here", "en", "s", 15, 7), (2, None, None, None, None, 8)], "doc_id long, text string, lang string, source string, n_chars long, z int").toDF("doc_id", "text", "lang", "source", "n_chars", name)
+    assert spm.encode_documents(df).columns == [*df.columns, "_spm"] and {r[5] for r in spm.encode_documents(df).collect()} == {7, 8}
+    models = langid.learn(spark.createDataFrame([(i, f"worte und wörter {i}", "de") for i in range(5)], "doc_id long, text string, lang string"))
+    assert {r[5] for r in langid.identify(df, models).collect()} == {7, 8}

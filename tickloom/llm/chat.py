@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.llm.common import bounded_batches
+
 BOS, TURN, TEXT, END = "<s>", "<|turn|>", "<|text|>", "<|end|>"
 TAILS = r"(s>|/s>|INST\]|/INST\]|<SYS>>|</SYS>>|\|turn\|>|\|text\|>|\|end\|>)"
 CONTROL = re.compile(r"([<\[])(\\*)" + TAILS)
@@ -99,4 +101,4 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     """
     rows = turns.select(F.col("conv_id").cast("long").cast("string"), F.struct(F.col("turn").cast("long"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
     grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    return grouped.mapInPandas(_digest, SCHEMA).withColumn("conv_id", F.col("conv_id").cast("long"))
+    return bounded_batches(grouped).mapInPandas(_digest, SCHEMA).withColumn("conv_id", F.col("conv_id").cast("long"))

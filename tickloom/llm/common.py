@@ -26,9 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 materialize = written
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Hint a broadcast only when a count proves the bound; else leave the join to Spark. Give it a materialized df."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def broadcast_if_small(df: DataFrame, max_rows: int = 200_000, max_bytes: int = 32_000_000) -> DataFrame:
+    """Hint a broadcast only where a count and the size of the files prove the bounds; else leave the join to Spark. Give
+    it a materialized df."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= max_bytes and df.limit(max_rows + 1).count() <= max_rows else df
 
 
 def n_words(text: Column) -> Column:

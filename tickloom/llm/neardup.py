@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import append_from_text, broadcast_if_small, materialize
+from tickloom.llm.common import append_from_text, bounded_batches, broadcast_if_small, materialize
 
 SHINGLE = 5
 #: A pair of similarity 0.8 escapes all bands with probability (1 - 0.8 ** 6) ** 40 = 5e-6, one of 0.85 with 6e-9.
@@ -170,7 +170,7 @@ def confirmed(near: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs near (a < b, representatives) whose full sets have the similarity."""
     text = lambda n: texts.select(F.col("doc_id").alias(n), F.col("text").alias(f"text_{n}"))
     both = near.join(text("b"), "b").join(text("a"), "a").select("a", "b", "text_a", "text_b")
-    return materialize(both.mapInPandas(_confirm(percent), "a long, b long"), "dup-links")
+    return materialize(bounded_batches(both).mapInPandas(_confirm(percent), "a long, b long"), "dup-links")
 
 
 def components(links: DataFrame) -> DataFrame:

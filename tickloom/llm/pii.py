@@ -32,22 +32,36 @@ LEAP = 16
 MAX_MAP = 1000
 
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
-EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9-])"
-SECRET = r"(?<![A-Za-z])(?i:password|passwd|pwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_+/-]{8,512}={0,2}"
+EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++){0,126}\.\p{L}{2,63}(?![\p{L}\p{N}-])"  # names have 127 labels at most
+SECRET = r"(?<![A-Za-z])(?i:password|passwd|pwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_+/-]{8,}+={0,2}"
+#: Keys and tokens that are known by their first characters.
+TOKEN_HEAD = "(?:sk-|gh[opsru]_|xox[abprs]-|eyJ)"
+TOKEN = r"(?<![A-Za-z0-9_-])(?:sk-[A-Za-z0-9_-]{16,}+|gh[opsru]_[A-Za-z0-9]{16,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)"
 AWS = r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"
 IP = rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\.?\d)"
+#: Eight groups of hexadecimal digits, or fewer around one ::.
+GROUP6 = "[0-9A-Fa-f]{1,4}"
+IP6 = rf"(?<![\w:.])(?=[A-Fa-f:]{{0,39}}\d)(?:(?:{GROUP6}:){{7}}{GROUP6}|(?:{GROUP6}:){{1,6}}(?::{GROUP6}){{1,6}}|(?:{GROUP6}:){{2,7}}:|::(?:{GROUP6}:){{1,6}}{GROUP6})(?![\w:.]*\w)"
 CARD = r"(?<![\d-])(?:[3-6]\d{3}([ -]?)\d{4}\1\d{4}\1\d{4}|3[47]\d{2}[ -]?\d{6}[ -]?\d{5})(?![\d-])"
 SSN = r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d-])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{3,4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\d.-])\d{3}-\d{3}-\d{4}(?![\d-])"
-#: Titles by gender; a name has one to three capitalised words after its title, hyphens and apostrophes included.
+#: A number of nine digits or more within a country: area code, a blank or slash, groups.
+NATIONAL = r"(?<![\w+.,:/-])(?=0\d{1,4}[ /](?: ?\d){5,10}(?![\d,.:/-]*\d))(?=(?:[ /]?\d){9,12}(?!\d))0\d{1,4}[ /]\d{2,8}(?: \d{2,4}){0,4}(?![ /]?\d)"
+#: Titles by gender; a name has up to WORDS capitalised words after its titles, with hyphens and apostrophes, particles and
+#: initials before them. (The engine's stack bounds the words, not what names have.)
+WORDS = 30
 HE = "Mr|Mister|Herr|Señor|Sr|Monsieur|Signor|господин|г-н"
 SHE = "Mrs|Ms|Miss|Frau|Señora|Señorita|Sra|Srta|Madame|Mademoiselle|Mme|Mlle|Signora|госпожа|г-жа"
 BOTH = "Dr|Prof|Professor|Doctor|доктор|профессор"
-PART = r"\p{Lu}(?:['’]\p{Lu})?\p{Ll}\p{L}{0,29}(?:[-'’]\p{Lu}\p{L}{1,29}){0,2}"
-NAME = rf"(?<![\p{{L}}])(?:{HE}|{SHE}|{BOTH})\.? {PART}(?: {PART}){{0,2}}(?!\p{{L}})"
+TITLES = f"(?:{HE}|{SHE}|{BOTH})"
+#: What stands in small letters between given names and a family name.
+PARTICLE = "(?:van|von|vom|zu|zum|zur|der|den|ter|ten|de|del|della|di|da|do|dos|das|du|des|la|las|le|los|el|al|bin|ibn)"
+PART = r"(?:\p{Lu}(?:['’]\p{Lu})?\p{Ll}\p{L}*+(?:[-'’]\p{Lu}\p{L}++){0,8}|\p{Lu}{2,}+)(?!\p{L})"
+BEFORE = rf"(?:{PARTICLE} |\p{{Lu}}\. ?){{0,6}}"
+NAME = rf"(?<![\p{{L}}])(?:{TITLES}\.? ){{1,6}}{BEFORE}{PART}(?: {BEFORE}{PART}){{0,{WORDS - 1}}}"
 #: Each alternative after a look at its first characters, so that most positions fail at once.
-ANY = "|".join((f"(?=[^\\s@]){EMAIL}", f"(?=[pPsStTaA]){SECRET}", f"(?=AKIA){AWS}", f"(?=[DFHMPSгдп]){NAME}", rf"(?=[A-Z]{{2}}\d){IBAN}", rf"(?=\d){SSN}", f"(?=[3-6]){CARD}", rf"(?=\d){IP}", rf"(?=[+(\d])(?:{PHONE})"))
+ANY = "|".join((f"(?=[^\\s@]){EMAIL}", f"(?=[pPsStTaA]){SECRET}", f"(?=AKIA){AWS}", f"(?=[sgxe]){TOKEN}", f"(?=[DFHMPSгдп]){NAME}", rf"(?=[A-Z]{{2}}\d){IBAN}", rf"(?=\d){SSN}", f"(?=[3-6]){CARD}", rf"(?=\d){IP}", rf"(?=[+(\d])(?:{PHONE})", f"(?=0){NATIONAL}", f"(?=[0-9A-Fa-f:]{{1,5}}:){IP6}"))
 
 #: First names by gender (u: either) and script, and syllables of which family names are made.
 FIRST = {
@@ -142,22 +156,22 @@ def kind_of(m: Column) -> Column:
     plain = F.regexp_replace(m, " ", "")
     iban = remainder97(F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.substring(plain, 1, 4))) == 1
     return (
-        F.when(m.contains("@"), "email").when(m.rlike(f"^{AWS}$"), "aws").when(m.rlike("^(?i:password|passwd|pwd|secret|token|api)"), "secret")
+        F.when(m.contains("@"), "email").when(m.rlike(f"^{AWS}$"), "aws").when(m.rlike(f"^{TOKEN}$"), "token").when(m.rlike(f"^{IP6}$"), "ip6").when(m.rlike("^(?i:password|passwd|pwd|secret|token|api)"), "secret")
         .when(m.rlike(rf"^(?:{HE})\.? "), "name_m").when(m.rlike(rf"^(?:{SHE})\.? "), "name_f").when(m.rlike(rf"^(?:{BOTH})\.? "), "name_u").when(m.rlike("^[A-Z]{2}"), F.when(iban, "iban"))
         .when(m.rlike(f"^{SSN}$"), "ssn").when(m.rlike(f"^(?:{CARD})$"), F.when(luhn_sum(digits, 0) % 10 == 0, "card")).when(m.rlike(f"^{IP}$"), "ip").otherwise("phone")
     )
 
 
 SECRET_HEAD = r"^(?i:password|passwd|pwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?"
-TITLE = r"^\S+ "
+TITLE = rf"^(?:{TITLES}\.? )+"
 
 
 def canonical(m: Column, kind: Column) -> Column:
     """What two mentions of one entity share: small letters of addresses and names, digits of numbers, a secret's value."""
     digits = F.regexp_replace(m, "[^0-9]", "")
     return (
-        F.when(kind == "email", F.lower(m)).when(kind == "secret", F.regexp_replace(m, SECRET_HEAD, "")).when(kind.startswith("name"), F.lower(F.regexp_replace(m, TITLE, "")))
-        .when(kind == "iban", F.regexp_replace(m, " ", "")).when(kind == "phone", F.concat(F.when(m.startswith("+"), "+").otherwise(""), digits)).when(kind.isin("card", "ssn"), digits).otherwise(m)
+        F.when(kind == "email", F.lower(m)).when(kind == "secret", F.regexp_replace(m, SECRET_HEAD, "")).when(kind.startswith("name"), F.lower(F.regexp_replace(F.regexp_replace(F.regexp_replace(m, TITLE, ""), rf"(?<!\p{{L}}){PARTICLE} ", ""), r"(\p{Lu}\.)(?! )", "$1 ")))
+        .when(kind == "iban", F.regexp_replace(m, " ", "")).when(kind == "phone", F.concat(F.when(m.startswith("+"), "+").otherwise(""), digits)).when(kind.isin("card", "ssn"), digits).when(kind == "ip6", F.lower(m)).otherwise(m)
     )
 
 
@@ -222,19 +236,27 @@ def _by_kind(x: Column) -> Column:
         """s, of that length, its last characters replaced by the number."""
         return F.concat(F.substring(s, F.lit(1), length - F.when(wide, width).otherwise(0)), added(padded(n, width)))
 
-    def drawn(keep: int) -> Column:
+    def drawn(keep: int | Column) -> Column:
         return F.array_join(F.transform(chars(digits), lambda i: F.when(i <= keep, F.substring(digits, i, F.lit(1))).when(i == keep + 1, (2 + byte(h, i) % 8).cast("string")).otherwise((byte(h, i) % 10).cast("string"))), "")
 
-    def numbers(keep: int) -> Column:
-        return ending(drawn(keep), F.length(digits), F.length(digits) - 1)
+    def numbers(keep: int | Column) -> Column:
+        return ending(drawn(keep), F.length(digits), F.length(digits) - F.greatest(F.lit(1), F.lit(keep) if isinstance(keep, int) else keep))
+
+    # Digits of a country's calling code, a fixed rule: 1 and 7 stand alone, the codes listed have two, all others three.
+    calling = F.when(digits.rlike("^[17]"), 1).when(digits.rlike("^(?:2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"), 2).otherwise(3)
 
     email = F.concat(like(F.substring_index(c, "@", 1), h), added(F.concat(F.lit("."), n.cast("string"))), F.lit("@"), *[pick("abcdefghijklmnopqrstuvwxyz", byte(domain, i)) for i in range(1, 8)], F.lit(".example.com"))
     card = let(ending(drawn(1), F.length(digits) - 1, 10), lambda body: F.concat(body, ((10 - luhn_sum(body, 1) % 10) % 10).cast("string")))
     inside = F.when(c.rlike(r"^10\."), "10").when(c.rlike(r"^127\."), "127").when(c.rlike(r"^192\.168\."), "192.168")
-    ip = F.when(c.rlike(r"^192\.168\."), F.concat_ws(".", inside, byte(h, 2).cast("string"), byte(h, 3).cast("string"))).otherwise(F.concat_ws(".", F.coalesce(inside, (128 + byte(h, 1) % 40).cast("string")), *[byte(h, k).cast("string") for k in (2, 3, 4)]))
+    ip = F.when(c.rlike(r"^192\.168\."), F.concat_ws(".", inside, byte(h, 2).cast("string"), byte(h, 3).cast("string"))).otherwise(F.concat_ws(".", F.coalesce(inside, (240 + byte(h, 1) % 15).cast("string")), *[byte(h, k).cast("string") for k in (2, 3, 4)]))
     part = lambda k: (F.shiftright(n, k) % 256).cast("string")
     reserved = F.when(c.rlike(r"^(10|192\.168)\.") & (n < 1 << 24), F.concat_ws(".", F.lit("10"), part(16), part(8), part(0))).when(n < 1 << 28, F.concat_ws(".", (240 + F.shiftright(n, 24)).cast("string"), part(16), part(8), part(0)))
     ip = F.when(wide, F.coalesce(reserved, F.concat(F.lit("2001:db8::"), *[x for k in (48, 32, 16, 0) for x in (F.lower(F.hex(F.shiftright(n, k) % 65536)), F.lit(":" if k else ""))]))).otherwise(ip)
+    long6 = lambda *words: F.concat(F.lit("2001:db8"), *[F.concat(F.lit(":"), F.lower(F.hex(w))) for w in words])
+    drawn6 = long6(*[byte(h, 2 * k + 1) * 256 + byte(h, 2 * k + 2) for k in range(6)])
+    ip6 = F.when(wide, long6(F.lit(0), F.lit(0), *[F.shiftright(n, k) % 65536 for k in (48, 32, 16, 0)])).otherwise(drawn6)
+    head = F.regexp_extract(c, f"^{TOKEN_HEAD}", 0)
+    token = F.concat(head, like(F.substring(c, F.length(head) + 1, F.length(c)), h, signs=True), added(n.cast("string")))
     country = F.substring(c, 1, 2)
     checked = lambda rest: F.concat(country, F.lpad((98 - remainder97(F.concat(rest, country, F.lit("00")))).cast("string"), 2, "0"), rest)
     iban = let(ending(like(F.substring(c, F.lit(5), F.length(c)), h), F.length(c) - 4, 10), checked)
@@ -251,12 +273,14 @@ def _by_kind(x: Column) -> Column:
             by_kind = F.when((kind == f"given_{g}") & (cyrillic == (script == "cyrillic")), pick(names, byte(h, i))).otherwise(by_kind)
         return by_kind
 
-    given = F.concat(first(1), F.when(cyrillic, spelled["cyrillic"]).otherwise(spelled["latin"]), F.when(F.substring_index(c, "|", 1).contains(" "), F.concat(F.lit(" "), first(2))).otherwise(""), F.lit("|"), F.substring_index(c, "|", -1))
+    short = F.substring_index(c, "|", 1).rlike(r"^\p{L}\.")  # an initial stays one
+    named = F.when(short, F.concat(F.substring(first(1), 1, 1), F.lit("."))).otherwise(first(1))
+    given = F.concat(named, F.when(cyrillic, spelled["cyrillic"]).otherwise(spelled["latin"]), F.when(F.substring_index(c, "|", 1).contains(" "), F.concat(F.lit(" "), first(2))).otherwise(""), F.lit("|"), F.substring_index(c, "|", -1))
     return (
         F.when(kind == "email", email).when(kind == "secret", F.concat(added(F.concat(n.cast("string"), F.lit("-"))), like(c, h, signs=True)))
         .when(kind == "aws", F.concat(F.lit("AKIA"), F.when(wide, F.translate(F.lpad(F.conv(n.cast("string"), 10, 32), 16, "0"), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")).otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(16)), lambda i: pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", byte(h, i))), ""))))
-        .when(kind == "family", family).when(kind.startswith("given"), given).when(kind == "iban", iban).when(kind == "ssn", numbers(0)).when(kind == "card", card).when(kind == "ip", ip)
-        .otherwise(F.when(c.startswith("+"), F.concat(F.lit("+"), numbers(1))).otherwise(numbers(0)))
+        .when(kind == "family", family).when(kind.startswith("given"), given).when(kind == "iban", iban).when(kind == "ssn", F.concat(F.lit("9"), F.substring(numbers(0), 2, 64))).when(kind == "ip6", ip6).when(kind == "token", token).when(kind == "card", card).when(kind == "ip", ip)
+        .otherwise(F.when(c.startswith("+"), F.concat(F.lit("+"), numbers(calling))).when(c.startswith("0"), numbers(1)).otherwise(numbers(0)))
     )
 
 
@@ -273,17 +297,23 @@ def core_of(x: Column, draw: Callable[[Column, Column], Column], key: bytes) ->
     return let(made, put_together)
 
 
+def with_particles(m: Column, core: Column) -> Column:
+    """A name's surrogate with the particles that the mention has before its last word."""
+    own = F.regexp_extract(m, rf"(?:^| )((?:{PARTICLE} )+)\S+$", 1)
+    return F.concat(F.regexp_extract(core, r"^(.* )?\S+$", 1), own, F.regexp_extract(core, r"(\S+)$", 1))
+
+
 def in_layout(m: Column, kind: Column, core: Column) -> Column:
     """The surrogate in the layout of the mention."""
     return (
         F.when(kind.isin("phone", "card", "ssn"), poured(F.regexp_replace(core, "[^0-9]", ""), m)).when(kind == "secret", F.concat(F.regexp_extract(m, SECRET_HEAD, 0), core))
-        .when(kind.startswith("name"), F.concat(F.regexp_extract(m, TITLE, 0), core)).when(kind == "iban", F.when(m.contains(" "), F.trim(F.regexp_replace(core, "(.{4})", "$1 "))).otherwise(core)).otherwise(core)
+        .when(kind.startswith("name"), F.concat(F.regexp_extract(m, TITLE, 0), with_particles(m, core))).when(kind == "iban", F.when(m.contains(" "), F.trim(F.regexp_replace(core, "(.{4})", "$1 "))).otherwise(core)).otherwise(core)
     )
 
 
 def may_have(text: Column) -> Column:
     """Whether a text has a character or a title without which none of the patterns matches."""
-    out = text.rlike("[0-9@=:]") | text.contains("AKIA")
+    out = text.rlike("[0-9@=:]") | text.contains("AKIA") | text.contains("sk-") | text.contains("eyJ") | text.contains("xox") | text.contains("gh")
     for title in f"{HE}|{SHE}|{BOTH}".split("|"):
         out = out | text.contains(title)
     return out
@@ -337,13 +367,24 @@ def draws(entities: DataFrame, key: bytes) -> DataFrame:
 
 
 def name_map(found: Column) -> Column:
-    """map<string, string> of a text's titled names and their family names, as they stand without title, to surrogates;
-    found: array of its mentions (m, kind, core)."""
+    """map<string, string> of a text's titled names and their family names, as they stand without title, in capitals or with
+    title in small letters, to surrogates; found: array of its mentions (m, kind, core)."""
     bare = lambda x: F.regexp_replace(x["m"], TITLE, "")
     last = lambda s: F.regexp_extract(s, r"(\S+)$", 1)
     pair = lambda k, v: F.struct(k.alias("key"), v.alias("value"))
     names = F.filter(found, lambda x: F.coalesce(x["kind"].startswith("name"), F.lit(False)))
-    pairs = F.flatten(F.transform(names, lambda x: F.array(pair(bare(x), x["core"]), pair(last(bare(x)), last(x["core"])))))
+    title = lambda x: F.regexp_extract(x["m"], TITLE, 0)
+
+    def variants(x: Column) -> Column:
+        """As written, in capitals, and in small letters where given names or the title stand before."""
+        whole, family, core, new = bare(x), last(bare(x)), x["core"], last(x["core"])
+        named = F.concat(title(x), family), F.concat(title(x), new)
+        small = F.array(pair(F.lower(x["m"]), F.lower(F.concat(title(x), core))), *[pair(F.lower(a), F.lower(b)) for a, b in (named,)])
+        full = F.when(whole.contains(" "), F.array(pair(F.lower(whole), F.lower(core)))).otherwise(F.array().cast("array<struct<key:string,value:string>>"))
+        plain = F.array(pair(whole, core), pair(family, new), pair(F.upper(whole), F.upper(core)), pair(F.upper(family), F.upper(new)))
+        return F.concat(plain, small, full)
+
+    pairs = F.flatten(F.transform(names, variants))
     return F.aggregate(pairs, F.expr("cast(map() as map<string, string>)"), lambda acc, p: F.when(F.map_contains_key(acc, p["key"]), acc).otherwise(F.map_concat(acc, F.create_map(p["key"], p["value"]))))
 
 

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import append_from_text, broadcast_if_small, materialize
+from tickloom.llm.common import append_from_text, bounded_batches, broadcast_if_small, materialize
 
 BUCKETS = 1 << 22
 #: Bound of the labelled sample: rows of each label.
@@ -123,7 +123,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[
         bias, at, w = train(list(zip(frame["at"], frame["label"], strict=True)))
         return pd.DataFrame({"bias": [bias], "at": [at], "w": [w]})
 
-    sampled = docs.select("doc_id", "text").filter("text is not null").join(chosen, "doc_id").mapInPandas(make, "one int, place long, label int, at array<int>")
+    sampled = bounded_batches(docs.select("doc_id", "text").filter("text is not null").join(chosen, "doc_id")).mapInPandas(make, "one int, place long, label int, at array<int>")
     found = sampled.groupBy("one").applyInPandas(fit, "bias double, at array<int>, w array<float>").first()
     return (found["bias"], np.array(found["at"], np.int32), np.array(found["w"], np.float32)) if found else (0.0, np.zeros(0, np.int32), np.zeros(0, np.float32))
 
