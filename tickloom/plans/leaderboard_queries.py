@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from tickloom.functions import scalars as s
 from tickloom.operators import leaderboard as lb
 from tickloom.plans.registry import query
+from tickloom.sources import board
 from tickloom.sources import derived as d
+from tickloom.sources.shared import scratch
 
 L = f"WITH {d.LEADERBOARD_SQL}"
 TOP = """v AS (SELECT *, round(score * 0.7::DOUBLE + stability * 9::DOUBLE, 6) AS value FROM board WHERE stability >= 0.3), t AS (SELECT *, row_number() OVER (PARTITION BY strategy_hash, symbol, timeframe ORDER BY value DESC, genome_hash, ts) AS rank FROM v)"""
@@ -63,13 +65,26 @@ UPSERT = """o AS (SELECT *, 0 AS new FROM board WHERE ts % 2 = 0), n AS (SELECT
 r AS (SELECT *, row_number() OVER (PARTITION BY strategy_hash, symbol, timeframe, genome_hash ORDER BY new DESC, ts DESC, source) AS k, max(CASE WHEN new = 0 THEN (ts, source, test_count) END) OVER (PARTITION BY strategy_hash, symbol, timeframe, genome_hash) AS old FROM b)"""
 
 
-@query("upsert_records", f"{L}, {UPSERT} SELECT symbol, timeframe, genome_hash, score, ts, CASE WHEN new = 1 AND old IS NOT NULL THEN concat_ws('.', old[2], source) ELSE source END AS source, (CASE WHEN new = 1 AND old IS NOT NULL THEN old[3] + 1 ELSE test_count END)::INT AS test_count FROM r WHERE k = 1")
+UPSERTED = f"{L}, {UPSERT} SELECT symbol, timeframe, genome_hash, score, ts, CASE WHEN new = 1 AND old IS NOT NULL THEN concat_ws('.', old[2], source) ELSE source END AS source, (CASE WHEN new = 1 AND old IS NOT NULL THEN old[3] + 1 ELSE test_count END)::INT AS test_count FROM r WHERE k = 1"
+
+
+@query("upsert_records", UPSERTED)
 def upsert_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = d.leaderboard(spark, sf_dir)
     done = lb.upserted(t.filter("ts % 2 = 0"), t.filter("ts % 120 = 20 or ts % 120 = 80"))
     return done.select("symbol", "timeframe", "genome_hash", "score", "ts", "source", "test_count")
 
 
+@query("store_records", UPSERTED)
+def store_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through the table on disk; the second batch comes twice."""
+    t = d.leaderboard(spark, sf_dir)
+    path = scratch(spark, "board")
+    for part, batch in (("ts % 2 = 0", 0), ("ts % 120 = 20 or ts % 120 = 80", 1), ("ts % 120 = 20 or ts % 120 = 80", 1)):
+        board.store(t.filter(part), path, batch)
+    return board.stored(spark, path).select("symbol", "timeframe", "genome_hash", "score", "ts", "source", "test_count")
+
+
 @query("mark_latest", f"{L}, x AS (SELECT ts, source, split_part(source, '.', -1)::INT AS last_run FROM board) SELECT ts, last_run, last_run = (SELECT max(last_run) FROM x) OR contains(source, '.') AS is_new FROM x")
 def mark_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lb.latest_marked(d.leaderboard(spark, sf_dir)).select("ts", "last_run", "is_new")

@@ -71,6 +71,20 @@ def write_bars(bars: DataFrame, path: str, kind: str = "parquet", mode: str = "o
     out.write.mode(mode).option("partitionOverwriteMode", "dynamic").option("header", "true").partitionBy("symbol", "timeframe").format(kind).save(path)
 
 
+def save_bucketed(bars: DataFrame, table: str, buckets: int = 64) -> DataFrame:
+    """Bars as a table of the catalogue in buckets by (symbol, timeframe), sorted by time within them.
+
+    Windows, groups and joins by symbol and timeframe read it without an exchange, as each bucket is one task's already;
+    `buckets` bounds the tasks, so it should be a few times the cores."""
+    dealt = bars.repartition(buckets, "symbol", "timeframe")  # one file for each bucket
+    dealt.write.mode("overwrite").bucketBy(buckets, "symbol", "timeframe").sortBy("symbol", "timeframe", "time").format("parquet").saveAsTable(table)
+    return bars.sparkSession.table(table)
+
+
+#: How times are written in CSV.
+TIMES = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+
+
 def write_trades(trades: DataFrame, path: str) -> None:
-    """A trade list with its running columns, as CSV with a header."""
-    trades.write.mode("overwrite").option("header", "true").csv(path)
+    """A trade list with its running columns, as CSV with a header; times to the microsecond (TIMES)."""
+    trades.write.mode("overwrite").option("header", "true").option("timestampFormat", TIMES).option("timestampNTZFormat", TIMES).csv(path)

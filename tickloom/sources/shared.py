@@ -4,24 +4,29 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import warnings
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as Parquet in the folder of spark.checkpoint.dir, read again. The files go when the driver's JVM ends.
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir; what is there goes when the driver's JVM ends.
 
-    Where the session names no folder, a temporary one is set in it: right on one machine only, so a cluster is warned."""
-    spark = df.sparkSession
+    Where the session names no folder, a temporary one is set on a local master; on a cluster executors would write to
+    disks of their own, so that is an error."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
-        top = "file://" + tempfile.mkdtemp(prefix="tickloom-")
         if not spark.sparkContext.master.startswith("local["):
-            warnings.warn(f"spark.checkpoint.dir isn't set; {top} must be a folder that all executors share", stacklevel=2)
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = "file://" + tempfile.mkdtemp(prefix="tickloom-")
         spark.conf.set("spark.checkpoint.dir", top)
     path = f"{top}/tickloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as Parquet in the shared folder, read again."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
