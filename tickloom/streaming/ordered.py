@@ -24,7 +24,8 @@ class Ordered(StatefulProcessor):
     """work(state, numbers of a bar) -> numbers to return; state is a dict of numbers and lists, `empty` at first.
 
     A bar that isn't newer than the last one released is late beyond the watermark and dropped; of bars with one time the
-    first stays. A timer stands at the oldest waiting bar, or, where none waits, at the end of the series' life."""
+    first stays. A timer stands at the oldest waiting bar, or, where none waits, at the end of the series' life, when its
+    state goes."""
 
     def __init__(self, work: Callable[[dict, list[float]], list], empty: dict, inputs: list[str], outputs: list[str], dead: int = DEAD) -> None:
         self.work, self.empty, self.inputs, self.outputs, self.dead = work, empty, inputs, outputs, dead
@@ -35,20 +36,22 @@ class Ordered(StatefulProcessor):
 
     def load(self) -> tuple[int, dict, dict[int, list[float]]]:
         if not self.held.exists():
-            return -(1 << 62), dict(self.empty), {}
+            return -(1 << 62), json.loads(json.dumps(self.empty)), {}
         last, state, times, bars = self.held.get()
         return last, json.loads(state), dict(zip(times, map(list, bars), strict=True))
 
     def released(self, key: tuple, last: int, state: dict, waiting: dict[int, list[float]], mark: int) -> Iterator[pd.DataFrame]:
         rows = []
         for t in sorted(t for t in waiting if t <= mark):
+            if t - last > self.dead:
+                state = json.loads(json.dumps(self.empty))
             rows.append((*key, pd.Timestamp(t, unit="ms"), *self.work(state, waiting.pop(t))))
             last = t
         left = sorted(waiting)
         self.held.update((last, json.dumps(state), left, [waiting[t] for t in left]))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        self.handle.registerTimer(left[0] if left else max(last, mark) + self.dead)
+        self.handle.registerTimer(left[0] if left else max(last + self.dead, mark + 1))
         yield pd.DataFrame(rows, columns=["symbol", "timeframe", "time", *self.outputs])
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
