@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.operators import blocks, genomes, runs
+from tickloom.operators import blocks, genomes, leaderboard, runs
 
 FAR = {"mean": lambda a, b: np.abs(a - b).mean(axis=-1), "euclidean": lambda a, b: np.sqrt(((a - b) ** 2).mean(axis=-1))}
 
@@ -131,3 +131,20 @@ def test_front_that_is_much_of_the_table(spark, monkeypatch):
     t = spark.createDataFrame(rows, "run_id long, net_profit_pct double, sharpe double, winrate double, max_drawdown_pct double")
     assert {r["run_id"] for r in runs.pareto_front(t, per_block=200).collect()} == front
     assert len(front) > n / 10 and len(sizes) > 5 and max(sizes) <= 300
+
+
+def test_search_in_blocks_equals_all_pairs(spark):
+    """Clusters of records: most blocks are left out, and the ranks are those of all pairs."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(30, 16))
+    x = centres[rng.integers(0, 30, 3000)] + rng.normal(0, 0.15, (3000, 16))
+    x[5] = 0.0
+    rows = [(f"g{i % 700}", int(i), float(i % 10) / 10, v.tolist()) for i, v in enumerate(x)]
+    board = spark.createDataFrame(rows, "genome_hash string, ts long, stability double, vec array<double>")
+    asked = spark.createDataFrame([(k, (x[k * 61] + 0.01).tolist()) for k in range(40)] + [(99, [0.0] * 16)], "query_id long, vec array<double>")
+    told = {}
+    show = lambda t: sorted(map(tuple, t.select("query_id", "rank", "genome_hash", "ts", "similarity").collect()))
+    got = show(leaderboard.similar(board, asked, 10, 0.7, 0.3, small=0, per_block=100, told=told))
+    want = show(leaderboard.similar(board, asked, 10, 0.7, 0.3))
+    assert got == want and len(got) > 300 and told["share"] < 0.35
+    assert leaderboard.similar(board.limit(0), asked, small=-1).count() == 0

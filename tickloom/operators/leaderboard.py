@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickloom.functions.scalars import cosine
+from tickloom.operators.blocks import PER_BLOCK
+from tickloom.operators.search import most_similar
 
 KEY = ("strategy_hash", "symbol", "timeframe")
 
@@ -62,17 +64,44 @@ def against_all(rows: DataFrame, queries: DataFrame, per_block: int = QUERY_BLOC
     return out
 
 
-def similar(board: DataFrame, profiles: DataFrame, limit: int = 20, threshold: float = 0.7, min_stability: float = 0.0) -> DataFrame:
+#: Pairs up to which it is quicker to compare all.
+SMALL = 20_000_000
+
+
+def similar(board: DataFrame, profiles: DataFrame, limit: int = 20, threshold: float = 0.7, min_stability: float = 0.0, small: int = SMALL, per_block: int = PER_BLOCK, told: dict | None = None) -> DataFrame:
     """profiles (query_id, vec: the stated queries) -> each one's most similar records, by cosine (0 to 1).
 
-    The robustness filter applies to the first 2 * limit, then limit remain."""
-    t = against_all(board, profiles.select("query_id", F.col("vec").alias("query_vec")))
-    t = t.withColumn("similarity", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine(F.col("vec"), F.col("query_vec")))), 6)).drop("vec", "query_vec").filter(F.col("similarity") >= threshold)
+    The robustness filter applies to the first 2 * limit, then limit remain. More than `small` pairs are searched in blocks
+    of records, of which those that can't hold any of them are left out (given a threshold over 0); told gets the share of
+    pairs that were compared. Fewer are all compared."""
+    if threshold > 0 and board.count() * profiles.count() > small:
+        t = most_similar(board, profiles, 2 * limit, threshold, ["genome_hash", "ts"], per_block, told)
+    else:
+        t = against_all(board, profiles.select("query_id", F.col("vec").alias("query_vec")))
+        t = t.withColumn("similarity", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine(F.col("vec"), F.col("query_vec")))), 6)).drop("vec", "query_vec").filter(F.col("similarity") >= threshold)
     by = W.partitionBy("query_id").orderBy(F.desc("similarity"), "genome_hash", "ts")
     t = t.withColumn("_n", F.row_number().over(by)).filter((F.col("_n") <= 2 * limit) & (F.col("stability") >= min_stability))
     return t.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= limit).drop("_n")
 
 
+def seeds(top: DataFrame, alike: DataFrame) -> DataFrame:
+    """The genomes to begin with: the top ones, and similar ones that they lack, each genome once (its best record)."""
+    both = top.select("genome_hash", "score", "ts", F.lit(0).alias("_from")).unionByName(alike.select("genome_hash", "score", "ts", F.lit(1).alias("_from")))
+    best = both.groupBy("genome_hash").agg(F.min_by(F.struct("score", "ts", "_from"), F.struct("_from", -F.col("score"), "ts")).alias("b"))
+    return best.select("genome_hash", "b.score", "b.ts", (F.col("b._from") == 1).alias("similar"))
+
+
+def merged_with_selection(new_top: DataFrame, selected: DataFrame, run: int) -> DataFrame:
+    """The new results better than the best selected record; where none is, the selected records, their run appended to
+    the source. status: IMPROVED or NO_IMPROVEMENT."""
+    best = selected.agg(F.coalesce(F.max("score"), F.lit(0.0)).alias("_best"))
+    better = new_top.crossJoin(F.broadcast(best)).filter(F.col("score") > F.col("_best")).drop("_best")  # one row
+    some = better.agg((F.count("*") > 0).alias("_some"))
+    kept = selected.withColumn("source", F.concat_ws(".", F.when(F.col("source") != "", F.col("source")), F.lit(str(run)))).crossJoin(F.broadcast(some)).filter(~F.col("_some")).drop("_some")  # one row
+    columns = new_top.columns
+    return better.withColumn("status", F.lit("IMPROVED")).unionByName(kept.select(*columns).withColumn("status", F.lit("NO_IMPROVEMENT")))
+
+
 def seeds_marked(results: DataFrame, seeds: DataFrame) -> DataFrame:
     """Adds is_new: the genome is not among the seeds."""
     known = seeds.select("genome_hash").distinct().withColumn("_seed", F.lit(True))

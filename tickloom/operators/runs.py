@@ -31,7 +31,7 @@ def build_runs(series: DataFrame, grid: DataFrame, windows: list[tuple[str, str]
     """One row per (symbol, timeframe), parameters and window, with a run_id that depends on these values alone."""
     spans = F.explode(F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in windows])).alias("w")
     both = series.crossJoin(F.broadcast(grid)).select("*", spans).select("*", "w.*").drop("w")  # grid is bounded by its parameters
-    return both.withColumn("run_id", F.pmod(F.crc32(F.to_json(F.struct(*sorted(both.columns))).cast("binary")), F.lit(1 << 31)))
+    return both.withColumn("run_id", F.xxhash64(F.to_json(F.struct(*sorted(both.columns)))))
 
 
 def profitable(runs: DataFrame, min_pnl: float = 0.0, min_trades: int = 10) -> DataFrame:
@@ -109,7 +109,7 @@ def one_of_both(runs: DataFrame, first: list[Column], second: list[Column], by:
     rejected run leaves its other key free, as in the walk. The last `tail` undecided runs are walked in one task, so a
     chain of runs that hold each other back ends. Each round writes what is left. A null score ranks last; keys that are
     null are equal. run_id is unique."""
-    rank = F.struct(F.coalesce(F.col(by).cast("double"), F.lit(float("-inf"))).alias("s"), (-F.col("run_id")).alias("r"))
+    rank = F.struct(F.coalesce(F.col(by).cast("double"), F.lit(float("-inf"))).alias("s"), F.bitwise_not("run_id").alias("r"))
     keyed = runs.select(rank.alias("_rank"), F.to_json(F.struct(*first)).alias("_k1"), F.to_json(F.struct(*second)).alias("_k2"))
     left = written(keyed.groupBy("_k1", "_k2").agg(F.max("_rank").alias("_rank")), "both-keys")
     chosen: list[DataFrame] = []
@@ -124,7 +124,7 @@ def one_of_both(runs: DataFrame, first: list[Column], second: list[Column], by:
         chosen.append(left.withColumn("_one", F.lit(0)).groupBy("_one").applyInArrow(_walk_both, left.schema))
     if not chosen:
         return runs.limit(0)
-    kept = functools.reduce(DataFrame.unionByName, [c.select((-F.col("_rank.r")).alias("run_id")) for c in chosen])
+    kept = functools.reduce(DataFrame.unionByName, [c.select(F.bitwise_not("_rank.r").alias("run_id")) for c in chosen])
     return runs.join(kept, "run_id", "left_semi")
 
 
@@ -196,6 +196,9 @@ def pareto_front(runs: DataFrame, objectives: dict[str, int] | None = None, per_
     dealt = blocks.in_blocks(points, per_block, len(goals))
     own = written(dealt.groupBy("_block").applyInArrow(_own_front, "_p array<double>, _slice int, _block long"), "pareto-own")
     bounds = written(blocks.boxes(own), "pareto-boxes")
+    if bounds.count() <= 1:
+        left = own.select(F.col("_p").alias("_front"))
+        return runs.filter(~whole).unionByName(runs.filter(whole).join(left, F.array(*clean) == F.col("_front"), "left_semi"))
 
     ends = bounds.select(*[f(F.col(c)[j]).alias(f"{c}{j}") for j in range(len(goals)) for f, c in ((F.min, "low"), (F.max, "high"))])
     mean = sum((F.col("_p")[j] - F.col(f"low{j}")) / F.greatest(F.col(f"high{j}") - F.col(f"low{j}"), F.lit(1e-300)) for j in range(len(goals)))
@@ -260,6 +263,14 @@ def best_runs(runs: DataFrame, asked: DataFrame) -> DataFrame:
     return asked.withColumn("_key", key).join(best, ["symbol", "timeframe", "_key"]).select("*", "_b.run_id", "_b.score").drop("_key", "_b")
 
 
+def differing(first: DataFrame, second: DataFrame, *keys: str) -> DataFrame:
+    """keys, n and n_differing: rows of the first execution, and rows of either that the other lacks (repeats count)."""
+    one, two = (a.exceptAll(b).groupBy(*keys).agg(F.count("*").alias("_d")) for a, b in ((first, second), (second, first)))
+    off = one.unionByName(two).groupBy(*keys).agg(F.sum("_d").alias("n_differing"))
+    n = first.groupBy(*keys).agg(F.count("*").alias("n"))
+    return n.join(off, list(keys), "full").select(*keys, F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.coalesce("n_differing", F.lit(0).cast("long")).alias("n_differing"))
+
+
 def loss_streaks(trades: DataFrame) -> DataFrame:
     """run_id and streak: the longest run of trades without a profit."""
     by = W.partitionBy("run_id").orderBy("trade_no")

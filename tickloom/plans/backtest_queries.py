@@ -52,7 +52,7 @@ def _sweep(bars: DataFrame, strategy: str, sets: DataFrame) -> DataFrame:
     names = [c for c in sets.columns if c != "id"]
     params = F.create_map(*[x for c in names for x in (F.lit(c), F.col(c).cast("double"))])
     series = bars.select("symbol", "timeframe").distinct().crossJoin(F.broadcast(sets))
-    run_id = (F.col("id") * 1000 + F.crc32(F.col("symbol").cast("binary")) % 1000).alias("run_id")
+    run_id = F.xxhash64("id", "symbol", "timeframe").alias("run_id")
     return series.select(run_id, "symbol", "timeframe", F.lit(strategy).alias("strategy"), params.alias("params"))
 
 

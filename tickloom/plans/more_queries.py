@@ -71,7 +71,7 @@ PARAMS = ("st_mult", "rf_mult", "tp_dual_rr_mult")
 
 def _base_runs(spark: SparkSession, bars: DataFrame) -> DataFrame:
     params = F.create_map(*[F.lit(x) for p in (("st_atrPeriod", 10.0), ("st_mult", 1.0), ("rf_period", 20.0), ("rf_mult", 1.0), ("sl_rf_period", 20.0), ("sl_rf_mult", 3.0), ("tp_dual_rr_mult", 2.0)) for x in p])
-    return bars.select("symbol", "timeframe").distinct().select(F.crc32(F.col("symbol").cast("binary")).alias("run_id"), "symbol", "timeframe", F.lit("rf_st_rsi").alias("strategy"), params.alias("params"))
+    return bars.select("symbol", "timeframe").distinct().select(F.xxhash64("symbol", "timeframe").alias("run_id"), "symbol", "timeframe", F.lit("rf_st_rsi").alias("strategy"), params.alias("params"))
 
 
 def _scored(bars: DataFrame, variants: DataFrame, keep: list[str]) -> DataFrame:
