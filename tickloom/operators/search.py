@@ -55,13 +55,13 @@ def most_similar(
     bounds which other blocks it has to meet. A block meets its queries by QUERIES, so no task holds more than a block and
     these. told, if given, gets `share`: of all pairs, those that were compared."""
     axes = blocks.principal_axes(rows, "vec", AXES)
+    m = len(axes)
+    if not m:
+        return rows.drop("vec").withColumn("query_id", F.lit(None).cast(queries.schema["query_id"].dataType)).withColumn("similarity", F.lit(0.0)).limit(0)
     data = blocks.in_blocks(_unit(rows, "vec", axes), per_block)
     asked = written(_unit(queries.select("query_id", "vec"), "vec", axes), "search-queries")
     sizes = data.groupBy("_block").agg(F.count("*").alias("_size"))
     bounds = F.broadcast(written(blocks.boxes(data).join(sizes, "_block").select("_block", "low", "high", "_size"), "search-boxes"))  # a row for each block
-    m = len(axes)
-    if not m:
-        return rows.drop("vec").withColumn("query_id", F.lit(None).cast(queries.schema["query_id"].dataType)).withColumn("similarity", F.lit(0.0)).limit(0)
     best = sum((F.greatest(F.col("_p")[j] * F.col("low")[j], F.col("_p")[j] * F.col("high")[j]) for j in range(m)), F.col("_p")[m] * F.col("high")[m])
     reached = asked.crossJoin(bounds).withColumn("_best", best).filter(F.col("_best") >= threshold - SLACK)  # stated queries, a row for each block
     home = reached.groupBy("query_id").agg(F.max_by("_block", "_best").alias("_home"))
