@@ -101,7 +101,7 @@ def backtest_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = rb.segments(d.bars_walk(spark, sf_dir), least=50)
     key = F.concat_ws("/", "timeframe", "window", "segment")
     cut = bars.withColumn("timeframe", key).drop("window", "segment")
-    runs = _base_runs(spark, cut).withColumn("base_id", F.col("run_id")).withColumn("run_id", F.xxhash64("run_id", "timeframe"))
+    runs = _base_runs(spark, cut).withColumn("base_id", F.xxhash64("symbol", F.split("timeframe", "/")[0]))
     t = _scored(cut, runs, ["base_id", "timeframe"])
     part = F.split("timeframe", "/")
     return rb.walk_forward(t.select(F.col("base_id").alias("run_id"), part[1].cast("int").alias("window"), part[2].alias("segment"), "score"))
