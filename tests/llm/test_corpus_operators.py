@@ -305,7 +305,7 @@ def test_pipeline_and_queries(spark):
     want, _ = plain_components({r["doc_id"]: r["text"] for r in docs.collect() if r["doc_id"] in ids[0] - {None}}, 80)
     assert ids[1] - {None} == {i for i, c in want.items() if i == c}
     assert ids[2] == ids[1] and ids[3] <= ids[2] and now.filter("not parity or not round_trip").count() == 0
-    assert set(queries()) == {"op1_chat_format", "op2_surrogates", "op3_quality_rules", "op4_toxicity", "op5_language_id", "op6_source_mix", "op7_nearest_vectors", "op8_near_duplicates", "op9_site_quality", "op10_sentencepiece"}
+    assert set(queries()) == {"op1_chat_format", "op2_surrogates", "op3_quality_rules", "op4_toxicity", "op5_language_id", "op6_source_mix", "op7_nearest_vectors", "op8_near_duplicates", "op9_site_quality", "op10_sentencepiece", "op11_embedding_whitening", "op12_tokenizer_alignment", "op13_line_dedup"}
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), DATA).count() == 0
 
