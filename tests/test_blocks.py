@@ -148,3 +148,22 @@ def test_search_in_blocks_equals_all_pairs(spark):
     want = show(leaderboard.similar(board, asked, 10, 0.7, 0.3))
     assert got == want and len(got) > 300 and told["share"] < 0.35
     assert leaderboard.similar(board.limit(0), asked, small=-1).count() == 0
+
+
+def _shuffled(spark, run):
+    """Bytes that stages wrote for others while run() ran."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    none = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+    total = lambda: sum(s.shuffleWriteBytes() for s in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.stageList(None, False, False, none, None)))
+    before = total()
+    run()
+    return total() - before
+
+
+def test_vectors_are_not_copied_for_pairs_of_blocks(spark):
+    """Four times the vectors, whose blocks all meet: what is shuffled grows with the vectors, not with their pairs."""
+    written = []
+    for n in (1000, 4000):
+        df = frame(spark, np.random.default_rng(2).random((n, 16)), np.zeros(n))
+        written.append(_shuffled(spark, lambda df=df: genomes.niche_fitness(df, per_block=50).collect()))
+    assert 0 < written[1] < 7 * written[0], written

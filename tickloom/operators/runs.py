@@ -207,10 +207,9 @@ def pareto_front(runs: DataFrame, objectives: dict[str, int] | None = None, per_
     beaten = functools.reduce(Column.__and__, [F.col("best")[j] >= F.col("high")[j] for j in range(len(goals))]) & (F.col("best") != F.col("high"))
     bounds = written(bounds.join(F.broadcast(champions), beaten, "left_anti"), "pareto-left")
 
-    a, b = bounds.select(F.col("_block").alias("_a"), F.col("high").alias("_high")), bounds.select(F.col("_block").alias("_b"), F.col("low").alias("_low"))
-    may = functools.reduce(Column.__and__, [F.col("_high")[j] >= F.col("_low")[j] for j in range(len(goals))]) & (F.col("_a") != F.col("_b"))
-    gone = blocks.meet(own, own, a.join(b, may), _beaten, "_p array<double>").distinct()
-    left = own.join(bounds.select("_block"), "_block", "left_semi").join(gone, "_p", "left_anti").select(F.col("_p").alias("_front"))
+    may = functools.reduce(Column.__and__, [F.col("high0")[j] >= F.col("low1")[j] for j in range(len(goals))]) & (F.col("_a") != F.col("_b"))
+    held = blocks.packed(own.join(F.broadcast(bounds.select("_block")), "_block", "left_semi"), ["_p"], "pareto-blocks")  # a row for each block
+    left = blocks.unpacked(held, blocks.meet(held, held, may, _beaten)).filter("_mark = 0").select(F.col("_p").alias("_front"))
     return runs.filter(~whole).unionByName(runs.filter(whole).join(left, F.array(*clean) == F.col("_front"), "left_semi"))
 
 
@@ -234,10 +233,8 @@ def _own_front(rows):
     return rows.select(["_p", "_slice", "_block"]).filter(pa.array(~_dominated(x, x)))
 
 
-def _beaten(left, right):
-    import pyarrow as pa
-
-    return right.select(["_p"]).filter(pa.array(_dominated(blocks.matrix(right["_p"]), blocks.matrix(left["_p"]))))
+def _beaten(left, right, own):
+    return None, _dominated(blocks.matrix(right["_p"]), blocks.matrix(left["_p"]))
 
 
 def pruned_trades(trades: DataFrame, keep: int = 1200) -> DataFrame:
