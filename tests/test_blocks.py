@@ -167,3 +167,16 @@ def test_vectors_are_not_copied_for_pairs_of_blocks(spark):
         df = frame(spark, np.random.default_rng(2).random((n, 16)), np.zeros(n))
         written.append(_shuffled(spark, lambda df=df: genomes.niche_fitness(df, per_block=50).collect()))
     assert 0 < written[1] < 7 * written[0], written
+
+
+def test_diverse_in_waves_equals_the_walk_and_copies_no_vectors(spark):
+    """Four times the vectors, in several waves of blocks that all meet: the walk's choice, and shuffles that grow with the
+    vectors, not with their pairs."""
+    written = []
+    for n in (500, 2000):
+        rng = np.random.default_rng(n)
+        x, scores = rng.random((n, 8)), rng.integers(0, 90, n)
+        got = []
+        written.append(_shuffled(spark, lambda x=x, scores=scores, got=got: got.extend(genomes.diverse(frame(spark, x, scores), per_block=25).collect())))
+        assert sorted(r["genome_id"] for r in got) == sorted(walk(x, scores, 0.15, FAR["mean"]))
+    assert 0 < written[1] < 8 * written[0], written
