@@ -54,3 +54,11 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_r_multiples_of_an_entry_at_nothing(spark, duck, tmp_path):
+    """Events with the value 0, as sf0.1 has: trades whose entry, and so whose stop, is 0."""
+    duck.sql(f"COPY (SELECT * REPLACE (CASE WHEN event_id % 40 = 7 THEN 0.0 ELSE value END AS value) FROM '{DATA}/events.parquet') TO '{tmp_path}/events.parquet'")
+    f, sql = all_queries()["r_multiples"]
+    want = rows(duck.sql(sql.replace("FROM events", f"FROM '{tmp_path}/events.parquet'")).to_arrow_table())
+    assert rows(f(spark, str(tmp_path)).toArrow()) == want and any("none" in r for r in want) and any("none" not in r for r in want)

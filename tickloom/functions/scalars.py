@@ -79,6 +79,11 @@ def fee_rate(kind: Column, value: Column) -> Column:
     return F.when(kind == "percent", value / 100).otherwise(value)
 
 
+def divided(a: Column, b: Column) -> Column:
+    """a / b of doubles, by 0 infinite with the sign of a, and not a number where a is 0 too."""
+    return F.when(b == 0, a * F.lit(float("inf"))).otherwise(a / b)
+
+
 def clamp(v: Column, lo: Column | float, hi: Column | float) -> Column:
     return F.greatest(lo if isinstance(lo, Column) else F.lit(lo), F.least(hi if isinstance(hi, Column) else F.lit(hi), v))
 

@@ -10,6 +10,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
+from tickloom.functions.scalars import divided
+
+
 def by_trade() -> WindowSpec:
     return W.partitionBy("run_id").orderBy("trade_no")
 
@@ -131,9 +134,11 @@ def risk_ratios(equity: DataFrame, initial: float, risk_free: float = 0.02, peri
 
 
 def r_multiples(trades: DataFrame) -> DataFrame:
-    """Mean multiple of the risk: pnl / risk, or by the distance to the stop; 0 where no trade has either."""
-    distance = F.abs(F.col("entry_price") - F.col("sl_price")) / F.col("entry_price")
-    r = F.when(F.col("risk") > 0, F.col("pnl") / F.col("risk")).when(distance > 0, F.col("pnl") / F.col("entry_price") / distance)
+    """Mean multiple of the risk: pnl / risk, or by the distance to the stop; 0 where no trade has either. Prices of 0 are
+    divided by as floating point has it, so the mean of a run with an entry and a stop at 0 is not a number."""
+    entry = F.col("entry_price")
+    distance = divided(F.abs(entry - F.col("sl_price")), entry)
+    r = F.when(F.col("risk") > 0, F.col("pnl") / F.col("risk")).when(distance > 0, divided(divided(F.col("pnl"), entry), distance))
     return trades.groupBy("run_id").agg(r6(F.coalesce(F.avg(r), F.lit(0.0))).alias("avg_r"))
 
 
