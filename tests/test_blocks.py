@@ -180,3 +180,21 @@ def test_diverse_in_waves_equals_the_walk_and_copies_no_vectors(spark):
         written.append(_shuffled(spark, lambda x=x, scores=scores, got=got: got.extend(genomes.diverse(frame(spark, x, scores), per_block=25).collect())))
         assert sorted(r["genome_id"] for r in got) == sorted(walk(x, scores, 0.15, FAR["mean"]))
     assert 0 < written[1] < 8 * written[0], written
+
+
+def test_distances_of_all_pairs_in_chunks(spark, tmp_path):
+    """genome_distances works its pairs out in matrices, with no broadcast and no row of vectors for a pair."""
+    from tickloom.plans import all_queries
+
+    rng = np.random.default_rng(12)
+    x = rng.random((330, 16)) * 1.4
+    rows = frame(spark, x, np.zeros(len(x))).select("genome_id", "vec")
+    asked = rows.filter("genome_id % 50 = 0").withColumnRenamed("genome_id", "query_id")
+    got = blocks.all_pairs(rows, asked, genomes.both_distances, ["mean_gap", "euclidean"], per_rows=40, per_queries=3).collect()
+    assert len(got) == 7 * 330 == len({(r["query_id"], r["genome_id"]) for r in got})
+    for r in got:
+        a, b = x[r["query_id"]], x[r["genome_id"]]
+        assert abs(r["mean_gap"] - min(1, FAR["mean"](a, b))) < 6e-7 and abs(r["euclidean"] - min(1, FAR["euclidean"](a, b))) < 6e-7
+    spark.range(200).withColumnRenamed("id", "p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    plan = all_queries()["genome_distances"][0](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "BroadcastNestedLoopJoin" not in plan
