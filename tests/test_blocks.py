@@ -198,3 +198,24 @@ def test_distances_of_all_pairs_in_chunks(spark, tmp_path):
     spark.range(200).withColumnRenamed("id", "p_partkey").write.parquet(f"{tmp_path}/part.parquet")
     plan = all_queries()["genome_distances"][0](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_similarities_of_all_pairs_equal_the_expression(spark, tmp_path):
+    """Null vectors, nulls in them, no length, no number, infinite: as the column expression has it; and the query's plan."""
+    from tickloom.operators import profile
+    from tickloom.plans import all_queries
+
+    nan, inf = float("nan"), float("inf")
+    odd = [None, [0.0] * 3, [nan, 1.0, 0.5], [None, 1.0, 0.5], [inf, 1.0, 2.0], [-1.0, -2.0, 0.5]]
+    rng = np.random.default_rng(13)
+    vectors = odd + rng.normal(size=(60, 3)).tolist()
+    rows = spark.createDataFrame(list(enumerate(vectors)), "id long, vec array<double>")
+    asked = rows.filter("id < 12").withColumnRenamed("id", "query_id")
+    show = lambda t: {(r["query_id"], r["id"]): r["similarity"] for r in t.collect()}
+    got = show(blocks.all_pairs(rows, asked, profile.similarities, ["similarity"], per_rows=7, per_queries=2))
+    both = leaderboard.against_all(rows, asked.withColumnRenamed("vec", "query_vec"))
+    want = show(both.select("query_id", "id", profile.similarity(F.col("query_vec"), F.col("vec")).alias("similarity")))
+    assert len(got) == 12 * 66 and got == want
+    spark.createDataFrame([(i, v) for i, v in enumerate(rng.normal(size=(9, 64)).tolist())], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    plan = all_queries()["profile_similarity"][0](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "BroadcastNestedLoopJoin" not in plan

@@ -209,3 +209,13 @@ def vector() -> Column:
     """The profile as 32 numbers, most of them between 0 and 1."""
     place = lambda c, add, by: (F.col(c).cast("double") + add) / by
     return F.array(*[F.least(F.lit(1.0), place(c, add, by)) if stops else place(c, add, by) for c, add, by, stops in COORDINATES])
+
+
+def similarities(x: np.ndarray, good: np.ndarray, q: np.ndarray, fine: np.ndarray) -> list[np.ndarray]:
+    """similarity of every row of q to every row of x; 0 where a vector has no length or isn't whole."""
+    with np.errstate(all="ignore"):
+        a, b = (np.sqrt((m * m).sum(axis=1)) for m in (q, x))
+        cosine = np.maximum(0.0, np.fmin(1.0, (q @ x.T) / (a[:, None] * b)))
+    cosine[~fine | (a <= 0)] = 0.0
+    cosine[:, ~good | (b <= 0)] = 0.0
+    return [np.floor(cosine * 1e4 + 0.5) / 1e4]

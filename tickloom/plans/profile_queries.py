@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.operators import leaderboard as lb
 from tickloom.operators import profile as pf
+from tickloom.operators.blocks import all_pairs
 from tickloom.plans import state_sql
 from tickloom.plans.registry import REGISTERED, query
 from tickloom.sources import derived as d
@@ -132,5 +132,4 @@ def regime_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("profile_similarity", f"WITH {d.PROFILES_SQL} SELECT a.id AS query_id, b.id, round(least(1, greatest(0, list_cosine_similarity(a.vec, b.vec))), 4) AS similarity FROM profiles a, profiles b WHERE a.id % 50 = 0")
 def profile_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = d.profiles(spark, sf_dir)
-    asked = p.filter("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("vec").alias("query_vec"))
-    return lb.against_all(p, asked).select("query_id", "id", pf.similarity(F.col("query_vec"), F.col("vec")).alias("similarity"))
+    return all_pairs(p, p.filter("id % 50 = 0").withColumnRenamed("id", "query_id"), pf.similarities, ["similarity"])
